@@ -38,13 +38,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def one_row(df: DataFrame, **values: Column) -> Column:
-    """Dataset-wide aggregates as one scalar subquery; read fields with ``result["name"]``.
+def one_row(df: DataFrame, **values: Column) -> dict:
+    """Dataset-wide aggregates as plain numbers: one job, one row.
 
-    A global aggregate is a single row by construction, so nothing is joined or collected: Spark
-    runs it once and puts the value into the outer expression.
+    This is the fitting half of an operator. Its numbers enter the applying half as literals, so
+    fitted stages do not nest inside each other's plans and nothing is joined. ``df`` is read for
+    it: pass a stored table.
     """
-    return df.agg(F.struct(*[c.alias(n) for n, c in values.items()]).alias("one_row")).scalar()
+    return df.agg(*[c.alias(n) for n, c in values.items()]).first().asDict()
 
 
 def flow_key_string(prefix: str = "") -> Column:

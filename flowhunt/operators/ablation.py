@@ -16,13 +16,14 @@ def feature_ablation(flows: DataFrame, trees: int = 50, contamination: float = 0
     """
     variants = {FULL: FEATURES} | {f: [g for g in FEATURES if g != f] for f in FEATURES}
     forest = fit_forest(flows, trees=trees, contamination=contamination, variants=variants)
-    offsets = forest.meta.select("offsets").scalar()
+    offsets = forest.meta.first()["offsets"]
+    cut = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
     scored = path_scores(flows, forest, list(variants))
     each = F.explode(F.array(*[
         F.struct(F.lit(v).alias("left_out"), F.col(f"raw_{v}").alias("raw")) for v in variants
     ]))
     long = scored.select("actual_malicious", each.alias("v")).select("actual_malicious", "v.*")
     decided = long.withColumn(
-        "predicted_malicious", (F.col("raw") < offsets[F.col("left_out")]).cast("int")
+        "predicted_malicious", (F.col("raw") < cut[F.col("left_out")]).cast("int")
     )
     return rates(confusion_matrix(decided, by=["left_out"]))

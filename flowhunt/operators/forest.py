@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowhunt.operators.quantiles import exact_quantiles
-from flowhunt.operators.scaling import scaler
+from flowhunt.operators.scaling import scaler, standardised
 from flowhunt.schemas import FEATURES, FLOW_KEY, FOREST_NODE
 from flowhunt.session import materialize
 
@@ -52,14 +52,9 @@ def average_path(n):
 
 
 def _scaled(flows: DataFrame, scaling: DataFrame) -> dict[str, Column]:
-    """Features standardised by a stored scaler, whose row per feature enters as one map."""
-    stats = scaling.agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("m")
-    ).scalar()
-    return {
-        c: F.when(stats[c]["std"] == 0, 0.0).otherwise((F.col(c) - stats[c]["mean"]) / stats[c]["std"])
-        for c in FEATURES
-    }
+    """Features standardised by a stored scaler (one row per feature)."""
+    stats = {r["feature"]: r for r in scaling.collect()}
+    return {c: standardised(c, stats[c]["mean"], stats[c]["std"]) for c in FEATURES}
 
 
 def tree_samples(
@@ -249,7 +244,7 @@ def path_scores(flows: DataFrame, forest: Forest, variants: list[str] | None = N
 
 def score_isolation_forest(flows: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:
     """Add ``iforest_score`` (higher is more normal, negative is anomalous) and ``iforest_label``."""
-    offset = forest.meta.select(F.col("offsets")[variant].alias("offset")).scalar()
+    offset = forest.meta.first()["offsets"][variant]
     raw = path_scores(flows, forest, [variant])
     scored = raw.withColumn("iforest_score", F.col(f"raw_{variant}") - offset)
     return scored.withColumn("iforest_label", predict(F.col("iforest_score"))).drop(f"raw_{variant}")

@@ -77,9 +77,9 @@ def baseline_thresholds(
 def baseline_flags(flows: DataFrame, thresholds: DataFrame, deep_dns: int = DEEP_DNS) -> DataFrame:
     """Four flags and their sum, the suspicion score.
 
-    ``thresholds`` is the one-row table above (or a stored one); it enters as a scalar subquery.
+    ``thresholds`` is the one-row table above, or a stored one.
     """
-    limit = thresholds.select(F.struct(*thresholds.columns).alias("t")).scalar()
+    limit = thresholds.first()
     flags = {
         "flag_high_packet": F.col("packet_count") > limit["packet_count"],
         "flag_long_duration": F.col("duration") > limit["duration"],

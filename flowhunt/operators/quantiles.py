@@ -24,26 +24,27 @@ def exact_quantiles(
         ends = [e for q in qs for e in (max(0.0, q - margin), min(1.0, q + margin))]
         bounds.append(F.approx_percentile(number[c], ends, accuracy).alias(f"{c}_ends"))
         bounds.append(F.count(number[c]).alias(f"{c}_n"))
-    sketch = df.agg(F.struct(*bounds).alias("sketch")).scalar()
+    sketch = df.agg(*bounds).first()
 
     probes = []
     for c, qs in wanted.items():
         for i, q in enumerate(qs):
-            probes.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(float(q)).alias("q"),
-                    sketch[f"{c}_n"].alias("n"),
-                    sketch[f"{c}_ends"][2 * i].alias("low"),
-                    sketch[f"{c}_ends"][2 * i + 1].alias("high"),
-                    number[c].alias("value"),
-                )
+            if not sketch[f"{c}_n"]:
+                continue
+            low, high = sketch[f"{c}_ends"][2 * i : 2 * i + 2]
+            probe = F.struct(
+                F.lit(c).alias("column"),
+                F.lit(float(q)).alias("q"),
+                F.lit(sketch[f"{c}_n"]).alias("n"),
+                F.when(number[c] >= low, number[c]).alias("value"),
             )
-    reached = F.filter(F.array(*probes), lambda p: p["value"] <= p["high"])
-    rows = df.select(F.explode(reached).alias("p")).select("p.*")
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+            probes.append(F.when(number[c] <= high, probe))
+    if not probes:
+        return df.sparkSession.createDataFrame([], "column STRING, q DOUBLE, value DOUBLE")
+    reached = df.select(F.explode(F.array(*probes)).alias("p")).filter(F.col("p").isNotNull())
+    rows = reached.select("p.*")
     group = ["column", "q"]
-    counts = rows.groupBy(*group, inside.alias("value")).agg(
+    counts = rows.groupBy(*group, "value").agg(
         F.count("*").alias("rows"), F.max("n").alias("n")
     )
 

@@ -1,4 +1,4 @@
-"""Min-max and standard scaling with dataset-wide constants as scalar subqueries."""
+"""Min-max and standard scaling: fit dataset-wide constants, then apply them as literals."""
 
 from __future__ import annotations
 
@@ -8,16 +8,24 @@ from flowhunt.functions.columns import one_row, round_half_up
 from flowhunt.schemas import FEATURES
 
 
-def minmax_scale(df: DataFrame, column: str, name: str, digits: int | None = 6) -> DataFrame:
-    """(x - min) / (max - min); a constant column becomes 0."""
-    ends = one_row(
-        df, low=F.min(column).cast("double"), high=F.max(column).cast("double")
-    )
-    width = ends["high"] - ends["low"]
-    scaled = F.when(F.col(column).isNull(), None).when(width == 0, 0.0).otherwise(
-        (F.col(column) - ends["low"]) / width
-    )
-    return df.withColumn(name, round_half_up(scaled, digits) if digits is not None else scaled)
+def minmax_scale(df: DataFrame, columns: dict[str, str], digits: int | None = 6) -> DataFrame:
+    """(x - min) / (max - min) for each {column: new name}, fitted in one pass.
+
+    A constant column becomes 0.
+    """
+    ends = {}
+    for c in columns:
+        ends[f"{c}_low"], ends[f"{c}_high"] = F.min(c).cast("double"), F.max(c).cast("double")
+    ends = one_row(df, **ends)
+    scaled = {}
+    for c, name in columns.items():
+        low, high = ends[f"{c}_low"], ends[f"{c}_high"]
+        if low is None or low == high:
+            value = F.when(F.col(c).isNotNull(), 0.0)
+        else:
+            value = (F.col(c) - low) / (high - low)
+        scaled[name] = round_half_up(value, digits) if digits is not None else value
+    return df.withColumns(scaled)
 
 
 def scaler(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -36,12 +44,13 @@ def z_scores(df: DataFrame, columns: list[str] = FEATURES) -> dict[str, Column]:
         values[f"{c}_mean"] = F.avg(c)
         values[f"{c}_std"] = F.stddev_pop(c)
     stats = one_row(df, **values)
-    return {
-        c: F.when(stats[f"{c}_std"] == 0, 0.0).otherwise(
-            (F.col(c) - stats[f"{c}_mean"]) / stats[f"{c}_std"]
-        )
-        for c in columns
-    }
+    return {c: standardised(c, stats[f"{c}_mean"], stats[f"{c}_std"]) for c in columns}
+
+
+def standardised(column: str, mean: float, std: float) -> Column:
+    if not std:
+        return F.when(F.col(column).isNotNull(), 0.0)
+    return (F.col(column) - mean) / std
 
 
 def standard_scale(df: DataFrame, columns: list[str] = FEATURES, digits: int | None = None) -> DataFrame:

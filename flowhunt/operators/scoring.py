@@ -49,12 +49,12 @@ def fuse_scores(
     around before blending and ``"as_coded"`` adds it unchanged. ``higher_is="anomalous"`` marks a
     score that already points the right way.
     """
-    scaled = minmax_scale(flows, "ml_anomaly_score", "ml_score_normalized")
+    names = {"ml_anomaly_score": "ml_score_normalized", "suspicion_score": "rule_score_normalized"}
+    scaled = minmax_scale(flows, names)
     if orientation == "anomaly" and higher_is == "normal":
         scaled = scaled.withColumn(
             "ml_score_normalized", round_half_up(1 - F.col("ml_score_normalized"), 6)
         )
-    scaled = minmax_scale(scaled, "suspicion_score", "rule_score_normalized")
     blend = rule_weight * F.col("rule_score_normalized") + ml_weight * F.col("ml_score_normalized")
     return scaled.withColumn("final_threat_score", round_half_up(blend, 6)).withColumn(
         "threat_score_band", score_band(F.col("final_threat_score"))

@@ -19,15 +19,28 @@ ENRICHED = T.StructType(
 )
 
 
+_CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def text_times(schema: T.StructType) -> T.StructType:
+    """The schema with timestamps as text, to accept any number of fraction digits."""
+    return T.StructType(
+        [T.StructField(f.name, T.StringType()) if f.dataType == T.TimestampType() else f for f in schema.fields]
+    )
+
+
+def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def read_flows_csv(spark: SparkSession, path: str, schema: T.StructType = FLOW) -> DataFrame:
     """Flow CSV with a header; NaN cells become NULL."""
-    return nan_to_null(
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    )
+    raw = spark.read.schema(text_times(schema)).option("header", True).option("enforceSchema", False)
+    return nan_to_null(cast_to(raw.csv(path), schema))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("timestampFormat", _CSV_TIME).csv(path)
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, array_file: bool) -> DataFrame:
