@@ -17,6 +17,10 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings that can only be chosen when a session starts. Call sites of column expressions are not
+# recorded: doing so costs several gateway calls per expression, seconds for the wider plans.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(
     app_name: str = "flowhunt", master: str | None = None, settings: dict[str, str] | None = None
@@ -25,7 +29,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **(settings or {})}.items():
+    for key, value in {**SQL_SETTINGS, **START_SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -19,8 +19,14 @@ BEACON_STEP_US = 50_000
 ROLE_LABELS = {0: "PORT_SCAN", 1: "C2_BEACONING", 2: "BRUTE_FORCE", 3: "DNS_TUNNELING"}
 
 
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+    "pages": "page_id BIGINT, url STRING",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _address(user: Column) -> Column:
