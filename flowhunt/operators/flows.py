@@ -126,7 +126,6 @@ def merge_slices(slices: DataFrame, keys: list[str] = FLOW_KEY) -> DataFrame:
         F.max("last_us").alias("last_us"),
         F.least(F.min("gap_min"), F.min("edge")).alias("gap_min"),
         F.greatest(F.max("gap_max"), F.max("edge")).alias("gap_max"),
-        F.max("mean").alias("gap_mean"),
         F.sum(inside + across).alias("gap_m2"),
         F.min("dns")["name"].alias("dns_query"),
     )
@@ -166,7 +165,7 @@ def finish_flows(merged: DataFrame, entropy_digits: int = 3, text_unit: str = "c
         "avg_packet_size": per_packet,
         "min_iat": gap(F.col("gap_min")),
         "max_iat": gap(F.col("gap_max")),
-        "mean_iat": gap(F.col("gap_mean")),
+        "mean_iat": gap(micros / F.when(several, n - 1)),
         "std_iat": gap(F.sqrt(F.col("gap_m2") / F.when(several, n - 1))),
         "bytes_per_second": per_second(size),
         "packets_per_second": per_second(n),
@@ -232,6 +231,6 @@ def beacon_intervals(packets: DataFrame, slice_seconds: float = SLICE_SECONDS) -
     return merged.filter(intervals > 0).select(
         *pair,
         intervals.alias("intervals"),
-        micros_to_seconds(F.col("gap_mean")).alias("mean_interval"),
+        micros_to_seconds((F.col("last_us") - F.col("first_us")) / intervals).alias("mean_interval"),
         F.coalesce(micros_to_seconds(spread), F.lit(0.0)).alias("std_interval"),
     )

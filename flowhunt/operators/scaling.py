@@ -8,15 +8,22 @@ from flowhunt.functions.columns import one_row, round_half_up
 from flowhunt.schemas import FEATURES
 
 
-def minmax_scale(df: DataFrame, columns: dict[str, str], digits: int | None = 6) -> DataFrame:
-    """(x - min) / (max - min) for each {column: new name}, fitted in one pass.
-
-    A constant column becomes 0.
-    """
+def minmax_ranges(df: DataFrame, columns: list[str]) -> dict:
+    """``<column>_low`` and ``<column>_high`` of each column, in one pass."""
     ends = {}
     for c in columns:
         ends[f"{c}_low"], ends[f"{c}_high"] = F.min(c).cast("double"), F.max(c).cast("double")
-    ends = one_row(df, **ends)
+    return one_row(df, **ends)
+
+
+def minmax_scale(
+    df: DataFrame, columns: dict[str, str], digits: int | None = 6, ranges: dict | None = None
+) -> DataFrame:
+    """(x - min) / (max - min) for each {column: new name}; a constant column becomes 0.
+
+    ``ranges`` holds stored ends; without it they are taken from ``df``.
+    """
+    ends = ranges or minmax_ranges(df, list(columns))
     scaled = {}
     for c, name in columns.items():
         low, high = ends[f"{c}_low"], ends[f"{c}_high"]
@@ -37,13 +44,19 @@ def scaler(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def z_scores(df: DataFrame, columns: list[str] = FEATURES) -> dict[str, Column]:
-    """Standardised columns; a constant column becomes 0."""
+def z_stats(df: DataFrame, columns: list[str] = FEATURES) -> dict:
     values = {}
     for c in columns:
         values[f"{c}_mean"] = F.avg(c)
         values[f"{c}_std"] = F.stddev_pop(c)
-    stats = one_row(df, **values)
+    return one_row(df, **values)
+
+
+def z_scores(
+    df: DataFrame, columns: list[str] = FEATURES, stats: dict | None = None
+) -> dict[str, Column]:
+    """Standardised columns; a constant column becomes 0."""
+    stats = stats or z_stats(df, columns)
     return {c: standardised(c, stats[f"{c}_mean"], stats[f"{c}_std"]) for c in columns}
 
 
@@ -60,12 +73,14 @@ def standard_scale(df: DataFrame, columns: list[str] = FEATURES, digits: int | N
     return df.withColumns(scaled)
 
 
-def zscore_anomaly(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
+def zscore_anomaly(
+    df: DataFrame, columns: list[str] = FEATURES, stats: dict | None = None
+) -> DataFrame:
     """``ml_anomaly_score`` as the mean absolute z-score: a closed-form stand-in for a model.
 
     Higher is more anomalous.
     """
-    parts = z_scores(df, columns)
+    parts = z_scores(df, columns, stats)
     total = F.lit(0.0)
     for c in columns:
         total = total + F.abs(parts[c])

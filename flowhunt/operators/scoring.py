@@ -13,6 +13,11 @@ from flowhunt.schemas import FEATURES, FLOW_KEY
 RULE_WEIGHT = 0.6
 ML_WEIGHT = 0.4
 
+SCORE_COLUMNS = {
+    "ml_anomaly_score": "ml_score_normalized",
+    "suspicion_score": "rule_score_normalized",
+}
+
 
 def feature_vector(flows: DataFrame) -> DataFrame:
     """The 14 features in model order."""
@@ -42,6 +47,7 @@ def fuse_scores(
     rule_weight: float = RULE_WEIGHT,
     ml_weight: float = ML_WEIGHT,
     higher_is: str = "normal",
+    ranges: dict | None = None,
 ) -> DataFrame:
     """Min-max scale ``ml_anomaly_score`` and ``suspicion_score``, blend and band them.
 
@@ -49,8 +55,7 @@ def fuse_scores(
     around before blending and ``"as_coded"`` adds it unchanged. ``higher_is="anomalous"`` marks a
     score that already points the right way.
     """
-    names = {"ml_anomaly_score": "ml_score_normalized", "suspicion_score": "rule_score_normalized"}
-    scaled = minmax_scale(flows, names)
+    scaled = minmax_scale(flows, SCORE_COLUMNS, ranges=ranges)
     if orientation == "anomaly" and higher_is == "normal":
         scaled = scaled.withColumn(
             "ml_score_normalized", round_half_up(1 - F.col("ml_score_normalized"), 6)

@@ -16,6 +16,7 @@ from flowhunt.plans import detect
 from flowhunt.schemas import FEATURES, FLOW_KEY
 from flowhunt.session import materialize, prepare, scratch_path
 from flowhunt.sources import capture, files, ground_truth, models
+from flowhunt.streaming import detection as sd, flows as sf, io as sio
 from flowhunt.sources.tables import packets as table_packets, role_of_source, truth_label
 
 # The fixture's capture lasts about three seconds: narrow slices make flows span several of them.
@@ -507,6 +508,56 @@ def detection_latency(spark, sf_dir):
     return ev.detection_latency(*_judged_and_alerts(spark, sf_dir))
 
 
+# Streams: a stored packet or flow table is read as a stream to its end
+
+
+def _packet_stream(spark, sf_dir, job, width=None):
+    """Run ``job`` over all packets, then over a clock packet that closes what is open."""
+    path, checkpoint = scratch_path(prepare(spark), "packets"), scratch_path(spark, "stream")
+    out = scratch_path(spark, "stream-out")
+    table_packets(spark, sf_dir).write.parquet(path)
+    sio.run_to_table(job(sio.read_packet_stream(spark, path)), out, checkpoint).awaitTermination()
+    sio.clock_packet(spark, "2030-01-01 00:00:00").write.mode("append").parquet(path)
+    sio.run_to_table(job(sio.read_packet_stream(spark, path)), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def stream_flows(spark, sf_dir):
+    return plain(_packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, slice_seconds=SLICE)))
+
+
+@query
+def stream_counters(spark, sf_dir):
+    return plain(_packet_stream(spark, sf_dir, lambda p: sf.stream_counters(p, "100 milliseconds")))
+
+
+def _flow_stream(spark, sf_dir):
+    """Streamed alerts of a stored flow table, scored by a fit on that table."""
+    flows = _flows(spark, sf_dir)
+    detector = sd.fit_detector(flows, materialize(pf.baseline_thresholds(flows), "thresholds"))
+    stream = spark.readStream.schema(flows.schema).parquet(flows.inputFiles()[0].rsplit("/", 1)[0])
+    return sd.stream_alerts(stream, detector)
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    out = scratch_path(prepare(spark), "stream-alerts")
+    sio.run_to_table(_flow_stream(spark, sf_dir), out, scratch_path(spark, "stream")).awaitTermination()
+    found = spark.read.parquet(out)
+    return plain(found.select(*FLOW_KEY, "threat_label", "severity", "final_threat_score", "triggered_rules"))
+
+
+@query
+def stream_incidents(spark, sf_dir):
+    deltas = scratch_path(prepare(spark), "incident-deltas")
+    job = sio.run_batches(
+        _flow_stream(spark, sf_dir), sd.append_incident_deltas(deltas), scratch_path(spark, "stream")
+    )
+    job.awaitTermination()
+    return sd.merge_incidents(spark.read.parquet(deltas))
+
+
 # Forest and explanations (no SQL equivalent)
 
 

@@ -306,7 +306,29 @@ FROM (SELECT *, {_rates()} FROM (SELECT {_cells("final_threat_score > 0.6")} FRO
 """
 _CRITICAL = "SELECT DISTINCT src_ip FROM alerts WHERE severity = 'CRITICAL'"
 
+# Streamed flows have no source columns: only names, scores and the DNS rule can speak.
+_STREAMED = f"""
+SELECT *, {_alert_severity("boosted")} AS severity, {_round("boosted", 3)} AS alert_score FROM (
+  SELECT *, least(final_threat_score + CASE WHEN beacons THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE) AS boosted,
+    CASE WHEN beacons THEN 'DNS_BEACONING' ELSE '' END AS triggered_rules FROM (
+    SELECT *, CASE WHEN dns_query_length >= 50 THEN 'DNS_TUNNEL' WHEN final_threat_score >= 0.6 THEN 'SUSPICIOUS_TRAFFIC' ELSE 'BENIGN' END AS threat_label,
+      upper(protocol) = 'UDP' AND dst_port = 53 AND packets_per_second > 5
+      AND (dns_entropy > 3.5 OR flag_high_dns_entropy) AND (dns_subdomain_depth >= 3 OR flag_deep_dns) AS beacons
+    FROM scored) WHERE threat_label <> 'BENIGN')
+"""
+
 ORACLE: dict[str, str] = {
+    "stream_flows": _query("flows", f"SELECT {_FLOW_TEXT} FROM flows"),
+    "stream_alerts": _query(
+        "scored", f"SELECT {KEY}, threat_label, severity, alert_score AS final_threat_score, triggered_rules FROM ({_STREAMED})"
+    ),
+    "stream_incidents": _query(
+        "scored",
+        "SELECT src_ip AS entity, CASE WHEN triggered_rules = '' THEN 'NO_RULE' ELSE triggered_rules END AS rule, count(*) AS alert_count, "
+        "['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END)] AS max_severity, "
+        "floor(sum(CAST(floor(alert_score * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT)) / count(*) + CAST(0.5 AS DOUBLE)) / 1000.0::DOUBLE AS avg_score, "
+        f"min({_iso('last_seen')}) AS first_seen, max({_iso('last_seen')}) AS last_seen FROM ({_STREAMED}) GROUP BY 1, 2",
+    ),
     "packet_gate": _query("packets", f"SELECT {_PACKET_TEXT} FROM packets WHERE protocol IN ('TCP', 'UDP')"),
     "packet_filter": _query(
         "packets",
