@@ -14,47 +14,57 @@ FEATURES = [
     "dns_query_length", "dns_subdomain_depth", "dns_entropy",
 ]
 
-PACKET = T.StructType.fromDDL(
-    "packet_id BIGINT, ts TIMESTAMP, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, "
-    "protocol STRING, length BIGINT, dns_query STRING"
+_LONG, _INT, _DOUBLE, _TEXT, _TIME = (
+    T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampType(),
 )
 
-FLOW = T.StructType.fromDDL(
-    "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING, "
-    "first_seen TIMESTAMP, last_seen TIMESTAMP, "
-    "packet_count BIGINT, duration DOUBLE, total_bytes BIGINT, avg_packet_size DOUBLE, "
-    "min_iat DOUBLE, max_iat DOUBLE, mean_iat DOUBLE, std_iat DOUBLE, "
-    "bytes_per_second DOUBLE, packets_per_second DOUBLE, avg_bytes_per_packet DOUBLE, "
-    "dns_query_length INT, dns_subdomain_depth INT, dns_entropy DOUBLE"
-)
 
-ALERT = T.StructType.fromDDL(
-    "alert_id STRING, timestamp STRING, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, "
-    "protocol STRING, threat_label STRING, threat_type STRING, severity STRING, "
-    "final_threat_score DOUBLE, confidence DOUBLE, triggered_rules ARRAY<STRING>, "
-    "reason STRING, summary STRING"
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+_KEY_FIELDS = [
+    ("src_ip", _TEXT), ("dst_ip", _TEXT), ("src_port", _INT), ("dst_port", _INT), ("protocol", _TEXT),
+]
+
+PACKET = _struct(
+    ("packet_id", _LONG), ("ts", _TIME), *_KEY_FIELDS, ("length", _LONG), ("dns_query", _TEXT)
 )
 
-INCIDENT = T.StructType.fromDDL(
-    "entity STRING, rule STRING, alert_count BIGINT, max_severity STRING, avg_score DOUBLE, "
-    "first_seen STRING, last_seen STRING"
+_WHOLE = {"packet_count": _LONG, "total_bytes": _LONG, "dns_query_length": _INT, "dns_subdomain_depth": _INT}
+
+FLOW = _struct(
+    *_KEY_FIELDS, ("first_seen", _TIME), ("last_seen", _TIME),
+    *[(name, _WHOLE.get(name, _DOUBLE)) for name in FEATURES],
 )
 
-CAMPAIGN = T.StructType(INCIDENT.fields + [T.StructField("campaign_type", T.StringType())])
+ALERT = _struct(
+    ("alert_id", _TEXT), ("timestamp", _TEXT), *_KEY_FIELDS, ("threat_label", _TEXT),
+    ("threat_type", _TEXT), ("severity", _TEXT), ("final_threat_score", _DOUBLE),
+    ("confidence", _DOUBLE), ("triggered_rules", T.ArrayType(_TEXT)), ("reason", _TEXT),
+    ("summary", _TEXT),
+)
 
-EXPLANATION = T.StructType.fromDDL(
-    "alert_id STRING, severity STRING, threat_label STRING, src_ip STRING, dst_ip STRING, "
-    "ml_score DOUBLE, top_features ARRAY<STRUCT<feature: STRING, shap_contribution: DOUBLE, "
-    "actual_value: DOUBLE, impact: STRING>>"
+INCIDENT = _struct(
+    ("entity", _TEXT), ("rule", _TEXT), ("alert_count", _LONG), ("max_severity", _TEXT),
+    ("avg_score", _DOUBLE), ("first_seen", _TEXT), ("last_seen", _TEXT),
 )
 
-GROUND_TRUTH = T.StructType.fromDDL(
-    "attack_types MAP<STRING, STRING>, sample_labels MAP<STRING, STRING>, "
-    "pcap_labels MAP<STRING, STRING>"
+CAMPAIGN = T.StructType(INCIDENT.fields + [T.StructField("campaign_type", _TEXT)])
+
+EXPLANATION = _struct(
+    ("alert_id", _TEXT), ("severity", _TEXT), ("threat_label", _TEXT), ("src_ip", _TEXT),
+    ("dst_ip", _TEXT), ("ml_score", _DOUBLE),
+    ("top_features", T.ArrayType(_struct(
+        ("feature", _TEXT), ("shap_contribution", _DOUBLE), ("actual_value", _DOUBLE), ("impact", _TEXT),
+    ))),
 )
 
+_LABELS = T.MapType(_TEXT, _TEXT)
+GROUND_TRUTH = _struct(("attack_types", _LABELS), ("sample_labels", _LABELS), ("pcap_labels", _LABELS))
+
 # One row per forest node. ``path_length`` is set on leaves only.
-FOREST_NODE = T.StructType.fromDDL(
-    "variant STRING, tree INT, node INT, feature INT, threshold DOUBLE, left_node INT, "
-    "right_node INT, cover INT, path_length DOUBLE"
+FOREST_NODE = _struct(
+    ("variant", _TEXT), ("tree", _INT), ("node", _INT), ("feature", _INT), ("threshold", _DOUBLE),
+    ("left_node", _INT), ("right_node", _INT), ("cover", _INT), ("path_length", _DOUBLE),
 )
