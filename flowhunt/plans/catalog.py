@@ -511,14 +511,15 @@ def detection_latency(spark, sf_dir):
 # Streams: a stored packet or flow table is read as a stream to its end
 
 
-def _packet_stream(spark, sf_dir, job, width=None):
-    """Run ``job`` over all packets, then over a clock packet that closes what is open."""
+def _packet_stream(spark, sf_dir, job):
+    """Run ``job`` over all packets and a clock packet that closes what is open at the end."""
     path, checkpoint = scratch_path(prepare(spark), "packets"), scratch_path(spark, "stream")
     out = scratch_path(spark, "stream-out")
     table_packets(spark, sf_dir).write.parquet(path)
-    sio.run_to_table(job(sio.read_packet_stream(spark, path)), out, checkpoint).awaitTermination()
     sio.clock_packet(spark, "2030-01-01 00:00:00").write.mode("append").parquet(path)
-    sio.run_to_table(job(sio.read_packet_stream(spark, path)), out, checkpoint).awaitTermination()
+    stream = job(sio.read_packet_stream(spark, path))
+    slots = spark.sparkContext.defaultParallelism
+    sio.run_to_table(stream, out, checkpoint, state_partitions=slots).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -34,13 +34,29 @@ def read_live_flows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_to_table(
-    stream: DataFrame, path: str, checkpoint: str, interval: str | None = None
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Append to a Parquet table: every ``interval``, or everything available and stop."""
+    """Append to a Parquet table: every ``interval``, or everything available and stop.
+
+    The number of state partitions is fixed by the first start of a checkpoint.
+    """
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    writer = writer.trigger(**trigger)
+    if state_partitions is None:
+        return writer.start()
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", state_partitions)
+    try:
+        return writer.start()  # the query keeps its own copy of the settings
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def run_batches(
