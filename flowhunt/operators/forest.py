@@ -84,6 +84,10 @@ def tree_samples(
         )
         offered = hashed.withColumn("tree", F.explode(chosen))
     drawn = offered.withColumn("draw", draw(F.col("_key"), F.col("tree"))).filter(F.col("draw") < limit)
+    # One small shuffle with a fixed layout: growing trees is work per row, not per byte, and the
+    # grouping by tree that follows keeps it.
+    tasks = min(trees, 2 * flows.sparkSession.sparkContext.defaultParallelism)
+    drawn = drawn.repartition(tasks, "tree")
     nth = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "_key"))
     return drawn.withColumn("nth", nth).filter(F.col("nth") <= sample_size).drop("_key", "draw")
 
@@ -188,18 +192,27 @@ def tree_arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def mean_path(x: np.ndarray, arrays: dict[str, np.ndarray]) -> np.ndarray:
-    """Mean path length of each row over all trees, all trees walked at once."""
-    trees = np.arange(arrays["feature"].shape[0])
-    rows = np.arange(len(x))[:, None]
-    node = np.zeros((len(x), len(trees)), "int32")
+    """Mean path length of each row over all trees, all trees walked at once.
+
+    Nodes of all trees are numbered through, and a leaf leads to itself, so every step is a few
+    gathers without masks.
+    """
+    trees, width = arrays["feature"].shape
+    first = np.arange(trees)[:, None] * width
+    leaf = (arrays["feature"] < 0).ravel()
+    itself = np.arange(trees * width)
+    left = np.where(leaf, itself, (first + arrays["left_node"]).ravel())
+    right = np.where(leaf, itself, (first + arrays["right_node"]).ravel())
+    feature = np.maximum(arrays["feature"], 0).astype("int64").ravel()
+    cut = arrays["threshold"].ravel()
+    values, rows = np.ascontiguousarray(x).ravel(), np.arange(len(x))[:, None] * x.shape[1]
+    node = np.broadcast_to(first.ravel(), (len(x), trees))
     while True:
-        feature = arrays["feature"][trees, node]
-        inner = feature >= 0
-        if not inner.any():
-            return arrays["path_length"][trees, node].mean(axis=1)
-        left = x[rows, np.maximum(feature, 0)] < arrays["threshold"][trees, node]
-        step = np.where(left, arrays["left_node"][trees, node], arrays["right_node"][trees, node])
-        node = np.where(inner, step, node)
+        below = values.take(rows + feature.take(node)) < cut.take(node)
+        step = np.where(below, left.take(node), right.take(node))
+        if (step == node).all():
+            return arrays["path_length"].ravel().take(node).mean(axis=1)
+        node = step
 
 
 def feature_matrix(columns: tuple[pd.Series, ...]) -> np.ndarray:

@@ -121,8 +121,14 @@ def shapley_arrays(flows: DataFrame, forest: Forest, variant: str = FULL) -> Dat
 
 
 def shapley_values(flows: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:
-    """Long rows (flow key, feature, shap, actual_value) for every flow given."""
-    explained = shapley_arrays(flows, forest, variant)
+    """Long rows (flow key, feature, shap, actual_value) for every flow given.
+
+    A row costs about a millisecond, so a file-sized partition would be a very long task: the
+    columns needed are spread over all cores first.
+    """
+    tasks = 2 * flows.sparkSession.sparkContext.defaultParallelism
+    spread = flows.select(*FLOW_KEY, *FEATURES).repartition(tasks, *FLOW_KEY)
+    explained = shapley_arrays(spread, forest, variant)
     each = F.arrays_zip(
         F.array(*[F.lit(f) for f in FEATURES]).alias("feature"),
         F.col("shap"),

@@ -192,10 +192,14 @@ def decode_frames(frames: DataFrame, length: str = "captured") -> DataFrame:
 
 
 def read_capture(spark: SparkSession, path: str, length: str = "captured") -> DataFrame:
-    """PACKET rows of all capture files below ``path``; ids follow file path and frame order."""
+    """PACKET rows of all capture files below ``path``.
+
+    Ids hold 35 bits of a hash of the path and 28 bits of frame number: a file is at most 2 GB, so
+    it has fewer than 2^28 frames, and within a file the ids follow its order.
+    """
     frames = read_frames(spark, path)
-    file_id = F.pmod(F.xxhash64("path"), F.lit(1 << 30))
-    numbered = frames.withColumn("packet_id", F.shiftleft(file_id, 32) + F.col("frame_no"))
+    file_id = F.pmod(F.xxhash64("path"), F.lit(1 << 35))
+    numbered = frames.withColumn("packet_id", F.shiftleft(file_id, 28) + F.col("frame_no"))
     return decode_frames(numbered, length)
 
 
