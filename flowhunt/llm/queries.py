@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import exact_dedup, language_id, token_counts
+from flowhunt.llm import exact_dedup, language_id, license_scan, secrets, token_counts
 from flowhunt.llm.common import documents, fold
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.scan_secrets(docs, secrets.fit_ratios(docs))
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select(
+        "doc_id", *[secrets.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.spans_text(every).alias("spans"),
+        F.size("added").cast("long").alias("n_markov"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return license_scan.scan_licenses(docs, license_scan.token_order(docs))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit_dictionaries(language_id.labelled(docs))
@@ -27,7 +44,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op10_token_counts": op10_token_counts,
 }
