@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import exact_dedup, language_id, license_scan, secrets, token_counts
+from flowhunt.llm import exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
 from flowhunt.llm.common import documents, fold
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,6 +39,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = toxicity.labelled_sample(docs, labels)
+    terms = toxicity.learn_lexicon(sample)
+    found = toxicity.score(docs, terms, toxicity.fit(sample, terms))
+    return found.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.encode_documents(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
@@ -48,6 +60,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op9_piece_coding": op9_piece_coding,
     "op10_token_counts": op10_token_counts,
 }
 
