@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
+from flowhunt.llm import decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
 from flowhunt.llm.common import documents, fold
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir), benchmark).drop("print")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return license_scan.scan_licenses(docs, license_scan.token_order(docs))
@@ -58,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
