@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
+from flowhunt.llm import chosen_path, decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
 from flowhunt.llm.common import documents, fold
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -52,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join_similar(documents(spark, sf_dir))
+
+
 def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coding.encode_documents(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_piece_coding": op9_piece_coding,
     "op10_token_counts": op10_token_counts,
 }
