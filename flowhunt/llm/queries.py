@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import chosen_path, decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, token_counts, toxicity
+from flowhunt.llm import chosen_path, decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, suffix_dedup, token_counts, toxicity
 from flowhunt.llm.common import documents, fold
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs, license_scan.token_order(docs))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit_dictionaries(language_id.labelled(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
