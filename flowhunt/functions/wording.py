@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from flowhunt.functions.columns import round_half_up
+
 # Feature descriptions.
 FEATURE_DESCRIPTIONS = {
     "packet_count": "number of packets in the flow",
@@ -74,10 +76,11 @@ def narrative(top_features: Column) -> Column:
     def factor(f: Column, position: Column) -> Column:
         number = (position + 1).cast("int")
         name = F.upper(feature_text(f["feature"]))
-        size = F.abs(f["shap_contribution"])
+        value = round_half_up(f["actual_value"], 2)  # rounded as everywhere, then printed
+        size = round_half_up(F.abs(f["shap_contribution"]), 4)
         line = F.when(
-            f["impact"] == "increased", F.format_string(RAISED, number, name, f["actual_value"], size)
-        ).otherwise(F.format_string(LOWERED, number, name, f["actual_value"], size))
+            f["impact"] == "increased", F.format_string(RAISED, number, name, value, size)
+        ).otherwise(F.format_string(LOWERED, number, name, value, size))
         context = feature_context(f["feature"], f["actual_value"])
         return F.concat(line, F.when(context != "", F.format_string(CONTEXT, context)).otherwise(""))
 

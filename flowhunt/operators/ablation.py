@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowhunt.operators.evaluation import confusion_matrix, rates
-from flowhunt.operators.forest import FULL, fit_forest, path_scores
+from flowhunt.operators.forest import FULL, TREES, fit_forest, path_scores
 from flowhunt.schemas import FEATURES
 
 
-def feature_ablation(flows: DataFrame, trees: int = 50, contamination: float = 0.05) -> DataFrame:
+def feature_ablation(flows: DataFrame, trees: int = TREES, contamination: float = 0.05) -> DataFrame:
     """One row per left-out feature (and ``all``); ``flows`` carries ``actual_malicious``.
 
     All 15 forests grow in one job from the same samples and score in one pass.

@@ -131,9 +131,11 @@ def query_alerts(
     alert: str | None = None,
     page: int | None = None,
     page_size: int = 50,
+    after: int | None = None,
 ) -> DataFrame:
-    """Filtered listing. Pages are ranges of the alert number, so no rows are skipped over when
-    there is no filter; with one, the matching rows are sorted and the page is cut from them."""
+    """Filtered listing. Without a filter a page is a range of the alert number. With one, ``after`` (the
+    last number of the page before) reaches the next page at the same cost however deep it lies; a page
+    number sorts the matching rows up to that page."""
     kept = alerts
     if alert is not None:
         kept = kept.filter(F.col("alert_id") == alert)
@@ -141,6 +143,8 @@ def query_alerts(
         kept = kept.filter(F.col("severity") == severity)
     if src_ip is not None:
         kept = kept.filter(F.col("src_ip") == src_ip)
+    if after is not None:
+        return kept.filter(F.col("alert_no") > after).orderBy("alert_no").limit(page_size)
     if page is None:
         return kept
     first = (page - 1) * page_size

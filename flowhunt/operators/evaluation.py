@@ -272,19 +272,22 @@ def cross_validate(flows: DataFrame, folds: int = 5, threshold: float = THRESHOL
 
 
 def bootstrap_ci(
-    flows: DataFrame, replicates: int = 200, threshold: float = THRESHOLD, level: float = 0.95, seed: int = 42
+    flows: DataFrame, replicates: int = 200, threshold: float = THRESHOLD, level: float = 0.95, seed: int = 42,
+    buckets: int = 4096,
 ) -> DataFrame:
-    """Percentile intervals of the metrics by Poisson bootstrap.
+    """Percentile intervals of the metrics by Poisson bootstrap over hash buckets of flows.
 
-    Each flow weighs Poisson(1) in each replicate, drawn from a hash of its key. Weights are summed
-    on the map side, so the shuffle carries one row per task and replicate.
+    Flows are first reduced to counts per (bucket, actual, predicted), at most 4 x ``buckets`` rows at
+    any size; each bucket then weighs Poisson(1) in each replicate, drawn from a digest.
     """
-    draws = predict_at(flows, threshold).select(
-        "actual_malicious", "predicted_malicious",
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-        *FLOW_KEY,
+    cells = (
+        predict_at(flows, threshold)
+        .groupBy(hash_fold(buckets).alias("bucket"), "actual_malicious", "predicted_malicious")
+        .agg(F.count("*").alias("n"))
     )
-    uniform = F.pmod(F.xxhash64(*FLOW_KEY, "replicate", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    draws = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    text = F.concat_ws("|", "bucket", "replicate", F.lit(str(seed)))
+    uniform = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     weight = F.lit(0)
     cumulative, term = 0.0, 0.36787944117144233  # exp(-1)
     for k in range(1, 13):
@@ -292,7 +295,7 @@ def bootstrap_ci(
         term /= k
         weight = weight + (F.col("u") >= cumulative).cast("int")
     matrix = confusion_matrix(
-        draws.withColumn("u", uniform), by=["replicate"], weight=weight.cast("bigint")
+        draws.withColumn("u", uniform), by=["replicate"], weight=(weight * F.col("n")).cast("bigint")
     )
     names = ["accuracy", "precision", "recall", "f1_score", "fpr"]
     long = rates(matrix).select(
@@ -302,8 +305,8 @@ def bootstrap_ci(
     ).select("m.*")
     tail = (1 - level) / 2
     return long.groupBy("metric").agg(
-        F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(tail)).alias("low"),
-        F.percentile("value", F.lit(1 - tail)).alias("high"),
+        round_half_up(F.avg("value"), 6).alias("mean"),
+        round_half_up(F.percentile("value", F.lit(tail)), 6).alias("low"),
+        round_half_up(F.percentile("value", F.lit(1 - tail)), 6).alias("high"),
         F.count("*").alias("replicates"),
     )

@@ -18,12 +18,13 @@ ALERT_COLUMNS = ["alert_id", "severity", "threat_label", "final_threat_score"]
 def alert_flow_match(alerts: DataFrame, flows: DataFrame, mode: str = "key") -> DataFrame:
     """Alerts with the features of their flow; an alert without one is dropped.
 
-    ``mode="key"`` matches the full flow key. ``mode="first_pair"`` takes the first flow between
+    ``mode="key"`` matches the full flow key and its first packet: a key may have several sessions. ``mode="first_pair"`` takes the first flow between
     the two addresses, reduced to one row per pair before the join.
     """
-    wanted = alerts.select(*ALERT_COLUMNS, *FLOW_KEY, "alert_no")
+    wanted = alerts.select(*ALERT_COLUMNS, *FLOW_KEY, "first_seen", "alert_no")
     if mode == "key":
-        return wanted.join(flows.select(*FLOW_KEY, *FEATURES), FLOW_KEY)
+        key = [*FLOW_KEY, "first_seen"]
+        return wanted.join(flows.select(*key, *FEATURES), key)
     pair = ["src_ip", "dst_ip"]
     order = ["first_seen", "src_port", "dst_port", "protocol"]
     first = first_match(flows.select(*pair, *order, *FEATURES), pair, order)
@@ -63,10 +64,10 @@ def explain_alerts(
     flows: DataFrame,
     forest: Forest,
     k: int = 5,
-    limit: int | None = 10,
+    limit: int | None = None,
     mode: str = "key",
 ) -> DataFrame:
-    """EXPLANATION rows for critical alerts: the first ``limit`` by number, or all with None."""
+    """EXPLANATION rows for all critical alerts, or the first ``limit`` by number."""
     chosen = critical_alerts(alerts) if limit is None else top_critical(alerts, limit)
     explained = shapley_arrays(alert_flow_match(chosen, flows, mode), forest)
     return explained.select(

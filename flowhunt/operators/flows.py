@@ -34,8 +34,14 @@ def packet_filter(
     return kept
 
 
-def packet_stats(packets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
-    """One row of totals; DNS means UDP with port 53 on either side."""
+def packet_stats(
+    packets: DataFrame, exported: DataFrame | None = None, idle_seconds: float = 60.0
+) -> DataFrame:
+    """One row of totals; DNS means UDP with port 53 on either side.
+
+    With a stored flow table: how many flows there are, and how many were still active at its end,
+    that is not yet silent for ``idle_seconds``.
+    """
     udp = F.col("protocol") == "UDP"
     totals = packet_gate(packets).agg(
         F.count("*").alias("total_packets"),
@@ -45,8 +51,12 @@ def packet_stats(packets: DataFrame, exported: DataFrame | None = None) -> DataF
     )
     if exported is None:
         return totals
-    flows = exported.agg(F.count("*").alias("n")).scalar()
-    return totals.withColumn("exported_flows", flows)
+    end = F.unix_micros(exported.agg(F.max("last_seen").alias("end")).scalar())
+    open_since = end - int(idle_seconds * MICROS)
+    flows = exported.agg(
+        F.struct(F.count("*").alias("n"), F.count_if(F.unix_micros("last_seen") >= open_since).alias("active")).alias("s")
+    ).scalar()
+    return totals.withColumn("exported_flows", flows["n"]).withColumn("active_flows", flows["active"])
 
 
 def _slice_of(micros: Column, slice_seconds: float) -> Column:

@@ -64,7 +64,6 @@ def tree_samples(
 
     Needs one pass and no sort of the data: each row decides by hash which trees it might serve,
     about 1.5 x ``sample_size`` candidates per tree survive, and only those are shuffled and cut.
-    When a row serves at most a few trees in expectation, it is offered to a single one.
     """
     wanted = 1.5 * sample_size + 32
     key = F.xxhash64(*FLOW_KEY, "first_seen", F.lit(seed))
@@ -72,18 +71,10 @@ def tree_samples(
     def draw(*parts) -> Column:
         return F.pmod(F.xxhash64(*parts), F.lit(_HASH_RANGE))
 
-    hashed = flows.withColumn("_key", key)
-    if trees * wanted <= 0.25 * rows:
-        tree = F.pmod(F.xxhash64("_key", F.lit("tree")), F.lit(trees)).cast("int")
-        limit = int(_HASH_RANGE * trees * wanted / rows)
-        offered = hashed.withColumn("tree", tree)
-    else:
-        limit = int(_HASH_RANGE * min(1.0, wanted / max(rows, 1)))
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(F.col("_key"), t) < limit
-        )
-        offered = hashed.withColumn("tree", F.explode(chosen))
-    drawn = offered.withColumn("draw", draw(F.col("_key"), F.col("tree"))).filter(F.col("draw") < limit)
+    limit = int(_HASH_RANGE * min(1.0, wanted / max(rows, 1)))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(F.col("_key"), t) < limit)
+    offered = flows.withColumn("_key", key).withColumn("tree", F.explode(chosen))
+    drawn = offered.withColumn("draw", draw(F.col("_key"), F.col("tree")))
     # One small shuffle with a fixed layout: growing trees is work per row, not per byte, and the
     # grouping by tree that follows keeps it.
     tasks = min(trees, 2 * flows.sparkSession.sparkContext.defaultParallelism)

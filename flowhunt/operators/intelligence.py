@@ -23,6 +23,15 @@ def explode_rules(alerts: DataFrame) -> DataFrame:
     )
 
 
+def first_and_last() -> list[Column]:
+    """The earliest and latest ``timestamp`` text of a group, compared as times: the fraction is optional."""
+    time = parse_time(F.col("timestamp"))
+    return [
+        F.min(F.struct(time.alias("time"), "timestamp"))["timestamp"].alias("first_seen"),
+        F.max(F.struct(time.alias("time"), "timestamp"))["timestamp"].alias("last_seen"),
+    ]
+
+
 def incidents(alerts: DataFrame) -> DataFrame:
     """Per (source, rule): count, highest severity, mean score, first and last time.
 
@@ -36,8 +45,7 @@ def incidents(alerts: DataFrame) -> DataFrame:
         F.count("*").alias("alert_count"),
         F.max(ordinal).alias("ordinal"),
         F.avg(thousandths).alias("thousandths"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+        *first_and_last(),
     )
     return rolled.select(
         *INCIDENT_KEY,
@@ -53,17 +61,20 @@ def campaigns(incident_rows: DataFrame, classes: list[tuple] = CAMPAIGN_CLASSES)
     return incident_rows.withColumn("campaign_type", campaign_type(F.col("alert_count"), classes))
 
 
-def severity_transitions(alerts: DataFrame) -> DataFrame:
+def severity_transitions(alerts: DataFrame, numbered: bool = True) -> DataFrame:
     """Every (source, rule, alert) with its position, the previous severity and the direction.
 
-    Alerts are numbered in time order, so the number orders a timeline and also slices it: no
-    window sees more than ``SLICE_ALERTS`` rows.
+    Events are ordered by time, then number. Generated alerts are numbered in that order, so the
+    number also slices the work: no window sees more than ``SLICE_ALERTS`` rows. Alerts read from
+    files may be numbered otherwise; ``numbered=False`` slices them by the hour.
     """
     exploded = explode_rules(alerts).select(
-        *INCIDENT_KEY, "alert_no", "alert_id", "timestamp", "severity", "final_threat_score"
+        *INCIDENT_KEY, "alert_no", "alert_id", "timestamp", "severity", "final_threat_score",
+        F.unix_micros(parse_time(F.col("timestamp"))).alias("time_us"),
     )
+    by_number, by_hour = F.floor(F.col("alert_no") / SLICE_ALERTS), F.floor(F.col("time_us") / 3_600_000_000)
     ordered = sequence_within(
-        exploded, INCIDENT_KEY, ["alert_no"], F.floor(F.col("alert_no") / SLICE_ALERTS),
+        exploded, INCIDENT_KEY, ["time_us", "alert_no"], by_number if numbered else by_hour,
         previous={"severity": "previous_severity"},
     )
     now = F.coalesce(severity_ordinal(F.col("severity")), F.lit(-1))
@@ -73,7 +84,7 @@ def severity_transitions(alerts: DataFrame) -> DataFrame:
 
 
 def timeline_event(moves: DataFrame) -> Column:
-    """Event text; any change of severity reads "escalated", as in the published wording."""
+    """Event text (fixed wording); any change of severity reads "escalated", as in the published wording."""
     clock = F.date_format(parse_time(F.col("timestamp")), "HH:mm:ss")
     changed = F.col("previous_severity").isNotNull() & (
         F.col("previous_severity") != F.col("severity")
@@ -85,15 +96,17 @@ def timeline_event(moves: DataFrame) -> Column:
     return F.concat(clock, F.lit(" — "), text.otherwise(detected))
 
 
-def timeline_events(alerts: DataFrame) -> DataFrame:
+def timeline_events(alerts: DataFrame, numbered: bool = True) -> DataFrame:
     """Long form: one row per (source, rule, seq) with the event text and direction."""
-    moves = severity_transitions(alerts)
+    moves = severity_transitions(alerts, numbered)
     return moves.select(
         *INCIDENT_KEY, "seq", "alert_id", "direction", timeline_event(moves).alias("event")
     )
 
 
-def timelines(campaign_rows: DataFrame, alerts: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def timelines(
+    campaign_rows: DataFrame, alerts: DataFrame, page_size: int = PAGE_SIZE, numbered: bool = True
+) -> DataFrame:
     """Per campaign and page, the ordered event texts; a campaign without alerts has an empty page.
 
     Arrays hold at most ``page_size`` events however long the campaign is, and pages together hold
@@ -101,7 +114,7 @@ def timelines(campaign_rows: DataFrame, alerts: DataFrame, page_size: int = PAGE
     """
     page = F.floor((F.col("seq") - 1) / page_size) + 1
     pages = (
-        timeline_events(alerts)
+        timeline_events(alerts, numbered)
         .groupBy(*INCIDENT_KEY, page.alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("rows"))
     )

@@ -5,66 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
+MOST = 20_000
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], accuracy: int = ACCURACY
+    df: DataFrame, wanted: dict[str, list[float]], accuracy: int = ACCURACY, most: int = MOST
 ) -> DataFrame:
     """Rows (column, q, value), linear interpolation between closest ranks.
 
-    A first pass brackets every quantile with a sketch whose rank error is at most 1/accuracy. The
-    second pass counts everything below a bracket as one group per task and sends on only the
-    values inside it: some 8/accuracy of the rows, already reduced to distinct values. A bracket
-    that misses its rank raises instead of returning a neighbour.
+    A sketch, whose rank error is at most 1/accuracy, brackets every quantile. One-row aggregates then
+    count what lies below and inside each bracket and sketch the inside again, until a bracket holds
+    at most ``most`` rows or a single value; each pass leaves some 8/accuracy of the rows. Only the
+    values inside are sent on and ranked, so no task sees more than a bounded bracket. A bracket that
+    misses its rank raises instead of returning a neighbour.
     """
-    margin = 4.0 / accuracy
-    number = {c: F.col(c).cast("double") for c in wanted}
-    bounds = []
-    for c, qs in wanted.items():
-        ends = [e for q in qs for e in (max(0.0, q - margin), min(1.0, q + margin))]
-        bounds.append(F.approx_percentile(number[c], ends, accuracy).alias(f"{c}_ends"))
-        bounds.append(F.count(number[c]).alias(f"{c}_n"))
-    sketch = df.agg(*bounds).first()
-
-    probes = []
-    for c, qs in wanted.items():
-        for i, q in enumerate(qs):
-            if not sketch[f"{c}_n"]:
-                continue
-            n = sketch[f"{c}_n"]
-            low, high = sketch[f"{c}_ends"][2 * i : 2 * i + 2]
-            if n <= 2 * accuracy:  # few rows: a margin may be less than one rank, so take them all
-                low, high = float("-inf"), float("inf")
-            probe = F.struct(
-                F.lit(c).alias("column"),
-                F.lit(float(q)).alias("q"),
-                F.lit(n).alias("n"),
-                F.when(number[c] >= low, number[c]).alias("value"),
-            )
-            probes.append(F.when(number[c] <= high, probe))
+    number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
+    n = df.agg(*[F.count(number[c]).alias(c) for c in wanted]).first()
+    probes = [_Probe(c, float(q), n[c]) for c, qs in wanted.items() for q in qs if n[c]]
     if not probes:
         return df.sparkSession.createDataFrame([], "column STRING, q DOUBLE, value DOUBLE")
-    reached = df.select(F.explode(F.array(*probes)).alias("p")).filter(F.col("p").isNotNull())
-    rows = reached.select("p.*")
-    group = ["column", "q"]
-    counts = rows.groupBy(*group, "value").agg(
-        F.count("*").alias("rows"), F.max("n").alias("n")
-    )
+    open_probes = [p for p in probes if p.inside > most]
+    while open_probes:
+        margin = 4.0 / accuracy
+        sketches = []
+        for i, p in enumerate(open_probes):
+            at = (p.rank - p.below) / max(p.inside - 1, 1)
+            edge = max(margin, 2.0 / p.inside)
+            ends = [max(0.0, at - edge), min(1.0, at + edge)]
+            sketches.append(F.approx_percentile(F.when(p.holds(number[p.column]), number[p.column]), ends, accuracy).alias(f"e{i}"))
+        found = df.agg(*sketches).first()
+        before = [p.inside for p in open_probes]
+        for i, p in enumerate(open_probes):
+            p.low, p.high = found[f"e{i}"]
+        counted = df.agg(*[
+            c for i, p in enumerate(open_probes) for c in (
+                F.count_if(number[p.column] < p.low).alias(f"b{i}"), F.count_if(p.holds(number[p.column])).alias(f"n{i}")
+            )
+        ]).first()
+        for i, p in enumerate(open_probes):
+            p.below, p.inside = counted[f"b{i}"], counted[f"n{i}"]
+        # A bracket that no longer shrinks holds few different values, each many times.
+        open_probes = [p for p, was in zip(open_probes, before) if p.inside > most and p.low < p.high and p.inside < was]
 
-    upto = F.sum("rows").over(Window.partitionBy(*group).orderBy(F.col("value").asc_nulls_first()))
+    rows = df.select(
+        F.explode(F.array_compact(F.array(*[
+            F.when(p.holds(number[p.column]), F.struct(F.lit(i).alias("i"), number[p.column].alias("value")))
+            for i, p in enumerate(probes)
+        ]))).alias("p")
+    ).select("p.*")
+    facts = {f: F.array(*[F.lit(getattr(p, f)) for p in probes]) for f in ("column", "q", "n", "below")}
+    counts = rows.groupBy("i", "value").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("i").orderBy("value")) + facts["below"][F.col("i")]
     ranked = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("rows"))
-    rank = (F.col("n") - 1) * F.col("q")
+    rank = (facts["n"][F.col("i")] - 1) * facts["q"][F.col("i")]
 
-    def at(position: Column) -> Column:
+    def at_rank(position: Column) -> Column:
         hit = (F.col("before") <= position) & (position < F.col("upto"))
         return F.max(F.when(hit, F.col("value")))
 
-    picked = ranked.groupBy(*group).agg(
-        at(F.floor(rank)).alias("below"), at(F.ceil(rank)).alias("above"), F.max(rank).alias("rank")
+    picked = ranked.groupBy("i").agg(
+        at_rank(F.floor(rank)).alias("below"), at_rank(F.ceil(rank)).alias("above"), F.max(rank).alias("rank")
     )
     missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy"))
     value = F.col("below") + (F.col("above") - F.col("below")) * (F.col("rank") - F.floor("rank"))
-    return picked.select(*group, F.coalesce(value, missed.cast("double")).alias("value"))
+    return picked.select(
+        facts["column"][F.col("i")].alias("column"), facts["q"][F.col("i")].alias("q"),
+        F.coalesce(value, missed.cast("double")).alias("value"),
+    )
+
+
+class _Probe:
+    """One quantile of one column and the bracket that holds it."""
+
+    def __init__(self, column: str, q: float, n: int) -> None:
+        self.column, self.q, self.n = column, q, n
+        self.rank = (n - 1) * q
+        self.low, self.high = float("-inf"), float("inf")
+        self.below, self.inside = 0, n
+
+    def holds(self, value: Column) -> Column:
+        return value.between(self.low, self.high)
 
 
 def approx_quantiles(

@@ -37,8 +37,9 @@ def attach_ml_score(flows: DataFrame, scores: DataFrame, column: str = "iforest_
     joined = left.join(right, [*FLOW_KEY, "first_seen"], "full")
     mismatch = F.raise_error(F.lit("flow records and model records do not match"))
     whole = F.col("_flow").isNotNull() & F.col("_score").isNotNull()
-    checked = F.when(whole, F.col("ml_anomaly_score")).otherwise(mismatch.cast("double"))
-    return joined.select(*flows.columns, checked.alias("ml_anomaly_score"))
+    # A filter, not a column: it is checked whichever columns the caller goes on to read.
+    checked = joined.filter(F.when(whole, True).otherwise(mismatch.cast("boolean")))
+    return checked.select(*flows.columns, "ml_anomaly_score")
 
 
 def fuse_scores(
@@ -82,9 +83,9 @@ def ml_anomalies(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("iforest_label") == -1)
 
 
-def rule_only_hits(scored: DataFrame) -> DataFrame:
+def rule_only_hits(scored: DataFrame, least: int = 3) -> DataFrame:
     """High suspicion, yet normal for the model."""
-    return scored.filter((F.col("suspicion_score") >= 3) & (F.col("iforest_label") == 1))
+    return scored.filter((F.col("suspicion_score") >= least) & (F.col("iforest_label") == 1))
 
 
 def ml_only_hits(scored: DataFrame, limit: int | None = 5) -> DataFrame:
@@ -98,5 +99,6 @@ def ml_only_hits(scored: DataFrame, limit: int | None = 5) -> DataFrame:
 
 
 def training_flows(flows: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Flows without an alert, for training on benign traffic."""
-    return flows.join(alerts.select(*FLOW_KEY).distinct(), FLOW_KEY, "left_anti")
+    """Flows without an alert, for training on benign traffic; sessions of one key count apart."""
+    key = [*FLOW_KEY, "first_seen"]
+    return flows.join(alerts.select(*key).distinct(), key, "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from math import factorial
+from math import ceil, factorial
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ from flowhunt.schemas import FEATURES, FLOW_KEY
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CELLS = 4_000_000  # row x leaf x feature cells handled at once
+TASK_ROWS = 20_000
 
 
 def leaf_boxes(arrays: dict[str, np.ndarray]) -> list[tuple[float, float, dict]]:
@@ -121,21 +122,22 @@ def shapley_arrays(flows: DataFrame, forest: Forest, variant: str = FULL) -> Dat
 
 
 def shapley_values(flows: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:
-    """Long rows (flow key, feature, shap, actual_value) for every flow given.
+    """Long rows (flow key, first_seen, feature, shap, actual_value) for every flow given.
 
     A row costs about a millisecond, so a file-sized partition would be a very long task: the
-    columns needed are spread over all cores first.
+    columns needed are first dealt to tasks of about ``TASK_ROWS`` rows, and to every core.
     """
-    tasks = 2 * flows.sparkSession.sparkContext.defaultParallelism
-    spread = flows.select(*FLOW_KEY, *FEATURES).repartition(tasks, *FLOW_KEY)
+    key = [*FLOW_KEY, "first_seen"]
+    tasks = max(ceil(flows.count() / TASK_ROWS), flows.sparkSession.sparkContext.defaultParallelism)
+    spread = flows.select(*key, *FEATURES).repartition(tasks, *key)
     explained = shapley_arrays(spread, forest, variant)
     each = F.arrays_zip(
         F.array(*[F.lit(f) for f in FEATURES]).alias("feature"),
         F.col("shap"),
         F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("actual_value"),
     )
-    return explained.select(*FLOW_KEY, F.explode(each).alias("e")).select(
-        *FLOW_KEY, "e.feature", "e.shap", "e.actual_value"
+    return explained.select(*key, F.explode(each).alias("e")).select(
+        *key, "e.feature", "e.shap", "e.actual_value"
     )
 
 
@@ -145,9 +147,9 @@ def sample_flows(flows: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
 
 
 def global_importance(
-    flows: DataFrame, forest: Forest, sample: int | None = 500, seed: int = 42
+    flows: DataFrame, forest: Forest, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Mean absolute contribution per feature over a sample (or, with None, over all flows)."""
+    """Mean absolute contribution per feature over all flows, or over a sample of them."""
     rows = flows if sample is None else sample_flows(flows, sample, seed)
     return shapley_values(rows, forest).groupBy("feature").agg(
         F.avg(F.abs("shap")).alias("importance")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
+HOT_KEYS = 100_000
 _SPREAD = 1024
 
 
@@ -22,13 +23,20 @@ def attach_by_key(
 ) -> DataFrame:
     """Left join to a table with one row per key, safe under hot keys.
 
-    Keys with more than ``hot_rows`` rows on the left go to every task: there can be no more than
-    left rows / ``hot_rows`` of them, which bounds the broadcast at any data size. Their rows are
-    then spread evenly through the shuffle for the remaining keys, where they match nothing.
+    Keys with more than ``hot_rows`` rows on the left go to every task. They are counted first: with
+    more than ``HOT_KEYS`` of them no key can hold much of the table, and one shuffle join, whose
+    skewed partitions are split at run time, does for all keys. The rows of hot keys are spread
+    evenly through the shuffle for the remaining keys, where they match nothing.
     ``row_count`` names a column of ``right`` that already counts the left rows of the key;
     without it the hot keys are counted from ``left``.
     """
     values = [c for c in right.columns if c not in keys]
+    if row_count:
+        few = right.filter(F.col(row_count) > hot_rows).limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    else:
+        few = hot_keys(left, keys, hot_rows).limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    if not few:
+        return left.join(right, keys, "left").select(*left.columns, *values)
     if row_count:
         hot = right.filter(F.col(row_count) > hot_rows)
         cold = right.filter(F.col(row_count) <= hot_rows)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowhunt.functions.bands import alert_severity, score_band, severity3
-from flowhunt.functions.columns import anonymize_ip, flow_key_string, iso_utc, round_half_up
+from flowhunt.functions.columns import anonymize_ip, flow_key_string, iso_utc, one_row, round_half_up
 from flowhunt.operators import (
     ablation, alerts as al, dashboard, entity, evaluation as ev, explain, flows as fl, forest as fo,
     intelligence as intel, ordering, profile as pf, rules, scaling, scoring, shapley,
 )
 from flowhunt.plans import detect
+from flowhunt.plans.fixed_model import fixed_forest
 from flowhunt.schemas import FEATURES, FLOW_KEY
 from flowhunt.session import materialize, prepare, scratch_path
 from flowhunt.sources import capture, files, ground_truth, models
@@ -80,7 +81,9 @@ def _judged_and_alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 @query
 def packet_gate(spark, sf_dir):
-    return plain(fl.packet_gate(_packets(spark, sf_dir)))
+    """Every 17th packet is given another protocol, which the gate drops."""
+    other = F.when(F.col("packet_id") % 17 == 0, "ICMP").otherwise(F.col("protocol"))
+    return plain(fl.packet_gate(_packets(spark, sf_dir).withColumn("protocol", other)))
 
 
 @query
@@ -90,8 +93,16 @@ def packet_filter(spark, sf_dir):
 
 @query
 def packet_stats(spark, sf_dir):
-    packets = _packets(spark, sf_dir)
-    return fl.packet_stats(packets, fl.flow_features(packets, SLICE))
+    return fl.packet_stats(_packets(spark, sf_dir), _flows(spark, sf_dir), IDLE)
+
+
+@query
+def packet_stats_json(spark, sf_dir):
+    """Totals written as JSON and read back."""
+    path = scratch_path(prepare(spark), "stats-json")
+    totals = fl.packet_stats(_packets(spark, sf_dir))
+    files.write_json(totals, path)
+    return spark.read.schema(totals.schema).json(path)
 
 
 @query
@@ -503,6 +514,41 @@ def label_wildcard_join(spark, sf_dir):
     return ground_truth.label_flows(flows, labels).select(*FLOW_KEY, "truth_label")
 
 
+@query
+def label_masks(spark, sf_dir):
+    """Seven combinations of stated parts, and the label for everything else."""
+    stated = [
+        ("10.0.0.3_*:53_UDP", "A"), ("*_172.16.0.1:53_UDP", "B"), ("*_*:22_TCP", "C"), ("10.0.0.1_*_TCP", "D"),
+        ("*_172.16.0.2_TCP", "E"), ("10.0.0.4_*_*", "F"), ("*_*_UDP", "G"), ("*_*_*", "REST"),
+    ]
+    labels = ground_truth.parse_label_keys(spark.createDataFrame(stated, "key STRING, label STRING"))
+    return ground_truth.label_flows(_flows(spark, sf_dir), labels).select(*FLOW_KEY, "truth_label")
+
+
+@query
+def label_file(spark, sf_dir):
+    """Labels of scanning sources written as a label file, read back with its map columns."""
+    flows = _flows(spark, sf_dir)
+    path = scratch_path(spark, "label-file")
+    keys = flows.filter(role_of_source(F.col("src_ip")) == 0).select(F.concat("src_ip", F.lit("_*_TCP")).alias("key")).distinct()
+    pairs = F.map_from_entries(F.collect_list(F.struct("key", F.lit("PORT_SCAN").alias("label"))))
+    keys.agg(pairs.alias("sample_labels")).coalesce(1).write.json(path)
+    truth = ground_truth.read_ground_truth(spark, path)
+    labels = ground_truth.parse_label_keys(ground_truth.label_rows(truth))
+    return ground_truth.label_flows(flows, labels).select(*FLOW_KEY, "truth_label")
+
+
+@query
+def label_captures(spark, sf_dir):
+    """Packets of three capture files, two of them labelled by name."""
+    packets = _packets(spark, sf_dir)
+    named = packets.withColumn("path", F.concat(F.lit("hdfs://captures/part-"), F.col("packet_id") % 3, F.lit(".pcap")))
+    truth = spark.range(1).select(
+        F.create_map(F.lit("part-0.pcap"), F.lit("SCAN"), F.lit("part-1.pcap"), F.lit("TUNNEL")).alias("pcap_labels")
+    )
+    return ground_truth.label_captures(named, truth).select("packet_id", "truth_label")
+
+
 @query
 def detection_latency(spark, sf_dir):
     return ev.detection_latency(*_judged_and_alerts(spark, sf_dir))
@@ -528,29 +574,50 @@ def stream_flows(spark, sf_dir):
     return plain(_packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, slice_seconds=SLICE)))
 
 
+@query
+def stream_sessions(spark, sf_dir):
+    """Flows that fall silent for ``IDLE`` seconds come out as several."""
+    sessions = _packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, IDLE, SLICE))
+    return plain(sessions.select(*FLOW_KEY, "packet_count", "total_bytes", "first_seen", "last_seen", "duration"))
+
+
 @query
 def stream_counters(spark, sf_dir):
     return plain(_packet_stream(spark, sf_dir, lambda p: sf.stream_counters(p, "100 milliseconds")))
 
 
-def _flow_stream(spark, sf_dir):
-    """Streamed alerts of a stored flow table, scored by a fit on that table."""
-    flows = _flows(spark, sf_dir)
+def _flow_stream(spark, sf_dir, with_sources=True):
+    """Streamed alerts of a stored flow table, scored by a fit on that table, two files a batch."""
+    path = scratch_path(prepare(spark), "flows")
+    fl.flow_features(_packets(spark, sf_dir), SLICE).repartition(6).write.parquet(path)
+    flows = spark.read.parquet(path)
     detector = sd.fit_detector(flows, materialize(pf.baseline_thresholds(flows), "thresholds"))
-    stream = spark.readStream.schema(flows.schema).parquet(flows.inputFiles()[0].rsplit("/", 1)[0])
-    return sd.stream_alerts(stream, detector)
+    sources = materialize(entity.entity_features(flows), "sources") if with_sources else None
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return sd.stream_alerts(stream, detector, entities=sources)
 
 
-@query
-def stream_alerts(spark, sf_dir):
+def _streamed_alerts(spark, sf_dir, with_sources):
     out = scratch_path(prepare(spark), "stream-alerts")
-    sio.run_to_table(_flow_stream(spark, sf_dir), out, scratch_path(spark, "stream")).awaitTermination()
+    sio.run_to_table(_flow_stream(spark, sf_dir, with_sources), out, scratch_path(spark, "stream")).awaitTermination()
     found = spark.read.parquet(out)
     return plain(found.select(*FLOW_KEY, "threat_label", "severity", "final_threat_score", "triggered_rules"))
 
 
+@query
+def stream_alerts(spark, sf_dir):
+    return _streamed_alerts(spark, sf_dir, True)
+
+
+@query
+def stream_alerts_alone(spark, sf_dir):
+    """Without stored source columns only names, scores and the DNS rule can speak."""
+    return _streamed_alerts(spark, sf_dir, False)
+
+
 @query
 def stream_incidents(spark, sf_dir):
+    """Incidents kept up over several batches."""
     deltas = scratch_path(prepare(spark), "incident-deltas")
     job = sio.run_batches(
         _flow_stream(spark, sf_dir), sd.append_incident_deltas(deltas), scratch_path(spark, "stream")
@@ -559,7 +626,7 @@ def stream_incidents(spark, sf_dir):
     return sd.merge_incidents(spark.read.parquet(deltas))
 
 
-# Forest and explanations (no SQL equivalent)
+# Forest and explanations: a fixed forest where SQL repeats the result, a fitted one elsewhere
 
 
 @query
@@ -576,24 +643,71 @@ def isolation_forest_labels(spark, sf_dir):
     return pf.value_counts(scored, "iforest_label")
 
 
-def _forest_scored(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return fo.score_isolation_forest(detect.enriched_flows(flows), fo.fit_forest(flows))
+def _rounded(scored):
+    return scored.withColumn("iforest_score", round_half_up(F.col("iforest_score"), 6))
+
+
+def _fixed_scored(spark, sf_dir):
+    """Enriched flows scored by the forest given as text, which SQL can repeat."""
+    return fo.score_isolation_forest(detect.enriched_flows(_flows(spark, sf_dir)), fixed_forest(spark))
+
+
+@query
+def fixed_forest_scores(spark, sf_dir):
+    return _rounded(_fixed_scored(spark, sf_dir)).select(*FLOW_KEY, "iforest_score", "iforest_label")
+
+
+@query
+def fixed_forest_labels(spark, sf_dir):
+    return pf.value_counts(_fixed_scored(spark, sf_dir), "iforest_label")
 
 
 @query
 def ml_anomalies(spark, sf_dir):
-    return scoring.ml_anomalies(_forest_scored(spark, sf_dir)).select(*FLOW_KEY, "iforest_score", "suspicion_score")
+    return _rounded(scoring.ml_anomalies(_fixed_scored(spark, sf_dir))).select(*FLOW_KEY, "iforest_score", "suspicion_score")
 
 
 @query
 def rule_only_hits(spark, sf_dir):
-    return scoring.rule_only_hits(_forest_scored(spark, sf_dir)).select(*FLOW_KEY, "iforest_score", "suspicion_score")
+    """From two flags on: the driver tables have next to no flow with three."""
+    hits = scoring.rule_only_hits(_fixed_scored(spark, sf_dir), least=2)
+    return _rounded(hits).select(*FLOW_KEY, "iforest_score", "suspicion_score")
 
 
 @query
 def ml_only_hits(spark, sf_dir):
-    return scoring.ml_only_hits(_forest_scored(spark, sf_dir))
+    return _rounded(scoring.ml_only_hits(_fixed_scored(spark, sf_dir)))
+
+
+@query
+def score_fusion(spark, sf_dir):
+    """The fixed model's score joined by flow key, turned around, scaled and fused."""
+    flows = _flows(spark, sf_dir)
+    scores = materialize(
+        fo.score_isolation_forest(flows, fixed_forest(spark)).select(*FLOW_KEY, "first_seen", "iforest_score"), "scores"
+    )
+    fused = scoring.fuse_scores(materialize(scoring.attach_ml_score(detect.enriched_flows(flows), scores), "joined"))
+    return fused.select(*FLOW_KEY, "ml_score_normalized", "final_threat_score")
+
+
+@query
+def forest_invariants(spark, sf_dir):
+    """What must hold of any fitted forest: trees, samples, share of anomalies, additive explanations."""
+    flows = _flows(spark, sf_dir)
+    model = fo.fit_forest(flows)
+    base = shapley.explainer(model)[0]
+    told = shapley.shapley_arrays(fo.path_scores(flows, model), model)
+    norm = float(fo.average_path(256))
+    path = -F.log2(-F.col(f"raw_{fo.FULL}")) * norm
+    gap = F.abs(F.aggregate("shap", F.lit(base), lambda a, x: a + x) + path)
+    offset = model.meta.first()["offsets"][fo.FULL]
+    grown = one_row(model.nodes.filter("node = 0"), trees=F.count("*"), root_cover=F.sum("cover"))
+    low = F.count_if(F.col(f"raw_{fo.FULL}") < offset)
+    return told.agg(
+        F.lit(grown["trees"]).cast("bigint").alias("trees"), F.lit(grown["root_cover"]).cast("bigint").alias("root_cover"),
+        F.count("*").alias("flows"), (low <= F.ceil(F.count("*") * fo.CONTAMINATION)).alias("anomalies_fit"),
+        (F.max(gap) < 1e-6).alias("additive"),
+    )
 
 
 @query
@@ -625,27 +739,45 @@ def model_retrain(spark, sf_dir):
 
 @query
 def shapley_values(spark, sf_dir):
+    values = shapley.shapley_values(_flows(spark, sf_dir), fixed_forest(spark))
+    return plain(values.withColumn("shap", round_half_up(F.col("shap"), 6)))
+
+
+@query
+def forest_shapley_values(spark, sf_dir):
     flows = _flows(spark, sf_dir)
-    return shapley.shapley_values(flows, fo.fit_forest(flows))
+    return plain(shapley.shapley_values(flows, fo.fit_forest(flows)))
 
 
 @query
 def global_importance(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    return shapley.rank_importance(shapley.global_importance(flows, fo.fit_forest(flows)))
+    ranked = shapley.rank_importance(shapley.global_importance(_flows(spark, sf_dir), fixed_forest(spark)))
+    return ranked.withColumn("importance", round_half_up(F.col("importance"), 6))
 
 
-def _explanations(spark, sf_dir):
+def _explanations(spark, sf_dir, limit=None):
     flows = _flows(spark, sf_dir)
-    model = fo.fit_forest(flows)
-    raised = al.generate_alerts(detect.labelled_flows(flows, model=model))
-    return raised, explain.explain_alerts(raised, flows, model)
+    raised = al.generate_alerts(detect.labelled_flows(flows))
+    return raised, explain.explain_alerts(raised, flows, fixed_forest(spark), limit=limit)
+
+
+def _factors(told):
+    """One row per alert and factor."""
+    each = told.select("*", F.posexplode("top_features").alias("place", "f"))
+    return each.select(
+        "alert_id", "severity", "threat_label", "src_ip", "dst_ip", "ml_score", (F.col("place") + 1).alias("place"),
+        "f.feature", round_half_up(F.col("f.shap_contribution"), 6).alias("shap_contribution"), "f.actual_value", "f.impact",
+    )
 
 
 @query
 def explain_alerts(spark, sf_dir):
-    told = _explanations(spark, sf_dir)[1]
-    return told.withColumn("top_features", F.to_json("top_features"))
+    return _factors(_explanations(spark, sf_dir)[1])
+
+
+@query
+def explain_top_critical(spark, sf_dir):
+    return _factors(_explanations(spark, sf_dir, limit=10)[1]).select("alert_id", "place", "feature", "shap_contribution")
 
 
 @query

@@ -23,7 +23,7 @@ _PACKETS = """
 SELECT e.event_id AS packet_id,
   epoch_us(TIMESTAMP '2024-01-01') + CASE WHEN role = 1 THEN rn * 50000
        ELSE (off_us + 500000) // 1000000 END AS us,
-  concat('10.0.', CAST(user_id // 250 AS VARCHAR), '.', CAST(user_id % 250 AS VARCHAR)) AS src_ip,
+  concat('10.', CAST(user_id // 62500 % 250 AS VARCHAR), '.', CAST(user_id // 250 % 250 AS VARCHAR), '.', CAST(user_id % 250 AS VARCHAR)) AS src_ip,
   concat('172.16.0.', CAST(user_id % 7 AS VARCHAR)) AS dst_ip,
   CAST(CASE WHEN role = 2 THEN 40000 + event_id % 20000 ELSE 50000 + user_id % 1000 END AS INTEGER) AS src_port,
   CAST(CASE WHEN role = 0 THEN 1 + event_id % 1024 WHEN role = 1 THEN 443 WHEN role = 2 THEN 22
@@ -132,7 +132,7 @@ SELECT scored.*, entities.* EXCLUDE (src_ip),
   CASE user_role WHEN 0 THEN 'PORT_SCAN' WHEN 1 THEN 'C2_BEACONING' WHEN 2 THEN 'BRUTE_FORCE'
        WHEN 3 THEN 'DNS_TUNNELING' ELSE 'BENIGN' END AS truth_label,
   CAST(user_role IN (0, 1, 2, 3) AS INTEGER) AS actual_malicious
-FROM (SELECT *, (CAST(split_part(src_ip, '.', 3) AS BIGINT) * 250 + CAST(split_part(src_ip, '.', 4) AS BIGINT)) % 10 AS user_role
+FROM (SELECT *, CAST(split_part(src_ip, '.', 4) AS BIGINT) % 10 AS user_role
       FROM scored) scored JOIN entities USING (src_ip)
 """
 
@@ -267,6 +267,32 @@ def _rates() -> str:
     )
 
 
+def _bootstrap(replicates: int = 200, buckets: int = 4096, seed: int = 42) -> str:
+    steps, total, term = [], 0.0, 0.36787944117144233
+    for k in range(1, 13):
+        total += term
+        term /= k
+        steps.append(f"CASE WHEN u >= CAST({total!r} AS DOUBLE) THEN 1 ELSE 0 END")
+    metrics = ["accuracy", "precision", "recall", "f1_score", "fpr"]
+    each = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM rated" for m in metrics)
+    return f"""
+SELECT metric, {_round("avg(value)", 6)} AS mean, {_round("quantile_cont(value, 0.025)", 6)} AS low,
+  {_round("quantile_cont(value, 0.975)", 6)} AS high, count(*) AS replicates FROM (
+  WITH cells AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8))::BIGINT % {buckets} AS BIGINT) AS bucket,
+      actual_malicious, CAST(final_threat_score > 0.6 AS INTEGER) AS hit, count(*) AS n FROM labelled GROUP BY 1, 2, 3),
+  drawn AS (SELECT *, ('0x' || substr(md5(concat_ws('|', bucket, replicate, {seed})), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    FROM cells, range({replicates}) r(replicate)),
+  weighed AS (SELECT *, n * ({" + ".join(steps)}) AS w FROM drawn),
+  summed AS (SELECT replicate,
+      CAST(sum(CASE WHEN actual_malicious = 0 AND hit = 0 THEN w ELSE 0 END) AS BIGINT) AS true_negatives,
+      CAST(sum(CASE WHEN actual_malicious = 0 AND hit = 1 THEN w ELSE 0 END) AS BIGINT) AS false_positives,
+      CAST(sum(CASE WHEN actual_malicious = 1 AND hit = 0 THEN w ELSE 0 END) AS BIGINT) AS false_negatives,
+      CAST(sum(CASE WHEN actual_malicious = 1 AND hit = 1 THEN w ELSE 0 END) AS BIGINT) AS true_positives
+    FROM weighed GROUP BY replicate),
+  rated AS (SELECT *, {_rates()} FROM summed)
+  {each}) GROUP BY metric"""
+
+
 _FLOW_TEXT = f"{KEY}, {_iso('first_seen')} AS first_seen, {_iso('last_seen')} AS last_seen, " + ", ".join(FEATURES)
 _FLAGS = "flag_high_packet, flag_long_duration, flag_high_dns_entropy, flag_deep_dns, suspicion_score"
 _ALERT_TEXT = (
@@ -320,16 +346,20 @@ SELECT *, {_alert_severity("boosted")} AS severity, {_round("boosted", 3)} AS al
 ORACLE: dict[str, str] = {
     "stream_flows": _query("flows", f"SELECT {_FLOW_TEXT} FROM flows"),
     "stream_alerts": _query(
+        "alerts", f"SELECT {KEY}, threat_label, severity, alert_score AS final_threat_score, triggered_rules FROM alerts"
+    ),
+    "stream_alerts_alone": _query(
         "scored", f"SELECT {KEY}, threat_label, severity, alert_score AS final_threat_score, triggered_rules FROM ({_STREAMED})"
     ),
-    "stream_incidents": _query(
-        "scored",
-        "SELECT src_ip AS entity, CASE WHEN triggered_rules = '' THEN 'NO_RULE' ELSE triggered_rules END AS rule, count(*) AS alert_count, "
-        "['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END)] AS max_severity, "
-        "floor(sum(CAST(floor(alert_score * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT)) / count(*) + CAST(0.5 AS DOUBLE)) / 1000.0::DOUBLE AS avg_score, "
-        f"min({_iso('last_seen')}) AS first_seen, max({_iso('last_seen')}) AS last_seen FROM ({_STREAMED}) GROUP BY 1, 2",
+    "stream_sessions": _query(
+        "gaps",
+        f"SELECT {KEY}, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS total_bytes, "
+        f"{_iso('make_timestamp(min(us))')} AS first_seen, {_iso('make_timestamp(max(us))')} AS last_seen, "
+        f"(max(us) - min(us)) / 1e6 AS duration FROM (SELECT *, sum(CASE WHEN gap_us > 200000 THEN 1 ELSE 0 END) "
+        f"OVER (PARTITION BY {KEY} ORDER BY us, packet_id) AS session_no FROM gaps) GROUP BY {KEY}, session_no",
     ),
-    "packet_gate": _query("packets", f"SELECT {_PACKET_TEXT} FROM packets WHERE protocol IN ('TCP', 'UDP')"),
+    "stream_incidents": _query("incidents", "SELECT * FROM incidents"),
+    "packet_gate": _query("packets", f"SELECT {_PACKET_TEXT} FROM packets WHERE protocol IN ('TCP', 'UDP') AND packet_id % 17 <> 0"),
     "packet_filter": _query(
         "packets",
         f"SELECT {_PACKET_TEXT} FROM packets WHERE protocol = 'UDP' AND (src_port = 53 OR dst_port = 53) "
@@ -340,7 +370,14 @@ ORACLE: dict[str, str] = {
         "SELECT count(*) AS total_packets, count(*) FILTER (protocol = 'TCP') AS tcp_packets, "
         "count(*) FILTER (protocol = 'UDP') AS udp_packets, "
         "count(*) FILTER (protocol = 'UDP' AND (src_port = 53 OR dst_port = 53)) AS dns_packets, "
-        "(SELECT count(*) FROM flows) AS exported_flows FROM packets",
+        "(SELECT count(*) FROM flows) AS exported_flows, "
+        "(SELECT count(*) FROM flows WHERE last_us >= (SELECT max(last_us) FROM flows) - 200000) AS active_flows FROM packets",
+    ),
+    "packet_stats_json": _query(
+        "packets",
+        "SELECT count(*) AS total_packets, count(*) FILTER (protocol = 'TCP') AS tcp_packets, "
+        "count(*) FILTER (protocol = 'UDP') AS udp_packets, "
+        "count(*) FILTER (protocol = 'UDP' AND (src_port = 53 OR dst_port = 53)) AS dns_packets FROM packets",
     ),
     "stream_counters": _query(
         "packets",
@@ -527,6 +564,19 @@ ORACLE: dict[str, str] = {
         f"SELECT {KEY}, CASE WHEN user_role = 3 AND protocol = 'UDP' THEN 'DNS_TUNNELING' WHEN user_role = 3 AND protocol = 'TCP' THEN 'BENIGN' "
         "WHEN user_role = 0 AND protocol = 'TCP' THEN 'PORT_SCAN' ELSE 'BENIGN' END AS truth_label FROM labelled",
     ),
+    "label_masks": _query(
+        "flows",
+        f"SELECT {KEY}, CASE WHEN src_ip = '10.0.0.3' AND dst_port = 53 AND protocol = 'UDP' THEN 'A' WHEN dst_ip = '172.16.0.1' AND dst_port = 53 AND protocol = 'UDP' THEN 'B' "
+        "WHEN src_ip = '10.0.0.1' AND protocol = 'TCP' THEN 'D' WHEN dst_ip = '172.16.0.2' AND protocol = 'TCP' THEN 'E' WHEN dst_port = 22 AND protocol = 'TCP' THEN 'C' "
+        "WHEN src_ip = '10.0.0.4' THEN 'F' WHEN protocol = 'UDP' THEN 'G' ELSE 'REST' END AS truth_label FROM flows",
+    ),
+    "label_file": _query(
+        "labelled", f"SELECT {KEY}, CASE WHEN user_role = 0 AND protocol = 'TCP' THEN 'PORT_SCAN' ELSE 'BENIGN' END AS truth_label FROM labelled"
+    ),
+    "label_captures": _query(
+        "packets", "SELECT packet_id, CASE packet_id % 3 WHEN 0 THEN 'SCAN' WHEN 1 THEN 'TUNNEL' ELSE 'BENIGN' END AS truth_label FROM packets"
+    ),
+    "bootstrap_ci": _query("labelled", _bootstrap()),
     "detection_latency": _query(
         "alerts",
         "SELECT src_ip, start_us, alert_us, (alert_us - start_us) / 1e6 AS latency_seconds FROM "

@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME = "path STRING, frame_no BIGINT, ts_us BIGINT, link INT, wire_length BIGINT, frame BINARY"
 _FRAMES_PER_BATCH = 20_000
+DAMAGED = -1  # link of the row that reports unread bytes
 
 # File signatures with byte order and time units per second, and block types.
 _PCAP_MAGIC = {
@@ -36,6 +37,10 @@ LINK_HEADER = {0: 4, 1: 14, 101: 0, 113: 16, 276: 20}
 DNS_PORTS = (53, 5353)
 
 
+class _Damaged(ValueError):
+    """A record that does not fit the file; holds the number of bytes not read."""
+
+
 def _pcap_records(data: bytes, order: str, units: int) -> Iterator[tuple]:
     link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
     at = 24
@@ -43,9 +48,12 @@ def _pcap_records(data: bytes, order: str, units: int) -> Iterator[tuple]:
         seconds, part, kept, wire = struct.unpack_from(order + "IIII", data, at)
         at += 16
         if at + kept > len(data):
-            return
+            at -= 16
+            break
         yield seconds * 1_000_000 + part * 1_000_000 // units, link, wire, data[at : at + kept]
         at += kept
+    if at < len(data):
+        raise _Damaged(len(data) - at)
 
 
 def _pcapng_records(data: bytes) -> Iterator[tuple]:
@@ -57,7 +65,7 @@ def _pcapng_records(data: bytes) -> Iterator[tuple]:
             size = struct.unpack_from(order + "I", data, at + 4)[0]
             interfaces = []
         if size < 12 or at + size > len(data):
-            return
+            break
         body = at + 8
         if kind == _INTERFACE:
             interfaces.append((struct.unpack_from(order + "H", data, body)[0], _clock(data, body + 8, at + size - 4, order)))
@@ -70,6 +78,8 @@ def _pcapng_records(data: bytes) -> Iterator[tuple]:
             wire = struct.unpack_from(order + "I", data, body)[0]
             yield 0, interfaces[0][0], wire, data[body + 4 : min(body + 4 + wire, at + size - 4)]
         at += size
+    if at < len(data):
+        raise _Damaged(len(data) - at)
 
 
 def _clock(data: bytes, at: int, end: int, order: str) -> int:
@@ -85,7 +95,9 @@ def _clock(data: bytes, at: int, end: int, order: str) -> int:
     return 1_000_000
 
 
-def cut_frames(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cut_frames(files: Iterator[pd.DataFrame], damaged: str = "raise") -> Iterator[pd.DataFrame]:
+    """Frames of whole files. A record that does not fit raises, or with ``damaged="report"`` ends its file
+    with a row of link -1 and no frame whose ``wire_length`` is the number of bytes left."""
     names = ["path", "frame_no", "ts_us", "link", "wire_length", "frame"]
     for batch in files:
         for path, data in zip(batch["path"], batch["content"], strict=True):
@@ -96,20 +108,26 @@ def cut_frames(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 records = _pcapng_records(data)
             else:
                 raise ValueError(f"not a capture file: {path}")
-            rows = []
-            for number, record in enumerate(records):
-                rows.append((path, number, *record))
-                if len(rows) == _FRAMES_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+            rows, number = [], 0
+            try:
+                for record in records:
+                    rows.append((path, number, *record))
+                    number += 1
+                    if len(rows) == _FRAMES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            except _Damaged as left:
+                if damaged == "raise":
+                    raise ValueError(f"{path}: damaged behind frame {number}, {left} bytes left") from None
+                rows.append((path, number, 0, DAMAGED, left.args[0], None))
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of every ``.pcap`` and ``.pcapng`` file below ``path``."""
+def read_frames(spark: SparkSession, path: str, damaged: str = "raise") -> DataFrame:
+    """Frames of every ``.pcap`` and ``.pcapng`` file below ``path``; for ``damaged`` see ``cut_frames``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path)
-    return files.select("path", "content").mapInPandas(cut_frames, FRAME)
+    return files.select("path", "content").mapInPandas(lambda batches: cut_frames(batches, damaged), FRAME)
 
 
 def _number(frame: Column, start: Column, size: int) -> Column:

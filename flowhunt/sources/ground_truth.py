@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowhunt.operators.skew import attach_by_key
 from flowhunt.schemas import FLOW_KEY, GROUND_TRUTH
 
-_KEY_PATTERN = r"^([^_:]+)(?::([^_]+))?_([^_:]+)(?::([^_]+))?_([^_]+)$"
+# Split from the right: the source's name may hold underscores.
+_KEY_PATTERN = r"^([^:]+?)(?::(\d+|\*))?_([^_:]+)(?::(\d+|\*))?_([^_:]+)$"
+BROADCAST_LABELS = 100_000
 
 
 def read_ground_truth(spark: SparkSession, path: str | None) -> DataFrame:
@@ -26,7 +27,12 @@ def label_rows(truth: DataFrame, which: str = "sample_labels") -> DataFrame:
 
 
 def parse_label_keys(labels: DataFrame) -> DataFrame:
-    """Split ``src:port_dst:port_proto`` keys; ``*`` or a missing part is a wildcard (NULL)."""
+    """Split ``src:port_dst:port_proto`` keys; ``*`` or a missing part is a wildcard (NULL).
+
+    A key of another form raises.
+    """
+    bad = F.raise_error(F.concat(F.lit("not a label key: "), F.coalesce("key", F.lit("NULL"))))
+    labels = labels.filter(F.when(F.col("key").rlike(_KEY_PATTERN), True).otherwise(bad.cast("boolean")))
 
     def part(group: int) -> Column:
         text = F.regexp_extract("key", _KEY_PATTERN, group)
@@ -43,24 +49,37 @@ def parse_label_keys(labels: DataFrame) -> DataFrame:
 
 
 def label_flows(flows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Flows with ``truth_label`` from the most specific label that matches, else ``BENIGN``.
+    """Flows with ``truth_label`` from the most specific label that matches.
 
-    Labels are grouped by which parts of the key they state (at most 31 groups). Each group is an
-    equality join on those parts, so wildcards never compare every flow with every label. Within
-    a group, the alphabetically first label of a key wins.
+    Labels are grouped by which parts of the key they state (at most 32 groups). Each group is one
+    equality join on those parts, so wildcards never compare every flow with every label and the plan
+    grows with the number of groups only. Groups of at most ``BROADCAST_LABELS`` labels are broadcast;
+    larger ones join by shuffle, where skewed keys are split at run time. Within a group, the
+    alphabetically first label of a key wins; the label without any stated part replaces ``BENIGN``.
     """
     stated = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in FLOW_KEY])
     marked = labels.withColumn("_mask", stated)
-    masks = [r["_mask"] for r in marked.select("_mask").distinct().limit(32).collect()]
-    masks = [m for m in masks if "1" in m]
-    masks.sort(key=lambda m: (m.count("1"), m), reverse=True)
+    sizes = {r["_mask"]: r["n"] for r in marked.groupBy("_mask").agg(F.count("*").alias("n")).collect()}
+    masks = sorted(sizes, key=lambda m: (m.count("1"), m), reverse=True)
+    default = "BENIGN"
     out = flows
+    names = []
     for i, mask in enumerate(masks):
         keys = [c for c, bit in zip(FLOW_KEY, mask, strict=True) if bit == "1"]
-        group = marked.filter(F.col("_mask") == mask).groupBy(*keys).agg(F.min("label").alias(f"_l{i}"))
-        if len(keys) == len(FLOW_KEY):
-            out = out.join(group, keys, "left")
-        else:
-            out = attach_by_key(out, group, keys)
-    found = F.coalesce(*[F.col(f"_l{i}") for i in range(len(masks))], F.lit("BENIGN"))
+        if not keys:
+            default = marked.filter(F.col("_mask") == mask).agg(F.min("label")).first()[0] or default
+            continue
+        names.append(f"_l{i}")
+        group = marked.filter(F.col("_mask") == mask).groupBy(*keys).agg(F.min("label").alias(names[-1]))
+        out = out.join(F.broadcast(group) if sizes[mask] <= BROADCAST_LABELS else group, keys, "left")
+    found = F.coalesce(*[F.col(n) for n in names], F.lit(default))
     return out.select(*flows.columns, found.alias("truth_label"))
+
+
+def label_captures(packets: DataFrame, truth: DataFrame) -> DataFrame:
+    """Packets with ``truth_label`` by the capture file they came from (column ``path``), else ``BENIGN``."""
+    by_file = label_rows(truth, "pcap_labels").groupBy(F.col("key").alias("_file")).agg(F.min("label").alias("truth_label"))
+    if by_file.count() <= BROADCAST_LABELS:
+        by_file = F.broadcast(by_file)
+    named = packets.withColumn("_file", F.element_at(F.split("path", "/"), -1))
+    return named.join(by_file, "_file", "left").drop("_file").fillna("BENIGN", ["truth_label"])

@@ -30,14 +30,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _address(user: Column) -> Column:
-    block = F.floor(user / 250).cast("string")
-    return F.concat(F.lit("10.0."), block, F.lit("."), (user % 250).cast("string"))
+    octets = [F.floor(user / 62_500) % 250, F.floor(user / 250) % 250, user % 250]
+    return F.concat_ws(".", F.lit("10"), *[o.cast("string") for o in octets])
 
 
 def role_of_source(src_ip: Column) -> Column:
     """The role number behind a source address made by :func:`packets`."""
     octets = F.split(src_ip, r"\.")
-    return (octets[2].cast("bigint") * 250 + octets[3].cast("bigint")) % 10
+    return octets[3].cast("bigint") % 10  # users differ by multiples of 250 in the octets before
 
 
 def truth_label(src_ip: Column) -> Column:
@@ -62,7 +62,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     events = read_table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", spare_us.alias("off_us")
-    )
+    ).filter("user_id IS NOT NULL AND event_type IS NOT NULL")  # an event without them is no packet
     epoch_us = F.unix_micros(F.lit(EPOCH).cast("timestamp"))
     compressed = F.floor((F.col("off_us") + COMPRESSION // 2) / COMPRESSION)
     is_dns = ~role.isin(0, 1, 2) & (F.col("event_type") == "view")
@@ -114,7 +114,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tunnel_name = F.concat_ws(".", F.substring(token, 1, 16), F.substring(token, 17, 16), "host")
     named = events.filter(is_dns).withColumn("host_id", span["first"] + F.col("event_id") % span["n"])
     dns = shape(
-        named.join(hosts, "host_id"),
+        named.join(hosts, "host_id", "left"),  # a missing page loses the name, not the packet
         compressed,
         F.when(role == 3, tunnel_name).otherwise(F.col("host")),
         "UDP",

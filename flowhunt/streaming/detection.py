@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from flowhunt.functions.bands import severity_name, severity_ordinal
-from flowhunt.functions.columns import flow_key_string, iso_utc
+from flowhunt.functions.columns import flow_key_string, iso_utc, parse_time
 from flowhunt.operators.alerts import alert_rows
 from flowhunt.operators.forest import Forest, score_isolation_forest
-from flowhunt.operators.intelligence import INCIDENT_KEY, explode_rules
+from flowhunt.operators.intelligence import INCIDENT_KEY, explode_rules, first_and_last
 from flowhunt.operators.profile import baseline_flags
 from flowhunt.operators.rules import STANDARD_RULES, Rule
 from flowhunt.operators.scaling import minmax_ranges, z_stats, zscore_anomaly
@@ -46,13 +46,17 @@ def fit_detector(flows: DataFrame, thresholds: DataFrame, forest: Forest | None
 
 
 def stream_alerts(
-    flows: DataFrame, detector: Detector, rules: tuple[Rule, ...] = STANDARD_RULES
+    flows: DataFrame, detector: Detector, rules: tuple[Rule, ...] = STANDARD_RULES,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts for new flows: one projection per flow, no state.
 
-    Dense numbers need a finite table, so a streamed alert is named by its flow and time. Source
-    columns that need all flows of a source are absent and take their defaults.
+    ``entities`` is a stored table of source columns (``operators.entity.entity_features``), read anew
+    for every batch; a source it does not hold, like every source without it, takes the defaults.
+    Dense numbers need a finite table, so a streamed alert is named by its flow and time.
     """
+    if entities is not None:
+        flows = flows.join(entities, "src_ip", "left")
     rows = alert_rows(detector.label(flows), rules)
     name = F.concat_ws("@", flow_key_string(), iso_utc(F.col("first_seen")))
     return rows.withColumn("alert_id", name)
@@ -66,8 +70,7 @@ def incident_deltas(alerts: DataFrame) -> DataFrame:
         F.count("*").alias("alert_count"),
         F.max(ordinal).alias("ordinal"),
         F.sum(thousandths).alias("thousandths"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+        *first_and_last(),
     )
 
 
@@ -86,8 +89,8 @@ def merge_incidents(deltas: DataFrame) -> DataFrame:
         F.sum("alert_count").alias("alert_count"),
         F.max("ordinal").alias("ordinal"),
         F.sum("thousandths").alias("thousandths"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
+        F.min_by("first_seen", parse_time(F.col("first_seen"))).alias("first_seen"),
+        F.max_by("last_seen", parse_time(F.col("last_seen"))).alias("last_seen"),
     )
     mean = F.floor(F.col("thousandths") / F.col("alert_count") + 0.5) / 1000.0
     return merged.select(

@@ -2,6 +2,8 @@
 
 import struct
 
+import pytest
+
 from flowhunt.sources import capture
 
 
@@ -70,3 +72,16 @@ def test_read_capture(spark, tmp_path):
     assert {(r.src_port, r.protocol, r.dns_query) for r in got[3:6]} == {(443, "TCP", None)}
     wire = capture.read_capture(spark, str(tmp_path / "a.pcap"), length="wire").agg({"length": "max"}).first()[0]
     assert wire == len(FRAMES[0][1]) + 100
+
+
+def test_damaged_captures_are_reported(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(FRAMES)[:-7])
+    (tmp_path / "b.pcapng").write_bytes(pcapng(FRAMES)[:-7])
+    with pytest.raises(Exception, match="damaged behind frame 4"):
+        capture.read_frames(spark, str(tmp_path)).count()
+    frames = capture.read_frames(spark, str(tmp_path), damaged="report")
+    assert frames.count() == 2 * len(FRAMES)
+    left = frames.filter(frames.link == capture.DAMAGED).collect()
+    assert len(left) == 2 and all(r.wire_length > 0 and r.frame is None for r in left)
+    numbered = frames.withColumnRenamed("frame_no", "packet_id")
+    assert capture.decode_frames(numbered).count() == 4

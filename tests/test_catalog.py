@@ -6,19 +6,22 @@ import pandas as pd
 import pytest
 
 from flowhunt.plans.catalog import QUERIES
-from flowhunt.plans.oracle import ORACLE
+from flowhunt.plans.model_oracle import MODEL_ORACLE
+from flowhunt.plans.oracle import ORACLE as BASE_ORACLE
+
+ORACLE = {**BASE_ORACLE, **MODEL_ORACLE}
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "events pages".split()
 # One query per stage of the pipeline; the rest share these stages.
 CHECKED = [
     "flow_features", "session_flows", "beacon_intervals", "describe_flows", "capture_decode", "apply_rules", "alerts",
-    "timelines", "detection_metrics", "metrics_by_type", "label_wildcard_join", "stream_counters",
+    "timelines", "detection_metrics", "metrics_by_type", "label_wildcard_join", "label_masks", "stream_counters",
+    "stream_alerts", "stream_incidents", "shapley_values", "explain_alerts", "narratives", "bootstrap_ci", "score_fusion",
 ]
 WITHOUT_SQL = {
-    "bootstrap_ci", "isolation_forest_scores", "isolation_forest_labels", "ml_anomalies", "rule_only_hits", "ml_only_hits",
-    "forest_score_fusion", "forest_alerts", "model_retrain", "shapley_values", "global_importance", "explain_alerts",
-    "narratives", "explanation_by_alert", "feature_ablation",
+    "isolation_forest_scores", "isolation_forest_labels", "forest_score_fusion", "forest_alerts", "model_retrain",
+    "forest_shapley_values", "feature_ablation",
 }
 
 

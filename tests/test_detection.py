@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowhunt.functions.columns import nan_to_null
 from flowhunt.operators import alerts as al, evaluation as ev, intelligence as intel, rules as ru, scoring
 from flowhunt.sources import files, ground_truth
+from flowhunt.streaming import detection as sd
 
 FLOW_DDL = (
     "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING, packet_count BIGINT, duration DOUBLE, "
@@ -215,3 +216,58 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in ground_truth.label_rows(truth).collect()] == [("k_x_TCP", "PORT_SCAN")]
     frame = spark.createDataFrame([(float("nan"), 1.0)], "a DOUBLE, b DOUBLE")
     assert tuple(nan_to_null(frame).first()) == (None, 1.0)
+
+
+def test_label_keys_split_from_the_right_and_bad_ones_raise(spark):
+    keys = [("host_one:1_b:2_TCP", "NAMED"), ("*_*_*", "REST")]
+    labels = ground_truth.parse_label_keys(spark.createDataFrame(keys, "key STRING, label STRING"))
+    rows = [("host_one", "b", 1, 2, "TCP"), ("x", "y", 1, 2, "UDP")]
+    flows = spark.createDataFrame(rows, "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING")
+    got = {tuple(r)[:5]: r.truth_label for r in ground_truth.label_flows(flows, labels).collect()}
+    assert [got[r] for r in rows] == ["NAMED", "REST"]
+    for bad in ("nonsense", "a:b:c_d_TCP", None):
+        with pytest.raises(Exception, match="not a label key"):
+            ground_truth.parse_label_keys(spark.createDataFrame([(bad, "L")], "key STRING, label STRING")).collect()
+
+
+def test_label_plan_grows_with_the_masks(spark):
+    import itertools
+
+    flows = spark.createDataFrame([("a", "b", 1, 2, "TCP")], "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING")
+    parts = [("a", "*"), ("b", "*"), ("1", "*"), ("2", "*"), ("TCP", "*")]
+    keys = [(f"{s}:{sp}_{d}:{dp}_{p}", f"{s}{d}{sp}{dp}{p}") for s, d, sp, dp, p in itertools.product(*parts)]
+    labelled = ground_truth.label_flows(flows, ground_truth.parse_label_keys(spark.createDataFrame(keys, "key STRING, label STRING")))
+    assert labelled.first().truth_label == "ab12TCP"
+    joins = labelled._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins <= 31
+
+
+def test_times_are_compared_as_times(spark):
+    rows = [(1, "2026-01-01T00:00:34Z", "LOW"), (2, "2026-01-01T00:00:34.500000Z", "HIGH"), (3, "2026-01-01T00:00:33.900000Z", "LOW")]
+    alerts = spark.createDataFrame(rows, "alert_no BIGINT, timestamp STRING, severity STRING").select(
+        "*", F.format_string("ALERT-%04d", "alert_no").alias("alert_id"), F.lit("a").alias("src_ip"), F.lit(0.5).alias("final_threat_score"),
+        F.array(F.lit("R")).alias("triggered_rules"),
+    )
+    row = intel.incidents(alerts).first()
+    assert (row.first_seen, row.last_seen) == ("2026-01-01T00:00:33.900000Z", "2026-01-01T00:00:34.500000Z")
+    for numbered in (True, False):  # a file's alerts may be numbered in another order than their times
+        moves = intel.severity_transitions(alerts, numbered=numbered).orderBy("seq").collect()
+        assert [m.alert_id for m in moves] == ["ALERT-0003", "ALERT-0001", "ALERT-0002"]
+    deltas = [sd.incident_deltas(alerts.filter(f"alert_no {c}")) for c in ("= 1", "> 1")]
+    merged = sd.merge_incidents(deltas[0].unionByName(deltas[1])).first()
+    assert (merged.alert_count, merged.first_seen, merged.last_seen) == (3, row.first_seen, row.last_seen)
+
+
+def test_missing_score_raises_whatever_is_read(spark):
+    flows = spark.createDataFrame([("a", "b", 1, 2, "TCP", 0), ("a", "c", 1, 2, "TCP", 0)], "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING, t INT")
+    flows = flows.withColumn("first_seen", F.timestamp_seconds("t")).drop("t")
+    scores = flows.limit(1).withColumn("iforest_score", F.lit(0.1))
+    with pytest.raises(Exception, match="do not match"):
+        scoring.attach_ml_score(flows, scores).select("src_ip").collect()
+
+
+def test_pages_after_a_number(spark):
+    alerts = spark.range(1, 101).select(F.col("id").alias("alert_no"), F.when(F.col("id") % 2 == 0, "LOW").otherwise("HIGH").alias("severity"))
+    first = [r.alert_no for r in al.query_alerts(alerts, severity="LOW", after=0, page_size=10).collect()]
+    second = [r.alert_no for r in al.query_alerts(alerts, severity="LOW", after=first[-1], page_size=10).collect()]
+    assert first + second == [r.alert_no for p in (1, 2) for r in al.query_alerts(alerts, severity="LOW", page=p, page_size=10).collect()]

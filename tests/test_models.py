@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowhunt.operators import explain, forest as fo, shapley as sh
 from flowhunt.functions.wording import feature_context, feature_text
 from flowhunt.operators.ablation import feature_ablation
+from flowhunt.operators.scoring import training_flows
 from flowhunt.schemas import FEATURES, FLOW_KEY
 from flowhunt.sources import models
 
@@ -46,12 +47,18 @@ def test_forest_does_not_depend_on_partitioning(flows, model):
     assert again.meta.first().offsets == pytest.approx(model.meta.first().offsets)
 
 
-def test_sampling_modes_give_full_distinct_samples(flows):
-    per_row = fo.tree_samples(flows, 400, trees=40, sample_size=50)
-    sizes = [r["count"] for r in per_row.groupBy("tree").count().collect()]
+def test_samples_are_full_and_distinct_at_every_size(spark, flows):
+    picked = fo.tree_samples(flows, 400, trees=40, sample_size=50)
+    sizes = [r["count"] for r in picked.groupBy("tree").count().collect()]
     assert len(sizes) == 40 and set(sizes) == {50}
-    single = fo.tree_samples(flows, 400, trees=2, sample_size=1)
-    assert single.count() == single.select("src_port").distinct().count() == 2
+    # One scheme: with many rows for few trees a row may still serve several of them.
+    many = spark.range(40_000).select(
+        *[F.lit("x").alias(c) for c in ("src_ip", "dst_ip", "protocol")], F.col("id").cast("int").alias("src_port"),
+        F.lit(1).alias("dst_port"), F.lit(0).cast("timestamp").alias("first_seen"),
+    )
+    drawn = fo.tree_samples(many, 40_000, trees=60, sample_size=100)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {100}
+    assert drawn.select("tree", "src_port").distinct().count() == 6000 > drawn.select("src_port").distinct().count()
 
 
 def test_model_store(spark, flows, model, tmp_path):
@@ -115,7 +122,7 @@ def test_shapley_matches_enumeration():
 
 def test_explanations_and_narratives(spark, flows, model):
     alerts = flows.filter("actual_malicious = 1").select(
-        *FLOW_KEY, (F.col("src_port") + 1).alias("alert_no"), F.format_string("ALERT-%04d", F.col("src_port") + 1).alias("alert_id"),
+        *FLOW_KEY, "first_seen", (F.col("src_port") + 1).alias("alert_no"), F.format_string("ALERT-%04d", F.col("src_port") + 1).alias("alert_id"),
         F.lit("CRITICAL").alias("severity"), F.lit("DNS_TUNNEL").alias("threat_label"), F.lit(0.9).alias("final_threat_score"),
     )
     told = explain.explain_alerts(alerts, flows, model, limit=3)
@@ -125,7 +132,11 @@ def test_explanations_and_narratives(spark, flows, model):
         sizes = [abs(f.shap_contribution) for f in r.top_features]
         assert len(sizes) == 5 and sizes == sorted(sizes, reverse=True)
         assert all((f.impact == "increased") == (f.shap_contribution > 0) for f in r.top_features)
-    assert explain.explain_alerts(alerts, flows, model, limit=None).count() == OUTLIERS
+    assert explain.explain_alerts(alerts, flows, model).count() == OUTLIERS
+    # A second session of a key neither doubles an explanation nor leaves the training flows.
+    later = flows.withColumn("first_seen", F.expr("first_seen + INTERVAL 1 HOUR"))
+    assert explain.explain_alerts(alerts, flows.unionByName(later), model).count() == OUTLIERS
+    assert training_flows(flows.unionByName(later), alerts).count() == 2 * flows.count() - OUTLIERS
     assert explain.explain_alerts(alerts, flows, model, mode="first_pair").count() == OUTLIERS
     text = {r.alert_id: r.narrative for r in explain.explanation_by_alert(alerts, told).collect()}
     assert text["ALERT-0005"] == "No explanation found for ALERT-0005"
