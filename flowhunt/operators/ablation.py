@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowhunt.operators.evaluation import confusion_matrix, rates
-from flowhunt.operators.forest import FULL, TREES, fit_forest, path_scores
+from flowhunt.operators.forest import FULL, TREES, fit_and_score
 from flowhunt.schemas import FEATURES
 
 
@@ -15,10 +15,9 @@ def feature_ablation(flows: DataFrame, trees: int = TREES, contamination: float
     All 15 forests grow in one job from the same samples and score in one pass.
     """
     variants = {FULL: FEATURES} | {f: [g for g in FEATURES if g != f] for f in FEATURES}
-    forest = fit_forest(flows, trees=trees, contamination=contamination, variants=variants)
+    forest, scored = fit_and_score(flows, trees=trees, contamination=contamination, variants=variants)
     offsets = forest.meta.first()["offsets"]
     cut = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    scored = path_scores(flows, forest, list(variants))
     each = F.explode(F.array(*[
         F.struct(F.lit(v).alias("left_out"), F.col(f"raw_{v}").alias("raw")) for v in variants
     ]))

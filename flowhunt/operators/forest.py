@@ -110,17 +110,24 @@ def grow_tree(x: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> l
     return nodes
 
 
-def fit_forest(
+def fit_forest(flows: DataFrame, **options) -> Forest:
+    """Fit one forest, or one per variant: :func:`fit_and_score` without the scores."""
+    return fit_and_score(flows, **options)[0]
+
+
+def fit_and_score(
     flows: DataFrame,
     trees: int = TREES,
     sample_size: int = SAMPLE_SIZE,
     seed: int = SEED,
     contamination: float = CONTAMINATION,
     variants: dict[str, list[str]] | None = None,
-) -> Forest:
+) -> tuple[Forest, DataFrame]:
     """Fit one forest, or one per variant (a named subset of the features) from the same samples.
 
-    ``flows`` is read three times (scaler, sample, offset): pass a stored table.
+    ``flows`` is read three times (scaler, sample, offset): pass a stored table. The offset needs the
+    scores of all flows, so they are stored with the flows' columns (``raw_<variant>``) and given back:
+    whoever scores the flows that were fitted need not pass them through the trees again.
     """
     spark = flows.sparkSession
     variants = variants or {FULL: FEATURES}
@@ -151,7 +158,7 @@ def fit_forest(
     partial = Forest(nodes, scaling, spark.createDataFrame([(trees, sample_size)], "trees INT, sample_size INT"))
     raw = path_scores(flows, partial, list(variants))
     names = [f"raw_{v}" for v in variants]
-    scored = materialize(raw.select(*names), "forest-scores")
+    scored = materialize(raw, "forest-scores")
     cuts = exact_quantiles(scored, {n: [contamination] for n in names})
     offsets = cuts.agg(
         F.map_from_entries(
@@ -162,7 +169,7 @@ def fit_forest(
         F.lit(trees).alias("trees"), F.lit(sample_size).alias("sample_size"), F.lit(seed).alias("seed"),
         F.lit(contamination).alias("contamination"), F.lit(rows).alias("rows"), "offsets",
     )
-    return Forest(nodes, scaling, materialize(meta, "forest-meta"))
+    return Forest(nodes, scaling, materialize(meta, "forest-meta")), scored
 
 
 def tree_arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -248,8 +255,12 @@ def path_scores(flows: DataFrame, forest: Forest, variants: list[str] | None = N
 
 def score_isolation_forest(flows: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:
     """Add ``iforest_score`` (higher is more normal, negative is anomalous) and ``iforest_label``."""
+    return decide(path_scores(flows, forest, [variant]), forest, variant)
+
+
+def decide(raw: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:
+    """Score and label from a stored ``raw_<variant>``."""
     offset = forest.meta.first()["offsets"][variant]
-    raw = path_scores(flows, forest, [variant])
     scored = raw.withColumn("iforest_score", F.col(f"raw_{variant}") - offset)
     return scored.withColumn("iforest_label", predict(F.col("iforest_score"))).drop(f"raw_{variant}")
 

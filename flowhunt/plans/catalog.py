@@ -468,6 +468,14 @@ def cross_validate(spark, sf_dir):
     return ev.cross_validate(_judged(spark, sf_dir))
 
 
+@query
+def cross_validate_fitted(spark, sf_dir):
+    """Thresholds, ranges and moments of each fold come from the other folds."""
+    return detect.cross_validated(_flows(spark, sf_dir).withColumn(
+        "actual_malicious", (truth_label(F.col("src_ip")) != "BENIGN").cast("int")
+    ))
+
+
 @query
 def bootstrap_ci(spark, sf_dir):
     return ev.bootstrap_ci(_judged(spark, sf_dir))
@@ -631,16 +639,14 @@ def stream_incidents(spark, sf_dir):
 
 @query
 def isolation_forest_scores(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    scored = fo.score_isolation_forest(flows, fo.fit_forest(flows))
-    return scored.select(*FLOW_KEY, "iforest_score")
+    forest, raw = fo.fit_and_score(_flows(spark, sf_dir))
+    return fo.decide(raw, forest).select(*FLOW_KEY, "iforest_score")
 
 
 @query
 def isolation_forest_labels(spark, sf_dir):
-    flows = _flows(spark, sf_dir)
-    scored = fo.score_isolation_forest(flows, fo.fit_forest(flows))
-    return pf.value_counts(scored, "iforest_label")
+    forest, raw = fo.fit_and_score(_flows(spark, sf_dir))
+    return pf.value_counts(fo.decide(raw, forest), "iforest_label")
 
 
 def _rounded(scored):
@@ -693,10 +699,9 @@ def score_fusion(spark, sf_dir):
 @query
 def forest_invariants(spark, sf_dir):
     """What must hold of any fitted forest: trees, samples, share of anomalies, additive explanations."""
-    flows = _flows(spark, sf_dir)
-    model = fo.fit_forest(flows)
+    model, raw = fo.fit_and_score(_flows(spark, sf_dir))
     base = shapley.explainer(model)[0]
-    told = shapley.shapley_arrays(fo.path_scores(flows, model), model)
+    told = shapley.shapley_arrays(raw, model)
     norm = float(fo.average_path(256))
     path = -F.log2(-F.col(f"raw_{fo.FULL}")) * norm
     gap = F.abs(F.aggregate("shap", F.lit(base), lambda a, x: a + x) + path)
@@ -714,10 +719,8 @@ def forest_invariants(spark, sf_dir):
 def forest_score_fusion(spark, sf_dir):
     """The model score joined by flow key, turned around, scaled and fused."""
     flows = _flows(spark, sf_dir)
-    scores = materialize(
-        fo.score_isolation_forest(flows, fo.fit_forest(flows)).select(*FLOW_KEY, "first_seen", "iforest_score"),
-        "forest-results",
-    )
+    forest, raw = fo.fit_and_score(flows)
+    scores = fo.decide(raw, forest).select(*FLOW_KEY, "first_seen", "iforest_score")
     joined = scoring.attach_ml_score(detect.enriched_flows(flows), scores)
     fused = scoring.fuse_scores(materialize(joined, "joined"))
     return fused.select(*FLOW_KEY, "ml_score_normalized", "final_threat_score", "threat_score_band")

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from flowhunt.operators.alerts import generate_alerts
 from flowhunt.operators.entity import attach_entities, entity_features
-from flowhunt.operators.evaluation import critical_sources, mark_by_entity
+from flowhunt.operators.evaluation import (
+    confusion_matrix, critical_sources, hash_fold, mark_by_entity, predict_at, rates,
+)
 from flowhunt.operators.flows import SLICE_SECONDS, flow_features
-from flowhunt.operators.forest import Forest, fit_forest, score_isolation_forest
+from flowhunt.operators.forest import Forest, decide, fit_and_score, path_scores
 from flowhunt.operators.intelligence import campaigns, incidents, timelines
 from flowhunt.operators.profile import baseline_flags, baseline_thresholds
 from flowhunt.operators.rules import STANDARD_RULES, Rule
 from flowhunt.operators.scaling import zscore_anomaly
 from flowhunt.operators.scoring import fuse_scores, label_threats
 from flowhunt.session import materialize
+from flowhunt.streaming.detection import fit_detector
 
 
 def stored_flows(packets: DataFrame, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
@@ -37,14 +41,16 @@ def scored_flows(
     ``model`` is ``"zscore"`` (the closed-form stand-in), ``"forest"`` (fit on these flows) or a
     fitted forest.
     """
-    enriched = enriched_flows(flows, exact)
     if model == "zscore":
-        return fuse_scores(zscore_anomaly(enriched), higher_is="anomalous")
-    forest = fit_forest(flows) if model == "forest" else model
-    with_model = score_isolation_forest(enriched, forest)
+        return fuse_scores(zscore_anomaly(enriched_flows(flows, exact)), higher_is="anomalous")
     # The score passes through Python, so it is stored before its range is taken.
-    ranged = materialize(with_model.withColumn("ml_anomaly_score", with_model["iforest_score"]), "scored")
-    return fuse_scores(ranged, orientation)
+    if model == "forest":
+        forest, raw = fit_and_score(flows)
+    else:
+        forest, raw = model, materialize(path_scores(flows, model), "scored")
+    scored = decide(raw, forest).withColumn("ml_anomaly_score", F.col("iforest_score"))
+    thresholds = baseline_thresholds(flows, exact=exact)
+    return fuse_scores(baseline_flags(scored, thresholds), orientation)
 
 
 def labelled_flows(flows: DataFrame, **scoring) -> DataFrame:
@@ -81,3 +87,17 @@ def intelligence(alerts: DataFrame) -> Intelligence:
 def evaluated_against_alerts(labelled: DataFrame, alerts: DataFrame) -> DataFrame:
     """Flows marked malicious when their source raised a critical alert."""
     return mark_by_entity(labelled, critical_sources(alerts))
+
+
+def cross_validated(flows: DataFrame, folds: int = 5) -> DataFrame:
+    """Metrics per fold, each scored by a detector fitted on the other folds.
+
+    ``flows`` is a stored table with ``actual_malicious``. Every fold reads it with its own filter.
+    """
+    numbered = materialize(flows.withColumn("fold", hash_fold(folds)), "folds")
+    judged = []
+    for fold in range(folds):
+        others, held = numbered.filter(F.col("fold") != fold), numbered.filter(F.col("fold") == fold)
+        detector = fit_detector(others, materialize(baseline_thresholds(others), "thresholds"))
+        judged.append(predict_at(detector.label(held)).select("fold", "actual_malicious", "predicted_malicious"))
+    return rates(confusion_matrix(reduce(DataFrame.unionByName, judged), by=["fold"]))

@@ -21,7 +21,7 @@ CHECKED = [
 ]
 WITHOUT_SQL = {
     "isolation_forest_scores", "isolation_forest_labels", "forest_score_fusion", "forest_alerts", "model_retrain",
-    "forest_shapley_values", "feature_ablation",
+    "forest_shapley_values", "feature_ablation", "cross_validate_fitted",
 }
 
 
