@@ -31,6 +31,9 @@ EXCERPT = 256
 CHUNK = 16_384
 LEVEL = 5
 MIN_MARGIN = 0.002
+# A frame that would gain a few bytes only is stored raw, which hides the differences of very short texts: they
+# are compressed behind a run of zero bytes that always gains.
+SHORT, CARRIER = 256, bytes(64)
 
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -82,6 +85,8 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         body = normalise(text)
+        if len(body) < SHORT:
+            body = CARRIER + b" " + body + b" "
         chunks = [body[i : i + CHUNK] for i in range(0, len(body), CHUNK)]
         return [sum(len(c.compress(x)) for x in chunks) for c in self.coders]
 
