@@ -6,13 +6,14 @@ smallest id, and only representatives are joined.
 Candidates. A run walks a tree of random hash functions: at a node, a set moves into the branch of each
 of its tokens whose hash is below 1 / (threshold * set size), about one branch in all, so two sets with
 Jaccard similarity s >= threshold share a branch with probability of about 1 - exp(-s / threshold) a level.
-A set's branches depend on nothing but the set, so each document writes down its paths to ``DEPTH`` levels
-itself. Buckets of at most ``SMALL`` sets stop there; larger ones are split by their next level, and
-what is still large at the last level is compared in blocks: no bucket is cut. ``runs_for`` repeats runs
-until a pair at the threshold is missed with at most the stated probability.
+A set's branches depend on nothing but the set, so each document writes down those below the roots itself. Buckets of at most ``SMALL`` sets stop there, and so do larger ones whose sets are mostly alike; others
+are split at the next level (there, a set's tokens are its min-hashes). What is still large at the last
+level is compared in blocks: no bucket is cut. ``runs_for`` repeats runs until a pair at the threshold is
+missed with at most the stated probability.
 
-Inside a bucket all pairs of min-hash sketches are compared. A bucket gives back a spanning forest of
-the pairs that pass, never all pairs, and the forests' connected components become candidate groups.
+Inside a bucket min-hash sketches are compared: a search from row to row over those not reached yet, which
+finds the same components as all pairs. A bucket gives back a spanning forest, never all pairs, and
+the forests' connected components become candidate groups.
 
 Verification. The sets of the candidates are made again from the texts and sent to their group, which is cut into blocks; each pair of blocks
 is one group of the shuffle. There every pair is compared exactly on the whole sets; each set gets its
@@ -21,7 +22,8 @@ number of links and the verified pairs again give a forest. Its components are t
 Defined cases: words are maximal runs of letters and digits, lower-cased. A text with fewer than five words is
 the set of one token, all its words; a text without a word (null, empty) is its own class, with no
 link. Rows with equal ids are one document; of their texts the smallest by content counts. Other columns
-are not read; empty tables give empty results. Rows with a null id are left out (they cannot be named).
+are not read; empty tables give empty results. Ids are integers; rows with a null id are left out
+(they cannot be named).
 """
 
 from __future__ import annotations
@@ -44,7 +46,9 @@ DEPTH = 3
 SMALL = 512
 SKETCH = 128
 SLACK = 0.17  # a sketch of 128 estimates 0.8 with a standard error of 0.035
-BLOCK = 256
+BUCKET_BLOCK = 16_384  # sketches compared in one task
+BLOCK, BLOCK_TOKENS = 3072, 1_500_000  # whole sets compared in one task: at most so many sets and tokens, twice
+_STEP, _ROWS = 2048, 512  # columns and rows of a product
 MANY, SALTS = 1000, 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,19 +91,24 @@ def sketch(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return out
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> np.ndarray:
-    """Rows of ``depth`` node keys; 0 where a walk has ended."""
-    limit = np.uint64(min(2.0**64 - 1025, 2.0**64 / (threshold * len(tokens))))
+def first_branches(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """Nodes that a set moves into below the root of each run: those of its tokens with a small hash."""
+    roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
+    hashed = mix(tokens[None, :] ^ roots[:, None])
+    run, token = np.nonzero(hashed <= _limit(threshold, len(tokens)))
+    return mix(hashed[run, token] + roots[run])
 
-    def step(node: np.uint64, at: int) -> list[tuple[int, ...]]:
-        hashed = mix(tokens ^ node)
-        nexts = mix(hashed[hashed <= limit] + node) | np.uint64(1)
-        if at + 1 == depth:
-            return [(int(x),) for x in nexts]
-        return [(int(x), *rest) for x in nexts for rest in (step(x, at + 1) or [(0,) * (depth - at - 1)])]
 
-    rows = [row for run in range(runs) for row in step(mix(np.array([run + 1], np.uint64))[0], 0)]
-    return np.array(rows, np.uint64).reshape(-1, depth)
+def next_branches(nodes: np.ndarray, codes: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The same below ``nodes``, for many sets at once; a set's tokens are its min-hashes. Rows and new nodes."""
+    tokens = codes.astype(np.uint64) | (np.arange(codes.shape[1], dtype=np.uint64) << np.uint64(8))
+    hashed = mix(mix(tokens) ^ nodes[:, None])
+    row, token = np.nonzero(hashed <= _limit(threshold, codes.shape[1]))
+    return row, mix(hashed[row, token] + nodes[row])
+
+
+def _limit(threshold: float, size: int) -> np.uint64:
+    return np.uint64(min(2.0**64 - 2049, 2.0**64 / (threshold * size)))
 
 
 def _words(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
@@ -125,28 +134,37 @@ def set_key(tokens: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, key: str, text: str, runs: int, threshold: float) -> DataFrame:
-    """id, set_key, sketch, paths: all that candidate search needs of a document."""
+    """id, set_key, sketch, nodes: all that candidate search needs of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _sets(batch.column(1), WORDS)
-            nodes = [paths(x, runs, threshold) if x.size else np.zeros((0, DEPTH), np.uint64) for x in sets]
-            table = (np.concatenate(nodes) if nodes else np.zeros((0, DEPTH), np.uint64)).view(np.int64)
-            steps = pa.StructArray.from_arrays(
-                [pa.array(np.ascontiguousarray(table[:, j])) for j in range(DEPTH)], names=[f"p{j}" for j in range(DEPTH)]
-            )
+            nodes = [first_branches(x, runs, threshold) if x.size else x for x in sets]
+            flat = (np.concatenate(nodes) if nodes else np.zeros(0, np.uint64)).view(np.int64)
             offsets = pa.array(np.cumsum([0, *map(len, nodes)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([set_key(x) for x in sets], pa.string()),
                     pa.array([sketch(x).tobytes() if x.size else b"" for x in sets], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, steps),
+                    pa.ListArray.from_arrays(offsets, pa.array(flat)),
                 ],
-                names=["id", "set_key", "sketch", "paths"],
+                names=["id", "set_key", "sketch", "nodes"],
             )
 
-    levels = ", ".join(f"p{j}: bigint" for j in range(DEPTH))
-    return _words(docs, key, text).mapInArrow(run, f"id long, set_key string, sketch binary, paths array<struct<{levels}>>")
+    return _words(docs, key, text).mapInArrow(run, "id long, set_key string, sketch binary, nodes array<long>")
+
+
+def _split(members: DataFrame, threshold: float) -> DataFrame:
+    """Members (id, sketch, lead, node) of large buckets moved into the nodes below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH)
+            row, node = next_branches(batch.column(3).to_numpy().view(np.uint64), codes, threshold)
+            kept = batch.select([0, 1, 2]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(node.view(np.int64))], names=["id", "sketch", "lead", "node"])
+
+    return members.select("id", "sketch", "lead", "node").mapInArrow(run, "id long, sketch binary, lead binary, node long")
 
 
 def _whole_groups(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -182,28 +200,29 @@ def group_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _forest(ids: np.ndarray, close: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (larger id, smallest id) of the components of the rows linked by the pairs of ``close``."""
-    parent = np.arange(len(ids))
-    for a, b in close:
-        while a.size:  # hang the higher root below the lower one until nothing changes
-            ra, rb = _roots(parent, a), _roots(parent, b)
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-    roots = _roots(parent, np.arange(len(ids)))
-    low = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(low, roots, ids)
-    moved = ids != low[roots]
-    return ids[moved], low[roots][moved]
+def spread(n: int, close_to) -> np.ndarray:
+    """Root (first row) of each row's component. ``close_to(rows, others)`` says which others are close to any row.
 
+    A search that only ever looks at rows not reached yet: a group whose rows are all alike takes one step.
+    """
+    root = np.full(n, -1)
+    waiting = np.arange(n)
+    while waiting.size:
+        first, frontier, waiting = waiting[0], waiting[:1], waiting[1:]
+        root[first] = first
+        while frontier.size and waiting.size:
+            found = close_to(frontier, waiting)
+            frontier, waiting = waiting[found], waiting[~found]
+            root[frontier] = first
+    return root
 
-def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[at]
-        if (up == at).all():
-            return at
-        at = parent[up]
+
+def _edges(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id of its component), for ids that are not the smallest."""
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, ids)
+    moved = ids != low[root]
+    return ids[moved], low[root][moved]
 
 
 def _edges_of_buckets(members: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -213,53 +232,71 @@ def _edges_of_buckets(members: DataFrame, keys: list[str], least: float) -> Data
     def work(table: pa.Table) -> pa.Table:
         ids, group = table.column("id").to_numpy(), group_numbers(table, keys)
         codes = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SKETCH)
-
-        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for d in range(1, int(np.bincount(group).max())):  # all pairs of rows that are d apart in a group
-                a = np.flatnonzero(group[:-d] == group[d:])
-                for i in range(0, len(a), 65_536):
-                    part = a[i : i + 65_536]
-                    part = part[(codes[part] == codes[part + d]).sum(axis=1) >= need]
-                    yield part, part + d
-
-        high, low = _forest(ids, close())
+        cuts = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(group)]
+        found = [pair_edges(ids, codes, group, cuts, need)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo <= 2:
+                continue
+            part = codes[lo:hi]
+
+            def close_to(rows: np.ndarray, others: np.ndarray, part=part) -> np.ndarray:
+                out = np.zeros(len(others), bool)
+                for r in rows:
+                    left = np.flatnonzero(~out)
+                    if not left.size:
+                        break
+                    out[left] = (part[others[left]] == part[r]).sum(axis=1) >= need
+                return out
+
+            found.append(_edges(ids[lo:hi], spread(hi - lo, close_to)))
+        high, low = (np.concatenate(x) for x in zip(*found))
         return pa.table({"a": pa.array(high, pa.int64()), "b": pa.array(low, pa.int64())})
 
     return _whole_groups(members, keys, work, "a long, b long")
 
 
-def _blocked(members: DataFrame, size: str, block: int) -> DataFrame:
+def pair_edges(ids, codes, group, cuts, need) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all groups of two rows at once; most buckets are such."""
+    a = cuts[:-1][np.diff(cuts) == 2]
+    a = a[(codes[a] == codes[a + 1]).sum(axis=1) >= need]
+    return np.maximum(ids[a], ids[a + 1]), np.minimum(ids[a], ids[a + 1])
+
+
+def _blocked(members: DataFrame, blocks: Column) -> DataFrame:
     """Each row once for every pair of blocks of its group that it takes part in: columns left, right, own."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least("own", x).alias("left"), F.greatest("own", x).alias("right")),
-    )
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = F.transform(others, lambda x: F.struct(F.least("own", x).alias("left"), F.greatest("own", x).alias("right")))
     return (
-        members.withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("pair", F.explode(pairs)).withColumn("left", F.col("pair.left")).withColumn("right", F.col("pair.right"))
-        .drop("pair", "blocks")
+        members.withColumn("blocks", blocks.cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("pair", F.explode(pair))
+        .select(*members.columns, "own", "pair.left", "pair.right")
     )
 
 
-def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes, by matrix products over slices of the tokens that several sets hold."""
-    flat = np.concatenate(sets)
-    tokens, number, counts = np.unique(flat, return_inverse=True, return_counts=True)
+def close_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold: intersection sizes by matrix products over slices of the shared tokens."""
+    tokens, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(counts > 1) - 1
     kept = counts[number] > 1
+    sizes = np.array([len(x) for x in sets], np.float64)
     owner, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[kept], column[number][kept]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    step, n = 4096, int((counts > 1).sum())
-    for i in range(0, n, step):
-        lo, hi = np.searchsorted(at, [i, i + step])
-        held = np.zeros((len(sets), min(step, n - i)), np.float32)
+    n = int((counts > 1).sum())
+    shared = np.zeros((len(sets), len(sets)), np.uint16 if sizes.max() < 65_536 else np.uint32)
+    for i in range(0, n, _STEP):
+        lo, hi = np.searchsorted(at, [i, i + _STEP])
+        held = np.zeros((len(sets), min(_STEP, n - i)), np.float32)
         held[owner[lo:hi], at[lo:hi] - i] = 1
-        out += held @ held.T
-    return out
+        for r in range(0, len(sets), _ROWS):
+            shared[r : r + _ROWS] += (held[r : r + _ROWS] @ held.T).astype(shared.dtype)
+    close = np.zeros(shared.shape, bool)
+    for r in range(0, len(sets), _ROWS):
+        part = shared[r : r + _ROWS].astype(np.float64)
+        close[r : r + _ROWS] = part >= threshold * (sizes[r : r + _ROWS, None] + sizes[None, :] - part) - 1e-9
+    np.fill_diagonal(close, False)
+    return close
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -267,14 +304,12 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     keys = ["group", "left", "right"]
 
     def one(ids: np.ndarray, own: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], across: bool):
-        sizes = np.array([len(x) for x in sets], np.float32)
-        shared = shared_tokens(sets)
-        close = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-3
+        close = close_sets(sets, threshold)
         if across:
             close &= own[:, None] != own[None, :]
-        np.fill_diagonal(close, False)
-        a, b = np.nonzero(np.triu(close))
-        return close @ copies, _forest(ids, iter([(a, b)]))
+        links = [close[r : r + _ROWS] @ copies.astype(np.float64) for r in range(0, len(sets), _ROWS)]
+        root = spread(len(ids), lambda rows, others: close[np.ix_(rows, others)].any(axis=0))
+        return np.concatenate(links).round().astype(np.int64), _edges(ids, root)
 
     def work(table: pa.Table) -> pa.Table:
         group, ids, own, copies = group_numbers(table, keys), *(table.column(c).to_numpy() for c in ("id", "own", "copies"))
@@ -323,23 +358,30 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def candidate_groups(signed: DataFrame, reps: DataFrame, threshold: float, small: int) -> DataFrame:
     """Rows (id, component) of the representatives that share a bucket with a similar sketch."""
-    steps = [f"p{j}" for j in range(DEPTH)]
-    own = signed.join(reps.select("id", "set_key"), ["id", "set_key"]).select("id", "sketch", "paths")
-    walks = own.select("id", F.explode("paths").alias("p")).select("id", "p.*")
-    shared = walks.select("p0", "id").distinct().groupBy("p0").count().filter("count > 1").select("p0")
-    current = materialize(walks.join(shared, "p0"), "chosen-paths")
-    sketches = own.select("id", "sketch")
+    own = signed.join(reps.select("id", "set_key"), ["id", "set_key"])
+    lead = F.substring("sketch", 1, 2)
+    walks = own.select("id", lead.alias("lead"), F.explode(F.array_distinct("nodes")).alias("node"))
     edges = None
-    for level, here in enumerate(steps):
-        current = current.filter(F.col(here) != 0)
-        held = current.select(here, "id").distinct()
-        counts = held.groupBy(here).agg(F.count("*").alias("n")).filter("n > 1")
-        leaves = counts if level == DEPTH - 1 else counts.filter(F.col("n") <= small)
-        inside = held.join(leaves, here).join(sketches, "id")
-        found = _edges_of_buckets(_blocked(inside, "n", small), [here, "left", "right"], threshold - SLACK)
+    for level in range(DEPTH):
+        # A bucket is alike if two min-hashes agree in half of it; searching it costs little, splitting nothing gains.
+        counts = materialize(
+            walks.groupBy("node", "lead").agg(F.count("*").alias("n"))
+            .groupBy("node").agg(F.sum("n").alias("n"), (F.max("n") * 2 >= F.sum("n")).alias("alike")).filter("n > 1"),
+            "buckets",
+        )
+        leaf = F.lit(True) if level == DEPTH - 1 else (F.col("n") <= small) | F.col("alike")
+        members = walks.join(counts.filter(leaf), "node")
+        if level == 0:
+            members = members.join(own.select("id", "sketch"), "id")
+        blocked = _blocked(members.select("id", "sketch", "node", "n"), F.ceil(F.col("n") / BUCKET_BLOCK))
+        found = _edges_of_buckets(blocked, ["node", "left", "right"], threshold - SLACK)
         edges = found if edges is None else edges.unionByName(found)
-        if level < DEPTH - 1:
-            current = current.join(counts.filter(F.col("n") > small).select(here), here, "left_semi")
+        if level == DEPTH - 1 or counts.filter(~leaf).isEmpty():
+            break
+        large = walks.join(counts.filter(~leaf).select("node"), "node", "left_semi")
+        if level == 0:
+            large = large.join(own.select("id", "sketch"), "id")
+        walks = materialize(_split(large, threshold), "split-buckets")
     return components(edges)
 
 
@@ -354,12 +396,15 @@ def join_similar(
     reps = members.filter("id = rep AND set_key <> ''").select("id", "set_key", "copies")
 
     groups = candidate_groups(signed, reps, threshold, small)
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
-    wanted = reps.join(sized, "id").select(
+    n_tokens = F.conv(F.substring("set_key", 33, 16), 16, 10).cast("long")  # a set's key ends with its size
+    placed = reps.join(groups, "id").withColumn("n_tokens", n_tokens)
+    weights = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    wanted = placed.join(weights.select("component", blocks.alias("size")), "component").select(
         F.col("id").alias(key), F.col("set_key").alias("wanted_key"), "copies", F.col("component").alias("group"), "size"
     )
     texts = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("body")).join(wanted.hint("shuffle_hash"), key)
-    checked = materialize(_verified(_blocked(_with_tokens(texts, key), "size", block), threshold), "verified-links")
+    checked = materialize(_verified(_blocked(_with_tokens(texts, key), F.col("size")), threshold), "verified-links")
 
     linked = components(checked.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     outcome = (

@@ -94,8 +94,9 @@ def brute_links(texts, threshold=0.8):
     return links, label
 
 
-@pytest.mark.parametrize("small, block", [(512, 256), (3, 2)])
-def test_jaccard_join(spark, small, block):
+@pytest.mark.parametrize("small, block, bucket", [(512, 1024, 4096), (3, 2, 2), (0, 3, 3)])
+def test_jaccard_join(spark, small, block, bucket, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BUCKET_BLOCK", bucket)
     texts = near_texts()
     links, label = brute_links(texts)
     got = chosen_path.join_similar(frame(spark, texts), small=small, block=block, miss=1e-9).collect()
@@ -112,17 +113,33 @@ def test_jaccard_join_keeps_one_and_takes_empty(spark):
     assert chosen_path.join_similar(frame(spark, [])).count() == 0
 
 
-def test_paths_find_similar_sets():
+def test_branches_meet_for_similar_sets():
     rng = np.random.default_rng(0)
-    found = 0
+    runs = chosen_path.runs_for(1e-3)
+    first = below = 0
     for _ in range(300):
         both = rng.integers(0, 2**63, 80).astype(np.uint64)
-        a = np.r_[both, rng.integers(0, 2**63, 10).astype(np.uint64)]
-        b = np.r_[both, rng.integers(0, 2**63, 10).astype(np.uint64)]
-        runs = chosen_path.runs_for(1e-3)
-        pa, pb = (set(chosen_path.paths(x, runs)[:, 0].tolist()) for x in (a, b))
-        found += bool(pa & pb)
-    assert found >= 298
+        a, b = (np.unique(np.r_[both, rng.integers(0, 2**63, 10).astype(np.uint64)]) for _ in range(2))
+        na, nb = (chosen_path.first_branches(x, runs) for x in (a, b))
+        first += bool(set(na.tolist()) & set(nb.tolist()))
+        nodes = rng.integers(0, 2**63, runs).astype(np.uint64)
+        ca, cb = (np.tile(chosen_path.sketch(x), (runs, 1)) for x in (a, b))
+        ra, rb = (chosen_path.next_branches(nodes, c)[1].tolist() for c in (ca, cb))
+        below += bool(set(ra) & set(rb))
+    assert first >= 298 and below >= 298
+
+
+def test_spread_equals_components_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 30, 200):
+        close = rng.random((n, n)) < 0.6 / n
+        close |= close.T
+        root = chosen_path.spread(n, lambda rows, others: close[np.ix_(rows, others)].any(axis=0))
+        label = np.arange(n)
+        for _ in range(n):
+            for i in range(n):
+                label[i] = min([label[i], *label[close[i]]])
+        assert root.tolist() == label.tolist()
 
 
 def brute_cut(ids, texts):
