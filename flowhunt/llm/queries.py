@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowhunt.llm import chosen_path, decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, suffix_dedup, token_counts, toxicity
 from flowhunt.llm.common import documents, fold
+from flowhunt.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -80,11 +83,3 @@ QUERIES = {
     "op9_piece_coding": op9_piece_coding,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-    """,
-}
