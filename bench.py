@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from flowhunt.plans.catalog import QUERIES
@@ -13,7 +14,7 @@ from flowhunt.session import build_session
 HEADLINE = [
     "packet_stats", "inter_arrival", "flow_features", "describe_flows", "baseline_flags",
     "entity_features", "rule_score_fusion", "threat_labels", "alerts", "incidents", "timelines",
-    "detection_metrics", "isolation_forest_scores", "shapley_values", "explain_alerts",
+    "detection_metrics", "isolation_forest_scores", "fixed_forest_scores", "shapley_values", "explain_alerts",
 ]
 
 
@@ -27,6 +28,7 @@ def main() -> None:
         settings={
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-", dir="/tmp"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
