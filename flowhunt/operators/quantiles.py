@@ -20,23 +20,28 @@ def exact_quantiles(
     misses its rank raises instead of returning a neighbour.
     """
     number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
-    n = df.agg(*[F.count(number[c]).alias(c) for c in wanted]).first()
-    probes = [_Probe(c, float(q), n[c]) for c, qs in wanted.items() for q in qs if n[c]]
+    margin = 4.0 / accuracy
+
+    def sketch(inside: Column, at: float, n: float) -> Column:
+        edge = max(margin, 2.0 / max(n, 1))
+        return F.approx_percentile(inside, [max(0.0, at - edge), min(1.0, at + edge)], accuracy)
+
+    # The first pass counts and brackets at once; small columns need no bracket.
+    probes = [_Probe(c, float(q)) for c, qs in wanted.items() for q in qs]
+    first = df.agg(
+        *[F.count(number[c]).alias(f"n_{c}") for c in wanted],
+        *[sketch(number[p.column], p.q, most).alias(f"e{i}") for i, p in enumerate(probes)],
+    ).first()
+    for i, p in enumerate(probes):
+        p.start(first[f"n_{p.column}"], first[f"e{i}"])
+    probes = [p for p in probes if p.n]
     if not probes:
         return df.sparkSession.createDataFrame([], "column STRING, q DOUBLE, value DOUBLE")
     open_probes = [p for p in probes if p.inside > most]
     while open_probes:
-        margin = 4.0 / accuracy
-        sketches = []
-        for i, p in enumerate(open_probes):
-            at = (p.rank - p.below) / max(p.inside - 1, 1)
-            edge = max(margin, 2.0 / p.inside)
-            ends = [max(0.0, at - edge), min(1.0, at + edge)]
-            sketches.append(F.approx_percentile(F.when(p.holds(number[p.column]), number[p.column]), ends, accuracy).alias(f"e{i}"))
-        found = df.agg(*sketches).first()
         before = [p.inside for p in open_probes]
-        for i, p in enumerate(open_probes):
-            p.low, p.high = found[f"e{i}"]
+        for p in open_probes:
+            p.low, p.high = p.ends
         counted = df.agg(*[
             c for i, p in enumerate(open_probes) for c in (
                 F.count_if(number[p.column] < p.low).alias(f"b{i}"), F.count_if(p.holds(number[p.column])).alias(f"n{i}")
@@ -46,6 +51,14 @@ def exact_quantiles(
             p.below, p.inside = counted[f"b{i}"], counted[f"n{i}"]
         # A bracket that no longer shrinks holds few different values, each many times.
         open_probes = [p for p, was in zip(open_probes, before) if p.inside > most and p.low < p.high and p.inside < was]
+        if open_probes:
+            found = df.agg(*[
+                sketch(
+                    F.when(p.holds(number[p.column]), number[p.column]), (p.rank - p.below) / (p.inside - 1), p.inside
+                ).alias(f"e{i}") for i, p in enumerate(open_probes)
+            ]).first()
+            for i, p in enumerate(open_probes):
+                p.ends = found[f"e{i}"]
 
     rows = df.select(
         F.explode(F.array_compact(F.array(*[
@@ -77,11 +90,13 @@ def exact_quantiles(
 class _Probe:
     """One quantile of one column and the bracket that holds it."""
 
-    def __init__(self, column: str, q: float, n: int) -> None:
-        self.column, self.q, self.n = column, q, n
-        self.rank = (n - 1) * q
+    def __init__(self, column: str, q: float) -> None:
+        self.column, self.q = column, q
         self.low, self.high = float("-inf"), float("inf")
-        self.below, self.inside = 0, n
+
+    def start(self, n: int, ends: list[float]) -> None:
+        self.n, self.inside, self.below, self.ends = n, n, 0, ends
+        self.rank = (n - 1) * self.q
 
     def holds(self, value: Column) -> Column:
         return value.between(self.low, self.high)
