@@ -22,11 +22,12 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
+    known = _digest(current)
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = materialize(large.filter("a <> b").distinct(), "large-star")
+        large = materialize(large.filter("a <> b"), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         hooked = large.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         after = materialize(
@@ -34,9 +35,9 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
             "small-star",
         )
-        if _same(current, after):
+        current, before, known = after, known, _digest(after)
+        if known == before:
             break
-        current = after
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
@@ -44,10 +45,7 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
 
 
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    def digest(edges: DataFrame):
-        return edges.agg(
-            F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))
-        ).first()
-
-    return digest(left) == digest(right)
+def _digest(edges: DataFrame):
+    """Count and two order-free hash sums of an edge table."""
+    parts = [F.sum(F.pmod(F.xxhash64(*pair), F.lit(1 << 40))) for pair in (("a", "b"), ("b", "a"))]
+    return edges.agg(F.count("*"), *parts).first()
