@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from flowhunt.llm.common import whole
@@ -189,8 +190,18 @@ class _Shard:
         self.first, self.count, self.hashes = anchored_runs(self.codes, self.ends)
         self.owner = self.ids[np.searchsorted(self.ends, self.first, side="right")]
 
-    def runs(self, shared: np.ndarray, buckets: int):
+    def anchors(self, buckets: int):
+        """Distinct anchor hashes, and their rows for each bucket."""
+        hashes = np.unique(self.hashes)
+        return hashes, _slices(_bucket(hashes, buckets))
+
+    def runs(self, masks: dict[int, bytes], buckets: int):
         """Runs with a shared anchor: their rows, their distinct contents in sending order, and who has which."""
+        hashes, parts = self.anchors(buckets)
+        shared = [
+            hashes[r[np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(r)).astype(bool)]] for b, r in parts if b in masks
+        ]
+        shared = np.concatenate(shared) if shared else np.zeros(0, np.uint64)
         rows = np.flatnonzero(np.isin(self.hashes, shared))
         width = 2 * LENGTH - GRAM + 1
         content = np.zeros((len(rows), width + 9), np.uint8)  # bytes, number of strings, anchor hash
@@ -223,12 +234,12 @@ def _slices(numbers: np.ndarray):
 def _anchors(buckets: int):
     def work(table: pa.Table) -> pa.Table:
         shard = _Shard(table)
-        hashes, at = np.unique(shard.hashes, return_inverse=True)
+        hashes, parts = shard.anchors(buckets)
+        at = np.searchsorted(hashes, shard.hashes)
         low, high = np.full(len(hashes), _LAST), np.full(len(hashes), np.iinfo(np.int64).min)
         np.minimum.at(low, at, shard.owner)
         np.maximum.at(high, at, shard.owner)
         counts = np.where(low < high, 2, 1).astype(np.uint8)
-        parts = _slices(_bucket(hashes, buckets))
         return pa.table({
             "bucket": pa.array([b for b, _ in parts], pa.int64()),
             "shard": pa.array([table.column("shard")[0].as_py()] * len(parts), pa.int64()),
@@ -240,37 +251,35 @@ def _anchors(buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of each shard the anchors that another document has too."""
+    """Of each shard a bit for each of its anchors: whether another document has it too."""
     shards = table.column("shard").to_pylist()
     keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
     tree = [(k, np.frombuffer(c, np.uint8).astype(np.int64)) for k, c in zip(keys, table.column("counts").to_pylist())]
     while len(tree) > 1:
         tree = [merge_counts(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
     merged = tree[0][0][tree[0][1] > 1]
-    picked = [k[np.isin(k, merged, assume_unique=True)] for k in keys]
-    some = [i for i, p in enumerate(picked) if p.size]
+    masks = [np.isin(k, merged, assume_unique=True) for k in keys]
+    some = [i for i, m in enumerate(masks) if m.any()]
+    bucket = table.column("bucket").to_pylist()
     return pa.table({
         "shard": pa.array([shards[i] for i in some], pa.int64()),
-        "keys": pa.array([picked[i].tobytes() for i in some], pa.binary()),
+        "bucket": pa.array([bucket[i] for i in some], pa.int64()),
+        "mask": pa.array([np.packbits(masks[i]).tobytes() for i in some], pa.binary()),
     })
 
 
-def _all_keys(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-
-
 def _send(buckets: int):
     def work(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        shard = _Shard(docs)
-        keys = _all_keys(shared)
-        _, _, content, count, least, bucket = shard.runs(keys, buckets)
+        shard, pack = _Shard(docs), zstandard.ZstdCompressor(level=3)
+        masks = dict(zip(shared.column("bucket").to_pylist(), shared.column("mask").to_pylist()))
+        _, _, content, count, least, bucket = shard.runs(masks, buckets)
         inside = np.arange(content.shape[1]) < (count + LENGTH - 1)[:, None]
         parts = _slices(bucket)
         return pa.table({
             "bucket": pa.array([b for b, _ in parts], pa.int64()),
             "shard": pa.array([docs.column("shard")[0].as_py()] * len(parts), pa.int64()),
-            "keys": pa.array([keys[_bucket(keys, buckets) == b].tobytes() for b, _ in parts], pa.binary()),
-            "codes": pa.array([content[r][inside[r]].tobytes() for _, r in parts], pa.binary()),
+            "mask": pa.array([masks[b] for b, _ in parts], pa.binary()),
+            "codes": pa.array([pack.compress(content[r][inside[r]].tobytes()) for _, r in parts], pa.binary()),
             "counts": pa.array([count[r].astype(np.uint8).tobytes() for _, r in parts], pa.binary()),
             "least": pa.array([least[r].tobytes() for _, r in parts], pa.binary()),
         })
@@ -313,13 +322,14 @@ def decide(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, length: int
 
 def _decide(table: pa.Table) -> pa.Table:
     counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("counts").to_pylist()]
+    unpack = zstandard.ZstdDecompressor()
     bits = decide(
-        np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8), np.concatenate(counts),
+        np.frombuffer(b"".join(map(unpack.decompress, table.column("codes").to_pylist())), np.uint8), np.concatenate(counts),
         np.frombuffer(b"".join(table.column("least").to_pylist()), np.int64),
     )
     cuts = np.cumsum([c.sum() for c in counts])[:-1]
     return pa.table({
-        "shard": table.column("shard"), "bucket": table.column("bucket"), "keys": table.column("keys"),
+        "shard": table.column("shard"), "bucket": table.column("bucket"), "mask": table.column("mask"),
         "bits": pa.array([np.packbits(b).tobytes() for b in np.split(bits, cuts)], pa.binary()),
     })
 
@@ -329,8 +339,10 @@ def _cut(buckets: int):
         shard = _Shard(docs)
         gone = np.zeros(len(shard.codes) + 1, np.int32)
         if answers.num_rows:
-            rows, which, _, count, least, bucket = shard.runs(_all_keys(answers), buckets)
-            bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+            bits, masks = (
+                dict(zip(answers.column("bucket").to_pylist(), answers.column(c).to_pylist())) for c in ("bits", "mask")
+            )
+            rows, which, _, count, least, bucket = shard.runs(masks, buckets)
             begin = np.zeros(len(count), np.int64)
             flags, done = [], 0
             for b, r in _slices(bucket):
@@ -378,11 +390,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
         return rows.repartition(shards, "shard").groupBy("shard")
 
     anchors = dealt.groupBy("shard").applyInArrow(_anchors(buckets), "bucket long, shard long, keys binary, counts binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, "shard long, keys binary")
+    shared = anchors.groupBy("bucket").applyInArrow(_shared, "shard long, bucket long, mask binary")
     runs = dealt.groupBy("shard").cogroup(to_shards(shared)).applyInArrow(
-        _send(buckets), "bucket long, shard long, keys binary, codes binary, counts binary, least binary"
+        _send(buckets), "bucket long, shard long, mask binary, codes binary, counts binary, least binary"
     )
-    answers = runs.groupBy("bucket").applyInArrow(_decide, "shard long, bucket long, keys binary, bits binary")
+    answers = runs.groupBy("bucket").applyInArrow(_decide, "shard long, bucket long, mask binary, bits binary")
     out = dealt.groupBy("shard").cogroup(to_shards(answers)).applyInArrow(
         _cut(buckets), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
