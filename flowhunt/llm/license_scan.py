@@ -11,6 +11,12 @@ contains at least ``threshold`` of a template's tokens must (prefix filter) hold
 have enough tokens left behind the first shared one, in its own order and in the template's. What passes
 is verified. The index of prefixes is as small as the templates and is the only thing broadcast.
 
+A notice wrapped over several lines is found in its paragraph: what stands between lines without a word, so
+comment marks are no words and end nothing but their own line. A paragraph's words are cut into stretches that
+overlap by the longest window; the same join runs on them, and a stretch is verified window by window. A window
+is an eighth longer than its template. It must hold all numbers of the template: in prose of several lines a
+version cannot be among the tokens that ``threshold`` forgives.
+
 Defined cases: null counts as empty: no words, no labels, score 0. Rows are told apart by id and text, so
 repeated rows repeat their result. Other columns are not read; an empty table gives an empty result.
 """
@@ -43,6 +49,7 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 THRESHOLD = 0.9  # short notices need every token
+STRETCH = 64  # words of a paragraph in which a window may start
 
 _GAP = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,40 +101,84 @@ def matching_blocks(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Blocks and the templates they contain: keys, block (line number), label, template, containment."""
+    details = _details(order, templates, threshold)
+    lines = _with_prefix(docs, details, keys, text).select(*keys, F.posexplode(F.split("body", "\n")).alias("block", "line"))
+    matches = _matches(lines.select(*keys, "block", _lowered_words(F.col("line")).alias("words")), order, details, [*keys, "block"])
+    return matches.select(*keys, "block", "label", "template", (F.size("shared") / F.col("size")).alias("containment"))
+
+
+def wrapped_blocks(
+    docs: DataFrame, order: list[str], keys: list[str], templates=TEMPLATES, text: str = "text",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Templates found in a window of a paragraph of several lines: keys, label, template, containment."""
+    details = _details(order, templates, threshold)
+    longest = max(d["span"] for d in details)
+    words = F.col("words")
+    stretches = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(STRETCH)), lambda i: F.slice(words, i + 1, STRETCH + longest))
+    several = F.col("body").contains("\n")
+    paragraphs = (
+        _with_prefix(docs, details, keys, text).filter(several)
+        .select(*keys, F.explode(F.split("body", f"\n{_GAP[:-1]}*\n")).alias("body")).filter(several)
+    )
+    blocks = _with_prefix(paragraphs, details, keys, "body").select(*keys, _lowered_words(F.col("body")).alias("words"))
+    matches = _matches(blocks.select(*keys, F.explode(stretches).alias("words")), order, details, keys)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.col("span") + 1))
+
+    def held(start: Column) -> Column:
+        window = F.slice("words", start, F.col("span"))
+        return F.when(F.size(F.array_except("numbers", window)) == 0, F.size(F.array_intersect("tokens", window)))
+
+    return (
+        matches.withColumn("most", F.array_max(F.transform(starts, held)))
+        .filter(F.col("most") >= F.col("need"))
+        .select(*keys, "label", "template", (F.col("most") / F.col("size")).alias("containment"))
+    )
+
+
+def _details(order: list[str], templates, threshold: float) -> list[dict]:
     rank = {t: i for i, t in enumerate(order)}
-    index, details = [], []
+    details = []
     for n, (label, body) in enumerate(templates):
-        tokens = sorted(_tokens(body), key=rank.__getitem__)
-        need = math.ceil(threshold * len(tokens))
-        details.append((n, label, tokens, need))
-        index += [(tokens[i], n, label, i, len(tokens), need, tokens) for i in range(len(tokens) - need + 1)]
-    prefixes = docs.sparkSession.createDataFrame(
-        index, "token string, template int, label string, at int, size int, need int, tokens array<string>"
+        tokens, length = sorted(_tokens(body), key=rank.__getitem__), len(re.findall(r"[0-9a-z]+", body.lower()))
+        details.append({
+            "template": n, "label": label, "size": len(tokens), "need": math.ceil(threshold * len(tokens)), "tokens": tokens,
+            "numbers": [t for t in tokens if t.isdigit()], "span": length + math.ceil(length / 8),
+        })
+    return details
+
+
+def _prefix(detail: dict) -> list[str]:
+    return detail["tokens"][: detail["size"] - detail["need"] + 1]
+
+
+def _with_prefix(docs: DataFrame, details: list[dict], keys: list[str], text: str) -> DataFrame:
+    """keys and body of the rows that hold a prefix token; without any there is no match."""
+    union = "|".join(sorted({t for d in details for t in _prefix(d)}))
+    return docs.select(*keys, whole(text).alias("body")).filter(
+        F.col("body").rlike(f"(?i)(?<![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])(?:{union})(?![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])")
     )
-    # Rows without any prefix token hold no match; the pattern is the union of all prefixes.
-    union = "|".join(sorted({row[0] for row in index}))
-    lines = (
-        docs.select(*keys, whole(text).alias("body"))
-        .filter(F.col("body").rlike(f"(?i)(?<![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])(?:{union})(?![0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}])"))
-        .select(*keys, F.posexplode(F.split("body", "\n")).alias("block", "line"))
+
+
+def _matches(blocks: DataFrame, order: list[str], details: list[dict], keys: list[str]) -> DataFrame:
+    """Blocks (columns ``keys``, words) that hold enough tokens of a template, with its details and the tokens shared."""
+    index = [(t, i, *d.values()) for d in details for i, t in enumerate(_prefix(d))]
+    prefixes = blocks.sparkSession.createDataFrame(
+        index, "token string, at int, template int, label string, size int, need int, tokens array<string>, "
+        "numbers array<string>, span int"
     )
-    ordered = F.array(*map(F.lit, order))
-    blocks = lines.select(*keys, "block", F.array_intersect(ordered, _lowered_words(F.col("line"))).alias("held")).filter(
-        F.size("held") >= min(d[3] for d in details)
+    blocks = blocks.withColumn("held", F.array_intersect(F.array(*map(F.lit, order)), "words")).filter(
+        F.size("held") >= min(d["need"] for d in details)
     )
     candidates = (
-        blocks.select(*keys, "block", "held", F.posexplode("held").alias("here", "token"))
+        blocks.select(*keys, "words", "held", F.posexplode("held").alias("here", "token"))
         .join(F.broadcast(prefixes), "token")
         .filter(F.size("held") >= F.col("need"))
         .filter(1 + F.least(F.size("held") - F.col("here") - 1, F.col("size") - F.col("at") - 1) >= F.col("need"))
     )
     # The pair is verified where it meets first: at the earliest of its shared tokens.
     shared = F.array_intersect("tokens", "held")
-    return (
-        candidates.filter(shared[0] == F.col("token"))
-        .filter(F.size(shared) >= F.col("need"))
-        .select(*keys, "block", "label", "template", (F.size(shared) / F.col("size")).alias("containment"))
-    )
+    return candidates.withColumn("shared", shared).filter(F.col("shared")[0] == F.col("token")).filter(F.size("shared") >= F.col("need"))
 
 
 def scan_licenses(
@@ -136,8 +187,10 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("body")).withColumn("print", F.xxhash64("body"))
+    keys = ["id", "print"]
+    blocks = [find(rows, order, keys, templates, "body", threshold) for find in (matching_blocks, wrapped_blocks)]
     found = (
-        matching_blocks(rows, order, ["id", "print"], templates, "body", threshold)
+        blocks[0].drop("block").unionByName(blocks[1])
         .groupBy("id", "print")
         .agg(F.collect_set("label").alias("added"), F.max("containment").alias("best"))
     )

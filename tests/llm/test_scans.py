@@ -123,3 +123,48 @@ def test_set_join_is_exact(spark, threshold):
                 if len(tokens & set(block.split())) >= threshold * len(tokens) - 1e-9:
                     expected.add((i, line, n))
     assert sorted((r.doc_id, r.block, r.template) for r in got) == sorted(expected)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+WRAPPED = [
+    (MIT, "mit"), ("\n".join(f" * {x}" for x in MIT.split("\n")), "mit"), ("some words of prose\n" * 300 + MIT + "\nmore\n" * 300, "mit"),
+    ("# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the\r\n"
+     "# following conditions are met:", "bsd"),
+    ("it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the", "gpl-2"),
+    ("it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 3\nof the", ""),
+    ("// This Source Code Form is subject to the terms of\n// the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("all rights\nreserved", "reserved"), ("all rights\n *\n * reserved", ""), ("all rights and two more\nwords here reserved", ""),
+]
+
+
+def test_wrapped_notices_are_found(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    order = license_scan.token_order(docs)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs, order).collect()}
+    assert [got[i].labels for i in range(len(WRAPPED))] == [label for _, label in WRAPPED]
+    assert all((got[i].score >= license_scan.THRESHOLD) == bool(label) for i, (_, label) in enumerate(WRAPPED))
+
+
+def test_wrapped_windows_are_exact(spark):
+    import math
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(30)]
+    templates = tuple((f"l{i}", " ".join(rng.sample(vocabulary, rng.randint(2, 9)))) for i in range(6))
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randint(1, 9))) for _ in range(rng.choice([2, 3, 40]))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = license_scan.token_order(docs, templates)
+    got = license_scan.wrapped_blocks(docs, order, ["doc_id"], templates, threshold=0.8).collect()
+    expected = set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for n, (_, body) in enumerate(templates):
+            tokens, size = set(body.split()), len(body.split())
+            span = size + math.ceil(size / 8)
+            most = max(len(tokens & set(words[s : s + span])) for s in range(len(words)))
+            if most >= math.ceil(0.8 * len(tokens)):
+                expected.add((i, n))
+    assert {(r.doc_id, r.template) for r in got} == expected
