@@ -4,7 +4,10 @@ Texts become template tokens: words in lower case, numbers, units behind a numbe
 inside a sentence) as typed placeholders; what a placeholder stood for is kept as its slot value. Windows
 of ``window`` template tokens are hashed and joined with the windows of the benchmark. Matching windows of
 one document, item and offset form an alignment; it counts if its slot values map one to one, so a question
-with other numbers or names is caught while text that only shares the form is not.
+with other numbers or names is caught while text that only shares the form is not. With ``per_window``, as in
+the query and the pipeline, each window is judged by itself: one whose slots are empty or as in the item counts
+at once, another if each original value of a kind has one new value inside it; different originals may get the
+same one. A clash elsewhere in the alignment takes nothing back.
 
 Benchmark hashes are looked up inside the tasks when there are at most ``in_task`` of them; beyond that all
 windows of the documents go to the join. The join compares the window texts, so a hash collision adds
@@ -152,7 +155,7 @@ def _windows(rows: DataFrame, key: str, text: str, sizes: list[int], wanted: dic
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, in_task: int = IN_TASK,
+    item_text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, in_task: int = IN_TASK, per_window: bool = False,
 ) -> DataFrame:
     """One row per leaked item of a document: key, print (hash of its text), item, n_windows, n_slots, verbatim."""
     sizes = list(range(shortest, window + 1))
@@ -173,17 +176,25 @@ def leaks(
         items = F.broadcast(items)  # counted above
     pairs = windows.join(items, ["hash", "body"]).select(
         "id", "print", F.col("item"), (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
-        F.arrays_zip(F.split("item_slots", " ").alias("was"), F.split("slots", " ").alias("now")).alias("slots"),
+        F.array_distinct(F.filter(
+            F.arrays_zip(
+                F.split("body", " ").alias("kind"), F.split("item_slots", " ").alias("was"), F.split("slots", " ").alias("now")
+            ),
+            lambda s: s["was"] != "-",
+        )).alias("slots"),
     )
+    if per_window:  # a window's slots are distinct: as many originals as slots means one new value each
+        originals = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))
+        pairs = pairs.filter(F.size(originals) == F.size("slots"))
     # An alignment has at most one row per window of its item.
-    slots = F.array_distinct(F.flatten(F.collect_set(F.filter("slots", lambda s: s["was"] != "-"))))
+    slots = F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now"))))))
     one_to_one = (F.size(F.array_distinct(F.col("slots.was"))) == F.size("slots")) & (
         F.size(F.array_distinct(F.col("slots.now"))) == F.size("slots")
     )
     aligned = (
         pairs.groupBy("id", "print", "item", "offset")
         .agg(F.countDistinct("item_at").alias("n_windows"), slots.alias("slots"))
-        .filter(one_to_one)
+        .filter(F.lit(True) if per_window else one_to_one)
         .withColumn("verbatim", F.forall("slots", lambda s: s["was"] == s["now"]))
     )
     return aligned.groupBy("id", "print", "item").agg(

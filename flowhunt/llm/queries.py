@@ -32,7 +32,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.leaks(documents(spark, sf_dir), benchmark).drop("print")
+    return decontaminate.leaks(documents(spark, sf_dir), benchmark, per_window=True).drop("print")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

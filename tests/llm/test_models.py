@@ -217,3 +217,23 @@ def test_decontamination(spark, in_task):
     assert {0, 1, 4, 5, 7, 8} <= {r.doc_id for r in kept.collect()} <= set(range(10)) - {2, 3, 9}
     assert decontaminate.leaks(docs.limit(0), items, in_task=in_task).count() == 0
     assert decontaminate.leaks(docs, items.limit(0), in_task=in_task).count() == 0
+
+
+def test_a_slot_clash_takes_no_other_window_away(spark, tmp_path):
+    import corpus_pipeline
+    from flowhunt.llm.queries import QUERIES
+
+    item = "Each morning the baker puts 3 loaves and 3 rolls on the long wooden table near the old door for 4 guests."
+    texts = [
+        OTHER.replace("14", "5").replace("9 pears", "5 pears"),  # two values became one; the tail is a copy
+        item.replace("3 loaves", "6 loaves").replace("3 rolls", "8 rolls"),  # one value became two
+        "Then we saw how she puts 5 loaves and 6 rolls on the floor of the hall.",  # the clash is inside the only window
+    ]
+    frame(spark, [(i, t, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, OTHER), (2, item), (3, "puts 3 loaves and 3 rolls on the")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in QUERIES["op3_decontaminate"](spark, str(tmp_path)).collect()}
+    assert got[0, 1] is not None and got[1, 2] is not None
+    assert set(got) == {(0, 1), (1, 2)}
+    kept = corpus_pipeline.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [2]
