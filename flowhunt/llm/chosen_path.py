@@ -9,7 +9,7 @@ Jaccard similarity s >= threshold share a branch with probability of about 1 - e
 A set's branches depend on nothing but the set, so each document writes down those below the roots itself. Buckets of at most ``SMALL`` sets stop there, and so do larger ones whose sets are mostly alike; others
 are split at the next level (there, a set's tokens are its min-hashes). What is still large at the last
 level is compared in blocks: no bucket is cut. ``runs_for`` repeats runs until a pair at the threshold is
-missed with at most the stated probability.
+missed with at most the stated probability, even if all buckets it shares above the last level are split.
 
 Inside a bucket min-hash sketches are compared: a search from row to row over those not reached yet, which
 finds the same components as all pairs. A bucket gives back a spanning forest, never all pairs, and
@@ -73,9 +73,24 @@ def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def runs_for(miss: float = MISS) -> int:
-    """Runs after which a pair at the threshold shares no first-level branch with probability ``miss``."""
-    return math.ceil(math.log(1 / miss))
+def runs_for(miss: float = MISS, threshold: float = THRESHOLD, levels: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold shares no branch of the last level with probability ``miss``.
+
+    A pair shares about one branch of the root, and below each node as many as its equal min-hashes over those of
+    a pair at the threshold; equal ones are the same in all runs, so the mean is over their number.
+    """
+    need = math.ceil((threshold - SLACK) * SKETCH)  # with fewer the sketches part the pair
+    equal = [(k, math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) for k in range(need, SKETCH + 1)]
+    extinct = []
+    for k, chance in equal:
+        lost = 0.0
+        for level in range(levels):  # from the last level up to the root
+            lost = math.exp((1 if level == levels - 1 else k / (SKETCH * threshold)) * (lost - 1))
+        extinct.append((lost, chance))
+    runs = 1
+    while sum(chance * lost**runs for lost, chance in extinct) > miss:
+        runs += 1
+    return runs
 
 
 def sketch(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
@@ -391,7 +406,7 @@ def join_similar(
 ) -> DataFrame:
     """One row per document: key, copy_id (smallest id with the same set), class_id (smallest id of the linked
     documents), n_links (documents with similarity at least ``threshold``, copies included, itself not)."""
-    signed = materialize(signatures(docs, key, text, runs_for(miss), threshold), "signatures")
+    signed = materialize(signatures(docs, key, text, runs_for(miss, threshold), threshold), "signatures")
     members = materialize(_classes(signed.groupBy("id").agg(F.min("set_key").alias("set_key"))), "set-classes")
     reps = members.filter("id = rep AND set_key <> ''").select("id", "set_key", "copies")
 

@@ -129,6 +129,43 @@ def test_branches_meet_for_similar_sets():
     assert first >= 298 and below >= 298
 
 
+def test_runs_reach_the_last_level():
+    rng = np.random.default_rng(3)
+    runs = chosen_path.runs_for()
+    missed = 0
+    for _ in range(3000):
+        a = rng.integers(0, 2**63, 150).astype(np.uint64)
+        b = a[:120]  # similarity 0.8 by containment
+        codes = [chosen_path.sketch(x)[None, :] for x in (a, b)]
+        nodes = np.intersect1d(*(chosen_path.first_branches(x, runs) for x in (a, b)))
+        for _ in range(chosen_path.DEPTH - 1):
+            below = [chosen_path.next_branches(nodes, np.repeat(c, len(nodes), axis=0))[1] for c in codes]
+            nodes = np.intersect1d(*below)
+        missed += not nodes.size
+    assert missed == 0
+
+
+def test_jaccard_join_over_split_buckets(spark, monkeypatch):
+    rng = random.Random(11)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(20)]
+    texts = []
+    for _ in range(600):  # each passage stands in about 600 of 1200 documents
+        words = sum((passages[i] for i in sorted(rng.sample(range(20), 10))), [])
+        texts += [" ".join(words), " ".join(words[: int(len(words) * 0.81)])]
+    sets = [np.unique(list(map(hash, s))) for s in ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts))]
+    held = np.zeros((len(texts), len(tokens := np.unique(np.concatenate(sets)))), np.float32)
+    for i, x in enumerate(sets):
+        held[i, np.searchsorted(tokens, x)] = 1
+    both, sizes = held @ held.T, held.sum(axis=1)
+    close = both >= 0.8 * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    np.fill_diagonal(close, False)
+    split = []
+    monkeypatch.setattr(chosen_path, "_split", lambda m, t, f=chosen_path._split: split.append(m.count()) or f(m, t))
+    got = {r.doc_id: r.n_links for r in chosen_path.join_similar(frame(spark, texts)).collect()}
+    assert split and split[0] > chosen_path.SMALL
+    assert got == {i: int(n) for i, n in enumerate(close.sum(axis=1))}
+
+
 def test_spread_equals_components_of_all_pairs():
     rng = np.random.default_rng(1)
     for n in (1, 2, 30, 200):
