@@ -4,16 +4,16 @@ Fixed patterns find labelled secrets. Everything else that could be one, a long
 scored by two first-order character Markov models, one of random strings and one of ordinary identifiers;
 the sum of log-likelihood ratios over its transitions decides.
 
-The models are trained from labelled samples of the table itself: strings that a fixed pattern found are
-the random ones, other words of ``WORD_LENGTH`` characters or more the ordinary ones. Training reads
-about ``SAMPLE_DOCS`` documents at any table size; scanning covers every whole text.
+The models are trained from the table itself: strings that a fixed pattern found are the random ones, other
+words of ``WORD_LENGTH`` characters or more the ordinary ones. Training counts the transitions of all rows,
+however rare labelled secrets are; scanning covers every whole text.
 
 Positions: the gaps that ``split`` leaves between the matches and the lengths of the matches add up to
 code-point offsets, in one pass over the matches.
 
 Defined cases: null text counts as empty and gives no span. Spans of the models never overlap a pattern's.
 Rows are independent, so repeated rows and ids repeat their result. Without any labelled secret in the
-sample both models are uniform over what they saw and no span is added. Other columns are not read.
+table both models are uniform over what they saw and no span is added. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ KINDS = (
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
-SAMPLE_DOCS = 10_000
 WORD_LENGTH = 8
 SMOOTHING = 0.5
 LEAST_RATIO = 10.0
@@ -73,10 +72,9 @@ def _pairs(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.substring(token, i, F.lit(2)))
 
 
-def fit_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def fit_ratios(docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio random / ordinary of every transition, row by row over ``ALPHABET``."""
-    step = max(1, math.ceil(docs.count() / sample_docs))
-    sample = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(step)) == 0).select(whole(text).alias("body"))
+    bodies = docs.select(whole(text).alias("body"))
     random = F.concat(*[
         F.filter(F.regexp_extract_all("body", F.lit(p), F.lit(g)), lambda v, n=n: F.length(v) >= n) for _, p, g, n in KINDS
     ])
@@ -84,7 +82,7 @@ def fit_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_
     for _, pattern, _, _ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
     ordinary = F.regexp_extract_all(rest, F.lit(f"[A-Za-z][A-Za-z0-9_-]{{{WORD_LENGTH - 1},}}"), F.lit(0))
-    tokens = sample.select(
+    tokens = bodies.select(
         F.explode(F.concat(
             F.transform(random, lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))),
             F.transform(ordinary, lambda v: F.struct(F.lit(0).alias("random"), v.alias("token"))),

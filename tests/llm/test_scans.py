@@ -55,6 +55,19 @@ def test_models_tell_random_from_words(spark):
     assert got == {1: [(4, 4 + len(run), "markov")], 2: []}
 
 
+def test_rare_secrets_train_the_model_at_any_size(spark):
+    words = "configuration_value internationalisation get_connection_timeout handle_request_error parse_arguments"
+    secret = F.concat(F.lit(' token = "'), F.sha2(F.col("id").cast("string"), 256), F.lit('"'))
+    rare = (F.col("id") % 6000 == 77) & (F.pmod(F.xxhash64("id"), F.lit(6)) != 0)  # a hash sample of 10,000 rows held none
+    docs = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(words), F.when(rare, secret).otherwise("")).alias("text")
+    )
+    ratios = secrets.fit_ratios(docs)
+    run = "8d2f9c01b7e6-4a35d0c9f8e7a6"
+    found = secrets.scan_secrets(spark.createDataFrame([(1, f"see {run} and {words}")], "doc_id long, text string"), ratios)
+    assert [(s.start, s.end, s.kind) for s in found.first().added] == [(4, 4 + len(run), "markov")]
+
+
 def test_ratio_is_the_sum_over_transitions(spark):
     size = len(secrets.ALPHABET)
     ratios = [float(i % 7) for i in range(size * size)]
