@@ -539,9 +539,8 @@ def label_file(spark, sf_dir):
     flows = _flows(spark, sf_dir)
     path = scratch_path(spark, "label-file")
     keys = flows.filter(role_of_source(F.col("src_ip")) == 0).select(F.concat("src_ip", F.lit("_*_TCP")).alias("key")).distinct()
-    pairs = F.map_from_entries(F.collect_list(F.struct("key", F.lit("PORT_SCAN").alias("label"))))
-    keys.agg(pairs.alias("sample_labels")).coalesce(1).write.json(path)
-    truth = ground_truth.read_ground_truth(spark, path)
+    ground_truth.write_label_lines(keys.withColumn("label", F.lit("PORT_SCAN")), path)
+    truth = ground_truth.read_ground_truth(spark, path, lines=True)
     labels = ground_truth.parse_label_keys(ground_truth.label_rows(truth))
     return ground_truth.label_flows(flows, labels).select(*FLOW_KEY, "truth_label")
 

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowhunt.schemas import FLOW_KEY, GROUND_TRUTH
+from flowhunt.session import materialize
 
 # Split from the right: the source's name may hold underscores.
 _KEY_PATTERN = r"^([^:]+?)(?::(\d+|\*))?_([^_:]+)(?::(\d+|\*))?_([^_:]+)$"
 BROADCAST_LABELS = 100_000
+LINE_LABELS = 1000  # labels in a line's map, on average
 
 
-def read_ground_truth(spark: SparkSession, path: str | None) -> DataFrame:
-    """The label maps as one row; empty maps if there is no file."""
+def write_label_lines(labels: DataFrame, path: str, which: str = "sample_labels", per_line: int | None = None) -> None:
+    """Write (key, label) rows as JSON Lines, a map for each hash bucket of keys; of a key's labels the first is kept."""
+    labels = materialize(labels.groupBy("key").agg(F.min("label").alias("label")), "labels")
+    buckets = labels.count() // (per_line or LINE_LABELS) + 1
+    pairs = F.map_from_entries(F.collect_list(F.struct("key", "label")))
+    lines = labels.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).agg(pairs.alias(which))
+    lines.select(which).write.json(path)
+
+
+def read_ground_truth(spark: SparkSession, path: str | None, lines: bool = False) -> DataFrame:
+    """The label maps: one row a file, or a line with ``lines``; a row of empty maps if there is no file."""
     empty = spark.range(1).select(
         *[F.create_map().cast(f.dataType).alias(f.name) for f in GROUND_TRUTH.fields]
     )
     if path is None:
         return empty
-    return spark.read.schema(GROUND_TRUTH).option("multiLine", True).json(path)
+    return spark.read.schema(GROUND_TRUTH).option("multiLine", not lines).json(path)
 
 
 def label_rows(truth: DataFrame, which: str = "sample_labels") -> DataFrame:

@@ -271,3 +271,36 @@ def test_pages_after_a_number(spark):
     first = [r.alert_no for r in al.query_alerts(alerts, severity="LOW", after=0, page_size=10).collect()]
     second = [r.alert_no for r in al.query_alerts(alerts, severity="LOW", after=first[-1], page_size=10).collect()]
     assert first + second == [r.alert_no for p in (1, 2) for r in al.query_alerts(alerts, severity="LOW", page=p, page_size=10).collect()]
+
+
+def test_label_lines_hold_bounded_maps(spark, tmp_path):
+    keys = [(f"10.0.{i // 250}.{i % 250}_*_TCP", "PORT_SCAN") for i in range(3000)]
+    labels = spark.createDataFrame(keys + keys[:5] + [(keys[0][0], "A_SCAN")], "key STRING, label STRING")
+    path = str(tmp_path / "labels")
+    ground_truth.write_label_lines(labels, path, per_line=50)
+    truth = ground_truth.read_ground_truth(spark, path, lines=True)
+    sizes = [r[0] for r in truth.select(F.size("sample_labels")).collect()]
+    assert len(sizes) > 40 and max(sizes) < 150
+    got = sorted(tuple(r) for r in ground_truth.label_rows(truth).collect())
+    assert got == sorted([(keys[0][0], "A_SCAN")] + keys[1:])
+    ground_truth.write_label_lines(labels.limit(0), str(tmp_path / "none"))
+    assert ground_truth.label_rows(ground_truth.read_ground_truth(spark, str(tmp_path / "none"), lines=True)).count() == 0
+
+
+def test_label_file_query_equals_sql(spark, monkeypatch):
+    import os
+
+    from flowhunt.plans.catalog import QUERIES
+    from flowhunt.plans.oracle import ORACLE
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("driver tables not present")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    monkeypatch.setattr(ground_truth, "LINE_LABELS", 2)
+    got, want = QUERIES["label_file"](spark, sf_dir).toPandas(), con.execute(ORACLE["label_file"]).df()
+    rows = [sorted(map(str, f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))) for f in (got, want)]
+    assert rows[0] == rows[1]
