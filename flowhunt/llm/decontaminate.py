@@ -13,8 +13,10 @@ Benchmark hashes are looked up inside the tasks when there are at most ``in_task
 windows of the documents go to the join. The join compares the window texts, so a hash collision adds
 nothing. Both ways return the same rows.
 
-Items shorter than a window but of at least ``shortest`` tokens are matched as one window of their own
-length; still shorter ones are never matched. A window must hold ``LEAST_WORDS`` ordinary words.
+Items shorter than a window are matched as one window of their own length. Windows of an item that hold fewer
+than ``LEAST_WORDS`` ordinary words, and items of fewer than ``shortest`` tokens, are compared exactly, with the
+slot values in place of the placeholders and whatever the document's tokens count as. So an item of one word is
+found wherever the word stands.
 
 Defined cases: null texts count as empty and match nothing. Rows with equal ids are told apart by their text;
 repeated rows give one result row. An empty benchmark or table gives an empty result.
@@ -101,39 +103,55 @@ _FOUND = pa.schema(
 )
 
 
-def _find(texts: list[str], hasher: Hasher, sizes: list[int], wanted: dict[int, np.ndarray] | None, own_size: bool):
-    """Text of each window found, and the columns of ``_FOUND``. All texts of a batch are hashed at once."""
+Wanted = dict[int, "np.ndarray | None"]  # sizes of windows, and the hashes to look for; None: every window
+
+
+def _find(texts: list[str], hasher: Hasher, wanted: dict[bool, Wanted], own_size: bool, shortest: int):
+    """Text of each window found, and the columns of ``_FOUND``. All texts of a batch are hashed at once.
+
+    ``wanted`` is by kind of window: exact or template. The body of an exact one starts with "=".
+    """
     parts = [template(t) for t in texts]
     tokens = [t for part, _ in parts for t in part]
     lengths = np.array([len(part) for part, _ in parts], np.int64)
     owner = np.repeat(np.arange(len(parts)), lengths)
     first = np.cumsum(lengths) - lengths
     hashes = hasher(tokens)
+    slots = [(int(first[who]) + at, value) for who, (_, values) in enumerate(parts) for at, value in values.items()]
+    plain, plain_hashes = list(tokens), hashes.copy()
+    for at, value in slots:
+        plain[at] = value
+    if slots and wanted[True]:
+        plain_hashes[[at for at, _ in slots]] = hasher([value for _, value in slots])
     owners: list[int] = []
     out: list[tuple] = []
-    for size in sizes:
-        keys = window_hashes(hashes, size)
+    for exact, size in [(exact, size) for exact, sizes in wanted.items() for size in sizes]:
+        looked_for = wanted[exact][size]
+        keys = window_hashes(plain_hashes if exact else hashes, size)
         ok = owner[: len(keys)] == owner[size - 1 :] if len(keys) else np.zeros(0, bool)
         if own_size:  # a text shorter than the longest window is one window
-            ok &= np.minimum(lengths, max(sizes))[owner[: len(keys)]] == size
-        if wanted is not None:
-            at = np.minimum(np.searchsorted(wanted[size], keys), len(wanted[size]) - 1)
-            ok &= wanted[size][at] == keys
+            ok &= np.minimum(lengths, max(wanted[True]))[owner[: len(keys)]] == size
+        if looked_for is not None:
+            at = np.minimum(np.searchsorted(looked_for, keys), len(looked_for) - 1)
+            ok &= looked_for[at] == keys
         for i in np.flatnonzero(ok).tolist():
             body = tokens[i : i + size]
-            if sum(t[0] != "<" for t in body) < LEAST_WORDS:
+            enough = size >= shortest and sum(t[0] != "<" for t in body) >= LEAST_WORDS
+            if enough if exact and own_size else not enough and not exact:
                 continue
             who = int(owner[i])
             at = i - int(first[who])
             values = parts[who][1]
-            slots = " ".join(values.get(at + j, "-") for j in range(size))
+            if exact:
+                body = plain[i : i + size]
+            # A document's window found exactly has the item's values, whatever they count as there.
+            now = " ".join(body) if exact and not own_size else " ".join(values.get(at + j, "-") for j in range(size))
             owners.append(who)
-            out.append((size, at, int(keys[i].view(np.int64)), " ".join(body), slots))
+            out.append((size, at, int(keys[i].view(np.int64)), "=" * exact + " ".join(body), now))
     return owners, list(zip(*out)) if out else [()] * len(_FOUND)
 
 
-def _windows(rows: DataFrame, key: str, text: str, sizes: list[int], wanted: dict[int, np.ndarray] | None,
-             own_size: bool) -> DataFrame:
+def _windows(rows: DataFrame, key: str, text: str, wanted: dict[bool, Wanted], own_size: bool, shortest: int) -> DataFrame:
     """id, print and the columns of ``_FOUND``, one row per window."""
     small_batches(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
@@ -141,7 +159,7 @@ def _windows(rows: DataFrame, key: str, text: str, sizes: list[int], wanted: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            owners, columns = _find(batch.column(2).to_pylist(), hasher, sizes, wanted, own_size)
+            owners, columns = _find(batch.column(2).to_pylist(), hasher, wanted, own_size, shortest)
             part = batch.select([0, 1]).take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *[pa.array(c, f.type) for c, f in zip(columns, _FOUND)]],
@@ -158,21 +176,27 @@ def leaks(
     item_text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, in_task: int = IN_TASK, per_window: bool = False,
 ) -> DataFrame:
     """One row per leaked item of a document: key, print (hash of its text), item, n_windows, n_slots, verbatim."""
-    sizes = list(range(shortest, window + 1))
+    every = dict.fromkeys(range(1, window + 1))
     items = materialize(
-        _windows(benchmark, item, item_text, sizes, None, own_size=True).select(
+        _windows(benchmark, item, item_text, {False: every, True: every}, True, shortest).select(
             F.col("id").alias("item"), "size", F.col("at").alias("item_at"), "hash", "body", F.col("slots").alias("item_slots")
         ),
         "benchmark-windows",
     )
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most window of them
-    wanted = None
-    if items.count() <= in_task:
-        found = items.select("size", "hash").distinct().collect()
-        wanted = {n: np.sort(np.array([r["hash"] for r in found if r["size"] == n], np.int64).view(np.uint64)) for n in sizes}
-    windows = _windows(docs, key, text, sizes, wanted, own_size=False)
+    exact = F.col("body").startswith("=").alias("exact")
+    sizes = items.select(exact, "size").distinct().collect()  # at most twice window of them
+    wanted = {kind: {r["size"]: None for r in sizes if r["exact"] == kind} for kind in (False, True)}
+    in_tasks = items.count() <= in_task
+    if in_tasks:
+        found = items.select(exact, "size", "hash").distinct().collect()
+        hashes = {(r["exact"], r["size"]): [] for r in sizes}
+        for r in found:
+            hashes[r["exact"], r["size"]].append(r["hash"])
+        for (kind, n), values in hashes.items():
+            wanted[kind][n] = np.sort(np.array(values, np.int64).view(np.uint64))
+    windows = _windows(docs, key, text, wanted, False, shortest)
     items = items.drop("size")
-    if wanted is not None:
+    if in_tasks:
         items = F.broadcast(items)  # counted above
     pairs = windows.join(items, ["hash", "body"]).select(
         "id", "print", F.col("item"), (F.col("at") - F.col("item_at")).alias("offset"), "item_at",

@@ -237,3 +237,17 @@ def test_a_slot_clash_takes_no_other_window_away(spark, tmp_path):
     assert set(got) == {(0, 1), (1, 2)}
     kept = corpus_pipeline.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert [r.doc_id for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("in_task", [10**6, 0])
+@pytest.mark.parametrize("per_window", [False, True])
+def test_short_items_and_windows_of_slots_match_exactly(spark, in_task, per_window):
+    items = ["What is 12 plus 30?", "Compute 3 + 5 * 7 - 2", "Name two primes", "Quokka", "In Rome with Anna Bob 1 2 3 4 5 6 7 8 9", "", "?!"]
+    texts = [
+        "First: what is 12 plus 30? Then more.", "What is 12 plus 31?", "compute 3 5 7 2", "Compute 3 + 5 * 7 - 4", "please name two primes now",
+        "name two numbers", "the Quokka sleeps", "quokkas sleep", "so 1 2 3 4 5 6 7 8 9 it goes", "so 1 2 3 4 5 6 7 9 8 it goes", "", None,
+    ]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.leaks(docs, benchmark, in_task=in_task, per_window=per_window).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)} and all(r.verbatim for r in got)
