@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowhunt.llm import chosen_path, decontaminate, exact_dedup, language_id, license_scan, piece_coding, secrets, suffix_dedup, token_counts, toxicity
+from flowhunt.llm import (
+    chosen_path, decontaminate, exact_dedup, hard_negatives, importance, language_id, license_scan, packing, piece_coding, secrets,
+    suffix_dedup, token_counts, toxicity,
+)
 from flowhunt.llm.common import documents, fold
 from flowhunt.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.importance(documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    packed = packing.pack(packing.token_pieces(documents(spark, sf_dir), *paths))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, label=label)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,4 +103,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_piece_coding": op9_piece_coding,
     "op10_token_counts": op10_token_counts,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
