@@ -9,15 +9,17 @@ anchors, and the strings of one anchor follow one another, so a document is cut
 one anchor, one anchor in about 17 bytes.
 
 1. Document shards sort the hashes of their anchors. Per range of hashes, the sorted arrays of all shards are
-   merged by binary search, and each shard learns which of its anchors occur in another document.
+   merged by binary search, and each shard learns which of its anchors occur in another document, and which are hot.
 2. For those, each shard sends the run's bytes (at most 82), equal runs once with their smallest id, to the
-   suffix shard of the anchor's hash. A suffix shard builds the suffix array of its runs by Larsson-Sadakane
-   refinement and their common prefixes by Kasai's method; neighbours with ``length`` common bytes form a class,
-   and a class's smallest id decides its strings.
+   suffix shard of the anchor's hash. An anchor with one run there is decided by the smallest id. For the others a
+   suffix shard builds the suffix array of the runs by Larsson-Sadakane refinement and their common prefixes by
+   Kasai's method; neighbours with ``length`` common bytes form a class, and a class's smallest id decides its strings.
 3. The decisions, a bit a string, go back to the document shards, which cover and cut their texts.
 
 Hashes only bring strings together; whether two are equal is always decided on the bytes. A passage
-that very many documents hold is one run a shard. The dealt texts are shuffled once; the three steps read
+that very many documents hold is one run a shard. A short string that very many documents hold in different
+contexts would bring all of those to one suffix shard: the runs of such a hot anchor are taken apart, and each
+string goes where its own digest says, once a shard. The dealt texts are shuffled once; the three steps read
 that one exchange. The number of shards follows the bytes of the table.
 
 Defined cases: null text is empty. Texts shorter than ``length`` keep everything. Rows with equal ids never
@@ -41,7 +43,8 @@ LENGTH = 50
 GRAM = 18
 SHARD_BYTES = 8_000_000
 SUFFIX_SHARDS = 4  # for each document shard
-BLOCK = 1_000_000  # strings looked at at once; bounds memory inside a shard
+HOT = 20_000  # occurrences of an anchor from which its strings travel one by one
+BLOCK = 1 << 16  # strings looked at at once: arrays of this size stay in the processor's cache
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _LOW = np.uint64((1 << 24) - 1)
@@ -176,6 +179,35 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, starts: np.ndarray, li
     return out
 
 
+_WIDTH = -(-(2 * LENGTH - GRAM + 1) // 8) * 8  # bytes of a run's row: whole words, and room for one byte more
+
+
+def byte_rows(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int = _WIDTH) -> np.ndarray:
+    """The ``sizes`` bytes from ``first`` on as rows of ``width`` bytes, zero behind them; read in words of eight."""
+    padded = np.r_[codes, np.zeros(width + 8, np.uint8)]
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    rows = words[first[:, None] + np.arange(0, width, 8)].view(np.uint8).reshape(len(first), width)
+    rows[np.arange(width) >= sizes[:, None]] = 0
+    return rows
+
+
+def digests(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row; the rows' width is a multiple of eight bytes."""
+    words = np.ascontiguousarray(rows).view("<u8").reshape(len(rows), rows.shape[1] // 8)
+    out = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        out = _join(out, words[:, k])
+    return out
+
+
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each content, and the content of each row. Digests sort them, the bytes decide."""
+    _, kept, which = np.unique(digests(rows), return_index=True, return_inverse=True)
+    if not np.array_equal(rows, rows[kept[which]]):  # two contents with one digest
+        _, kept, which = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return kept, which
+
+
 class _Shard:
     """The documents of a shard as one array of bytes."""
 
@@ -195,29 +227,38 @@ class _Shard:
         hashes = np.unique(self.hashes)
         return hashes, _slices(_bucket(hashes, buckets))
 
-    def runs(self, masks: dict[int, bytes], buckets: int):
-        """Runs with a shared anchor: their rows, their distinct contents in sending order, and who has which."""
+    def runs(self, masks: dict[int, tuple[bytes, bytes]], buckets: int):
+        """Runs with a shared anchor, those of hot anchors string by string.
+
+        First string and owner of each, which distinct content it has, and of the contents in sending order: bytes,
+        number of strings, smallest id, bucket.
+        """
         hashes, parts = self.anchors(buckets)
-        shared = [
-            hashes[r[np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(r)).astype(bool)]] for b, r in parts if b in masks
-        ]
-        shared = np.concatenate(shared) if shared else np.zeros(0, np.uint64)
-        rows = np.flatnonzero(np.isin(self.hashes, shared))
-        width = 2 * LENGTH - GRAM + 1
-        content = np.zeros((len(rows), width + 9), np.uint8)  # bytes, number of strings, anchor hash
-        sizes = self.count[rows] + LENGTH - 1
-        for j in range(width):
-            some = sizes > j
-            content[some, j] = self.codes[self.first[rows[some]] + j]
-        content[:, width] = self.count[rows]
-        content[:, width + 1 :] = self.hashes[rows].astype(">u8").view(np.uint8).reshape(-1, 8)
-        distinct, which = np.unique(content.view(f"V{width + 9}").ravel(), return_inverse=True)
-        content = distinct.view(np.uint8).reshape(-1, width + 9)
-        least = np.full(len(distinct), _LAST)
-        np.minimum.at(least, which, self.owner[rows])
-        hashes = np.ascontiguousarray(content[:, width + 1 :]).view(">u8").ravel().astype(np.uint64)
-        bucket = _bucket(hashes, buckets)
-        return rows, which, content[:, :width], content[:, width].astype(np.int64), least, bucket
+        state = np.zeros(len(hashes), np.uint8)  # 1 shared, 2 hot
+        for b, r in parts:
+            if b in masks:
+                state[r] = sum(np.unpackbits(np.frombuffer(m, np.uint8), count=len(r)) for m in masks[b] if m)
+        of = state[np.searchsorted(hashes, self.hashes)]
+        rows, hot = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
+        first, count, owner, hashed = self.first[rows], self.count[rows], self.owner[rows], self.hashes[rows]
+        if hot.size:
+            n = self.count[hot]
+            single = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            apart = digests(byte_rows(self.codes, single, np.full(len(single), LENGTH)))
+            first, count = np.r_[first, single], np.r_[count, np.ones(len(single), np.int64)]
+            owner, hashed = np.r_[owner, np.repeat(self.owner[hot], n)], np.r_[hashed, apart]
+        content = byte_rows(self.codes, first, count + LENGTH - 1)
+        content[:, -1] = count
+        content = np.hstack([content, hashed.astype("<u8").view(np.uint8).reshape(-1, 8)])
+        kept, which = distinct_rows(content)
+        # Contents that begin alike side by side: they compress better.
+        order = np.argsort(content[kept, :8].copy().view(">u8").ravel(), kind="stable")
+        place = np.empty(len(kept), np.int64)
+        place[order] = np.arange(len(kept))
+        kept, which = kept[order], place[which]
+        least = np.full(len(kept), _LAST)
+        np.minimum.at(least, which, owner)
+        return first, owner, which, content[kept, :_WIDTH], count[kept], least, _bucket(hashed[kept], buckets)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -239,7 +280,8 @@ def _anchors(buckets: int):
         low, high = np.full(len(hashes), _LAST), np.full(len(hashes), np.iinfo(np.int64).min)
         np.minimum.at(low, at, shard.owner)
         np.maximum.at(high, at, shard.owner)
-        counts = np.where(low < high, 2, 1).astype(np.uint8)
+        # One where a single document has it, else how often it occurs.
+        counts = np.where(low < high, np.minimum(np.bincount(at, minlength=len(hashes)), 65_535), 1).astype(np.uint16)
         return pa.table({
             "bucket": pa.array([b for b, _ in parts], pa.int64()),
             "shard": pa.array([table.column("shard")[0].as_py()] * len(parts), pa.int64()),
@@ -250,38 +292,53 @@ def _anchors(buckets: int):
     return work
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of each shard a bit for each of its anchors: whether another document has it too."""
-    shards = table.column("shard").to_pylist()
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    tree = [(k, np.frombuffer(c, np.uint8).astype(np.int64)) for k, c in zip(keys, table.column("counts").to_pylist())]
-    while len(tree) > 1:
-        tree = [merge_counts(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
-    merged = tree[0][0][tree[0][1] > 1]
-    masks = [np.isin(k, merged, assume_unique=True) for k in keys]
-    some = [i for i, m in enumerate(masks) if m.any()]
-    bucket = table.column("bucket").to_pylist()
-    return pa.table({
-        "shard": pa.array([shards[i] for i in some], pa.int64()),
-        "bucket": pa.array([bucket[i] for i in some], pa.int64()),
-        "mask": pa.array([np.packbits(masks[i]).tobytes() for i in some], pa.binary()),
-    })
+def _shared(hot: int):
+    def work(table: pa.Table) -> pa.Table:
+        """Of each shard two bits for each of its anchors: whether another document has it too, and whether it is hot."""
+        shards = table.column("shard").to_pylist()
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        tree = [(k, np.frombuffer(c, np.uint16).astype(np.int64)) for k, c in zip(keys, table.column("counts").to_pylist())]
+        while len(tree) > 1:
+            tree = [merge_counts(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
+        merged, counts = tree[0]
+        masks = [np.isin(k, merged[counts > 1], assume_unique=True) for k in keys]
+        hottest = [np.isin(k, merged[counts > hot], assume_unique=True) for k in keys]
+        some = [i for i, m in enumerate(masks) if m.any()]
+        bucket = table.column("bucket").to_pylist()
+        return pa.table({
+            "shard": pa.array([shards[i] for i in some], pa.int64()),
+            "bucket": pa.array([bucket[i] for i in some], pa.int64()),
+            "mask": pa.array([np.packbits(masks[i]).tobytes() for i in some], pa.binary()),
+            "hot": pa.array([np.packbits(hottest[i]).tobytes() if hottest[i].any() else b"" for i in some], pa.binary()),
+        })
+
+    return work
+
+
+def _masks(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
+    """Per bucket the shared and the hot anchors, where the bucket has any."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("bucket", "mask", "hot")))
+    return {b: (mask, hot) for b, mask, hot in rows if mask}
 
 
 def _send(buckets: int):
     def work(docs: pa.Table, shared: pa.Table) -> pa.Table:
         shard, pack = _Shard(docs), zstandard.ZstdCompressor(level=3)
-        masks = dict(zip(shared.column("bucket").to_pylist(), shared.column("mask").to_pylist()))
-        _, _, content, count, least, bucket = shard.runs(masks, buckets)
+        masks = _masks(shared)
+        _, _, _, content, count, least, bucket = shard.runs(masks, buckets)
         inside = np.arange(content.shape[1]) < (count + LENGTH - 1)[:, None]
-        parts = _slices(bucket)
+        rows = dict(_slices(bucket))
+        # A bucket all of whose anchors are hot gets no run, but its bits must come back.
+        named = sorted(masks.keys() | rows.keys())
+        parts = [rows.get(b, np.zeros(0, np.int64)) for b in named]
         return pa.table({
-            "bucket": pa.array([b for b, _ in parts], pa.int64()),
-            "shard": pa.array([docs.column("shard")[0].as_py()] * len(parts), pa.int64()),
-            "mask": pa.array([masks[b] for b, _ in parts], pa.binary()),
-            "codes": pa.array([pack.compress(content[r][inside[r]].tobytes()) for _, r in parts], pa.binary()),
-            "counts": pa.array([count[r].astype(np.uint8).tobytes() for _, r in parts], pa.binary()),
-            "least": pa.array([least[r].tobytes() for _, r in parts], pa.binary()),
+            "bucket": pa.array(named, pa.int64()),
+            "shard": pa.array([docs.column("shard")[0].as_py()] * len(named), pa.int64()),
+            "mask": pa.array([masks.get(b, (b"", b""))[0] for b in named], pa.binary()),
+            "hot": pa.array([masks.get(b, (b"", b""))[1] for b in named], pa.binary()),
+            "codes": pa.array([pack.compress(content[r][inside[r]].tobytes()) for r in parts], pa.binary()),
+            "counts": pa.array([count[r].astype(np.uint8).tobytes() for r in parts], pa.binary()),
+            "least": pa.array([least[r].tobytes() for r in parts], pa.binary()),
         })
 
     return work
@@ -293,31 +350,55 @@ def decide(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, length: int
     ``codes``: the runs' bytes one after the other, ``counts``: strings a run, ``least``: id a run.
     """
     sizes = counts + length - 1
-    starts = np.cumsum(sizes) - sizes
-    # Equal runs of several shards enter the suffix array once.
-    width = int(sizes.max(initial=0))
-    padded = np.zeros((len(counts), width + 1), np.uint8)
-    padded[np.arange(width + 1) < sizes[:, None]] = codes
-    padded[:, width] = counts
-    _, kept, which = np.unique(padded.view(f"V{width + 1}").ravel(), return_index=True, return_inverse=True)
-    text = padded[kept, :width][np.arange(width) < sizes[kept][:, None]]
+    # Equal runs of several shards count once.
+    width = -(-(int(sizes.max(initial=0)) + 1) // 8) * 8
+    rows = byte_rows(codes, np.cumsum(sizes) - sizes, sizes, width)
+    rows[:, -1] = counts
+    kept, which = distinct_rows(rows)
     ids = np.full(len(kept), _LAST)
     np.minimum.at(ids, which, least)
-    own_sizes = sizes[kept]
-    own_starts = np.cumsum(own_sizes) - own_sizes
 
-    order = suffix_array(text)
-    prefixes = common_prefixes(text, order, own_starts, length)
-    group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(prefixes < length)
-    owner = np.repeat(np.arange(len(kept)), own_sizes)
-    is_string = np.arange(len(text)) - own_starts[owner] < counts[kept][owner]
-    smallest = np.full(len(text) + 1, _LAST)
-    np.minimum.at(smallest, group[is_string], ids[owner[is_string]])
+    # Equal strings have equal anchors: a content with an anchor of its own shares no string with others.
+    own_counts, own_sizes = counts[kept], sizes[kept]
+    text = rows[kept][np.arange(width) < own_sizes[:, None]]
+    ends = np.cumsum(own_sizes)
+    first, _, hashes = anchored_runs(text, ends)
+    of = np.searchsorted(ends, first, side="right")
+    pairs = np.unique(np.column_stack([hashes, of.astype(np.uint64)]), axis=0) if len(first) != len(kept) else np.column_stack([hashes, of.astype(np.uint64)])
+    _, at, times = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    meets = np.zeros(len(kept), bool)
+    meets[pairs[times[at] > 1, 1].astype(np.int64)] = True
+    smallest, place = _smallest_ids(text, own_counts, own_sizes, ids, np.flatnonzero(meets), length)
 
     of = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return smallest[group[own_starts[which[of]] + at]] < least[of]
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    content = which[of]
+    decided = ids[content]
+    shared = meets[content]
+    decided[shared] = smallest[place[content[shared]] + inner[shared]]
+    return decided < least[of]
+
+
+def _smallest_ids(text, counts, sizes, ids, members, length) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id of any string at each place of the ``members``' bytes, and where each member's bytes begin."""
+    begins = np.cumsum(sizes) - sizes
+    place = np.zeros(len(sizes), np.int64)
+    if not members.size:
+        return np.zeros(0, np.int64), place
+    own = sizes[members]
+    starts = np.cumsum(own) - own
+    place[members] = starts
+    owner = np.repeat(np.arange(len(members)), own)
+    inner = np.arange(len(owner)) - starts[owner]
+    codes = text[begins[members][owner] + inner]
+    order = suffix_array(codes)
+    prefixes = common_prefixes(codes, order, starts, length)
+    group = np.empty(len(codes), np.int64)
+    group[order] = np.cumsum(prefixes < length)
+    is_string = inner < counts[members][owner]
+    smallest = np.full(len(codes) + 1, _LAST)
+    np.minimum.at(smallest, group[is_string], ids[members][owner[is_string]])
+    return smallest[group], place
 
 
 def _decide(table: pa.Table) -> pa.Table:
@@ -329,7 +410,7 @@ def _decide(table: pa.Table) -> pa.Table:
     )
     cuts = np.cumsum([c.sum() for c in counts])[:-1]
     return pa.table({
-        "shard": table.column("shard"), "bucket": table.column("bucket"), "mask": table.column("mask"),
+        **{c: table.column(c) for c in ("shard", "bucket", "mask", "hot")},
         "bits": pa.array([np.packbits(b).tobytes() for b in np.split(bits, cuts)], pa.binary()),
     })
 
@@ -339,12 +420,10 @@ def _cut(buckets: int):
         shard = _Shard(docs)
         gone = np.zeros(len(shard.codes) + 1, np.int32)
         if answers.num_rows:
-            bits, masks = (
-                dict(zip(answers.column("bucket").to_pylist(), answers.column(c).to_pylist())) for c in ("bits", "mask")
-            )
-            rows, which, _, count, least, bucket = shard.runs(masks, buckets)
+            bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+            first, owner, which, _, count, least, bucket = shard.runs(_masks(answers), buckets)
             begin = np.zeros(len(count), np.int64)
-            flags, done = [], 0
+            flags, done = [np.zeros(0, bool)], 0
             for b, r in _slices(bucket):
                 own = count[r]
                 flags.append(np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(own.sum())).astype(bool))
@@ -352,31 +431,35 @@ def _cut(buckets: int):
                 done += int(own.sum())
             flat = np.concatenate(flags)
             n = count[which]
-            of = np.repeat(np.arange(len(rows)), n)
+            of = np.repeat(np.arange(len(first)), n)
             at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             # The smallest id of a run was judged; every larger one repeats that run.
-            repeated = flat[begin[which[of]] + at] | (shard.owner[rows] > least[which])[of]
-            strings = (shard.first[rows][of] + at)[repeated]
-            np.add.at(gone, strings, 1)
-            np.add.at(gone, strings + LENGTH, -1)
+            repeated = flat[begin[which[of]] + at] | (owner > least[which])[of]
+            strings = (first[of] + at)[repeated]
+            gone[: len(gone)] += np.bincount(strings, minlength=len(gone)).astype(np.int32)
+            gone -= np.bincount(strings + LENGTH, minlength=len(gone)).astype(np.int32)
         covered = np.cumsum(gone[:-1]) > 0
         out = []
         for end, size in zip(shard.ends, shard.sizes):
             mask = covered[end - size : end]
-            spans = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(bool(size and mask[0]))
-            kept = shard.codes[end - size : end][~mask].tobytes()
-            out.append((int(size), int(np.count_nonzero(mask)), spans, hashlib.sha256(kept).hexdigest(), kept))
-        n_bytes, n_removed, n_spans, digests, texts = zip(*out)
+            removed = int(np.count_nonzero(mask))
+            spans = int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(bool(size and mask[0])) if removed else 0
+            kept = shard.codes[end - size : end]
+            kept = (kept[~mask] if removed else kept).tobytes()
+            out.append((int(size), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+        n_bytes, n_removed, n_spans, digests_, texts = zip(*out)
         return pa.table({
             "id": shard.ids_out, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-            "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
+            "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests_, pa.string()),
             "kept": pa.array(texts, pa.binary()),
         })
 
     return work
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, hot: int = HOT
+) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
@@ -390,11 +473,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
         return rows.repartition(shards, "shard").groupBy("shard")
 
     anchors = dealt.groupBy("shard").applyInArrow(_anchors(buckets), "bucket long, shard long, keys binary, counts binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared, "shard long, bucket long, mask binary")
+    shared = anchors.groupBy("bucket").applyInArrow(_shared(hot), "shard long, bucket long, mask binary, hot binary")
     runs = dealt.groupBy("shard").cogroup(to_shards(shared)).applyInArrow(
-        _send(buckets), "bucket long, shard long, mask binary, codes binary, counts binary, least binary"
+        _send(buckets), "bucket long, shard long, mask binary, hot binary, codes binary, counts binary, least binary"
     )
-    answers = runs.groupBy("bucket").applyInArrow(_decide, "shard long, bucket long, mask binary, bits binary")
+    answers = runs.groupBy("bucket").applyInArrow(_decide, "shard long, bucket long, mask binary, hot binary, bits binary")
     out = dealt.groupBy("shard").cogroup(to_shards(answers)).applyInArrow(
         _cut(buckets), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
