@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A document is the set of its word 5-grams. Documents with the same set form one class, represented by its
-smallest id, and only representatives are joined.
+smallest id, and only representatives are joined. Inside the join a document is named by its place in the stored
+signatures, so ids may be null or repeated.
 
 Candidates. A run walks a tree of random hash functions: at a node, a set moves into the branch of each
 of its tokens whose hash is below 1 / (threshold * set size), about one branch in all, so two sets with
@@ -21,9 +22,9 @@ number of links and the verified pairs again give a forest. Its components are t
 
 Defined cases: words are maximal runs of letters and digits, lower-cased. A text with fewer than five words is
 the set of one token, all its words; a text without a word (null, empty) is its own class, with no
-link. Rows with equal ids are one document; of their texts the smallest by content counts. Other columns
-are not read; empty tables give empty results. Ids are integers; rows with a null id are left out
-(they cannot be named).
+link. Rows with equal id and text are one document; rows that share only the id, a null one too, are documents of
+their own. A null id is larger than all others: a class has a null id only if all its documents have. Other
+columns are not read; empty tables give empty results. Ids are integers.
 """
 
 from __future__ import annotations
@@ -126,12 +127,15 @@ def _limit(threshold: float, size: int) -> np.uint64:
     return np.uint64(min(2.0**64 - 2049, 2.0**64 / (threshold * size)))
 
 
-def _words(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+def _words(docs: DataFrame, key: str, text: str, *more: str | Column) -> DataFrame:
     small_batches(docs.sparkSession)
     pieces = F.filter(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.filter(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.transform(pieces, lambda w: F.xxhash64(w)).alias("words"), *more
-    )
+    return docs.select(F.col(key).cast("long").alias("id"), F.transform(pieces, lambda w: F.xxhash64(w)).alias("words"), *more)
+
+
+def _mark(text: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(whole(text))
 
 
 def _sets(column: pa.ListArray, size: int) -> list[np.ndarray]:
@@ -149,7 +153,7 @@ def set_key(tokens: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, key: str, text: str, runs: int, threshold: float) -> DataFrame:
-    """id, set_key, sketch, nodes: all that candidate search needs of a document."""
+    """id, mark, set_key, sketch, nodes: all that candidate search needs of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,14 +163,16 @@ def signatures(docs: DataFrame, key: str, text: str, runs: int, threshold: float
             offsets = pa.array(np.cumsum([0, *map(len, nodes)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([set_key(x) for x in sets], pa.string()),
+                    batch.column(0), batch.column(2), pa.array([set_key(x) for x in sets], pa.string()),
                     pa.array([sketch(x).tobytes() if x.size else b"" for x in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(flat)),
                 ],
-                names=["id", "set_key", "sketch", "nodes"],
+                names=["id", "mark", "set_key", "sketch", "nodes"],
             )
 
-    return _words(docs, key, text).mapInArrow(run, "id long, set_key string, sketch binary, nodes array<long>")
+    return _words(docs, key, text, _mark(text).alias("mark")).mapInArrow(
+        run, "id long, mark long, set_key string, sketch binary, nodes array<long>"
+    )
 
 
 def _split(members: DataFrame, threshold: float) -> DataFrame:
@@ -352,7 +358,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
 
 def _salt(copies: str) -> Column:
     """Documents of a class with many copies are dealt over ``SALTS`` keys."""
-    return F.when(F.col(copies) > MANY, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return F.when(F.col(copies) > MANY, F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0)
 
 
 def _salts(copies: str) -> Column:
@@ -360,20 +366,25 @@ def _salts(copies: str) -> Column:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """id, set_key, rep, copies: a document's class is led by the smallest id with the same set."""
-    several = rows.filter("set_key <> ''").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    """doc, id, mark, set_key, lead, copies: a document's class is led by the smallest id with the same set.
+
+    ``lead`` holds (nameless, id, doc) of that document: the order in which documents stand for others.
+    """
+    lead = F.struct(F.col("id").isNull().alias("nameless"), "id", "doc")
+    rows = rows.withColumn("lead", lead)
+    several = rows.filter("set_key <> ''").groupBy("set_key").agg(F.min("lead").alias("first"), F.count("*").alias("copies"))
     several = several.filter("copies > 1").select(
-        "set_key", "rep", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        "set_key", "first", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     return dealt.join(several, ["set_key", "salt"], "left").select(
-        "id", "set_key", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")
+        "doc", "id", "mark", "set_key", F.coalesce("first", "lead").alias("lead"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 
 
 def candidate_groups(signed: DataFrame, reps: DataFrame, threshold: float, small: int) -> DataFrame:
     """Rows (id, component) of the representatives that share a bucket with a similar sketch."""
-    own = signed.join(reps.select("id", "set_key"), ["id", "set_key"])
+    own = signed.join(reps.select("doc"), "doc").select(F.col("doc").alias("id"), "sketch", "nodes")
     lead = F.substring("sketch", 1, 2)
     walks = own.select("id", lead.alias("lead"), F.explode(F.array_distinct("nodes")).alias("node"))
     edges = None
@@ -400,43 +411,60 @@ def candidate_groups(signed: DataFrame, reps: DataFrame, threshold: float, small
     return components(edges)
 
 
-def join_similar(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, miss: float = MISS,
-    small: int = SMALL, block: int = BLOCK,
+def _linked(
+    docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, miss: float = MISS, small: int = SMALL, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: key, copy_id (smallest id with the same set), class_id (smallest id of the linked
-    documents), n_links (documents with similarity at least ``threshold``, copies included, itself not)."""
-    signed = materialize(signatures(docs, key, text, runs_for(miss, threshold), threshold), "signatures")
-    members = materialize(_classes(signed.groupBy("id").agg(F.min("set_key").alias("set_key"))), "set-classes")
-    reps = members.filter("id = rep AND set_key <> ''").select("id", "set_key", "copies")
+    """One row per document: doc, id, mark, lead of its copies, lead of its linked documents, links."""
+    signed = signatures(docs, key, text, runs_for(miss, threshold), threshold)
+    signed = materialize(signed.withColumn("doc", F.monotonically_increasing_id()), "signatures")
+    distinct = signed.groupBy("id", "mark").agg(F.min("doc").alias("doc"), F.min("set_key").alias("set_key"))
+    members = materialize(_classes(distinct), "set-classes")
+    reps = members.filter("doc = lead.doc AND set_key <> ''").select("doc", "id", "mark", "set_key", "copies", "lead")
 
     groups = candidate_groups(signed, reps, threshold, small)
     n_tokens = F.conv(F.substring("set_key", 33, 16), 16, 10).cast("long")  # a set's key ends with its size
-    placed = reps.join(groups, "id").withColumn("n_tokens", n_tokens)
+    placed = reps.join(groups.withColumnRenamed("id", "doc"), "doc").withColumn("n_tokens", n_tokens)
     weights = placed.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     wanted = placed.join(weights.select("component", blocks.alias("size")), "component").select(
-        F.col("id").alias(key), F.col("set_key").alias("wanted_key"), "copies", F.col("component").alias("group"), "size"
+        "doc", F.col("id").alias("wanted_id"), F.col("mark").alias("wanted_mark"), F.col("set_key").alias("wanted_key"), "copies",
+        F.col("component").alias("group"), "size",
     )
-    texts = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("body")).join(wanted.hint("shuffle_hash"), key)
-    checked = materialize(_verified(_blocked(_with_tokens(texts, key), F.col("size")), threshold), "verified-links")
-
-    linked = components(checked.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    texts = docs.select(F.col(key).cast("long").alias("id"), _mark(text).alias("mark"), F.col(text).alias("body"))
+    same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))
+    texts = texts.join(wanted.hint("shuffle_hash"), same)
+    checked = materialize(_verified(_blocked(_with_tokens(texts), F.col("size")), threshold), "verified-links")
+
+    joined = components(checked.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    # A component is led like a class of copies: by its smallest id.
+    joined = joined.withColumnRenamed("id", "doc").join(reps.select("doc", "lead"), "doc")
+    heads = joined.groupBy("component").agg(F.min("lead").alias("head"))
     outcome = (
-        checked.groupBy("id").agg(F.sum("links").alias("links"), F.max("copies").alias("n"))
-        .join(linked, "id", "left")
-        .select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("class_id"), "links", _salts("n").alias("salt"))
+        checked.groupBy(F.col("id").alias("doc")).agg(F.sum("links").alias("links"), F.max("copies").alias("n"))
+        .join(joined.select("doc", "component"), "doc", "left").join(heads, "component", "left")
+        .select(F.col("doc").alias("rep"), "head", "links", _salts("n").alias("salt"))
     )
-    return members.withColumn("salt", _salt("copies")).join(outcome, ["rep", "salt"], "left").select(
-        F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("rep").alias("copy_id"),
-        F.coalesce("class_id", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+    found = members.withColumns({"salt": _salt("copies"), "rep": F.col("lead.doc")}).join(outcome, ["rep", "salt"], "left")
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    return found.select("doc", "id", "mark", "lead", F.coalesce("head", "lead").alias("head"), links.alias("links"))
+
+
+def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per document: key, copy_id (smallest id with the same set), class_id (smallest id of the linked
+    documents), n_links (documents with similarity at least ``threshold``, copies included, itself not).
+
+    Options: ``threshold``, ``miss``, ``small`` and ``block``.
+    """
+    kind = docs.schema[key].dataType
+    return _linked(docs, key, text, **options).select(
+        F.col("id").cast(kind).alias(key), F.col("lead.id").alias("copy_id"), F.col("head.id").alias("class_id"),
+        F.col("links").alias("n_links"),
     )
 
 
-def _with_tokens(texts: DataFrame, key: str) -> DataFrame:
-    """id, tokens, copies, group, size of the rows whose set is the one that was signed."""
-    rows = _words(texts, key, "body", "wanted_key", "copies", "group", "size")
+def _with_tokens(texts: DataFrame) -> DataFrame:
+    """id (of the document in the join), tokens, copies, group, size of the rows whose set is the one that was signed."""
+    rows = _words(texts, "doc", "body", "wanted_key", "copies", "group", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,6 +481,8 @@ def _with_tokens(texts: DataFrame, key: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with all columns."""
-    kept = join_similar(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(key)
-    return docs.join(kept, key, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose id is the smallest of its class, with all columns. Of texts that share
+    that id one stays; rows that repeat its id and text stay with it."""
+    kept = _linked(docs, key, text, **options).filter("doc = head.doc").select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_kept_id")) & (_mark(text) == F.col("_kept_mark"))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)

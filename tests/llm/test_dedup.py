@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from flowhunt.llm import chosen_path, exact_dedup, suffix_dedup
@@ -113,6 +115,31 @@ def test_jaccard_join_keeps_one_and_takes_empty(spark):
     assert chosen_path.join_similar(frame(spark, [])).count() == 0
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    words = [[f"w{rng.randrange(5000)}" for _ in range(60)] for _ in range(5)]
+    base = [" ".join(w) for w in words]
+    near = [" ".join([*w[:-1], "other"]) for w in words]
+    rows = [
+        (5, base[0]), (5, base[1]), (6, base[1]),  # one id, two texts: the second is that of id 6
+        (None, base[2]), (9, near[2]), (None, "alone and without any other document"), (None, None),
+        (None, base[3]), (None, near[3]), (7, base[4]), (7, base[4]), (8, near[4]), (7, base[4].upper()),
+    ]
+    docs = spark.createDataFrame([(i, t, "d", "s", "k") for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.copy_id, r.class_id, r.n_links) for r in chosen_path.join_similar(docs, miss=1e-9).collect()), key=repr)
+    want = [
+        (5, 5, 5, 0), (5, 5, 5, 1), (6, 5, 5, 1), (None, None, 9, 1), (9, 9, 9, 1), (None, None, None, 0), (None, None, None, 0),
+        (None, None, None, 1), (None, None, None, 1), (7, 7, 7, 2), (8, 8, 7, 2), (7, 7, 7, 2),
+    ]
+    assert got == sorted(want, key=repr)
+    kept = [(r.doc_id, r.text) for r in chosen_path.keep_one_of_each(docs, miss=1e-9).collect()]
+    assert sum(i is None for i, _ in kept) == 3 and (9, near[2]) in kept and (6, base[1]) not in kept
+    assert (5, base[0]) in kept and (5, base[1]) in kept
+    # Rows that repeat id and text stay together; of the texts of one id in a class one stays.
+    assert [t.lower() for i, t in kept if i == 7] in ([base[4]], [base[4]] * 2) and len({t for i, t in kept if i == 7}) == 1
+    assert len([t for t in kept if t[1] in (base[3], near[3])]) == 1
+
+
 def test_branches_meet_for_similar_sets():
     rng = np.random.default_rng(0)
     runs = chosen_path.runs_for(1e-3)
@@ -218,6 +245,34 @@ def test_suffix_dedup(spark, shard_bytes):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_hot_anchors_are_split(spark, monkeypatch, hot):
+    """One 40-byte string in different contexts: its runs do not meet in one suffix shard."""
+    rng = random.Random(9)
+    common = "https://a.very.common.prefix.example/path"
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + common + "".join(rng.choice("ijklmnop") for _ in range(60)) for _ in range(300)]
+    texts += texts[:20] + [common * 3] * 5 + [texts[40][30:130]]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = suffix_dedup.remove_repeats(frame(spark, texts, ids), shard_bytes=4000, hot=hot).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_cut(ids, texts)
+    # The largest suffix shard of the runs one shard would send to 64 of them.
+    table = pa.table({"id": pa.array(ids, pa.int64()), "body": pa.array([t.encode() for t in texts], pa.binary()), "shard": pa.array([0] * len(ids), pa.int64())})
+    anchors = suffix_dedup._anchors(64)(table)
+    merged = [suffix_dedup._shared(hot)(anchors.filter(pa.compute.equal(anchors.column("bucket"), b))) for b in set(anchors.column("bucket").to_pylist())]
+    sent = suffix_dedup._send(64)(table, pa.concat_tables(merged))
+    largest = max(len(c) for c in sent.column("counts").to_pylist())
+    total = sum(len(c) for c in sent.column("counts").to_pylist())
+    assert (largest < 300 and largest < total / 16) if hot == 3 else largest >= 300
+
+
+def test_equal_digests_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "digests", lambda rows: np.zeros(len(rows), np.uint64))
+    rows = np.random.default_rng(1).integers(0, 2, (50, 8)).astype(np.uint8)
+    kept, which = suffix_dedup.distinct_rows(rows)
+    assert np.array_equal(rows[kept[which]], rows) and len(kept) == len({bytes(r) for r in rows})
+
+
 @pytest.mark.parametrize("letters, n", [("ab", 300), ("a", 90), ("abcdefgh\0", 500), ("\0", 40), ("a", 1), ("a", 0)])
 def test_suffix_array_and_common_prefixes(letters, n):
     rng = random.Random(7)
