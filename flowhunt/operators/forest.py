@@ -1,13 +1,16 @@
 """Isolation forest as Spark jobs (Liu, Ting and Zhou, 2008).
 
-Sampling, scaling, offsets and labels are DataFrame expressions. Python sees bounded inputs only:
-one group of at most ``sample_size`` rows per tree when fitting, Arrow batches of feature columns
-when scoring. A fitted forest has at most trees x (2 x sample_size - 1) nodes, whatever the data,
-so it may pass through the driver and be broadcast.
+Fitting is column expressions only. Rows draw their trees by arithmetic on a digest of the flow key. All trees
+grow level by level at once: windows over (tree, node) give the range of every feature, and a digest of
+(seed, tree, node) picks feature and cut, so any engine with MD5 grows the same forest. Growing shuffles the
+samples once (trees x ``sample_size`` rows, whatever the data). Scoring passes Arrow batches of feature
+columns to Python. A fitted forest has at most trees x (2 x sample_size - 1) nodes, whatever the data, so it
+may pass through the driver and be broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,8 +20,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowhunt.functions.columns import round_half_up
 from flowhunt.operators.quantiles import exact_quantiles
-from flowhunt.operators.scaling import scaler, standardised
+from flowhunt.operators.scaling import standardised, z_stats
 from flowhunt.schemas import FEATURES, FLOW_KEY, FOREST_NODE
 from flowhunt.session import materialize
 
@@ -32,7 +36,9 @@ SEED = 42
 SAMPLE_SIZE = 256
 
 FULL = "all"
-_HASH_RANGE = 1 << 40
+RAW_DIGITS = 9  # path scores are kept to so many digits, so that equal mean paths are equal scores
+
+_DRAWS = (1 << 31) - 1  # draws are remainders of this prime
 
 
 @dataclass(frozen=True)
@@ -57,57 +63,105 @@ def _scaled(flows: DataFrame, scaling: DataFrame) -> dict[str, Column]:
     return {c: standardised(c, stats[c]["mean"], stats[c]["std"]) for c in FEATURES}
 
 
+def draw_factors(tree: int, seed: int = SEED) -> tuple[int, int, int]:
+    """What a tree multiplies and adds to the two halves of a row's digest."""
+    digest = hashlib.md5(f"{seed}:{tree}".encode()).hexdigest()
+    return int(digest[:7], 16) + 1, int(digest[7:14], 16) + 1, int(digest[14:21], 16)
+
+
+def _digits(digest: Column, start: int, count: int) -> Column:
+    """Hex digits of a digest as a whole number."""
+    return F.conv(F.substring(digest, start, count), 16, 10).cast("bigint")
+
+
 def tree_samples(
     flows: DataFrame, rows: int, trees: int = TREES, sample_size: int = SAMPLE_SIZE, seed: int = SEED
 ) -> DataFrame:
-    """Up to ``sample_size`` rows per tree, drawn without replacement by a hash of the flow key.
+    """Up to ``sample_size`` rows per tree, drawn without replacement by a digest of the flow key.
 
-    Needs one pass and no sort of the data: each row decides by hash which trees it might serve,
-    about 1.5 x ``sample_size`` candidates per tree survive, and only those are shuffled and cut.
+    Needs one pass and no sort of the data: each row decides which trees it might serve, about
+    1.5 x ``sample_size`` candidates per tree survive, and only those are shuffled and cut.
     """
     wanted = 1.5 * sample_size + 32
-    key = F.xxhash64(*FLOW_KEY, "first_seen", F.lit(seed))
-
-    def draw(*parts) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(_HASH_RANGE))
-
-    limit = int(_HASH_RANGE * min(1.0, wanted / max(rows, 1)))
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(F.col("_key"), t) < limit)
-    offered = flows.withColumn("_key", key).withColumn("tree", F.explode(chosen))
-    drawn = offered.withColumn("draw", draw(F.col("_key"), F.col("tree")))
-    # One small shuffle with a fixed layout: growing trees is work per row, not per byte, and the
-    # grouping by tree that follows keeps it.
+    key = F.md5(F.concat_ws("|", *FLOW_KEY, F.unix_micros("first_seen").cast("string")))
+    halves = flows.withColumns({"_a": _digits(key, 1, 7), "_b": _digits(key, 8, 7)})
+
+    def draw(factors: Column) -> Column:
+        return (F.col("_a") * factors["m"] + F.col("_b") * factors["n"] + factors["c"]) % F.lit(_DRAWS)
+
+    limit = int(_DRAWS * min(1.0, wanted / max(rows, 1)))
+    every = F.array(*[
+        F.struct(F.lit(t).alias("tree"), *[F.lit(v).cast("bigint").alias(k) for k, v in zip("mnc", draw_factors(t, seed))])
+        for t in range(trees)
+    ])
+    offered = halves.withColumn("_t", F.explode(F.filter(every, lambda t: draw(t) < limit)))
+    drawn = offered.withColumns({"tree": F.col("_t.tree"), "draw": draw(F.col("_t"))}).drop("_t")
+    # One small shuffle with a fixed layout; growing the trees keeps it.
     tasks = min(trees, 2 * flows.sparkSession.sparkContext.defaultParallelism)
     drawn = drawn.repartition(tasks, "tree")
-    nth = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "_key"))
-    return drawn.withColumn("nth", nth).filter(F.col("nth") <= sample_size).drop("_key", "draw")
-
-
-def grow_tree(x: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one isolation tree: random feature among those that vary, random cut in its range."""
-    depth_limit = int(np.ceil(np.log2(max(len(x), 2))))
-    nodes: list[list] = []
-    pending = [(np.arange(len(x)), 0, -1, False)]
-    while pending:
-        rows, depth, parent, is_right = pending.pop()
-        here = len(nodes)
-        if parent >= 0:
-            nodes[parent][4 if is_right else 3] = here
-        part = x[rows][:, allowed]
-        low, high = part.min(axis=0), part.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth >= depth_limit or len(rows) < 2 or len(varying) == 0:
-            nodes.append([here, -1, None, -1, -1, len(rows), depth + float(average_path(len(rows)))])
-            continue
-        pick = rng.choice(varying)
-        cut = rng.uniform(low[pick], high[pick])
-        if cut <= low[pick]:
-            cut = np.nextafter(low[pick], high[pick])
-        nodes.append([here, int(allowed[pick]), float(cut), -1, -1, len(rows), None])
-        goes_left = part[:, pick] < cut
-        pending.append((rows[~goes_left], depth + 1, here, True))
-        pending.append((rows[goes_left], depth + 1, here, False))
-    return nodes
+    nth = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "_a", "_b", *FLOW_KEY, "first_seen"))
+    return drawn.withColumn("nth", nth).filter(F.col("nth") <= sample_size).drop("_a", "_b", "draw")
+
+
+def _average_path(n: Column) -> Column:
+    """:func:`average_path` of a column."""
+    long = 2.0 * (F.log(n - 1.0) + float(np.euler_gamma)) - 2.0 * (n - 1.0) / n
+    return F.when(n > 2, long).when(n == 2, 1.0).otherwise(0.0)
+
+
+def grow_trees(sample: DataFrame, variants: dict[str, list[str]], sample_size: int, seed: int = SEED) -> DataFrame:
+    """FOREST_NODE rows of all trees of all variants; ``sample`` holds ``tree`` and the features.
+
+    A node with rows that differ is cut at low + u * (high - low) of one varying feature until the tree is
+    ceil(log2(rows)) deep. Children of node k are 2k + 1 and 2k + 2. Each row carries the nodes on its path,
+    so the whole forest is one job; windows by (variant, tree, node) keep the layout by tree.
+    """
+    allowed = F.create_map(*[
+        x for v, names in variants.items() for x in (F.lit(v), F.array(*[F.lit(FEATURES.index(f)) for f in names]))
+    ])
+    number = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(FEATURES)]
+    rows = sample.select("tree", F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"), *number)
+    tree = Window.partitionBy("variant", "tree")
+    node_type = "array<struct<node:int,feature:int,threshold:double,cover:int,path_length:double>>"
+    # ceil(log2(n)) is the number of binary digits of n - 1.
+    depth_limit = F.when(F.col("rows") > 1, F.length(F.bin(F.col("rows") - 1))).otherwise(0)
+    rows = (
+        rows.withColumn("rows", F.count("*").over(tree)).withColumn("limit", depth_limit)
+        .withColumns({"node": F.lit(0), "open": F.lit(True), "path": F.array().cast(node_type)})
+    )
+    values = F.array(*[F.col(f"x{i}") for i in range(len(FEATURES))])
+    for depth in range(max(sample_size - 1, 0).bit_length() + 1):
+        here = Window.partitionBy("variant", "tree", "node")
+        ends = {k: F.array(*[f(f"x{i}").over(here) for i in range(len(FEATURES))]) for k, f in (("low", F.min), ("high", F.max))}
+        seen = rows.select("*", F.count("*").over(here).cast("int").alias("n"), *[v.alias(k) for k, v in ends.items()])
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string")))
+        varying = F.filter(allowed[F.col("variant")], lambda i: F.col("high")[i] > F.col("low")[i])
+        seen = seen.withColumns({"digest": digest, "varying": varying})
+        splits = F.col("open") & (F.lit(depth) < F.col("limit")) & (F.size("varying") > 0)
+        picked = F.element_at("varying", (_digits(F.col("digest"), 1, 8) % F.size("varying") + 1).cast("int"))
+        seen = seen.withColumn("pick", F.when(splits, picked))
+        u = (_digits(F.col("digest"), 9, 13) + 0.5) / float(1 << 52)
+        low, high = F.col("low")[F.col("pick")], F.col("high")[F.col("pick")]
+        seen = seen.withColumn("cut", low + u * (high - low))
+        seen = seen.withColumn("cut", F.when(F.col("cut") <= low, high).otherwise(F.col("cut")))
+        leaf = F.when(F.col("pick").isNull(), F.lit(float(depth)) + _average_path(F.col("n")))
+        entry = F.struct(
+            "node", F.coalesce("pick", F.lit(-1)).alias("feature"), F.col("cut").alias("threshold"),
+            F.col("n").alias("cover"), leaf.alias("path_length"),
+        )
+        child = 2 * F.col("node") + 1 + (values[F.col("pick")] >= F.col("cut")).cast("int")
+        rows = seen.select(
+            "variant", "tree", "limit", *[f"x{i}" for i in range(len(FEATURES))],
+            F.when(F.col("open"), F.concat("path", F.array(entry).cast(node_type))).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("pick").isNotNull(), child).otherwise(F.col("node")).alias("node"), F.col("pick").isNotNull().alias("open"),
+        )
+    each = rows.select("variant", "tree", F.explode("path").alias("e")).select("variant", "tree", "e.*")
+    nodes = each.groupBy("variant", "tree", "node").agg(*[F.first(c).alias(c) for c in ("feature", "threshold", "cover", "path_length")])
+    inner = F.col("feature") >= 0
+    return nodes.select(
+        "variant", "tree", "node", "feature", "threshold", F.when(inner, 2 * F.col("node") + 1).otherwise(-1).alias("left_node"),
+        F.when(inner, 2 * F.col("node") + 2).otherwise(-1).alias("right_node"), "cover", "path_length",
+    )
 
 
 def fit_forest(flows: DataFrame, **options) -> Forest:
@@ -131,29 +185,15 @@ def fit_and_score(
     """
     spark = flows.sparkSession
     variants = variants or {FULL: FEATURES}
-    scaling = materialize(scaler(flows), "scaler")
-    rows = flows.count()
+    # One aggregate gives the scaler and the number of rows.
+    stats = z_stats(flows, FEATURES, _rows=F.count(F.lit(1)))
+    rows = stats["_rows"]
+    scaling = spark.createDataFrame(
+        [(f, stats[f"{f}_mean"], stats[f"{f}_std"]) for f in FEATURES], "feature STRING, mean DOUBLE, std DOUBLE"
+    )
     picked = tree_samples(flows.select(*FLOW_KEY, "first_seen", *FEATURES), rows, trees, sample_size, seed)
-    scaled = picked.select("tree", "nth", *[c.alias(f) for f, c in _scaled(picked, scaling).items()])
-    each = scaled.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    columns = {v: [FEATURES.index(f) for f in fs] for v, fs in variants.items()}
-    features = list(FEATURES)
-
-    def build(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        variant, tree = key
-        x = sample.sort_values("nth")[features].to_numpy("float64")
-        rng = np.random.default_rng([seed, int(tree)])
-        nodes = grow_tree(np.nan_to_num(x), np.asarray(columns[variant]), rng)
-        table = pd.DataFrame(
-            nodes,
-            columns=["node", "feature", "threshold", "left_node", "right_node", "cover", "path_length"],
-        )
-        table.insert(0, "tree", int(tree))
-        table.insert(0, "variant", variant)
-        return table
-
-    grown = each.groupBy("variant", "tree").applyInPandas(build, FOREST_NODE)
-    nodes = materialize(grown, "forest")
+    scaled = picked.select("tree", *[c.alias(f) for f, c in _scaled(picked, scaling).items()])
+    nodes = materialize(grow_trees(scaled, variants, sample_size, seed), "forest")
 
     partial = Forest(nodes, scaling, spark.createDataFrame([(trees, sample_size)], "trees INT, sample_size INT"))
     raw = path_scores(flows, partial, list(variants))
@@ -250,7 +290,9 @@ def path_scores(flows: DataFrame, forest: Forest, variants: list[str] | None = N
 
     scaled = _scaled(flows, forest.scaling)
     added = flows.withColumn("_raw", score(*[scaled[c] for c in FEATURES]))
-    return added.select(*flows.columns, *[F.col("_raw")[i].alias(f"raw_{v}") for i, v in enumerate(variants)])
+    return added.select(
+        *flows.columns, *[round_half_up(F.col("_raw")[i], RAW_DIGITS).alias(f"raw_{v}") for i, v in enumerate(variants)]
+    )
 
 
 def score_isolation_forest(flows: DataFrame, forest: Forest, variant: str = FULL) -> DataFrame:

@@ -44,8 +44,9 @@ def scaler(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def z_stats(df: DataFrame, columns: list[str] = FEATURES) -> dict:
-    values = {}
+def z_stats(df: DataFrame, columns: list[str] = FEATURES, **more: Column) -> dict:
+    """``<column>_mean`` and ``<column>_std`` of each column, and ``more`` aggregates, in one pass."""
+    values = dict(more)
     for c in columns:
         values[f"{c}_mean"] = F.avg(c)
         values[f"{c}_std"] = F.stddev_pop(c)

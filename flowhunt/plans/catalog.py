@@ -16,13 +16,15 @@ from flowhunt.plans import detect
 from flowhunt.plans.fixed_model import fixed_forest
 from flowhunt.schemas import FEATURES, FLOW_KEY
 from flowhunt.session import materialize, prepare, scratch_path
-from flowhunt.sources import capture, files, ground_truth, models
+from flowhunt.sources import capture, capture_ranges, files, ground_truth, models
 from flowhunt.streaming import detection as sd, flows as sf, io as sio
 from flowhunt.sources.tables import packets as table_packets, role_of_source, truth_label
 
 # The fixture's capture lasts about three seconds: narrow slices make flows span several of them.
 SLICE = 0.1
 IDLE = 0.2
+LATE = "200 milliseconds"
+CAPTURE_RANGE = 400_000  # bytes; production ranges are larger than these captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,9 +100,11 @@ def packet_stats(spark, sf_dir):
 
 @query
 def packet_stats_json(spark, sf_dir):
-    """Totals written as JSON and read back."""
-    path = scratch_path(prepare(spark), "stats-json")
-    totals = fl.packet_stats(_packets(spark, sf_dir))
+    """Totals, flows exported by a stream and flows it still holds, written as JSON and read back."""
+    out, checkpoint = _short_stream(spark, sf_dir)
+    path = scratch_path(spark, "stats-json")
+    held = sf.open_flows(spark, checkpoint, IDLE)
+    totals = sf.running_stats(_packets(spark, sf_dir), spark.read.parquet(out), held)
     files.write_json(totals, path)
     return spark.read.schema(totals.schema).json(path)
 
@@ -112,6 +116,14 @@ def capture_decode(spark, sf_dir):
     return plain(capture.decode_frames(frames, length="wire"))
 
 
+@query
+def capture_files(spark, sf_dir):
+    """Packets written as capture files and read back in small byte ranges."""
+    path = scratch_path(prepare(spark), "captures")
+    capture_ranges.write_capture(capture.encode_frames(_packets(spark, sf_dir)), path)
+    return plain(capture.read_capture(spark, path, "wire", CAPTURE_RANGE).drop("packet_id"))
+
+
 @query
 def inter_arrival(spark, sf_dir):
     return fl.inter_arrival(_packets(spark, sf_dir), SLICE)
@@ -576,15 +588,52 @@ def _packet_stream(spark, sf_dir, job):
     return spark.read.parquet(out)
 
 
+def _short_stream(spark, sf_dir):
+    """Sessions of a stream that stops without a clock packet: (table of emitted flows, checkpoint)."""
+    path, checkpoint = scratch_path(prepare(spark), "packets"), scratch_path(spark, "stream")
+    out = scratch_path(spark, "stream-out")
+    table_packets(spark, sf_dir).write.parquet(path)
+    stream = sf.stream_flows(sio.read_packet_stream(spark, path), IDLE, LATE)
+    sio.run_to_table(stream, out, checkpoint, state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    return out, checkpoint
+
+
+@query
+def stream_flush(spark, sf_dir):
+    """Emitted flows, and those drained from the state the stopped stream left."""
+    out, checkpoint = _short_stream(spark, sf_dir)
+    emitted = spark.read.parquet(out).withColumn("drained", F.lit(False))
+    held = sf.open_flows(spark, checkpoint, IDLE).withColumn("drained", F.lit(True))
+    return plain(emitted.unionByName(held))
+
+
+@query
+def live_flow_files(spark, sf_dir):
+    """Flow files dropped by a stream that is stopped and restarted, read back as a stream and flagged."""
+    packets = materialize(table_packets(prepare(spark), sf_dir), "packets")
+    path, checkpoint, drops = (scratch_path(spark, n) for n in ("packets-in", "stream", "drops"))
+    middle = packets.agg(F.timestamp_micros(F.floor((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2))).scalar()
+    for part in (F.col("ts") < middle, F.col("ts") >= middle):
+        packets.filter(part).write.mode("append").parquet(path)
+        stream = sf.stream_flows(sio.read_packet_stream(spark, path), IDLE, LATE)
+        slots = spark.sparkContext.defaultParallelism
+        sio.run_batches(stream, sio.drop_flow_files(drops), checkpoint, state_partitions=slots).awaitTermination()
+    sio.drop_open_flows(sf.open_flows(spark, checkpoint, IDLE), drops)
+    out = scratch_path(spark, "live")
+    sio.run_to_table(sio.read_live_flows(spark, drops), out, scratch_path(spark, "stream")).awaitTermination()
+    flagged = detect.enriched_flows(spark.read.parquet(out))
+    return plain(flagged.select(*FLOW_KEY, "first_seen", "packet_count", "total_bytes", "std_iat", "dns_entropy", "suspicion_score"))
+
+
 @query
 def stream_flows(spark, sf_dir):
-    return plain(_packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, slice_seconds=SLICE)))
+    return plain(_packet_stream(spark, sf_dir, sf.stream_flows))
 
 
 @query
 def stream_sessions(spark, sf_dir):
     """Flows that fall silent for ``IDLE`` seconds come out as several."""
-    sessions = _packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, IDLE, SLICE))
+    sessions = _packet_stream(spark, sf_dir, lambda p: sf.stream_flows(p, IDLE))
     return plain(sessions.select(*FLOW_KEY, "packet_count", "total_bytes", "first_seen", "last_seen", "duration"))
 
 
@@ -633,13 +682,13 @@ def stream_incidents(spark, sf_dir):
     return sd.merge_incidents(spark.read.parquet(deltas))
 
 
-# Forest and explanations: a fixed forest where SQL repeats the result, a fitted one elsewhere
+# Forest and explanations: fitted forests, and one given as text where its explanations are compared
 
 
 @query
 def isolation_forest_scores(spark, sf_dir):
     forest, raw = fo.fit_and_score(_flows(spark, sf_dir))
-    return fo.decide(raw, forest).select(*FLOW_KEY, "iforest_score")
+    return _rounded(fo.decide(raw, forest)).select(*FLOW_KEY, "iforest_score")
 
 
 @query
@@ -736,7 +785,7 @@ def model_retrain(spark, sf_dir):
     """Fit, store, load, score with the loaded model."""
     flows = _flows(spark, sf_dir)
     model = models.retrain(flows, scratch_path(spark, "model"))
-    return fo.score_isolation_forest(flows, model).select(*FLOW_KEY, "iforest_score", "iforest_label")
+    return _rounded(fo.score_isolation_forest(flows, model)).select(*FLOW_KEY, "iforest_score", "iforest_label")
 
 
 @query

@@ -48,13 +48,15 @@ FROM packets WHERE protocol IN ('TCP', 'UDP')
 WINDOW w AS (PARTITION BY {KEY} ORDER BY us, packet_id)
 """
 
-_FIRST_DNS = f"""
-SELECT {KEY}, dns_query FROM (
-  SELECT {KEY}, rtrim(dns_query, '.') AS dns_query,
-    row_number() OVER (PARTITION BY {KEY} ORDER BY us, packet_id) AS r
-  FROM packets WHERE rtrim(dns_query, '.') <> '') WHERE r = 1
+def _first_dns(key: str, packets: str) -> str:
+    return f"""
+SELECT {key}, dns_query FROM (
+  SELECT {key}, rtrim(dns_query, '.') AS dns_query,
+    row_number() OVER (PARTITION BY {key} ORDER BY us, packet_id) AS r
+  FROM {packets} WHERE rtrim(dns_query, '.') <> '') WHERE r = 1
 """
 
+
 _ENTROPY = """
 SELECT dns_query, -sum(p * log2(p)) AS bits FROM (
   SELECT dns_query, count(*) / CAST(length(dns_query) AS DOUBLE) AS p FROM (
@@ -62,7 +64,9 @@ SELECT dns_query, -sum(p * log2(p)) AS bits FROM (
     FROM (SELECT DISTINCT dns_query FROM first_dns)) GROUP BY dns_query, c) GROUP BY dns_query
 """
 
-_FLOWS = f"""
+
+def _flows(key: str, gaps: str) -> str:
+    return f"""
 SELECT g.*, make_timestamp(first_us) AS first_seen, make_timestamp(last_us) AS last_seen,
   (last_us - first_us) / 1e6 AS duration,
   {_round("total_bytes / packet_count", 2)} AS avg_packet_size,
@@ -75,12 +79,13 @@ SELECT g.*, make_timestamp(first_us) AS first_seen, make_timestamp(last_us) AS l
   CAST(coalesce(length(d.dns_query), 0) AS INTEGER) AS dns_query_length,
   CAST(coalesce(length(d.dns_query) - length(replace(d.dns_query, '.', '')), 0) AS INTEGER) AS dns_subdomain_depth,
   coalesce({_round("e.bits", 3)}, 0) AS dns_entropy
-FROM (SELECT {KEY}, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS total_bytes,
+FROM (SELECT {key}, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS total_bytes,
         min(us) AS first_us, max(us) AS last_us, min(gap_us) AS min_us, max(gap_us) AS max_us,
-        avg(gap_us) AS mean_us, stddev_pop(gap_us) AS std_us FROM gaps GROUP BY {KEY}) g
-LEFT JOIN first_dns d USING ({KEY}) LEFT JOIN entropy e ON e.dns_query = d.dns_query
+        avg(gap_us) AS mean_us, stddev_pop(gap_us) AS std_us FROM {gaps} GROUP BY {key}) g
+LEFT JOIN first_dns d USING ({key}) LEFT JOIN entropy e ON e.dns_query = d.dns_query
 """
 
+
 _THRESHOLDS = """
 SELECT quantile_cont(packet_count, 0.99) AS t_packets, quantile_cont(duration, 0.99) AS t_duration,
   quantile_cont(dns_entropy, 0.95) AS t_entropy FROM flows
@@ -224,7 +229,7 @@ FROM (SELECT *, coalesce(sum(negatives) OVER (ORDER BY score ROWS BETWEEN UNBOUN
 """
 
 _STAGES = {
-    "packets": _PACKETS, "gaps": _GAPS, "first_dns": _FIRST_DNS, "entropy": _ENTROPY, "flows": _FLOWS,
+    "packets": _PACKETS, "gaps": _GAPS, "first_dns": _first_dns(KEY, "packets"), "entropy": _ENTROPY, "flows": _flows(KEY, "gaps"),
     "thresholds": _THRESHOLDS, "enriched": _ENRICHED, "entities": _ENTITIES, "stats": _STATS, "scored": _SCORED,
     "labelled": _LABELLED, "ruled": _RULED, "alerts": _ALERTS, "exploded": _EXPLODED, "incidents": _INCIDENTS,
     "moves": _MOVES, "events_text": _EVENTS, "campaigns": _CAMPAIGNS, "score_counts": _SCORE_COUNTS,
@@ -232,10 +237,10 @@ _STAGES = {
 }
 
 
-def _query(last: str, select: str) -> str:
+def _query(last: str, select: str, stages: dict[str, str] = _STAGES) -> str:
     """``select`` over all stages up to ``last``."""
-    names = list(_STAGES)[: list(_STAGES).index(last) + 1]
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_STAGES[n].strip()})" for n in names)
+    names = list(stages)[: list(stages).index(last) + 1]
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({stages[n].strip()})" for n in names)
     return f"WITH {ctes}\n{select}"
 
 
@@ -373,12 +378,6 @@ ORACLE: dict[str, str] = {
         "(SELECT count(*) FROM flows) AS exported_flows, "
         "(SELECT count(*) FROM flows WHERE last_us >= (SELECT max(last_us) FROM flows) - 200000) AS active_flows FROM packets",
     ),
-    "packet_stats_json": _query(
-        "packets",
-        "SELECT count(*) AS total_packets, count(*) FILTER (protocol = 'TCP') AS tcp_packets, "
-        "count(*) FILTER (protocol = 'UDP') AS udp_packets, "
-        "count(*) FILTER (protocol = 'UDP' AND (src_port = 53 OR dst_port = 53)) AS dns_packets FROM packets",
-    ),
     "stream_counters": _query(
         "packets",
         f"SELECT {_iso('make_timestamp((us // 100000) * 100000)')} AS window_start, count(*) AS total_packets, "
@@ -387,6 +386,7 @@ ORACLE: dict[str, str] = {
         "FROM packets GROUP BY us // 100000",
     ),
     "capture_decode": _query("packets", f"SELECT {_PACKET_TEXT} FROM packets"),
+    "capture_files": _query("packets", f"SELECT {_PACKET_TEXT.removeprefix('packet_id, ')} FROM packets"),
     "inter_arrival": _query("gaps", f"SELECT packet_id, {KEY}, packet_no, gap_us / 1e6 AS iat FROM gaps"),
     "flow_features": _query("flows", f"SELECT {_FLOW_TEXT} FROM flows"),
     "flow_features_collector": _query(

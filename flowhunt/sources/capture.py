@@ -1,8 +1,8 @@
 """Capture files (pcap, pcapng) to packet rows.
 
-Python only cuts a file into frames; headers and DNS names are decoded by column expressions, so
-that work spreads over whatever partitions follow. A capture file is a chain of records and is cut
-in one task: rotate captures into many files. Packet tables in Parquet are the main source.
+Python only cuts files into frames; headers and DNS names are decoded by column expressions, so
+that work spreads over whatever partitions follow. Files are cut in byte ranges (``capture_ranges``) or, here, one
+task each. Packet tables in Parquet are the main source.
 """
 
 from __future__ import annotations
@@ -209,15 +209,23 @@ def decode_frames(frames: DataFrame, length: str = "captured") -> DataFrame:
     ).select(*[F.col(f.name).cast(f.dataType) for f in PACKET.fields])
 
 
-def read_capture(spark: SparkSession, path: str, length: str = "captured") -> DataFrame:
-    """PACKET rows of all capture files below ``path``.
+def read_capture(
+    spark: SparkSession, path: str, length: str = "captured", range_bytes: int | None = None, whole_files: bool = False
+) -> DataFrame:
+    """PACKET rows of all capture files below ``path``, read in byte ranges by many tasks.
 
-    Ids hold 35 bits of a hash of the path and 28 bits of frame number: a file is at most 2 GB, so
-    it has fewer than 2^28 frames, and within a file the ids follow its order.
+    Ids hold 33 bits of a hash of the path and 30 bits for the record's place; within a file the ids
+    follow its order. ``whole_files=True`` reads each file in one task through Spark's own reader, for
+    stores that ``pyarrow.fs`` cannot open.
     """
-    frames = read_frames(spark, path)
-    file_id = F.pmod(F.xxhash64("path"), F.lit(1 << 35))
-    numbered = frames.withColumn("packet_id", F.shiftleft(file_id, 28) + F.col("frame_no"))
+    if whole_files:
+        frames = read_frames(spark, path).withColumnRenamed("frame_no", "place")
+    else:
+        from flowhunt.sources.capture_ranges import RANGE_BYTES, read_frame_ranges
+
+        frames = read_frame_ranges(spark, path, range_bytes or RANGE_BYTES)
+    file_id = F.pmod(F.xxhash64("path"), F.lit(1 << 33))
+    numbered = frames.withColumn("packet_id", F.shiftleft(file_id, 30) + F.col("place"))
     return decode_frames(numbered, length)
 
 

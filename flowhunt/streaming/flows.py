@@ -1,9 +1,12 @@
 """Flows and counters from an endless packet stream.
 
-Two stateful steps. The first is a built-in aggregate per (flow, short time slice): a hot flow is
-spread over its slices and pre-combined before the shuffle. Its times are held only until the
-slice closes. The second keeps a dozen numbers per flow and merges closed slices, which reach it
-in time order, until the flow has been silent for longer than the idle time.
+Two stateful steps. The first is a built-in aggregate per (flow, millisecond): counts, ends and sixteen words
+whose bits mark the microseconds at which packets came. Its buffer has a fixed size however many packets
+a flow sends, takes them in any order, and combines before the shuffle. A closed millisecond becomes a run:
+counts, ends and the moments of its gaps. The second step keeps a dozen numbers per flow and joins closed
+runs, which reach it in time order, until the flow has been silent for longer than the idle time.
+
+What a stopped query still holds is read from its checkpoint by :func:`open_flows`.
 """
 
 from __future__ import annotations
@@ -11,14 +14,15 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowhunt.functions.columns import MICROS
 from flowhunt.functions.text import clean_query
-from flowhunt.operators.flows import finish_flows, packet_gate
+from flowhunt.operators.flows import finish_flows, merge_slices, packet_gate, packet_stats
 from flowhunt.schemas import FLOW_KEY
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +31,12 @@ IDLE_SECONDS = 60.0
 WATERMARK = "60 seconds"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+RUN_US = 1000  # microseconds of a run: the finest window Spark cuts
+_WORD = 64
+_WORDS = -(-RUN_US // _WORD)
+
 _KEY_DDL = "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING"
+_RUN = ["n", "bytes", "first_us", "last_us", "gap_n", "gap_min", "gap_max", "gap_mean", "gap_m2"]
 _STATE_DDL = (
     "n BIGINT, bytes BIGINT, first_us BIGINT, last_us BIGINT, gap_n BIGINT, gap_min BIGINT, "
     "gap_max BIGINT, gap_mean DOUBLE, gap_m2 DOUBLE, dns_query STRING, timer BIGINT"
@@ -36,78 +45,91 @@ _MERGED_DDL = (
     f"{_KEY_DDL}, packet_count BIGINT, total_bytes BIGINT, first_us BIGINT, last_us BIGINT, "
     "gap_min BIGINT, gap_max BIGINT, gap_mean DOUBLE, gap_m2 DOUBLE, dns_query STRING"
 )
+# The aggregate's buffer in a checkpoint, in the order in which ``_buffers`` lists its functions.
+_BUFFER = "struct<n:bigint,bytes:bigint,first_us:bigint,last_us:bigint,dns:struct<us:bigint,packet_id:bigint,name:string>," + ",".join(
+    f"w{i}:bigint" for i in range(_WORDS)
+) + ">"
 
 
-def slice_stream(packets: DataFrame, slice_seconds: float = 1.0, watermark: str = WATERMARK) -> DataFrame:
-    """Closed slices: counts, bounds, gap moments and first DNS name per (flow, slice)."""
+def _buffers() -> list[Column]:
     us = F.unix_micros("ts")
+    place = F.pmod(us, F.lit(RUN_US)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % _WORD)
     query = clean_query(F.col("dns_query"))
     named = F.when(query.isNotNull(), F.struct(us.alias("us"), F.col("packet_id"), query.alias("name")))
-    width = f"{int(slice_seconds * 1000)} milliseconds"
-    slices = (
-        packet_gate(packets.withWatermark("ts", watermark))
-        .withColumn("dns", named)
-        .groupBy(*FLOW_KEY, F.window("ts", width).alias("slice"))
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("length").alias("bytes"),
-            F.array_sort(F.collect_list(us)).alias("times"),
-            F.min("dns").alias("dns"),
-        )
+    return [
+        F.count("*").alias("n"), F.sum("length").alias("bytes"), F.min(us).alias("first_us"), F.max(us).alias("last_us"),
+        F.min(named).alias("dns"),
+        *[F.bit_or(F.when(F.floor(place / _WORD) == i, bit)).alias(f"w{i}") for i in range(_WORDS)],
+    ]
+
+
+def _with_gaps(buffers: DataFrame) -> DataFrame:
+    """Moments of the gaps of each run. Packets of one microsecond are gaps of 0; two packets need no bits."""
+    n, span = F.col("n"), F.col("last_us") - F.col("first_us")
+    words = F.filter(
+        F.array(*[F.struct(F.lit(i * _WORD).alias("at"), F.col(f"w{i}").alias("bits")) for i in range(_WORDS)]),
+        lambda w: w["bits"].isNotNull(),
+    )
+    places = F.flatten(F.transform(words, lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda b: F.getbit(w["bits"], b) == 1), lambda b: w["at"] + b
+    )))
+    pairs = F.zip_with(
+        F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1),
+        lambda after, before: (after - before).cast("bigint"),
     )
-    times, n = F.col("times"), F.col("n").cast("int")
-    gaps = F.zip_with(F.slice(times, 2, n), F.slice(times, 1, n - 1), lambda after, before: after - before)
-    first, last = times[0], F.element_at(times, -1)
-    mean = (last - first) / F.when(n > 1, n - 1)
-    spread = F.aggregate("gaps", F.lit(0.0), lambda total, g: total + (g - F.col("gap_mean")) * (g - F.col("gap_mean")))
+    none, several = F.lit(0).cast("bigint"), F.col("gaps").isNotNull()
+    repeats = n - 1 - F.size("gaps")
+    mean = span / F.when(n > 1, n - 1)
+
+    def square(x: Column) -> Column:
+        return (x - F.col("gap_mean")) * (x - F.col("gap_mean"))
+
+    spread = F.aggregate("gaps", F.lit(0.0), lambda total, g: total + square(g)) + repeats * square(F.lit(0.0))
     return (
-        slices.withColumn("gaps", gaps)
+        buffers.withColumn("places", F.when(n > 2, places))
+        .withColumn("gaps", F.when(n > 2, pairs))
         .withColumn("gap_mean", F.coalesce(mean, F.lit(0.0)))
-        .select(
-            *FLOW_KEY,
-            F.window_time("slice").alias("slice_end"),
-            "n", "bytes", first.alias("first_us"), last.alias("last_us"),
-            (n - 1).cast("bigint").alias("gap_n"),
-            F.coalesce(F.array_min("gaps"), F.lit(0)).alias("gap_min"),
-            F.coalesce(F.array_max("gaps"), F.lit(0)).alias("gap_max"),
-            "gap_mean", spread.alias("gap_m2"), F.col("dns")["name"].alias("dns_query"),
-        )
+        .withColumn("gap_n", n - 1)
+        .withColumn("gap_min", F.when(several, F.when(repeats > 0, none).otherwise(F.array_min("gaps"))).when(n > 1, span).otherwise(none))
+        .withColumn("gap_max", F.when(several, F.coalesce(F.array_max("gaps"), none)).when(n > 1, span).otherwise(none))
+        .withColumn("gap_m2", F.when(several, spread).otherwise(F.lit(0.0)))
+        .withColumn("dns_query", F.col("dns")["name"])
     )
 
 
+def run_stream(packets: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Closed runs: counts, ends, gap moments and first DNS name per (flow, millisecond)."""
+    gated = packet_gate(packets.withWatermark("ts", watermark))
+    runs = gated.groupBy(*FLOW_KEY, F.window("ts", f"{RUN_US // 1000} milliseconds").alias("run")).agg(*_buffers())
+    return _with_gaps(runs.withColumn("run_end", F.window_time("run"))).select(*FLOW_KEY, "run_end", *_RUN, "dns_query")
+
+
 class FlowSessions(StatefulProcessor):
-    """Merges the slices of a flow and emits it once it is idle."""
+    """Joins the runs of a flow and emits it once it is idle."""
 
-    def __init__(self, idle_us: int, slice_us: int):
-        self.idle_us, self.slice_us = idle_us, slice_us
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", _STATE_DDL)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slices = pd.concat(list(rows)).sort_values("first_us")
+        runs = pd.concat(list(rows))[[*_RUN, "dns_query"]].sort_values("first_us")
         state = self.flow.get() if self.flow.exists() else None
-        old_timer = state[10] if state else None
-        done = []
-        for s in slices.itertuples(index=False):
-            dns = s.dns_query if isinstance(s.dns_query, str) else None
-            part = (s.n, s.bytes, s.first_us, s.last_us, s.gap_n, s.gap_min, s.gap_max, s.gap_mean, s.gap_m2, dns)
-            if state is None:
-                state = part
-            elif part[2] - state[3] > self.idle_us:
-                done.append(state)
-                state = part
-            else:
-                state = merge(state, part)
-        timer = (state[3] + self.idle_us + self.slice_us) // 1000 + 1
-        if old_timer != timer:
-            if old_timer is not None:
-                self.handle.deleteTimer(int(old_timer))
+        if state:
+            runs = pd.concat([pd.DataFrame([state[:10]], columns=runs.columns), runs])
+        sessions = join_runs(runs, self.idle_us)
+        last = sessions[-1]
+        timer = (last[3] + self.idle_us + RUN_US) // 1000 + 1
+        if state and state[10] != timer:
+            self.handle.deleteTimer(int(state[10]))
+        if not state or state[10] != timer:
             self.handle.registerTimer(int(timer))
-        self.flow.update((*[_plain(v) for v in state[:10]], int(timer)))
-        if done:
-            yield self._rows(key, done)
+        self.flow.update((*last, int(timer)))
+        if len(sessions) > 1:
+            yield self._rows(key, sessions[:-1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.flow.exists():
@@ -118,8 +140,7 @@ class FlowSessions(StatefulProcessor):
     @staticmethod
     def _rows(key, states) -> pd.DataFrame:
         names = [
-            *["src_ip", "dst_ip", "src_port", "dst_port", "protocol"], "packet_count", "total_bytes",
-            "first_us", "last_us", "gap_min", "gap_max", "gap_mean", "gap_m2", "dns_query",
+            *FLOW_KEY, "packet_count", "total_bytes", "first_us", "last_us", "gap_min", "gap_max", "gap_mean", "gap_m2", "dns_query",
         ]
         return pd.DataFrame([(*key, *s[0:4], *s[5:10]) for s in states], columns=names)
 
@@ -127,48 +148,82 @@ class FlowSessions(StatefulProcessor):
         pass
 
 
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
-
-
-def merge(a: tuple, b: tuple) -> tuple:
-    """Two adjacent runs of packets as one: the gap between them joins the gaps inside them."""
-    edge = b[2] - a[3]
-    n, mean, m2 = a[4], a[7], a[8]
-    for n2, mean2, m22 in ((1, float(edge), 0.0), (b[4], b[7], b[8])):
-        if n2:
-            delta, total = mean2 - mean, n + n2
-            mean, m2, n = mean + delta * n2 / total, m2 + m22 + delta * delta * n * n2 / total, total
-    lows = [edge] + ([a[5]] if a[4] else []) + ([b[5]] if b[4] else [])
-    highs = [edge] + ([a[6]] if a[4] else []) + ([b[6]] if b[4] else [])
-    return (
-        a[0] + b[0], a[1] + b[1], a[2], max(a[3], b[3]), n, min(lows), max(highs), mean, m2,
-        a[9] if a[9] is not None else b[9],
-    )
-
-
-def stream_flows(
-    packets: DataFrame,
-    idle_seconds: float = IDLE_SECONDS,
-    slice_seconds: float = 1.0,
-    watermark: str = WATERMARK,
-) -> DataFrame:
+def join_runs(runs: pd.DataFrame, idle_us: int) -> list[tuple]:
+    """Runs in time order as sessions, one tuple each: the gaps between runs join the gaps inside them."""
+    n, size, first, last, gap_n, low, high, mean, m2 = (runs[c].to_numpy() for c in _RUN)
+    edge = first[1:] - last[:-1]
+    opens = np.concatenate([[True], edge > idle_us])
+    starts = np.flatnonzero(opens)
+    session = np.cumsum(opens) - 1
+    ends = np.maximum.reduceat(last, starts)
+    total = np.add.reduceat(n, starts)
+    middle = (ends - first[starts]) / np.maximum(total - 1, 1)
+    # Squared deviations around the final mean, of the gaps inside runs and of those between them.
+    inside = m2 + gap_n * (mean - middle[session]) ** 2
+    across = np.where(opens[1:], 0.0, (edge - middle[session[1:]]) ** 2)
+    spread = np.add.reduceat(inside + np.concatenate([[0.0], across]), starts)
+    none = np.iinfo(np.int64).max
+    least = np.minimum.reduceat(np.minimum(np.where(gap_n > 0, low, none), np.concatenate([[none], np.where(opens[1:], none, edge)])), starts)
+    most = np.maximum.reduceat(np.maximum(np.where(gap_n > 0, high, -1), np.concatenate([[-1], np.where(opens[1:], -1, edge)])), starts)
+    names = runs["dns_query"].where(runs["dns_query"].notna(), None).to_numpy(dtype=object)
+    named = np.flatnonzero([isinstance(x, str) for x in names])
+    found = {int(session[i]): names[i] for i in named[::-1]}
+    out = zip(total, np.add.reduceat(size, starts), first[starts], ends, total - 1, least, most, middle, spread, strict=True)
+    sessions = []
+    for k, (count, amount, begin, end, gaps, lowest, highest, average, around) in enumerate(out):
+        ranges = (int(lowest), int(highest), float(average), float(around)) if count > 1 else (0, 0, 0.0, 0.0)
+        sessions.append((int(count), int(amount), int(begin), int(end), int(gaps), *ranges, found.get(k)))
+    return sessions
+
+
+def stream_flows(packets: DataFrame, idle_seconds: float = IDLE_SECONDS, watermark: str = WATERMARK) -> DataFrame:
     """FLOW rows, each appended once its 5-tuple has been idle for more than ``idle_seconds``.
 
     Needs the RocksDB state provider (``STATE_PROVIDER``). Rows older than the watermark are
-    dropped. ``slice_seconds`` must not exceed the idle time, so that no slice hides a split.
+    dropped. The idle time is at least a run, so that no run hides a split.
     """
-    if slice_seconds > idle_seconds:
-        raise ValueError("slice_seconds must not exceed idle_seconds")
+    if idle_seconds * MICROS < RUN_US:
+        raise ValueError("idle_seconds must not be shorter than a millisecond")
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    slices = slice_stream(packets, slice_seconds, watermark)
-    merged = slices.groupBy(*FLOW_KEY).transformWithStateInPandas(
-        FlowSessions(int(idle_seconds * MICROS), int(slice_seconds * MICROS)),
-        _MERGED_DDL, "append", "eventTime",
+    merged = run_stream(packets, watermark).groupBy(*FLOW_KEY).transformWithStateInPandas(
+        FlowSessions(int(idle_seconds * MICROS)), _MERGED_DDL, "append", "eventTime",
     )
     return finish_flows(merged)
 
 
+def state_of(spark: SparkSession, checkpoint: str, operator: str, **options: str) -> DataFrame:
+    """Rows (key, value) that the first operator of that name keeps in a checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    steps = spark.read.format("state-metadata").load(checkpoint)
+    step = steps.filter(F.col("operatorName").startswith(operator)).agg(F.min("operatorId")).first()[0]
+    if step is None:
+        raise ValueError(f"no {operator} in {checkpoint}")
+    return spark.read.format("statestore").options(operatorId=step, **options).load(checkpoint)
+
+
+def open_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stopped ``stream_flows`` holds: a run per open millisecond and one per open flow."""
+    key = [F.col(f"key.{c}").alias(c) for c in FLOW_KEY]
+    buffers = state_of(spark, checkpoint, "stateStoreSave").select(*key, F.col("value").cast(_BUFFER).alias("b"))
+    fresh = _with_gaps(buffers.select(*FLOW_KEY, "b.*")).select(*FLOW_KEY, *_RUN, "dns_query")
+    held = state_of(spark, checkpoint, "transformWithState", stateVarName="flow").select(*key, "value.*")
+    return held.select(*fresh.columns).unionByName(fresh)
+
+
+def open_flows(spark: SparkSession, checkpoint: str, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """FLOW rows of the flows a stopped ``stream_flows`` has not emitted, ended as they stand.
+
+    Windows see one flow's open milliseconds: as many as the watermark's delay holds at most, and one state.
+    """
+    ordered = Window.partitionBy(*FLOW_KEY).orderBy("first_us")
+    edge = F.col("first_us") - F.lag("last_us").over(ordered)
+    runs = open_runs(spark, checkpoint).withColumn("starts", (F.coalesce(edge, F.lit(0)) > int(idle_seconds * MICROS)).cast("int"))
+    dns = F.when(F.col("dns_query").isNotNull(), F.struct(F.col("first_us"), F.col("dns_query").alias("name")))
+    bounds = {c: F.when(F.col("gap_n") > 0, F.col(c)) for c in ("gap_min", "gap_max")}
+    runs = runs.withColumns({"session_no": F.sum("starts").over(ordered), "slice": F.col("first_us"), "dns": dns, **bounds})
+    return finish_flows(merge_slices(runs, [*FLOW_KEY, "session_no"]))
+
+
 def stream_counters(packets: DataFrame, width: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
     """Packet, TCP, UDP and DNS totals per tumbling window."""
     udp = F.col("protocol") == "UDP"
@@ -183,3 +238,9 @@ def stream_counters(packets: DataFrame, width: str = "10 seconds", watermark: st
         )
         .select(F.col("w.start").alias("window_start"), "total_packets", "tcp_packets", "udp_packets", "dns_packets")
     )
+
+
+def running_stats(packets: DataFrame, exported: DataFrame, held: DataFrame) -> DataFrame:
+    """The collector's six counters: packets by kind, flows held and flows exported."""
+    n = {name: df.agg(F.count("*").alias(name)) for name, df in (("active_flows", held), ("exported_flows", exported))}
+    return packet_stats(packets).withColumns({name: F.lit(count.scalar()) for name, count in n.items()})

@@ -1,10 +1,12 @@
 """Capture files."""
 
+import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from flowhunt.sources import capture
+from flowhunt.sources import capture, capture_ranges as ranges
 
 
 def ipv4(proto, src, dst, payload):
@@ -85,3 +87,78 @@ def test_damaged_captures_are_reported(spark, tmp_path):
     assert len(left) == 2 and all(r.wire_length > 0 and r.frame is None for r in left)
     numbered = frames.withColumnRenamed("frame_no", "packet_id")
     assert capture.decode_frames(numbered).count() == 4
+
+
+def embedded(n, rng):
+    """Frames with payloads that look like records: zeros, whole captures, single records, noise."""
+    inner = pcap(FRAMES)
+    kinds = [b"\x00" * 700, inner, inner[24:], inner[24 : 24 + 16 + len(FRAMES[0][1])], rng.randbytes(300), b""]
+    return [(1_700_000_000_000_000 + i * 1000, ETHER + b"\x08\x00" + ipv4(17, A, B, udp(1000 + i, 80, rng.choice(kinds)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["pcap", "pcapng"])
+def test_first_record_is_found_from_every_offset(kind, monkeypatch):
+    monkeypatch.setattr(ranges, "LONGEST", 2000)
+    monkeypatch.setattr(ranges, "BLOCK", 2000)
+    monkeypatch.setattr(ranges, "MARGIN", 500)
+    frames = embedded(60, random.Random(3))
+    data = pcap(frames) if kind == "pcap" else pcapng(frames)
+    if kind == "pcap":
+        data = data[:16] + struct.pack("<I", 2000) + data[20:]
+    file, starts = ranges.file_head(data[:64]), []
+    at = file.begin
+    while at < len(data):
+        starts.append(at)
+        at += 16 + struct.unpack_from("<I", data, at + 8)[0] if kind == "pcap" else struct.unpack_from("<I", data, at + 4)[0]
+    fallbacks = []
+    slow = ranges._from_the_begin
+    monkeypatch.setattr(ranges, "_from_the_begin", lambda *a: fallbacks.append(a[2]) or slow(*a))
+    for begin in range(0, len(data) + 1):
+        want = next((s for s in starts if s >= begin), len(data))
+        assert ranges.first_record(file, lambda o, n: data[o : o + n], begin, len(data)) == (want, True), begin
+    assert len(fallbacks) < len(data) / 2
+
+
+@pytest.mark.parametrize("size", [100, 1000, 5000, 1 << 20])
+def test_ranges_equal_the_sequential_reader(spark, tmp_path, size):
+    frames = embedded(40, random.Random(5))
+    section = pcapng(frames[20:])
+    (tmp_path / "a.pcap").write_bytes(pcap(frames))
+    (tmp_path / "b.pcap").write_bytes(pcap(frames, ">", 0xA1B23C4D, 1_000_000_000))
+    # Two sections with different clocks; the second describes its interface anew.
+    micros = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))
+    for us, data in frames[:20]:
+        micros += block(6, struct.pack("<IIIII", 0, us >> 32, us & 0xFFFFFFFF, len(data), len(data)) + data)
+    (tmp_path / "c.pcapng").write_bytes(micros + section)
+    (tmp_path / "notes.txt").write_text("not a capture")
+    found = ranges.read_frame_ranges(spark, str(tmp_path), size)
+    got = [(r.path.rsplit("/", 1)[1], r.ts_us, r.link, r.wire_length, bytes(r.frame)) for r in found.orderBy("path", "place").collect()]
+    whole = capture.read_frames(spark, str(tmp_path)).orderBy("path", "frame_no").collect()
+    want = [(r.path.rsplit("/", 1)[1], r.ts_us, r.link, r.wire_length, bytes(r.frame)) for r in whole]
+    assert sorted(got) == sorted(want) and len(got) == 120
+    assert [g for g in got if g[0] == "c.pcapng"] == [w for w in want if w[0] == "c.pcapng"]
+    packets = capture.read_capture(spark, str(tmp_path), range_bytes=size)
+    assert packets.count() == 120 and packets.select("packet_id").distinct().count() == 120
+
+
+def test_damage_is_told_by_its_range(spark, tmp_path):
+    frames = embedded(40, random.Random(7))
+    (tmp_path / "a.pcap").write_bytes(pcap(frames)[:-7])
+    (tmp_path / "b.pcapng").write_bytes(pcapng(frames)[:-7])
+    with pytest.raises(Exception, match="damaged at byte"):
+        ranges.read_frame_ranges(spark, str(tmp_path), 3000).count()
+    told = ranges.read_frame_ranges(spark, str(tmp_path), 3000, damaged="report")
+    left = told.filter(F.col("link") == capture.DAMAGED).collect()
+    assert told.count() == 80 and len(left) == 2 and all(r.wire_length > 0 and r.frame is None for r in left)
+
+
+def test_written_captures_are_read_back(spark, tmp_path):
+    rows = [(i, 1_700_000_000_000_000 + i, 1, 60 + i, FRAMES[0][1]) for i in range(50)]
+    frames = spark.createDataFrame(rows, "packet_id long, ts_us long, link int, wire_length long, frame binary").repartition(3)
+    folder = str(tmp_path / "out")
+    ranges.write_capture(frames, folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part-0000{i}.pcap" for i in range(3)]
+    back = ranges.read_frame_ranges(spark, folder, 500)
+    assert sorted((r.ts_us, r.link, r.wire_length) for r in back.collect()) == [r[1:4] for r in rows]
+    with pytest.raises(Exception):
+        ranges.read_frame_ranges(spark, str(tmp_path / "nowhere")).count()

@@ -6,10 +6,12 @@ import pandas as pd
 import pytest
 
 from flowhunt.plans.catalog import QUERIES
+from flowhunt.plans.forest_oracle import FOREST_ORACLE
 from flowhunt.plans.model_oracle import MODEL_ORACLE
 from flowhunt.plans.oracle import ORACLE as BASE_ORACLE
+from flowhunt.plans.stream_oracle import STREAM_ORACLE
 
-ORACLE = {**BASE_ORACLE, **MODEL_ORACLE}
+ORACLE = {**BASE_ORACLE, **MODEL_ORACLE, **FOREST_ORACLE, **STREAM_ORACLE}
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "events pages".split()
@@ -18,11 +20,10 @@ CHECKED = [
     "flow_features", "session_flows", "beacon_intervals", "describe_flows", "capture_decode", "apply_rules", "alerts",
     "timelines", "detection_metrics", "metrics_by_type", "label_wildcard_join", "label_masks", "stream_counters",
     "stream_alerts", "stream_incidents", "shapley_values", "explain_alerts", "narratives", "bootstrap_ci", "score_fusion",
+    "isolation_forest_scores", "forest_score_fusion", "feature_ablation", "capture_files", "stream_sessions", "stream_flush",
+    "packet_stats_json", "live_flow_files",
 ]
-WITHOUT_SQL = {
-    "isolation_forest_scores", "isolation_forest_labels", "forest_score_fusion", "forest_alerts", "model_retrain",
-    "forest_shapley_values", "feature_ablation", "cross_validate_fitted",
-}
+WITHOUT_SQL = {"forest_shapley_values", "cross_validate_fitted"}
 
 
 def test_every_query_has_sql_or_a_reason():

@@ -1,5 +1,6 @@
 """Forest and Shapley values: invariants and brute force."""
 
+import hashlib
 from itertools import combinations
 from math import factorial
 
@@ -61,6 +62,46 @@ def test_samples_are_full_and_distinct_at_every_size(spark, flows):
     assert drawn.select("tree", "src_port").distinct().count() == 6000 > drawn.select("src_port").distinct().count()
 
 
+def plain_tree(x, allowed, tree, seed, rows):
+    """The nodes of one tree, grown one after the other."""
+    limit, nodes = (rows - 1).bit_length(), {}
+    pending = [(np.arange(len(x)), 0, 0)]
+    while pending:
+        members, node, depth = pending.pop()
+        low, high = x[members].min(axis=0), x[members].max(axis=0)
+        varying = [i for i in allowed if high[i] > low[i]]
+        if depth >= limit or not varying:
+            nodes[node] = (-1, None, -1, -1, len(members), depth + float(fo.average_path(len(members))))
+            continue
+        digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+        pick = varying[int(digest[:8], 16) % len(varying)]
+        cut = low[pick] + (int(digest[8:21], 16) + 0.5) / 2.0**52 * (high[pick] - low[pick])
+        cut = high[pick] if cut <= low[pick] else cut
+        nodes[node] = (pick, cut, 2 * node + 1, 2 * node + 2, len(members), None)
+        right = x[members, pick] >= cut
+        assert 0 < right.sum() < len(members)
+        pending += [(members[~right], 2 * node + 1, depth + 1), (members[right], 2 * node + 2, depth + 1)]
+    return nodes
+
+
+def test_trees_grown_at_once_equal_trees_grown_alone(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, (150, 14)).astype(float)
+    x[:, 2], x[:40] = 7.0, x[0]  # a constant feature, and rows that cannot be told apart
+    tree = np.repeat([0, 1, 2, 3], [100, 40, 9, 1])
+    sample = spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(tree, x)], "tree INT, " + ", ".join(f"{f} DOUBLE" for f in FEATURES))
+    variants = {"all": FEATURES, "less": FEATURES[5:]}
+    got = fo.grow_trees(sample, variants, 128, seed=3).collect()
+    found = {(r.variant, r.tree, r.node): (r.feature, r.threshold, r.left_node, r.right_node, r.cover) for r in got}
+    paths = {(r.variant, r.tree, r.node): r.path_length for r in got}
+    want = {
+        (v, t, node): row for v, names in variants.items() for t in range(4)
+        for node, row in plain_tree(x[tree == t], [FEATURES.index(f) for f in names], t, 3, int((tree == t).sum())).items()
+    }
+    assert found == {k: row[:5] for k, row in want.items()}
+    assert all(paths[k] == pytest.approx(row[5]) if row[5] is not None else paths[k] is None for k, row in want.items())
+
+
 def test_model_store(spark, flows, model, tmp_path):
     models.save_model(model, str(tmp_path / "m"))
     loaded = models.load_model(spark, str(tmp_path / "m"))
@@ -82,14 +123,11 @@ def test_shapley_adds_up_to_the_model_output(flows, model):
             assert sum(r.shap) > 0
 
 
-def test_shapley_matches_enumeration():
+def test_shapley_matches_enumeration(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (64, 14))
-    nodes = fo.grow_tree(x, np.arange(4), np.random.default_rng(1))
-    import pandas as pd
-
-    frame = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left_node", "right_node", "cover", "path_length"]).assign(tree=0)
-    arrays = fo.tree_arrays(frame)
+    sample = spark.createDataFrame([(0, *map(float, r)) for r in x], "tree INT, " + ", ".join(f"{f} DOUBLE" for f in FEATURES))
+    arrays = fo.tree_arrays(fo.grow_trees(sample, {"few": FEATURES[:4]}, 64).toPandas())
     boxes = sh.leaf_boxes(arrays)
     groups = []
     for d in sorted({len(p) for _, _, p in boxes}):

@@ -1,7 +1,11 @@
 """Streams agree with the batch operators."""
 
 import json
+import random
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowhunt.operators import flows as fl
@@ -23,7 +27,7 @@ def test_stream_flows_split_and_match_batch(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
 
     def run():
-        stream = sf.stream_flows(sio.read_packet_stream(spark, folder), slice_seconds=10)
+        stream = sf.stream_flows(sio.read_packet_stream(spark, folder))
         sio.run_to_table(stream, out, checkpoint).awaitTermination()
 
     source = packets(spark, rows)
@@ -50,3 +54,85 @@ def test_live_flow_files(spark, tmp_path):
     sio.run_to_table(sio.read_live_flows(spark, str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(out).select(*FLOW_KEY, F.unix_micros("first_seen").alias("us"), "dns_entropy").collect()
     assert len(got) == 2 and got[0].us % 1_000_000 == 313161 and got[0].dns_entropy == 1.5
+
+
+def test_runs_take_packets_in_any_order(spark, tmp_path):
+    """Repeated microseconds, word limits: all gap moments equal those of the batch operator."""
+    rng = random.Random(5)
+    rows, n = [], 0
+    for flow in range(12):
+        base = rng.choice([0, 5_000_000, 1_700_000_000_000_000])
+        times = [base + rng.choice([0, 63, 64, 999, 1000, 1001, rng.randrange(5000), rng.randrange(90_000)]) for _ in range(rng.choice([1, 2, 3, 40]))]
+        for t in times:
+            rows.append((n, t, f"s{flow}", "d", 1, 53, "UDP", n % 7, rng.choice([None, "", f"q{n}.example"])))
+            n += 1
+    rng.shuffle(rows)
+    source = packets(spark, rows)
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    source.repartition(4).write.parquet(folder)
+    stream = sf.stream_flows(sio.read_packet_stream(spark, folder), 60.0, "1 second")
+    sio.run_to_table(stream, out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out).unionByName(sf.open_flows(spark, checkpoint))
+    want = fl.flow_features(source, 5.0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 12
+
+
+def test_state_of_a_hot_flow_is_bounded(spark, tmp_path):
+    """A million packets of one flow in one second: a thousand rows of fixed size, and a dozen numbers."""
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    us = 1_700_000_000_000_000 + F.col("id") % 1_000_000
+    rows = spark.range(1_000_000).select(
+        F.col("id").alias("packet_id"), F.timestamp_micros(us).alias("ts"), *[F.lit(v).alias(c) for c, v in zip(FLOW_KEY, KEY1)],
+        F.lit(5).cast("long").alias("length"), F.lit(None).cast("string").alias("dns_query"),
+    )
+    rows.write.parquet(folder)
+    sio.run_to_table(sf.stream_flows(sio.read_packet_stream(spark, folder), 60.0, "60 seconds"), out, checkpoint).awaitTermination()
+    buffers = sf.state_of(spark, checkpoint, "stateStoreSave")
+    sizes = buffers.select(F.length(F.to_json("value")).alias("n")).agg(F.count("*"), F.max("n")).first()
+    assert sizes[0] == 1000 and sizes[1] < 800
+    # Drained as it stands, the flow is whole: no packet's time was kept, none is lost.
+    flow = sf.open_flows(spark, checkpoint).first()
+    assert (flow.packet_count, flow.total_bytes, flow.max_iat, flow.std_iat, flow.duration) == (1_000_000, 5_000_000, 0.000001, 0.0, 0.999999)
+
+
+def test_joined_runs_equal_packets():
+    rng = random.Random(8)
+    times = sorted(rng.randrange(2_000_000) for _ in range(300))
+    runs = []
+    for k in sorted({t // 1000 for t in times}):
+        own = [t for t in times if t // 1000 == k]
+        gaps = np.diff(own)
+        mean = float(gaps.mean()) if len(gaps) else 0.0
+        runs.append((len(own), 7 * len(own), own[0], own[-1], len(gaps), int(min(gaps, default=0)), int(max(gaps, default=0)),
+                     mean, float(((gaps - mean) ** 2).sum()), f"n{k}" if k % 3 == 0 else None))
+    frame = pd.DataFrame(runs, columns=[*sf._RUN, "dns_query"])
+    for idle in (3_000, 20_000, 10**9):
+        cuts = [0, *[i for i in range(1, 300) if times[i] - times[i - 1] > idle], 300]
+        got = sf.join_runs(frame, idle)
+        assert len(got) == len(cuts) - 1
+        for s, lo, hi in zip(got, cuts, cuts[1:]):
+            own, gaps = times[lo:hi], np.diff(times[lo:hi])
+            assert s[:7] == (hi - lo, 7 * (hi - lo), own[0], own[-1], len(gaps), min(gaps, default=0), max(gaps, default=0))
+            assert s[8] == pytest.approx(float(((gaps - gaps.mean()) ** 2).sum()) if len(gaps) else 0.0)
+            assert s[9] == next((f"n{k}" for k in sorted({t // 1000 for t in own}) if k % 3 == 0), None)
+
+
+def test_flow_files_are_dropped_once(spark, tmp_path):
+    flows = fl.flow_features(packets(spark, [(i, i * 1000, f"s{i}", "d", 1, 2, "TCP", 5, None) for i in range(25)]), 5.0)
+    folder = str(tmp_path / "drops")
+    drop = sio.drop_flow_files(folder, rows_per_file=4)
+    drop(flows, 3)
+    drop(flows.limit(2), 3)  # given again: already published
+    drop(flows.limit(0), 4)  # nothing to publish
+    unfinished = tmp_path / "drops" / "_unfinished" / "0000000005"
+    unfinished.mkdir(parents=True)
+    (unfinished / "part-0.txt").write_text("[{broken")
+    sio.drop_open_flows(flows.limit(1), folder)
+    names = sorted(p.name for p in (tmp_path / "drops").iterdir() if p.name.startswith("flows"))
+    assert names == ["flows_live_0000000003.json", "flows_live_final.json"]
+    arrays = [json.loads(p.read_text()) for p in (tmp_path / "drops" / names[0]).glob("part-*")]
+    assert sum(map(len, arrays)) == 25 and max(map(len, arrays)) <= 4
+    out = str(tmp_path / "out")
+    sio.run_to_table(sio.read_live_flows(spark, folder), out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(out).count() == 26
+    assert spark.read.parquet(out).exceptAll(flows.unionByName(flows.limit(1))).count() == 0
