@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowhunt.functions.columns import MICROS, micros_to_seconds
 from flowhunt.operators.skew import HOT_ROWS, attach_by_key
@@ -13,6 +13,16 @@ ENTITY_COLUMNS = [
 MIN_PERIODIC_PACKETS = 5
 
 
+def regularity(min_packets: int = MIN_PERIODIC_PACKETS) -> Column:
+    """1 - std/mean of a flow's gaps, floored at 0; null with too few packets."""
+    variation = F.least(F.lit(1.0), F.col("std_iat") / F.col("mean_iat"))
+    return F.when((F.col("packet_count") >= min_packets) & (F.col("mean_iat") > 0), 1 - variation)
+
+
+def duration_micros() -> Column:
+    return F.floor(F.col("duration") * MICROS + 0.5)
+
+
 def entity_features(
     flows: DataFrame, min_packets: int = MIN_PERIODIC_PACKETS, approx_distinct: bool = False
 ) -> DataFrame:
@@ -22,18 +32,13 @@ def entity_features(
     packets. Durations are summed as whole microseconds so that the order of addition cannot
     matter. The distinct count shuffles (source, port) pairs, not flows.
     """
-    variation = F.least(F.lit(1.0), F.col("std_iat") / F.col("mean_iat"))
-    regular = F.when(
-        (F.col("packet_count") >= min_packets) & (F.col("mean_iat") > 0), 1 - variation
-    )
-    micros = F.floor(F.col("duration") * MICROS + 0.5)
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     return flows.groupBy("src_ip").agg(
         distinct("dst_port").alias("dst_port_count"),
         F.count("*").alias("connection_count"),
-        micros_to_seconds(F.sum(micros) / F.count("*")).alias("avg_duration"),
+        micros_to_seconds(F.sum(duration_micros()) / F.count("*")).alias("avg_duration"),
         F.sum("total_bytes").alias("bytes_sent"),
-        F.coalesce(F.max(regular), F.lit(0.0)).alias("periodicity_score"),
+        F.coalesce(F.max(regularity(min_packets)), F.lit(0.0)).alias("periodicity_score"),
     )
 
 

@@ -142,8 +142,9 @@ def shapley_values(flows: DataFrame, forest: Forest, variant: str = FULL) -> Dat
 
 
 def sample_flows(flows: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """Uniform sample without replacement: the ``n`` smallest hashes of the flow key."""
-    return flows.orderBy(F.xxhash64(*FLOW_KEY, F.lit(seed)), *FLOW_KEY).limit(n)
+    """Uniform sample without replacement: the ``n`` smallest digests of the flow key and first time."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *FLOW_KEY, F.unix_micros("first_seen").cast("string")))
+    return flows.orderBy(digest, *FLOW_KEY, "first_seen").limit(n)
 
 
 def global_importance(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowhunt.operators.forest import CONTAMINATION, FULL, RAW_DIGITS, SAMPLE_SIZE, SEED, TREES
-from flowhunt.plans.oracle import KEY, _ALERT_TEXT, _cells, _query, _rates, _round, _STAGES
+from flowhunt.plans.oracle import KEY, _ALERT_TEXT, _cells, _iso, _query, _rates, _round, _STAGES
 from flowhunt.schemas import FEATURES
 
 _LEVELS = (SAMPLE_SIZE - 1).bit_length()
@@ -77,6 +77,50 @@ FROM raws r JOIN vectors v USING (row) JOIN (SELECT variant, quantile_cont(raw,
     return stages
 
 
+def _explained() -> dict[str, str]:
+    """Stages from the nodes to ``explained``: Shapley values from the definition, summed over the coalitions of each leaf.
+
+    A leaf is worth its value times, per feature on its path, 1 or 0 where the feature is known and the share of samples
+    that go its way where it is not. Flows are first sorted by which intervals of a leaf they lie in.
+    """
+    n = len(FEATURES)
+    each, edge = range(n), "c.node = 2 * b.node + 1"
+    stages = {"boxes0": f"SELECT tree, node, 0 AS used, {[-1e308] * n} AS lo, {[1e308] * n} AS hi, {[1.0] * n}::DOUBLE[] AS share FROM nodes WHERE node = 0"}
+    at = "list_transform(range(1, {}), lambda i: CASE WHEN i = p.pick + 1 THEN {} ELSE {} END)"
+    for k in range(_LEVELS):
+        stages[f"boxes{k + 1}"] = f"""
+SELECT b.tree, c.node, b.used | (1 << p.pick) AS used,
+  CASE WHEN {edge} THEN b.lo ELSE {at.format(n + 1, "greatest(b.lo[i], p.cut)", "b.lo[i]")} END AS lo,
+  CASE WHEN {edge} THEN {at.format(n + 1, "least(b.hi[i], p.cut)", "b.hi[i]")} ELSE b.hi END AS hi,
+  {at.format(n + 1, "b.share[i] * c.cover / p.cover", "b.share[i]")} AS share
+FROM boxes{k} b JOIN nodes p ON p.tree = b.tree AND p.node = b.node AND p.pick IS NOT NULL
+JOIN nodes c ON c.tree = p.tree AND c.node - 2 * p.node IN (1, 2)"""
+    boxes = " UNION ALL ".join(f"SELECT * FROM boxes{k}" for k in range(_LEVELS + 1))
+    stages["leaf"] = f"""
+SELECT row_number() OVER () AS leaf, -path_length / {TREES} AS worth, used, lo, hi, share, list_filter(range({n}), lambda i: (used >> i) & 1 = 1) AS own
+FROM ({boxes}) JOIN nodes USING (tree, node) WHERE pick IS NULL AND used > 0"""
+    inside = " + ".join(f"CASE WHEN x{i} >= lo{i} AND x{i} < hi{i} THEN {1 << i} ELSE 0 END" for i in each)
+    bounds = ", ".join(f"lo[{i + 1}] AS lo{i}, hi[{i + 1}] AS hi{i}" for i in each)
+    stages["met"] = f"""
+SELECT row, leaf, used & ({inside}) AS inside FROM (SELECT row, {", ".join(f"x[{i + 1}] AS x{i}" for i in each)} FROM vectors),
+  (SELECT leaf, used, {bounds} FROM leaf)"""
+    without = ", ".join(f"sum(CASE WHEN (known >> {i}) & 1 = 0 THEN part ELSE 0 END) AS c{i}" for i in each)
+    parts = ", ".join(
+        f"CASE WHEN (used >> {i}) & 1 = 1 THEN worth * c{i} / share[{i + 1}] * (((inside >> {i}) & 1) - share[{i + 1}]) ELSE 0 END AS v{i}" for i in each
+    )
+    stages["pieces"] = f"""
+SELECT leaf, inside, {parts} FROM leaf JOIN (
+  SELECT leaf, inside, {without} FROM (
+    SELECT leaf, inside, known, factorial(bit_count(known)::INTEGER)::DOUBLE * factorial((len(own) - bit_count(known) - 1)::INTEGER)::DOUBLE / factorial(len(own)::INTEGER)::DOUBLE
+        * list_reduce(list_transform(list_filter(own, lambda i: (known >> i) & 1 = 0), lambda i: share[i + 1]), lambda a, b: a * b) AS part
+    FROM (SELECT leaf, inside, own, share, coalesce(list_sum(list_transform(own, lambda f, i: CASE WHEN (s >> (i - 1)) & 1 = 1 THEN 1 << f ELSE 0 END)), 0)::BIGINT AS known
+      FROM (SELECT DISTINCT leaf, inside FROM met) JOIN leaf USING (leaf), range({1 << _LEVELS}) u(s) WHERE s < (1 << len(own)) - 1)
+    WHERE known & inside = known) GROUP BY leaf, inside) USING (leaf)"""
+    sums = ", ".join(f"sum(v{i}) AS v{i}" for i in each)
+    stages["explained"] = f"SELECT v.* EXCLUDE (a, b, x), {', '.join(f'v{i}' for i in each)} FROM vectors v JOIN (SELECT row, {sums} FROM met JOIN pieces USING (leaf, inside) GROUP BY row) USING (row)"
+    return stages
+
+
 def _before(stage: str, new: dict[str, str], **replaced: str) -> dict[str, str]:
     """All stages, with ``new`` ones ahead of ``stage``."""
     out: dict[str, str] = {}
@@ -98,6 +142,11 @@ FROM (SELECT *, {_round("1 - " + _round("(decision - lo) / (hi - lo)", 6), 6)} A
 _AFTER_FLOWS = _before("thresholds", _FULL)
 _AFTER_ENRICHED = _before("scored", _FULL, scored=_SCORED)
 _ABLATED = _before("scored", _forest({FULL: FEATURES} | {f: [g for g in FEATURES if g != f] for f in FEATURES}))
+_TOLD = " UNION ALL ".join(
+    f"SELECT {KEY}, {_iso('make_timestamp(first_us)')} AS first_seen, '{f}' AS feature, {_round(f'v{i}', 6)} AS shap, "
+    f"CAST({f} AS DOUBLE) AS actual_value FROM explained JOIN flows USING ({KEY}, first_us)"
+    for i, f in enumerate(FEATURES)
+)
 _MALICIOUS = "CAST(CAST(split_part(src_ip, '.', 4) AS BIGINT) % 10 IN (0, 1, 2, 3) AS INTEGER)"
 _BANDS = (
     "CASE WHEN final_threat_score >= 0.8 THEN 'CRITICAL' WHEN final_threat_score >= 0.6 THEN 'HIGH' "
@@ -112,6 +161,7 @@ FOREST_ORACLE = {
         "scored", f"SELECT {KEY}, ml_score_normalized, final_threat_score, {_BANDS} AS threat_score_band FROM scored", _AFTER_ENRICHED
     ),
     "forest_alerts": _query("alerts", f"SELECT {_ALERT_TEXT} FROM alerts", _AFTER_ENRICHED),
+    "forest_shapley_values": _query("explained", _TOLD, _before("thresholds", {**_FULL, **_explained()})),
     "feature_ablation": _query(
         "forest",
         f"SELECT *, {_rates()} FROM (SELECT left_out, {_cells('found')} FROM ("

@@ -125,7 +125,9 @@ MODEL_ORACLE = {
     "fixed_forest_labels": _query("enriched", f'SELECT iforest_label, count(*) AS "count" FROM {_FOREST} GROUP BY iforest_label'),
     "ml_anomalies": _query("enriched", f"SELECT {KEY}, iforest_score, suspicion_score FROM {_FOREST} WHERE iforest_label = -1"),
     "rule_only_hits": _query(
-        "enriched", f"SELECT {KEY}, iforest_score, suspicion_score FROM {_FOREST} WHERE suspicion_score >= 2 AND iforest_label = 1"
+        "enriched",
+        f"SELECT {KEY}, iforest_score, raised AS suspicion_score FROM (SELECT *, suspicion_score + CASE WHEN src_port % 3 = 0 "
+        f"AND suspicion_score > 0 THEN 2 ELSE 0 END AS raised FROM {_FOREST}) WHERE raised >= 3 AND iforest_label = 1",
     ),
     "ml_only_hits": _query(
         "enriched",

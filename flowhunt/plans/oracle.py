@@ -348,6 +348,34 @@ SELECT *, {_alert_severity("boosted")} AS severity, {_round("boosted", 3)} AS al
     FROM scored) WHERE threat_label <> 'BENIGN')
 """
 
+def _cross_validation(folds: int = 5) -> str:
+    """Every fold k judged by what the flows of all other folds fit."""
+    z = " + ".join(f"abs(CASE WHEN {c}_s = 0 THEN 0.0::DOUBLE ELSE (f.{c} - {c}_m) / {c}_s END)" for c in FEATURES)
+    moments = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FEATURES)
+    return f"""
+SELECT *, {_rates()} FROM (
+  SELECT fold, {_cells("final > 0.6")} FROM (
+    SELECT fold, actual_malicious, {_round("0.6::DOUBLE * rule_n + 0.4::DOUBLE * ml_n", 6)} AS final FROM (
+      SELECT fold, actual_malicious,
+        CASE WHEN ml_lo = ml_hi THEN 0.0::DOUBLE ELSE {_round("(ml - ml_lo) / (ml_hi - ml_lo)", 6)} END AS ml_n,
+        CASE WHEN rule_lo = rule_hi THEN 0.0::DOUBLE ELSE {_round("(rule - rule_lo) / CAST(rule_hi - rule_lo AS DOUBLE)", 6)} END AS rule_n
+      FROM (
+        SELECT *, min(ml) FILTER (fold <> k) OVER (PARTITION BY k) AS ml_lo, max(ml) FILTER (fold <> k) OVER (PARTITION BY k) AS ml_hi,
+          min(rule) FILTER (fold <> k) OVER (PARTITION BY k) AS rule_lo, max(rule) FILTER (fold <> k) OVER (PARTITION BY k) AS rule_hi
+        FROM (
+          SELECT fold, k, actual_malicious, {_round(f"({z}) / {len(FEATURES)}", 6)} AS ml,
+            CAST(packet_count > t_packets AS INTEGER) + CAST(duration > t_duration AS INTEGER) + CAST(dns_entropy > t_entropy AS INTEGER)
+              + CAST(dns_subdomain_depth >= 4 AS INTEGER) AS rule
+          FROM (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8))::BIGINT % {folds} AS BIGINT) AS fold,
+                  CAST(CAST(split_part(src_ip, '.', 4) AS BIGINT) % 10 IN (0, 1, 2, 3) AS INTEGER) AS actual_malicious FROM flows) f
+          JOIN (SELECT k, {moments}, quantile_cont(packet_count, 0.99) AS t_packets, quantile_cont(duration, 0.99) AS t_duration,
+                  quantile_cont(dns_entropy, 0.95) AS t_entropy
+                FROM (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8))::BIGINT % {folds} AS BIGINT) AS fold FROM flows), range({folds}) u(k)
+                WHERE fold <> k GROUP BY k) ON TRUE))
+      WHERE fold = k)) GROUP BY fold)
+"""
+
+
 ORACLE: dict[str, str] = {
     "stream_flows": _query("flows", f"SELECT {_FLOW_TEXT} FROM flows"),
     "stream_alerts": _query(
@@ -521,6 +549,7 @@ ORACLE: dict[str, str] = {
     ),
     "confusion_matrix": _query("labelled", f"SELECT {_cells('final_threat_score > 0.6')} FROM labelled"),
     "detection_metrics": _query("auc", _DETECTION),
+    "evaluation_report": _query("auc", f"SELECT * EXCLUDE (recall_verdict, fpr_verdict) FROM ({_DETECTION})"),
     "metrics_by_type": _query(
         "labelled",
         f"SELECT *, {_rates()} FROM (SELECT t.truth_label, {_cells('final_threat_score > 0.6')} FROM labelled l "
@@ -551,6 +580,10 @@ ORACLE: dict[str, str] = {
         f"SELECT *, {_rates()} FROM (SELECT CAST(('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8))::BIGINT % 5 AS BIGINT) AS fold, "
         f"{_cells('final_threat_score > 0.6')} FROM labelled GROUP BY 1)",
     ),
+    "cross_validate_fitted": _query("flows", _cross_validation()),
+    "sample_flows": _query(
+        "flows", f"SELECT {KEY}, packet_count FROM flows ORDER BY md5(concat_ws('|', '42', {KEY}, first_us)), {KEY}, first_us LIMIT 500"
+    ),
     "mark_by_entity": _query(
         "alerts", f"SELECT {KEY}, CAST(src_ip IN ({_CRITICAL}) AS INTEGER) AS actual_malicious FROM labelled"
     ),

@@ -31,7 +31,26 @@ for _name, _sql in _SESSIONS.items():
     if _name == "flows":
         _DRAINED["ended"] = _ENDED
 
+# Source columns of a batch's flows: those of all flows up to that batch.
+_BATCH = f"CAST('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8) AS BIGINT) % 4"
+_KEPT = {}
+for _name, _sql in _STAGES.items():
+    if _name == "entities":
+        _KEPT["batched"] = f"SELECT *, {_BATCH} AS batch FROM flows"
+        body = _sql.replace("FROM flows GROUP BY src_ip", "FROM batched JOIN range(4) u(upto) ON batch <= upto GROUP BY src_ip, upto")
+        _KEPT[_name] = body.replace("SELECT src_ip,", "SELECT src_ip, upto,", 1)
+    elif _name == "labelled":
+        _KEPT[_name] = _sql.replace("entities.* EXCLUDE (src_ip)", "entities.* EXCLUDE (src_ip, upto)").replace(
+            "JOIN entities USING (src_ip)", f"JOIN entities ON entities.src_ip = scored.src_ip AND upto = {_BATCH.replace(KEY, ', '.join('scored.' + k for k in KEY.split(', ')))}"
+        )
+    else:
+        _KEPT[_name] = _sql
+
 STREAM_ORACLE = {
+    "stream_alerts_kept": _query(
+        "alerts", f"SELECT {KEY}, threat_label, severity, alert_score AS final_threat_score, triggered_rules FROM alerts", _KEPT
+    ),
+    "stream_sources": _query("entities", "SELECT * FROM entities"),
     "stream_flush": _query("ended", f"SELECT {_FLOW_TEXT}, drained FROM ended", _DRAINED),
     "live_flow_files": _query(
         "enriched",

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from flowhunt.functions.columns import nan_to_null
 from flowhunt.schemas import FLOW, PACKET
 from flowhunt.sources.files import cast_to, text_times
+from flowhunt.sources.store import HIDDEN, exists, publish, remove
 
 EXPORT_INTERVAL = "30 seconds"
 ROWS_PER_FILE = 10_000  # flows of one JSON array
@@ -54,10 +55,8 @@ def drop_open_flows(flows: DataFrame, folder: str, rows_per_file: int = ROWS_PER
 
 def _publish(flows: DataFrame, folder: str, name: str, rows_per_file: int) -> None:
     spark = flows.sparkSession
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    final, hidden = paths(f"{folder}/flows_live_{name}.json"), paths(f"{folder}/_unfinished/{name}")
-    store = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(final):
+    final, hidden = f"{folder}/flows_live_{name}.json", f"{folder}/{HIDDEN}/{name}"
+    if exists(spark, final):
         return
     place = F.monotonically_increasing_id()
     times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -66,10 +65,11 @@ def _publish(flows: DataFrame, folder: str, name: str, rows_per_file: int) -> No
         F.to_json(F.struct(*[f.name for f in FLOW.fields]), times).alias("flow"),
     )
     arrays = rows.groupBy("part", "chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list("flow"), ",\n"), F.lit("]")).alias("value"))
-    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(hidden.toString())
-    if any(f.getPath().getName().startswith("part-") and f.getLen() for f in store.listStatus(hidden)):
-        if not store.rename(hidden, final):
-            raise OSError(f"cannot publish {final.toString()}")
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(hidden)
+    if spark.read.text(hidden).isEmpty():
+        remove(spark, hidden)
+    else:
+        publish(spark, hidden, final)
 
 
 def run_to_table(

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowhunt.operators import flows as fl
+from flowhunt.operators.entity import entity_features
 from flowhunt.schemas import FLOW_KEY, PACKET
-from flowhunt.streaming import flows as sf, io as sio
+from flowhunt.sources.store import KeptTable
+from flowhunt.streaming import detection as sd, flows as sf, io as sio
 
 KEY1, KEY2 = ("a", "b", 1, 2, "TCP"), ("x", "y", 1, 53, "UDP")
 
@@ -136,3 +138,44 @@ def test_flow_files_are_dropped_once(spark, tmp_path):
     sio.run_to_table(sio.read_live_flows(spark, folder), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 26
     assert spark.read.parquet(out).exceptAll(flows.unionByName(flows.limit(1))).count() == 0
+
+
+def test_kept_table_reads_bounded_files(spark, tmp_path):
+    """Fifty batches, some given twice or late in a failure: sums are those of all, reads stay small."""
+    path = str(tmp_path / "kept")
+    table = KeptTable(spark, path, lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), "k STRING, n BIGINT", every=8)
+    assert table.read().count() == 0 and table.folders() == []
+    want = {}
+    for b in range(50):
+        rows = [(f"k{(b * 7 + i) % 11}", b + i) for i in range(b % 4)]
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+        batch = spark.createDataFrame(rows, "k STRING, n BIGINT").coalesce(1)
+        table.append(batch, b)
+        if b % 5 == 0:
+            table.append(batch, b)  # given again
+        assert len(table.folders()) <= 8
+    table.append(spark.createDataFrame([("k0", 1000)], "k STRING, n BIGINT"), 3)  # long folded in
+    assert {r.k: r.n for r in table.read().collect()} == want
+    kept = [p for kind in ("deltas", "snapshots") for p in (tmp_path / "kept" / kind).iterdir()]
+    assert len(kept) <= 8 + 8 + 2
+    # A writer that failed before publishing leaves nothing that a reader sees.
+    (tmp_path / "kept" / "_unfinished" / "deltas-000000000050").mkdir(parents=True, exist_ok=True)
+    assert {r.k: r.n for r in table.read().collect()} == want
+
+
+def test_sketched_ports_stay_within_their_error(spark, tmp_path):
+    flows = spark.range(60_000).select(
+        F.concat(F.lit("s"), F.when(F.col("id") < 150, 0).when(F.col("id") < 5_150, 1).otherwise(2)).alias("src_ip"),
+        (F.col("id") % 50_000).cast("int").alias("dst_port"), F.lit(1.5).alias("duration"), F.lit(9).cast("long").alias("total_bytes"),
+        F.lit(7).cast("long").alias("packet_count"), F.lit(2.0).alias("mean_iat"), (F.col("id") % 3 / 2.0).alias("std_iat"),
+    )
+    table = sd.source_table(spark, str(tmp_path / "kept"), every=3)
+    for b in range(5):
+        table.append(sd.source_deltas(flows.filter(F.col("id") % 5 == b)), b)
+    got = {r.src_ip: r for r in sd.source_features(table.read()).collect()}
+    want = {r.src_ip: r for r in entity_features(flows).collect()}
+    for s, exact in want.items():
+        assert tuple(got[s])[2:] == tuple(exact)[2:]
+        assert abs(got[s].dst_port_count - exact.dst_port_count) <= sd.PORT_ERROR * exact.dst_port_count
+    assert got["s0"].dst_port_count == 150
