@@ -34,6 +34,7 @@ TREES = 200
 CONTAMINATION = 0.05
 SEED = 42
 SAMPLE_SIZE = 256
+ROLLED = 0.25  # share of the trees that a new generation replaces
 
 FULL = "all"
 RAW_DIGITS = 9  # path scores are kept to so many digits, so that equal mean paths are equal scores
@@ -75,13 +76,14 @@ def _digits(digest: Column, start: int, count: int) -> Column:
 
 
 def tree_samples(
-    flows: DataFrame, rows: int, trees: int = TREES, sample_size: int = SAMPLE_SIZE, seed: int = SEED
+    flows: DataFrame, rows: int, trees: int | list[int] = TREES, sample_size: int = SAMPLE_SIZE, seed: int = SEED
 ) -> DataFrame:
     """Up to ``sample_size`` rows per tree, drawn without replacement by a digest of the flow key.
 
     Needs one pass and no sort of the data: each row decides which trees it might serve, about
     1.5 x ``sample_size`` candidates per tree survive, and only those are shuffled and cut.
     """
+    numbers = list(range(trees)) if isinstance(trees, int) else trees
     wanted = 1.5 * sample_size + 32
     key = F.md5(F.concat_ws("|", *FLOW_KEY, F.unix_micros("first_seen").cast("string")))
     halves = flows.withColumns({"_a": _digits(key, 1, 7), "_b": _digits(key, 8, 7)})
@@ -92,12 +94,12 @@ def tree_samples(
     limit = int(_DRAWS * min(1.0, wanted / max(rows, 1)))
     every = F.array(*[
         F.struct(F.lit(t).alias("tree"), *[F.lit(v).cast("bigint").alias(k) for k, v in zip("mnc", draw_factors(t, seed))])
-        for t in range(trees)
+        for t in numbers
     ])
     offered = halves.withColumn("_t", F.explode(F.filter(every, lambda t: draw(t) < limit)))
     drawn = offered.withColumns({"tree": F.col("_t.tree"), "draw": draw(F.col("_t"))}).drop("_t")
     # One small shuffle with a fixed layout; growing the trees keeps it.
-    tasks = min(trees, 2 * flows.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(len(numbers), 2 * flows.sparkSession.sparkContext.defaultParallelism)
     drawn = drawn.repartition(tasks, "tree")
     nth = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "_a", "_b", *FLOW_KEY, "first_seen"))
     return drawn.withColumn("nth", nth).filter(F.col("nth") <= sample_size).drop("_a", "_b", "draw")
@@ -191,27 +193,53 @@ def fit_and_score(
     scaling = spark.createDataFrame(
         [(f, stats[f"{f}_mean"], stats[f"{f}_std"]) for f in FEATURES], "feature STRING, mean DOUBLE, std DOUBLE"
     )
+    nodes = materialize(_grown(flows, rows, scaling, trees, sample_size, seed, variants), "forest")
+    facts = {"trees": trees, "sample_size": sample_size, "seed": seed, "contamination": contamination, "rows": rows, "born": [0] * trees}
+    return _with_offsets(nodes, scaling, facts, list(variants), flows)
+
+
+def _grown(flows: DataFrame, rows: int, scaling: DataFrame, trees: int | list[int], sample_size: int, seed: int, variants: dict) -> DataFrame:
     picked = tree_samples(flows.select(*FLOW_KEY, "first_seen", *FEATURES), rows, trees, sample_size, seed)
     scaled = picked.select("tree", *[c.alias(f) for f, c in _scaled(picked, scaling).items()])
-    nodes = materialize(grow_trees(scaled, variants, sample_size, seed), "forest")
+    return grow_trees(scaled, variants, sample_size, seed)
+
 
-    partial = Forest(nodes, scaling, spark.createDataFrame([(trees, sample_size)], "trees INT, sample_size INT"))
-    raw = path_scores(flows, partial, list(variants))
+def _with_offsets(nodes: DataFrame, scaling: DataFrame, facts: dict, variants: list[str], flows: DataFrame) -> tuple[Forest, DataFrame]:
+    """The forest with the offsets that mark the stated share of ``flows``, and the scored flows."""
+    spark = flows.sparkSession
+    partial = Forest(nodes, scaling, spark.createDataFrame([(facts["trees"], facts["sample_size"])], "trees INT, sample_size INT"))
     names = [f"raw_{v}" for v in variants]
-    scored = materialize(raw, "forest-scores")
-    cuts = exact_quantiles(scored, {n: [contamination] for n in names})
+    scored = materialize(path_scores(flows, partial, variants), "forest-scores")
+    cuts = exact_quantiles(scored, {n: [facts["contamination"]] for n in names})
     offsets = cuts.agg(
         F.map_from_entries(
             F.collect_list(F.struct(F.substring("column", 5, 1000).alias("variant"), "value"))
         ).alias("offsets")
     )
-    meta = offsets.select(
-        F.lit(trees).alias("trees"), F.lit(sample_size).alias("sample_size"), F.lit(seed).alias("seed"),
-        F.lit(contamination).alias("contamination"), F.lit(rows).alias("rows"), "offsets",
-    )
+    born = F.array(*[F.lit(g) for g in facts["born"]]).alias("born")
+    meta = offsets.select(*[F.lit(v).alias(k) for k, v in facts.items() if k != "born"], born, "offsets")
     return Forest(nodes, scaling, materialize(meta, "forest-meta")), scored
 
 
+def roll_forest(forest: Forest, flows: DataFrame, share: float = ROLLED) -> tuple[Forest, DataFrame]:
+    """The next generation: the oldest ``share`` of the trees is replaced by trees grown on ``flows``.
+
+    New trees have a seed of their own generation and keep the scaler, which isolation trees do not depend on;
+    the offset follows the scores of ``flows``. Trees that stay are not touched. A forest of one variant.
+    """
+    meta = forest.meta.first().asDict()
+    born = list(meta.get("born") or [0] * meta["trees"])
+    generation = max(born) + 1
+    oldest = sorted(range(meta["trees"]), key=lambda t: (born[t], t))[: max(1, round(share * meta["trees"]))]
+    seed = meta["seed"] + generation
+    grown = _grown(flows, flows.count(), forest.scaling, oldest, meta["sample_size"], seed, {FULL: FEATURES})
+    kept = forest.nodes.filter((F.col("variant") == FULL) & ~F.col("tree").isin(oldest))
+    nodes = materialize(kept.unionByName(grown), "forest")
+    facts = {c: meta[c] for c in ("trees", "sample_size", "seed", "contamination", "rows")}
+    facts["born"] = [generation if t in set(oldest) else g for t, g in enumerate(born)]
+    return _with_offsets(nodes, forest.scaling, facts, [FULL], flows)
+
+
 def tree_arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     """Node table of one variant as padded (tree, node) arrays."""
     trees, width = int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1

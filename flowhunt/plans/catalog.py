@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowhunt.functions.bands import alert_severity, score_band, severity3
 from flowhunt.functions.columns import anonymize_ip, flow_key_string, iso_utc, one_row, round_half_up
 from flowhunt.operators import (
-    ablation, alerts as al, dashboard, entity, evaluation as ev, explain, flows as fl, folds as fd, forest as fo,
+    ablation, alerts as al, baselines as bl, dashboard, entity, evaluation as ev, explain, flows as fl, folds as fd, forest as fo,
     intelligence as intel, ordering, profile as pf, rules, scaling, scoring, shapley,
 )
 from flowhunt.plans import detect
@@ -732,6 +732,24 @@ def stream_sources(spark, sf_dir):
     return sd.source_features(sd.source_table(spark, kept).read())
 
 
+@query
+def baseline_incremental(spark, sf_dir):
+    """Thresholds from sketches that a stream kept per tenth of a second: whether their ranks are within the error."""
+    flows, stream = _flow_batches(spark, sf_dir)
+    kept = scratch_path(spark, "kept-baselines")
+    tenth = F.floor(F.unix_micros("first_seen") / 100_000)
+
+    def fold(batch, batch_id):
+        bl.baseline_table(batch.sparkSession, kept, every=3).append(bl.period_sketches(batch, tenth), batch_id)
+
+    sio.run_batches(stream, fold, scratch_path(spark, "stream")).awaitTermination()
+    table = bl.baseline_table(spark, kept).read()
+    ranks = bl.threshold_ranks(flows, bl.sketched_thresholds(table))
+    within = (F.col("low") <= F.col("q") + bl.RANK_ERROR) & (F.col("high") >= F.col("q") - bl.RANK_ERROR)
+    counted = table.agg(F.sum("flows").alias("flows"), F.count("*").alias("periods")).first()
+    return ranks.select("column", "q", within.alias("within"), F.lit(counted["flows"]).alias("flows"), F.lit(counted["periods"]).alias("periods"))
+
+
 # Forest and explanations: fitted forests, and one given as text where its explanations are compared
 
 
@@ -842,6 +860,19 @@ def model_retrain(spark, sf_dir):
     return _rounded(fo.score_isolation_forest(flows, model)).select(*FLOW_KEY, "iforest_score", "iforest_label")
 
 
+@query
+def model_rolling(spark, sf_dir):
+    """Three generations, each grown on another third of the flows; the last one scores all of them."""
+    flows = materialize(_flows(spark, sf_dir).withColumn("part", ev.hash_fold(3)), "parted")
+    parts = [flows.filter(F.col("part") == i).drop("part") for i in range(3)]
+    store = models.ModelStore(spark, scratch_path(spark, "models"))
+    store.fit(parts[0])
+    for part in parts[1:]:
+        store.roll(part)
+    scored = fo.score_isolation_forest(flows, store.load())
+    return _rounded(scored).select(*FLOW_KEY, "iforest_score", "iforest_label")
+
+
 @query
 def shapley_values(spark, sf_dir):
     values = shapley.shapley_values(_flows(spark, sf_dir), fixed_forest(spark))

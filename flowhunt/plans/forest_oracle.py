@@ -26,7 +26,7 @@ def _level(k: int) -> dict[str, str]:
     ends = {f: "[" + ", ".join(f"{f}(x[{i + 1}]) OVER w" for i in range(len(FEATURES))) + "]" for f in ("min", "max")}
     return {
         f"ranged{k}": f"""
-SELECT *, list_filter(allowed, lambda i: high[i + 1] > low[i + 1]) AS varying, md5(concat_ws(':', '{SEED}', tree, node)) AS digest
+SELECT *, list_filter(allowed, lambda i: high[i + 1] > low[i + 1]) AS varying, md5(concat_ws(':', seed, tree, node)) AS digest
 FROM (SELECT *, count(*) OVER w AS n, {ends["min"]} AS low, {ends["max"]} AS high FROM grown{k} WINDOW w AS (PARTITION BY variant, tree, node))""",
         f"cut{k}": f"""
 SELECT * EXCLUDE (trial), CASE WHEN trial <= low[pick + 1] THEN high[pick + 1] ELSE trial END AS cut
@@ -37,26 +37,29 @@ SELECT variant, tree, node, any_value(pick) AS pick, any_value(cut) AS cut, any_
   CASE WHEN any_value(pick) IS NULL THEN {k} + {_average("any_value(n)")} END AS path_length
 FROM cut{k} GROUP BY variant, tree, node""",
         f"grown{k + 1}": f"""
-SELECT variant, allowed, tree, x, deepest, 2 * node + 1 + CAST(x[pick + 1] >= cut AS INTEGER) AS node FROM cut{k} WHERE pick IS NOT NULL""",
+SELECT variant, allowed, tree, seed, x, deepest, 2 * node + 1 + CAST(x[pick + 1] >= cut AS INTEGER) AS node FROM cut{k} WHERE pick IS NOT NULL""",
     }
 
 
-def _forest(variants: dict[str, list[str]]) -> dict[str, str]:
-    """Stages from the flows to ``forest``: one row per variant and flow with raw score, offset and decision."""
+def _forest(variants: dict[str, list[str]], generation: str = "0", last: str = "TRUE", part: str = "0") -> dict[str, str]:
+    """Stages from the flows to ``forest``: one row per variant and flow with raw score, offset and decision.
+
+    ``generation`` of a tree, also the ``part`` of the flows it is grown on; the offset is that of the ``last`` part.
+    """
     scaled = ", ".join(f"CASE WHEN {c}_s = 0 THEN 0.0::DOUBLE ELSE (f.{c} - {c}_m) / {c}_s END" for c in FEATURES)
     digest = f"md5(concat_ws('|', {KEY}, first_us))"
     given = ", ".join(f"('{v}', {[FEATURES.index(f) for f in names]})" for v, names in variants.items())
     draw = "(a * m + b * n + c) % 2147483647"
     stages = {
-        "moments": "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FEATURES) + " FROM flows",
-        "vectors": f"SELECT {KEY}, first_us, {_hex(digest, 1, 7)} AS a, {_hex(digest, 8, 7)} AS b, [{scaled}] AS x, row_number() OVER () AS row FROM flows f, moments",
-        "factors": f"""SELECT tree, {_hex("d", 1, 7)} + 1 AS m, {_hex("d", 8, 7)} + 1 AS n, {_hex("d", 15, 7)} AS c
-FROM (SELECT tree, md5(concat('{SEED}:', tree)) AS d FROM range({TREES}) u(tree))""",
+        "moments": "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in FEATURES) + f" FROM flows WHERE {part} = 0",
+        "vectors": f"SELECT {KEY}, first_us, {_hex(digest, 1, 7)} AS a, {_hex(digest, 8, 7)} AS b, [{scaled}] AS x, {part} AS part, row_number() OVER () AS row FROM flows f, moments",
+        "factors": f"""SELECT tree, generation, seed, {_hex("d", 1, 7)} + 1 AS m, {_hex("d", 8, 7)} + 1 AS n, {_hex("d", 15, 7)} AS c
+FROM (SELECT *, md5(concat(seed, ':', tree)) AS d FROM (SELECT *, {SEED} + generation AS seed FROM (SELECT tree, {generation} AS generation FROM range({TREES}) u(tree))))""",
         "variants": f"SELECT * FROM (VALUES {given}) v(variant, allowed)",
         "grown0": f"""
-SELECT variant, allowed, tree, x, CASE WHEN size > 1 THEN length(bin(size - 1)) ELSE 0 END AS deepest, 0 AS node
-FROM (SELECT tree, x, count(*) OVER (PARTITION BY tree) AS size FROM (
-  SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {draw}, a, b, {KEY}, first_us) AS nth FROM vectors, factors
+SELECT variant, allowed, tree, seed, x, CASE WHEN size > 1 THEN length(bin(size - 1)) ELSE 0 END AS deepest, 0 AS node
+FROM (SELECT tree, seed, x, count(*) OVER (PARTITION BY tree) AS size FROM (
+  SELECT tree, seed, x, row_number() OVER (PARTITION BY tree ORDER BY {draw}, a, b, {KEY}, first_us) AS nth FROM vectors JOIN factors ON part = generation
 ) WHERE nth <= {SAMPLE_SIZE}), variants""",
     }
     for k in range(_LEVELS + 1):
@@ -71,9 +74,10 @@ FROM ({walk}) w JOIN nodes n ON n.variant = w.variant AND n.tree = w.tree AND n.
     norm = f"SELECT {_average('max(cover)')} FROM nodes WHERE node = 0"
     stages["raws"] = f"SELECT variant, row, {_round(f'-pow(2, -(path / ({norm})))', RAW_DIGITS)} AS raw FROM leaves"
     stages["forest"] = f"""
-SELECT r.variant, v.* EXCLUDE (a, b, x, row), raw - cut_off AS decision, CASE WHEN raw - cut_off < 0 THEN -1 ELSE 1 END AS iforest_label,
+SELECT r.variant, v.* EXCLUDE (a, b, x, row, part), raw - cut_off AS decision, CASE WHEN raw - cut_off < 0 THEN -1 ELSE 1 END AS iforest_label,
   raw < cut_off AS found
-FROM raws r JOIN vectors v USING (row) JOIN (SELECT variant, quantile_cont(raw, {CONTAMINATION}) AS cut_off FROM raws GROUP BY variant) USING (variant)"""
+FROM raws r JOIN vectors v USING (row) 
+  JOIN (SELECT variant, quantile_cont(raw, {CONTAMINATION}) AS cut_off FROM raws JOIN vectors USING (row) WHERE {last} GROUP BY variant) USING (variant)"""
     return stages
 
 
@@ -117,7 +121,7 @@ SELECT leaf, inside, {parts} FROM leaf JOIN (
       FROM (SELECT DISTINCT leaf, inside FROM met) JOIN leaf USING (leaf), range({1 << _LEVELS}) u(s) WHERE s < (1 << len(own)) - 1)
     WHERE known & inside = known) GROUP BY leaf, inside) USING (leaf)"""
     sums = ", ".join(f"sum(v{i}) AS v{i}" for i in each)
-    stages["explained"] = f"SELECT v.* EXCLUDE (a, b, x), {', '.join(f'v{i}' for i in each)} FROM vectors v JOIN (SELECT row, {sums} FROM met JOIN pieces USING (leaf, inside) GROUP BY row) USING (row)"
+    stages["explained"] = f"SELECT v.* EXCLUDE (a, b, x, part), {', '.join(f'v{i}' for i in each)} FROM vectors v JOIN (SELECT row, {sums} FROM met JOIN pieces USING (leaf, inside) GROUP BY row) USING (row)"
     return stages
 
 
@@ -147,6 +151,10 @@ _TOLD = " UNION ALL ".join(
     f"CAST({f} AS DOUBLE) AS actual_value FROM explained JOIN flows USING ({KEY}, first_us)"
     for i, f in enumerate(FEATURES)
 )
+# Three generations of a quarter of the trees each, on thirds of the flows; the trees not replaced are the first one's.
+_AGED = f"CASE WHEN tree < {TREES // 4} THEN 1 WHEN tree < {TREES // 2} THEN 2 ELSE 0 END"
+_THIRD = f"CAST('0x' || substr(md5(concat_ws('|', {KEY})), 1, 8) AS BIGINT) % 3"
+_ROLLED = _before("thresholds", _forest({FULL: FEATURES}, _AGED, "part = 2", _THIRD))
 _MALICIOUS = "CAST(CAST(split_part(src_ip, '.', 4) AS BIGINT) % 10 IN (0, 1, 2, 3) AS INTEGER)"
 _BANDS = (
     "CASE WHEN final_threat_score >= 0.8 THEN 'CRITICAL' WHEN final_threat_score >= 0.6 THEN 'HIGH' "
@@ -157,6 +165,7 @@ FOREST_ORACLE = {
     "isolation_forest_scores": _query("forest", f"SELECT {KEY}, {_round('decision', 6)} AS iforest_score FROM forest", _AFTER_FLOWS),
     "isolation_forest_labels": _query("forest", 'SELECT iforest_label, count(*) AS "count" FROM forest GROUP BY iforest_label', _AFTER_FLOWS),
     "model_retrain": _query("forest", f"SELECT {KEY}, {_round('decision', 6)} AS iforest_score, iforest_label FROM forest", _AFTER_FLOWS),
+    "model_rolling": _query("forest", f"SELECT {KEY}, {_round('decision', 6)} AS iforest_score, iforest_label FROM forest", _ROLLED),
     "forest_score_fusion": _query(
         "scored", f"SELECT {KEY}, ml_score_normalized, final_threat_score, {_BANDS} AS threat_score_band FROM scored", _AFTER_ENRICHED
     ),

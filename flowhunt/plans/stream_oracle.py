@@ -50,6 +50,11 @@ STREAM_ORACLE = {
     "stream_alerts_kept": _query(
         "alerts", f"SELECT {KEY}, threat_label, severity, alert_score AS final_threat_score, triggered_rules FROM alerts", _KEPT
     ),
+    "baseline_incremental": _query(
+        "flows",
+        'SELECT t."column", t.q, TRUE AS within, n.flows, n.periods FROM (VALUES (\'packet_count\', 0.99::DOUBLE), (\'duration\', 0.99::DOUBLE), '
+        "('dns_entropy', 0.95::DOUBLE)) t(\"column\", q), (SELECT count(*) AS flows, count(DISTINCT first_us // 100000) AS periods FROM flows) n",
+    ),
     "stream_sources": _query("entities", "SELECT * FROM entities"),
     "stream_flush": _query("ended", f"SELECT {_FLOW_TEXT}, drained FROM ended", _DRAINED),
     "live_flow_files": _query(

@@ -41,6 +41,11 @@ def publish(spark: SparkSession, hidden: str, final: str) -> None:
         raise OSError(f"cannot publish {final}")
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    store, inner = _store(spark, path)
+    store.mkdirs(inner)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     store, inner = _store(spark, path)
     store.delete(inner, True)

@@ -22,7 +22,7 @@ CHECKED = [
     "stream_alerts", "stream_incidents", "shapley_values", "explain_alerts", "narratives", "bootstrap_ci", "score_fusion",
     "isolation_forest_scores", "forest_score_fusion", "feature_ablation", "capture_files", "stream_sessions", "stream_flush",
     "packet_stats_json", "live_flow_files", "forest_shapley_values", "cross_validate_fitted", "evaluation_report", "sample_flows",
-    "rule_only_hits", "stream_sources", "stream_alerts_kept",
+    "rule_only_hits", "stream_sources", "stream_alerts_kept", "baseline_incremental", "model_rolling",
 ]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowhunt.operators import explain, forest as fo, shapley as sh
+from flowhunt.operators import baselines as bl, explain, forest as fo, shapley as sh
 from flowhunt.functions.wording import feature_context, feature_text
 from flowhunt.operators.ablation import feature_ablation
 from flowhunt.operators.scoring import training_flows
@@ -199,3 +199,48 @@ def test_ablation_has_a_row_per_feature(flows):
     got = feature_ablation(flows, trees=10).collect()
     assert {r.left_out for r in got} == {"all", *FEATURES}
     assert all(r.true_positives + r.false_negatives == OUTLIERS for r in got)
+
+
+def test_rolled_trees_equal_trees_fitted_apart(spark, flows, model, tmp_path):
+    store = models.ModelStore(spark, str(tmp_path / "models"))
+    with pytest.raises(FileNotFoundError):
+        store.load()
+    first = store.publish(model)
+    newer = flows.filter("src_port >= 100")
+    rolled = store.roll(newer)
+    assert (first, store.current(), store.versions()) == (1, 2, [1, 2])
+
+    def trees(nodes, wanted):
+        return sorted(map(tuple, nodes.filter(F.col("tree").isin(wanted)).select("tree", "node", "feature", "threshold", "cover").collect()))
+
+    kept, replaced = list(range(10, 40)), list(range(10))
+    assert trees(rolled.nodes, kept) == trees(model.nodes, kept)
+    apart = fo._grown(newer, newer.count(), model.scaling, replaced, 128, fo.SEED + 1, {fo.FULL: FEATURES})
+    assert trees(rolled.nodes, replaced) == trees(apart, replaced) and trees(rolled.nodes, replaced) != trees(model.nodes, replaced)
+    again = store.roll(flows).meta.first()
+    assert again.born == [1] * 10 + [2] * 10 + [0] * 20 and again.trees == 40
+    marked = fo.score_isolation_forest(newer, store.load(2)).filter("iforest_label = -1").count()
+    assert 10 <= marked <= 16  # five percent of 300
+    # A version that is being written is not seen, a failed one does not stand in the way, and an old one may be used again.
+    models.save_model(model, str(tmp_path / "models" / "_unfinished" / "000004"))
+    assert store.versions() == [1, 2, 3] and store.current() == 3
+    store.use(1)
+    assert store.current() == 1 and trees(store.load().nodes, replaced) == trees(model.nodes, replaced)
+    assert store.publish(model) == 4 == store.current()
+    with pytest.raises(ValueError, match="no version"):
+        store.use(9)
+
+
+def test_sketched_baselines_stay_within_their_error(spark, tmp_path):
+    flows = spark.range(200_000).select(
+        (F.col("id") % 7).alias("day"), (F.rand(1) * 1e6).alias("packet_count"), (F.randn(2) * F.col("id")).alias("duration"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.round(F.rand(3) * 5, 1)).alias("dns_entropy"),
+    ).cache()
+    table = bl.baseline_table(spark, str(tmp_path / "kept"), every=4)
+    for b in range(6):
+        table.append(bl.period_sketches(flows.filter(F.floor(F.col("packet_count")) % 6 == b), F.col("day")), b)
+    assert table.read().agg(F.sum("flows"), F.count("*")).first()[:] == (200_000, 7)
+    for first, last, part in ((None, None, flows), ("2", "4", flows.filter("day BETWEEN 2 AND 4"))):
+        limits = bl.sketched_thresholds(table.read(), first=first, last=last)
+        for r in bl.threshold_ranks(part, limits).collect():
+            assert r.low <= r.q + bl.RANK_ERROR and r.high >= r.q - bl.RANK_ERROR
