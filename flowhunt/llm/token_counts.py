@@ -2,11 +2,13 @@
 
 A huge document is encoded in overlapping chunks. Token ends become byte offsets of the text, and two
 neighbouring chunks are spliced at an offset inside their overlap that ends a token in both and is
-proven stable. Stable means that no piece of the vocabulary can cover it: if no piece has a space mark
-behind another character, every step from a non-space to a space is a token end in any context, and
-what follows it is encoded alike whatever stands before. The vocabulary is searched for such pieces when
-the model is loaded; should it have one, or should the model rewrite characters, whole documents are
-encoded. An overlap without a common stable offset is doubled, at last to the whole of both chunks.
+proven stable. Stable means that no piece of the vocabulary can cover it: two characters that stand side by side in
+no piece are never joined, whatever stands around them, so what lies on either side is encoded alike in
+any context. (No piece has a space mark behind another character, so all steps from a non-space to a space are
+stable; in scripts and codes without spaces most pairs of characters are.) The pairs are taken from the
+vocabulary when the model is loaded; should the model rewrite characters, whole documents are encoded. An overlap
+without a common stable offset is doubled, at last to the whole chunk; then the chunk itself is doubled, so a text
+without any stable pair is encoded about twice in all.
 
 Defined cases: null counts as empty, which has no tokens. Special strings inside texts are ordinary
 text, as in the library's default. Other columns are not read; an empty table gives an empty result.
@@ -49,8 +51,10 @@ class ChunkedEncoder:
         self.stable = (
             norm.name == "identity" and not norm.remove_extra_whitespaces and norm.add_dummy_prefix
             and self.sp.is_byte(self.sp.piece_to_id("<0x00>"))
-            and not any(SPACE in p.lstrip(SPACE) for p in pieces)
         )
+        spelled = [p.replace(SPACE, " ") for i, p in enumerate(pieces) if not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i))]
+        joined = {pair for p in spelled for pair in zip(p, p[1:])}
+        self.joined = np.array(sorted((ord(a) << 32) | ord(b) for a, b in joined), np.int64)
 
     def _chunk(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of text[start:end] and the byte offsets in it at which they end."""
@@ -59,12 +63,14 @@ class ChunkedEncoder:
 
     def _common(self, text: str, a: int, a_ends: np.ndarray, b: int, b_ends: np.ndarray, end: int) -> int | None:
         """Last stable character position in text[b:end] that ends a token in both chunks."""
-        shared = text[b:end].encode()
-        codes = np.frombuffer(shared, np.uint8)
-        stable = np.flatnonzero((codes[1:] == 32) & (codes[:-1] != 32)) + 1
+        codes = np.frombuffer(text[b:end].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = (codes[:-1] << 32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        stable = np.flatnonzero(self.joined[at] != pairs) + 1
+        offsets = np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))[stable - 1]  # in UTF-8 bytes
         before = len(text[a:b].encode())
-        found = stable[np.isin(stable, b_ends) & np.isin(stable + before, a_ends)]
-        return b + len(shared[: found[-1]].decode()) if found.size else None
+        found = stable[np.isin(offsets, b_ends) & np.isin(offsets + before, a_ends)]
+        return b + int(found[-1]) if found.size else None
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= self.chunk or not self.stable:
@@ -81,8 +87,8 @@ class ChunkedEncoder:
                 b_ids, b_ends = self._chunk(text, b, b_end)
                 splice = self._common(text, a, ends, b, b_ends, a_end)
                 overlap *= 2
-            if splice is None or splice <= a_from:  # no stable position: one chunk out of both
-                a_end = min(len(text), a_end + self.chunk)
+            if splice is None or splice <= a_from:  # no stable position: a chunk twice as long
+                a_end = min(len(text), a + 2 * (a_end - a))
                 ids, ends = self._chunk(text, a, a_end)
                 continue
             done.append(self._between(text, a, ids, ends, a_from, splice))
