@@ -5,7 +5,9 @@ Viterbi over its words. A word is a run of non-spaces with the space marks befor
 vocabulary has a space mark behind another character, the best segmentation of a text is that of its words.
 Distinct words of a batch are sorted into groups of equal length, and the words of a group advance together:
 for each end position, rolling hashes of the substrings that end there are probed in the sorted hashes of
-the pieces, hits are compared character by character, and the best start is kept as backpointer. A
+the pieces, hits are compared character by character, and the best start is kept as backpointer. Long words
+are first cut between characters that stand side by side in no piece, which no segmentation can cross; a
+long rest that is alone with its length is probed at all its positions at once instead. A
 character that no piece covers costs the lowest score minus ``UNKNOWN_PENALTY`` and is written as byte pieces.
 Equal scores go to the longest last piece.
 
@@ -32,6 +34,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 ENCODE_ROWS = 1024  # rows a batch: more rows share more distinct words
 REMEMBERED = 500_000  # words a worker keeps between batches
+LONG = 64  # characters from which a word is cut, and its rest probed by position where few share its length
+FEW = 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NORMAL, _BYTE = 1, 6  # piece types of the model file
@@ -72,6 +76,8 @@ class PieceCoder:
         self.ids, self.scores = np.array(usable)[order], scores[usable][order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
+        joined = {pair for i in usable for pair in zip(self.pieces[i], self.pieces[i][1:])}
+        self.joined = np.array(sorted((ord(a) << 32) | ord(b) for a, b in joined), np.int64)
         self._forget()
         spelled = [bytes([int(p[3:-1], 16)]) if self.is_byte[i] else p.encode() for i, p in enumerate(self.pieces)]
         self.piece_bytes = np.frombuffer(b"".join(spelled), np.uint8)
@@ -121,7 +127,37 @@ class PieceCoder:
             live = live[starts > 0]
         who, start, row = (np.concatenate(x) for x in zip(*steps))
         order = np.lexsort((start, who))
-        who, start, row = who[order], start[order], row[order]
+        return self._spell(codes, who[order], start[order], row[order])
+
+    def _alone(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long word: pieces are probed at all its positions at once, a length at a time."""
+        length = len(codes)
+        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(length + 1)]
+        keys = np.zeros(length, np.uint64)
+        for size in range(1, min(self.longest, length) + 1):
+            keys = self._extend(keys[: length - size + 1], codes[size - 1 :])
+            found = self._probe(keys, np.lib.stride_tricks.sliding_window_view(codes, size))
+            hits = np.flatnonzero(found >= 0) if size > 1 else np.arange(length)
+            scores = np.where(found >= 0, self.scores[found], self.unknown_score)[hits]
+            for start, score, row in zip(hits.tolist(), scores.tolist(), found[hits].tolist()):
+                ends[start + size].append((start, score, row))
+        best, back = [0.0] * (length + 1), [(0, -1)] * (length + 1)
+        for end in range(1, length + 1):
+            top = -np.inf
+            for start, score, row in reversed(ends[end]):  # long pieces first: of equal scores they stay
+                if best[start] + score > top:
+                    top, back[end] = best[start] + score, (start, row)
+            best[end] = top
+        steps, at = [], length
+        while at:
+            steps.append(back[at])
+            at = back[at][0]
+        start, row = (np.array(x, np.int64) for x in zip(*reversed(steps)))
+        return self._spell(codes[None, :], np.zeros(len(start), np.int64), start, row)
+
+    def _spell(self, codes: np.ndarray, who: np.ndarray, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number a word, from the pieces (rows, or -1 for a character without one) in order."""
+        n = len(codes)
         ids = np.where(row >= 0, self.ids[row], -1)
         sizes = np.bincount(who, minlength=n)
         lost = np.flatnonzero(row < 0)
@@ -140,6 +176,13 @@ class PieceCoder:
             groups.setdefault(len(w), []).append(w)
         flats, counts = [self.flat], [self.counts]
         for length, group in sorted(groups.items()):
+            if length > LONG and len(group) < FEW:
+                for w in group:
+                    ids, sizes = self._alone(np.frombuffer(w.encode("utf-32-le"), np.uint32))
+                    flats.append(ids)
+                    counts.append(sizes)
+                    self.known[w] = len(self.known)
+                continue
             step = max(1, 4_000_000 // (length + 1))  # bounds the score tables
             for i in range(0, len(group), step):
                 part = group[i : i + step]
@@ -173,8 +216,16 @@ class PieceCoder:
             out.append(SPACE * marks)
         return out
 
+    def _parts(self, word: str) -> list[str]:
+        """A long word, cut where no piece can lie."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = (codes[:-1] << 32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        cuts = [0, *(np.flatnonzero(self.joined[at] != pairs) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
+        split = [[p for w in self.words(t) for p in ((w,) if len(w) <= LONG else self._parts(w))] for t in texts]
         self._learn(sorted({w for words in split for w in words} - self.known.keys()))
         every = np.fromiter((self.known[w] for words in split for w in words), np.int64)
         sizes = self.counts[every]

@@ -251,3 +251,29 @@ def test_short_items_and_windows_of_slots_match_exactly(spark, in_task, per_wind
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = decontaminate.leaks(docs, benchmark, in_task=in_task, per_window=per_window).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)} and all(r.verbatim for r in got)
+
+
+def unbroken(kind, n):
+    rng = random.Random(n)
+    letters = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "same": "a", "mixed": "aab日é😀q0"}[kind]
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind, n", [("base64", 1_000_000), ("same", 100_000), ("mixed", 300_000)])
+def test_texts_without_spaces(kind, n):
+    """Whole texts without a space: counts equal the library's, pieces the best segmentation, in time that grows with the length."""
+    text = unbroken(kind, n)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert token_counts.ChunkedEncoder(MODEL).counts([text]) == [len(library.encode(text))]
+    coder = piece_coding.PieceCoder(MODEL)
+    ids = coder.encode([text])[0]
+    assert coder.decode(ids) == text
+    # The cuts and the search by position change nothing: words that advance together give the same pieces.
+    short = unbroken(kind, 700)
+    cut = coder.encode([short])[0].tolist()
+    codes = np.frombuffer(("▁" + short).encode("utf-32-le"), np.uint32)
+    together = coder._equal_length(codes[None, :])[0]
+    scores = np.array([p.score for p in proto().pieces])
+    spelled = [~coder.is_byte[np.array(x)] for x in (cut, together)]
+    assert scores[np.array(cut)[spelled[0]]].sum() == pytest.approx(scores[np.array(together)[spelled[1]]].sum())
+    assert coder._alone(codes)[0].tolist() == together.tolist()
