@@ -4,14 +4,16 @@ Texts become template tokens: words in lower case, numbers, units behind a numbe
 inside a sentence) as typed placeholders; what a placeholder stood for is kept as its slot value. Windows
 of ``window`` template tokens are hashed and joined with the windows of the benchmark. Matching windows of
 one document, item and offset form an alignment; it counts if its slot values map one to one, so a question
-with other numbers or names is caught while text that only shares the form is not. With ``per_window``, as in
-the query and the pipeline, each window is judged by itself: one whose slots are empty or as in the item counts
-at once, another if each original value of a kind has one new value inside it; different originals may get the
-same one. A clash elsewhere in the alignment takes nothing back.
+with other numbers or names is caught while text that only shares the form is not.
 
-Benchmark hashes are looked up inside the tasks when there are at most ``in_task`` of them; beyond that all
-windows of the documents go to the join. The join compares the window texts, so a hash collision adds
-nothing. Both ways return the same rows.
+With ``per_window``, as in the query and the pipeline, an alignment's windows need not all agree. Windows without
+slots, or with the item's own values, count at once. Of the others each names a new value for each original value
+of a kind; for every original the value that most windows name is taken (the larger text of equally many), and the
+windows that agree with all of it form the consistent set. One window is enough for a leak; ``n_windows`` says how many agree.
+
+The hashes of the benchmark's windows set bits in a filter of at most ``FILTER_BITS``, which every task looks
+windows up in; what passes is joined with the benchmark on hash and text, so neither the filter nor a collision
+adds or loses anything. There is one plan for benchmarks of any size.
 
 Items shorter than a window are matched as one window of their own length. Windows of an item that hold fewer
 than ``LEAST_WORDS`` ordinary words, and items of fewer than ``shortest`` tokens, are compared exactly, with the
@@ -38,7 +40,9 @@ from flowhunt.session import materialize
 WINDOW = 8
 SHORTEST = 5
 LEAST_WORDS = 4
-IN_TASK = 1_000_000  # benchmark windows, 8 bytes each
+FILTER_BITS = 1 << 27  # 16 MB at most are broadcast
+BITS_EACH = 64  # bits for each benchmark window while they suffice
+_BITMAP = 32_768  # bits of one of Spark's bitmaps
 
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 # Units that count behind a number.
@@ -103,13 +107,46 @@ _FOUND = pa.schema(
 )
 
 
-Wanted = dict[int, "np.ndarray | None"]  # sizes of windows, and the hashes to look for; None: every window
+Wanted = dict[bool, list[int]]  # sizes of the exact and of the template windows to look for
+
+
+def _salt(exact: bool, size: int) -> np.uint64:
+    """Keeps windows of different kind and size apart."""
+    return np.uint64((2 * size + exact) * 0xD1B54A32D192ED03 % (1 << 64))
+
+
+def filter_positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+
+def _passes(filtered: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    out = np.ones(len(hashes), bool)
+    for at in filter_positions(hashes, 8 * len(filtered)):
+        out &= (filtered[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def window_filter(items: DataFrame, column: str = "hash") -> np.ndarray:
+    """Bytes of the filter, put together from Spark's bitmaps; its size follows the number of windows up to a bound."""
+    n = items.count()
+    bits = min(FILTER_BITS, max(_BITMAP, 1 << (BITS_EACH * n - 1).bit_length()))
+    hashes = F.col(column)
+    places = F.array(hashes.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(hashes, 32).bitwiseAND(F.lit(bits - 1)))
+    each = items.select(F.explode(places).alias("at")).select((F.col("at") + 1).alias("at"))
+    maps = each.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():
+        start = (r["b"] - 1) * _BITMAP // 8
+        out[start : start + len(r["m"])] = np.frombuffer(r["m"], np.uint8)
+    return out
 
 
-def _find(texts: list[str], hasher: Hasher, wanted: dict[bool, Wanted], own_size: bool, shortest: int):
+def _find(texts: list[str], hasher: Hasher, wanted: Wanted, own_size: bool, shortest: int, filtered: np.ndarray | None):
     """Text of each window found, and the columns of ``_FOUND``. All texts of a batch are hashed at once.
 
-    ``wanted`` is by kind of window: exact or template. The body of an exact one starts with "=".
+    The body of an exact window starts with "=". With ``own_size`` a text gives its own windows, not what ``filtered`` lets pass.
     """
     parts = [template(t) for t in texts]
     tokens = [t for part, _ in parts for t in part]
@@ -126,14 +163,12 @@ def _find(texts: list[str], hasher: Hasher, wanted: dict[bool, Wanted], own_size
     owners: list[int] = []
     out: list[tuple] = []
     for exact, size in [(exact, size) for exact, sizes in wanted.items() for size in sizes]:
-        looked_for = wanted[exact][size]
-        keys = window_hashes(plain_hashes if exact else hashes, size)
+        keys = window_hashes(plain_hashes if exact else hashes, size) ^ _salt(exact, size)
         ok = owner[: len(keys)] == owner[size - 1 :] if len(keys) else np.zeros(0, bool)
         if own_size:  # a text shorter than the longest window is one window
             ok &= np.minimum(lengths, max(wanted[True]))[owner[: len(keys)]] == size
-        if looked_for is not None:
-            at = np.minimum(np.searchsorted(looked_for, keys), len(looked_for) - 1)
-            ok &= looked_for[at] == keys
+        if filtered is not None:
+            ok &= _passes(filtered, keys)
         for i in np.flatnonzero(ok).tolist():
             body = tokens[i : i + size]
             enough = size >= shortest and sum(t[0] != "<" for t in body) >= LEAST_WORDS
@@ -151,15 +186,18 @@ def _find(texts: list[str], hasher: Hasher, wanted: dict[bool, Wanted], own_size
     return owners, list(zip(*out)) if out else [()] * len(_FOUND)
 
 
-def _windows(rows: DataFrame, key: str, text: str, wanted: dict[bool, Wanted], own_size: bool, shortest: int) -> DataFrame:
+def _windows(
+    rows: DataFrame, key: str, text: str, wanted: Wanted, own_size: bool, shortest: int, filtered: np.ndarray | None = None
+) -> DataFrame:
     """id, print and the columns of ``_FOUND``, one row per window."""
     small_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(filtered)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            owners, columns = _find(batch.column(2).to_pylist(), hasher, wanted, own_size, shortest)
+            owners, columns = _find(batch.column(2).to_pylist(), hasher, wanted, own_size, shortest, shared.value)
             part = batch.select([0, 1]).take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *[pa.array(c, f.type) for c, f in zip(columns, _FOUND)]],
@@ -173,33 +211,22 @@ def _windows(rows: DataFrame, key: str, text: str, wanted: dict[bool, Wanted], o
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, in_task: int = IN_TASK, per_window: bool = False,
+    item_text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, per_window: bool = False,
 ) -> DataFrame:
     """One row per leaked item of a document: key, print (hash of its text), item, n_windows, n_slots, verbatim."""
-    every = dict.fromkeys(range(1, window + 1))
+    every = list(range(1, window + 1))
     items = materialize(
         _windows(benchmark, item, item_text, {False: every, True: every}, True, shortest).select(
             F.col("id").alias("item"), "size", F.col("at").alias("item_at"), "hash", "body", F.col("slots").alias("item_slots")
         ),
         "benchmark-windows",
     )
-    exact = F.col("body").startswith("=").alias("exact")
-    sizes = items.select(exact, "size").distinct().collect()  # at most twice window of them
-    wanted = {kind: {r["size"]: None for r in sizes if r["exact"] == kind} for kind in (False, True)}
-    in_tasks = items.count() <= in_task
-    if in_tasks:
-        found = items.select(exact, "size", "hash").distinct().collect()
-        hashes = {(r["exact"], r["size"]): [] for r in sizes}
-        for r in found:
-            hashes[r["exact"], r["size"]].append(r["hash"])
-        for (kind, n), values in hashes.items():
-            wanted[kind][n] = np.sort(np.array(values, np.int64).view(np.uint64))
-    windows = _windows(docs, key, text, wanted, False, shortest)
-    items = items.drop("size")
-    if in_tasks:
-        items = F.broadcast(items)  # counted above
-    pairs = windows.join(items, ["hash", "body"]).select(
-        "id", "print", F.col("item"), (F.col("at") - F.col("item_at")).alias("offset"), "item_at",
+    sizes = items.select(F.col("body").startswith("=").alias("exact"), "size").distinct().collect()  # at most twice window of them
+    wanted = {kind: sorted(r["size"] for r in sizes if r["exact"] == kind) for kind in (False, True)}
+    windows = _windows(docs, key, text, wanted, False, shortest, window_filter(items))
+    # One struct names an alignment: null ids are equal in it.
+    pairs = windows.join(items.drop("size"), ["hash", "body"]).select(
+        F.struct("id", "print", "item", (F.col("at") - F.col("item_at")).alias("offset")).alias("k"), "item_at",
         F.array_distinct(F.filter(
             F.arrays_zip(
                 F.split("body", " ").alias("kind"), F.split("item_slots", " ").alias("was"), F.split("slots", " ").alias("now")
@@ -207,25 +234,35 @@ def leaks(
             lambda s: s["was"] != "-",
         )).alias("slots"),
     )
-    if per_window:  # a window's slots are distinct: as many originals as slots means one new value each
-        originals = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"])))
-        pairs = pairs.filter(F.size(originals) == F.size("slots"))
+    if per_window:
+        pairs = _consistent(materialize(pairs, "matching-windows"))
     # An alignment has at most one row per window of its item.
     slots = F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.struct(s["was"].alias("was"), s["now"].alias("now"))))))
     one_to_one = (F.size(F.array_distinct(F.col("slots.was"))) == F.size("slots")) & (
         F.size(F.array_distinct(F.col("slots.now"))) == F.size("slots")
     )
     aligned = (
-        pairs.groupBy("id", "print", "item", "offset")
+        pairs.groupBy("k")
         .agg(F.countDistinct("item_at").alias("n_windows"), slots.alias("slots"))
         .filter(F.lit(True) if per_window else one_to_one)
         .withColumn("verbatim", F.forall("slots", lambda s: s["was"] == s["now"]))
     )
-    return aligned.groupBy("id", "print", "item").agg(
+    return aligned.groupBy("k.id", "k.print", "k.item").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.size("slots")).alias("n_slots"), F.max("verbatim").alias("verbatim")
     ).select(F.col("id").alias(key), "print", F.col("item").alias(item), "n_windows", "n_slots", "verbatim")
 
 
+def _consistent(pairs: DataFrame) -> DataFrame:
+    """The windows that count: those as in the item, and of each alignment's others the ones that agree with its most
+    named values. A window that names two values for one original agrees with none."""
+    sure = F.forall("slots", lambda s: s["was"] == s["now"])
+    named = pairs.filter(~sure).select("k", "item_at", F.explode("slots").alias("s")).select("k", "item_at", "s.*")
+    votes = named.groupBy("k", "kind", "was", "now").agg(F.countDistinct("item_at").alias("n"))
+    chosen = votes.groupBy("k", "kind", "was").agg(F.max(F.struct("n", "now")).alias("top"))
+    against = named.join(chosen, ["k", "kind", "was"]).filter(F.col("now") != F.col("top.now")).select("k", "item_at").distinct()
+    return pairs.filter(sure).unionByName(pairs.filter(~sure).join(against, ["k", "item_at"], "left_anti"))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all columns."""
     found = leaks(docs, benchmark, key, text, **options).select(F.col(key).alias("l_id"), "print").distinct().alias("l")

@@ -196,8 +196,10 @@ QUESTION = "A train leaves Berlin at 7 and travels 120 km at a constant speed to
 OTHER = "The shop sold 14 apples and 9 pears to Anna before noon, and each apple cost 2 euros in that week."
 
 
-@pytest.mark.parametrize("in_task", [10**6, 0])
-def test_decontamination(spark, in_task):
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_decontamination(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "BITS_EACH", 64 if bits > 1 << 15 else 1)
     swapped = QUESTION.replace("7", "9").replace("120 km", "300 miles").replace("Hamburg", "Dresden").replace("Berlin", "Munich")
     mixed = OTHER.replace("14", "5").replace("9 pears", "5 pears")  # two values became one
     texts = [
@@ -209,14 +211,14 @@ def test_decontamination(spark, in_task):
         [(1, QUESTION, "x"), (2, OTHER, "x"), (3, None, "x"), (4, "two words", "x"), (5, "What is the capital of France?", "x"), (1, QUESTION, "y")],
         "item_id long, text string, body string",
     )
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items, in_task=in_task).collect()}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items).collect()}
     assert set(got) == {(2, 1), (3, 1), (9, 5)} | ({(6, 2)} & set(got))
     assert got[2, 1].verbatim and not got[3, 1].verbatim and got[3, 1].n_slots >= 4
-    kept = decontaminate.keep_clean(docs, items, in_task=in_task)
+    kept = decontaminate.keep_clean(docs, items)
     assert kept.columns == docs.columns
     assert {0, 1, 4, 5, 7, 8} <= {r.doc_id for r in kept.collect()} <= set(range(10)) - {2, 3, 9}
-    assert decontaminate.leaks(docs.limit(0), items, in_task=in_task).count() == 0
-    assert decontaminate.leaks(docs, items.limit(0), in_task=in_task).count() == 0
+    assert decontaminate.leaks(docs.limit(0), items).count() == 0
+    assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
 def test_a_slot_clash_takes_no_other_window_away(spark, tmp_path):
@@ -239,9 +241,8 @@ def test_a_slot_clash_takes_no_other_window_away(spark, tmp_path):
     assert [r.doc_id for r in kept.collect()] == [2]
 
 
-@pytest.mark.parametrize("in_task", [10**6, 0])
 @pytest.mark.parametrize("per_window", [False, True])
-def test_short_items_and_windows_of_slots_match_exactly(spark, in_task, per_window):
+def test_short_items_and_windows_of_slots_match_exactly(spark, per_window):
     items = ["What is 12 plus 30?", "Compute 3 + 5 * 7 - 2", "Name two primes", "Quokka", "In Rome with Anna Bob 1 2 3 4 5 6 7 8 9", "", "?!"]
     texts = [
         "First: what is 12 plus 30? Then more.", "What is 12 plus 31?", "compute 3 5 7 2", "Compute 3 + 5 * 7 - 4", "please name two primes now",
@@ -249,10 +250,74 @@ def test_short_items_and_windows_of_slots_match_exactly(spark, in_task, per_wind
     ]
     docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = decontaminate.leaks(docs, benchmark, in_task=in_task, per_window=per_window).collect()
+    got = decontaminate.leaks(docs, benchmark, per_window=per_window).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)} and all(r.verbatim for r in got)
 
 
+def plain_leaks(docs, items, window=8, shortest=5):
+    """All pairs of windows, without hashes, filters or joins."""
+    known = {}
+    for item, text in items:
+        tokens, values = decontaminate.template(text or "")
+        plain = [values.get(i, t) for i, t in enumerate(tokens)]
+        size = min(window, len(tokens))
+        for at in range(len(tokens) - size + 1) if tokens else ():
+            part = tokens[at : at + size]
+            exact = size < shortest or sum(t[0] != "<" for t in part) < decontaminate.LEAST_WORDS
+            body = tuple(plain[at : at + size] if exact else part)
+            known.setdefault((exact, size, body), set()).add((item, at, tuple(values.get(at + j, "-") for j in range(size))))
+    matches = {}
+    for doc, text in docs:
+        tokens, values = decontaminate.template(text or "")
+        plain = [values.get(i, t) for i, t in enumerate(tokens)]
+        for size in range(1, window + 1):
+            for at in range(len(tokens) - size + 1):
+                for exact, words in ((False, tokens), (True, plain)):
+                    body = tuple(words[at : at + size])
+                    for item, item_at, was in known.get((exact, size, body), ()):
+                        kinds = ("=" + body[0], *body[1:]) if exact else body
+                        now = body if exact else [values.get(at + j, "-") for j in range(size)]
+                        slots = {(k, w, n) for k, w, n in zip(kinds, was, now) if w != "-"}
+                        matches.setdefault((doc, text or "", item, at - item_at), {}).setdefault(item_at, []).append(slots)
+    out = {}
+    for (doc, text, item, _), windows in matches.items():
+        flat = [(at, slots) for at, found in windows.items() for slots in found]
+        sure = [(at, s) for at, s in flat if all(w == n for _, w, n in s)]
+        rest = [(at, s) for at, s in flat if (at, s) not in sure]
+        votes = {}
+        for at, s in rest:
+            for k, w, n in s:
+                votes.setdefault((k, w), {}).setdefault(n, set()).add(at)
+        chosen = {o: max(v, key=lambda n: (len(v[n]), n)) for o, v in votes.items()}
+        good = sure + [(at, s) for at, s in rest if all(chosen[k, w] == n for k, w, n in s)]
+        if good:
+            pairs = {(w, n) for _, s in good for _, w, n in s}
+            a, b, c = out.get((doc, text, item), (0, 0, False))
+            out[doc, text, item] = (max(a, len({at for at, _ in good})), max(b, len(pairs)), c or all(w == n for w, n in pairs))
+    return sorted((doc, item, *found) for (doc, _, item), found in out.items())
+
+
+def test_leaks_equal_all_pairs(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    rng = random.Random(2)
+    given = [(r.item_id, r.text) for r in items.collect()]
+    edited = []
+    for k, (_, text) in enumerate(given):  # questions with other numbers, some of them contradicting themselves
+        words = [str(rng.randint(2, 9)) if w.isdigit() and rng.random() < 0.7 else w for w in text.split()]
+        edited.append((10**6 + k, " ".join(["Before", *words, "after"])))
+    edited += [(10**7, "if you buy 7 pens and then pay 9 coins for all of them now you have none"), (10**7 + 1, None), (10**7 + 2, "")]
+    given += [(10**5, "if you buy 3 pens and then pay 3 coins for all of them now you have none"), (10**5 + 1, "3 plus 4 is 7"), (10**5 + 2, None)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + edited
+    got = decontaminate.leaks(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(given, "item_id long, text string"), per_window=True
+    )
+    found = sorted((r.doc_id, r.item_id, r.n_windows, r.n_slots, r.verbatim) for r in got.collect())
+    assert found == plain_leaks(rows, given)
+    # Two values for one original: the windows that hold only the one most of them name.
+    windows = {(d, i): n for d, i, n, *_ in found}
+    assert windows[10**7, 10**5] == 7  # five with the second value, two without any
+
+
 def unbroken(kind, n):
     rng = random.Random(n)
     letters = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "same": "a", "mixed": "aab日é😀q0"}[kind]
