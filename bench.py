@@ -14,7 +14,7 @@ from flowhunt.session import build_session
 HEADLINE = [
     "packet_stats", "inter_arrival", "flow_features", "describe_flows", "baseline_flags",
     "entity_features", "rule_score_fusion", "threat_labels", "alerts", "incidents", "timelines",
-    "detection_metrics", "isolation_forest_scores", "fixed_forest_scores", "shapley_values", "explain_alerts",
+    "detection_metrics", "isolation_forest_scores", "fixed_forest_scores", "shapley_values", "explain_alerts", "forest_shapley_values", "explain_fitted",
 ]
 
 

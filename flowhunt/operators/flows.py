@@ -34,29 +34,27 @@ def packet_filter(
     return kept
 
 
-def packet_stats(
-    packets: DataFrame, exported: DataFrame | None = None, idle_seconds: float = 60.0
-) -> DataFrame:
+def packet_stats(packets: DataFrame, flows: bool = False, idle_seconds: float = 60.0) -> DataFrame:
     """One row of totals; DNS means UDP with port 53 on either side.
 
-    With a stored flow table: how many flows there are, and how many were still active at its end,
-    that is not yet silent for ``idle_seconds``.
+    With ``flows``: also how many flows there are, and how many were still active at the end, that is
+    not yet silent for ``idle_seconds``. One pass: kind and ports belong to the flow key, so the packets are
+    first counted per flow.
     """
     udp = F.col("protocol") == "UDP"
-    totals = packet_gate(packets).agg(
-        F.count("*").alias("total_packets"),
-        F.count_if(F.col("protocol") == "TCP").alias("tcp_packets"),
-        F.count_if(udp).alias("udp_packets"),
-        F.count_if(udp & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))).alias("dns_packets"),
+    kinds = {
+        "total_packets": F.lit(True), "tcp_packets": F.col("protocol") == "TCP", "udp_packets": udp,
+        "dns_packets": udp & ((F.col("src_port") == 53) | (F.col("dst_port") == 53)),
+    }
+    gated = packet_gate(packets)
+    if not flows:
+        return gated.agg(*[F.count_if(k).alias(name) for name, k in kinds.items()])
+    each = gated.groupBy(*FLOW_KEY).agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last_us"))
+    end = each.agg(F.max("last_us")).scalar()  # the same shuffle is read again
+    return each.agg(
+        *[F.coalesce(F.sum(F.when(k, F.col("n"))), F.lit(0)).alias(name) for name, k in kinds.items()],
+        F.count("*").alias("exported_flows"), F.count_if(F.col("last_us") >= end - int(idle_seconds * MICROS)).alias("active_flows"),
     )
-    if exported is None:
-        return totals
-    end = F.unix_micros(exported.agg(F.max("last_seen").alias("end")).scalar())
-    open_since = end - int(idle_seconds * MICROS)
-    flows = exported.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(F.unix_micros("last_seen") >= open_since).alias("active")).alias("s")
-    ).scalar()
-    return totals.withColumn("exported_flows", flows["n"]).withColumn("active_flows", flows["active"])
 
 
 def _slice_of(micros: Column, slice_seconds: float) -> Column:

@@ -95,7 +95,7 @@ def packet_filter(spark, sf_dir):
 
 @query
 def packet_stats(spark, sf_dir):
-    return fl.packet_stats(_packets(spark, sf_dir), _flows(spark, sf_dir), IDLE)
+    return fl.packet_stats(_packets(spark, sf_dir), True, IDLE)
 
 
 @query
@@ -912,6 +912,15 @@ def explain_alerts(spark, sf_dir):
     return _factors(_explanations(spark, sf_dir)[1])
 
 
+@query
+def explain_fitted(spark, sf_dir):
+    """Critical alerts explained by a forest fitted on all flows."""
+    flows = _flows(spark, sf_dir)
+    raised = al.generate_alerts(detect.labelled_flows(flows))
+    told = explain.explain_alerts(raised, flows, fo.fit_forest(flows))
+    return _factors(told).select("alert_id", "place", "feature", "shap_contribution", "actual_value", "impact")
+
+
 @query
 def explain_top_critical(spark, sf_dir):
     return _factors(_explanations(spark, sf_dir, limit=10)[1]).select("alert_id", "place", "feature", "shap_contribution")

@@ -146,6 +146,15 @@ FROM (SELECT *, {_round("1 - " + _round("(decision - lo) / (hi - lo)", 6), 6)} A
 _AFTER_FLOWS = _before("thresholds", _FULL)
 _AFTER_ENRICHED = _before("scored", _FULL, scored=_SCORED)
 _ABLATED = _before("scored", _forest({FULL: FEATURES} | {f: [g for g in FEATURES if g != f] for f in FEATURES}))
+_FACTORS = " UNION ALL ".join(
+    f"SELECT a.alert_id, '{f}' AS feature, v{i} AS shap, CAST(a.{f} AS DOUBLE) AS actual_value FROM alerts a JOIN explained USING ({KEY}, first_us) "
+    "WHERE a.severity = 'CRITICAL'" for i, f in enumerate(FEATURES)
+)
+_TOP = (
+    f"SELECT alert_id, CAST(place AS INTEGER) AS place, feature, {_round('shap', 6)} AS shap_contribution, actual_value, "
+    "CASE WHEN shap > 0 THEN 'increased' ELSE 'decreased' END AS impact FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY alert_id ORDER BY -abs(shap), feature) AS place FROM ({_FACTORS})) WHERE place <= 5"
+)
 _TOLD = " UNION ALL ".join(
     f"SELECT {KEY}, {_iso('make_timestamp(first_us)')} AS first_seen, '{f}' AS feature, {_round(f'v{i}', 6)} AS shap, "
     f"CAST({f} AS DOUBLE) AS actual_value FROM explained JOIN flows USING ({KEY}, first_us)"
@@ -170,6 +179,7 @@ FOREST_ORACLE = {
         "scored", f"SELECT {KEY}, ml_score_normalized, final_threat_score, {_BANDS} AS threat_score_band FROM scored", _AFTER_ENRICHED
     ),
     "forest_alerts": _query("alerts", f"SELECT {_ALERT_TEXT} FROM alerts", _AFTER_ENRICHED),
+    "explain_fitted": _query("alerts", _TOP, _before("thresholds", {**_FULL, **_explained()})),
     "forest_shapley_values": _query("explained", _TOLD, _before("thresholds", {**_FULL, **_explained()})),
     "feature_ablation": _query(
         "forest",
