@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``docs``. ``run`` writes each stage to the shared folder and reads it back as the next one's input.
 
 Defined cases: null, empty and letterless texts go at the first stage; of equal texts the largest doc_id
-stays, of a near-copy class the smallest; repeated rows are one row from the second stage on. Rows with a
-null doc_id cannot be named by the near-copy stage and go there. An empty table gives an empty result.
+stays, of a near-copy class the smallest (a null one counts as larger than all others); repeated rows are one
+row from the second stage on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
