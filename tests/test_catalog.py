@@ -20,9 +20,8 @@ CHECKED = [
     "flow_features", "session_flows", "beacon_intervals", "describe_flows", "capture_decode", "apply_rules", "alerts",
     "timelines", "detection_metrics", "metrics_by_type", "label_wildcard_join", "label_masks", "stream_counters",
     "stream_alerts", "stream_incidents", "shapley_values", "explain_alerts", "narratives", "bootstrap_ci", "score_fusion",
-    "isolation_forest_scores", "forest_score_fusion", "feature_ablation", "capture_files", "stream_sessions", "stream_flush",
-    "packet_stats_json", "live_flow_files", "forest_shapley_values", "cross_validate_fitted", "evaluation_report", "sample_flows",
-    "rule_only_hits", "stream_sources", "stream_alerts_kept", "baseline_incremental", "model_rolling",
+    "isolation_forest_scores", "forest_score_fusion", "capture_files", "stream_flush", "packet_stats_json", "live_flow_files",
+    "cross_validate_fitted", "evaluation_report", "stream_alerts_kept",
 ]
 
 
