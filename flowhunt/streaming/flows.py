@@ -4,7 +4,8 @@ Two stateful steps. The first is a built-in aggregate per (flow, millisecond): c
 whose bits mark the microseconds at which packets came. Its buffer has a fixed size however many packets
 a flow sends, takes them in any order, and combines before the shuffle. A closed millisecond becomes a run:
 counts, ends and the moments of its gaps. The second step keeps a dozen numbers per flow and joins closed
-runs, which reach it in time order, until the flow has been silent for longer than the idle time.
+runs, which reach it in time order, until the flow has been silent for longer than the idle time. It deals the
+flows over a fixed number of buckets and joins all runs of a bucket at once.
 
 What a stopped query still holds is read from its checkpoint by :func:`open_flows`.
 """
@@ -31,18 +32,20 @@ IDLE_SECONDS = 60.0
 WATERMARK = "60 seconds"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+BUCKETS = 1024  # values of state that the open flows are dealt over
+
 RUN_US = 1000  # microseconds of a run: the finest window Spark cuts
 _WORD = 64
 _WORDS = -(-RUN_US // _WORD)
 
 _KEY_DDL = "src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING"
 _RUN = ["n", "bytes", "first_us", "last_us", "gap_n", "gap_min", "gap_max", "gap_mean", "gap_m2"]
-_STATE_DDL = (
-    "n BIGINT, bytes BIGINT, first_us BIGINT, last_us BIGINT, gap_n BIGINT, gap_min BIGINT, "
-    "gap_max BIGINT, gap_mean DOUBLE, gap_m2 DOUBLE, dns_query STRING, timer BIGINT"
-)
+_HELD = ["flow", *_RUN, "dns_query"]  # what an open flow holds; its key travels as one JSON text
+_STATE_DDL = ", ".join(
+    f"{c} ARRAY<{'STRING' if c in ('flow', 'dns_query') else 'DOUBLE' if c in ('gap_mean', 'gap_m2') else 'BIGINT'}>" for c in _HELD
+) + ", timer BIGINT"
 _MERGED_DDL = (
-    f"{_KEY_DDL}, packet_count BIGINT, total_bytes BIGINT, first_us BIGINT, last_us BIGINT, "
+    "flow STRING, packet_count BIGINT, total_bytes BIGINT, first_us BIGINT, last_us BIGINT, "
     "gap_min BIGINT, gap_max BIGINT, gap_mean DOUBLE, gap_m2 DOUBLE, dns_query STRING"
 )
 # The aggregate's buffer in a checkpoint, in the order in which ``_buffers`` lists its functions.
@@ -106,53 +109,82 @@ def run_stream(packets: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 class FlowSessions(StatefulProcessor):
-    """Joins the runs of a flow and emits it once it is idle."""
+    """Joins the runs of the flows of one bucket and emits each flow once it is idle.
+
+    All open flows of a bucket are one value, its columns as arrays, so that a batch costs a few calls per bucket,
+    not several per flow. One timer per bucket stands for the flow that ends first.
+    """
 
     def __init__(self, idle_us: int):
         self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", _STATE_DDL)
+        self.open = handle.getValueState("flows", _STATE_DDL)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        runs = pd.concat(list(rows))[[*_RUN, "dns_query"]].sort_values("first_us")
-        state = self.flow.get() if self.flow.exists() else None
+        runs = pd.concat(list(rows), ignore_index=True)[_HELD]
+        state = self.open.get()
         if state:
-            runs = pd.concat([pd.DataFrame([state[:10]], columns=runs.columns), runs])
-        sessions = join_runs(runs, self.idle_us)
-        last = sessions[-1]
-        timer = (last[3] + self.idle_us + RUN_US) // 1000 + 1
-        if state and state[10] != timer:
-            self.handle.deleteTimer(int(state[10]))
-        if not state or state[10] != timer:
-            self.handle.registerTimer(int(timer))
-        self.flow.update((*last, int(timer)))
-        if len(sessions) > 1:
-            yield self._rows(key, sessions[:-1])
+            runs = pd.concat([self._held(state), runs], ignore_index=True)
+        flow = pd.factorize(runs["flow"])[0]
+        order = np.lexsort((runs["first_us"].to_numpy(), flow))
+        runs, flow = runs.iloc[order], flow[order]
+        sessions = pd.DataFrame(join_runs(runs, self.idle_us, flow), columns=[*_HELD[1:], "place"])
+        at = sessions.pop("place").to_numpy()
+        sessions.insert(0, "flow", runs["flow"].to_numpy(dtype=object)[at])
+        last = np.append(flow[at][1:] != flow[at][:-1], True)  # the last session of each flow
+        self._keep(sessions[last], state[-1] if state else None)
+        if not last.all():
+            yield self._rows(sessions[~last])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.flow.exists():
-            state = self.flow.get()
-            self.flow.clear()
-            yield self._rows(key, [state])
+        state = self.open.get()
+        if state:
+            flows = self._held(state)
+            ended = self._timers(flows) <= timerValues.getCurrentWatermarkInMs()
+            self._keep(flows[~ended], state[-1])
+            yield self._rows(flows[ended])
+
+    def _timers(self, flows: pd.DataFrame) -> np.ndarray:
+        """The millisecond behind which each flow is idle."""
+        return (flows["last_us"].to_numpy("int64") + self.idle_us + RUN_US) // 1000 + 1
+
+    def _keep(self, flows: pd.DataFrame, timer: int | None) -> None:
+        """Hold these flows; ``timer`` is the one registered before."""
+        first = int(self._timers(flows).min()) if len(flows) else None
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(int(timer))
+        if first is None:
+            self.open.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.open.update((*[flows[c].tolist() for c in _HELD], first))
+
+    @staticmethod
+    def _held(state: tuple) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(_HELD, state)))
 
     @staticmethod
-    def _rows(key, states) -> pd.DataFrame:
-        names = [
-            *FLOW_KEY, "packet_count", "total_bytes", "first_us", "last_us", "gap_min", "gap_max", "gap_mean", "gap_m2", "dns_query",
-        ]
-        return pd.DataFrame([(*key, *s[0:4], *s[5:10]) for s in states], columns=names)
+    def _rows(flows: pd.DataFrame) -> pd.DataFrame:
+        return flows.drop(columns="gap_n").rename(columns={"n": "packet_count", "bytes": "total_bytes"})
 
     def close(self) -> None:
         pass
 
 
-def join_runs(runs: pd.DataFrame, idle_us: int) -> list[tuple]:
-    """Runs in time order as sessions, one tuple each: the gaps between runs join the gaps inside them."""
+def join_runs(runs: pd.DataFrame, idle_us: int, flow: np.ndarray | None = None) -> list[tuple]:
+    """Runs in time order as sessions, one tuple each: the gaps between runs join the gaps inside them.
+
+    ``flow`` numbers the flows of the runs, which then come in order of flow and time. The last value of a
+    tuple is the place of the session's first run.
+    """
     n, size, first, last, gap_n, low, high, mean, m2 = (runs[c].to_numpy() for c in _RUN)
     edge = first[1:] - last[:-1]
     opens = np.concatenate([[True], edge > idle_us])
+    if flow is not None:
+        opens[1:] |= flow[1:] != flow[:-1]
     starts = np.flatnonzero(opens)
     session = np.cumsum(opens) - 1
     ends = np.maximum.reduceat(last, starts)
@@ -172,23 +204,37 @@ def join_runs(runs: pd.DataFrame, idle_us: int) -> list[tuple]:
     sessions = []
     for k, (count, amount, begin, end, gaps, lowest, highest, average, around) in enumerate(out):
         ranges = (int(lowest), int(highest), float(average), float(around)) if count > 1 else (0, 0, 0.0, 0.0)
-        sessions.append((int(count), int(amount), int(begin), int(end), int(gaps), *ranges, found.get(k)))
+        sessions.append((int(count), int(amount), int(begin), int(end), int(gaps), *ranges, found.get(k), int(starts[k])))
     return sessions
 
 
-def stream_flows(packets: DataFrame, idle_seconds: float = IDLE_SECONDS, watermark: str = WATERMARK) -> DataFrame:
+def stream_flows(
+    packets: DataFrame, idle_seconds: float = IDLE_SECONDS, watermark: str = WATERMARK, buckets: int = BUCKETS
+) -> DataFrame:
     """FLOW rows, each appended once its 5-tuple has been idle for more than ``idle_seconds``.
 
     Needs the RocksDB state provider (``STATE_PROVIDER``). Rows older than the watermark are
-    dropped. The idle time is at least a run, so that no run hides a split.
+    dropped. The idle time is at least a run, so that no run hides a split. A batch rewrites the open flows of
+    the buckets it touches, so ``buckets`` should grow with the flows open at once; it is fixed by the first
+    start of a checkpoint.
     """
     if idle_seconds * MICROS < RUN_US:
         raise ValueError("idle_seconds must not be shorter than a millisecond")
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    merged = run_stream(packets, watermark).groupBy(*FLOW_KEY).transformWithStateInPandas(
+    # Absent parts of a key are left out of its text, so keys with nulls stay apart.
+    runs = run_stream(packets, watermark).select(
+        F.pmod(F.xxhash64(*FLOW_KEY), F.lit(buckets)).cast("int").alias("bucket"),
+        F.to_json(F.struct(*FLOW_KEY)).alias("flow"), "run_end", *_RUN, "dns_query",
+    )
+    merged = runs.groupBy("bucket").transformWithStateInPandas(
         FlowSessions(int(idle_seconds * MICROS)), _MERGED_DDL, "append", "eventTime",
     )
-    return finish_flows(merged)
+    return finish_flows(_with_key(merged))
+
+
+def _with_key(flows: DataFrame) -> DataFrame:
+    """The key columns in place of their text."""
+    return flows.withColumn("flow", F.from_json("flow", _KEY_DDL)).select("flow.*", *[c for c in flows.columns if c != "flow"])
 
 
 def state_of(spark: SparkSession, checkpoint: str, operator: str, **options: str) -> DataFrame:
@@ -206,7 +252,8 @@ def open_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
     key = [F.col(f"key.{c}").alias(c) for c in FLOW_KEY]
     buffers = state_of(spark, checkpoint, "stateStoreSave").select(*key, F.col("value").cast(_BUFFER).alias("b"))
     fresh = _with_gaps(buffers.select(*FLOW_KEY, "b.*")).select(*FLOW_KEY, *_RUN, "dns_query")
-    held = state_of(spark, checkpoint, "transformWithState", stateVarName="flow").select(*key, "value.*")
+    state = state_of(spark, checkpoint, "transformWithState", stateVarName="flows").select("value.*")
+    held = _with_key(state.select(F.inline(F.arrays_zip(*_HELD))))
     return held.select(*fresh.columns).unionByName(fresh)
 
 

@@ -119,6 +119,34 @@ def test_joined_runs_equal_packets():
             assert s[9] == next((f"n{k}" for k in sorted({t // 1000 for t in own}) if k % 3 == 0), None)
 
 
+def test_open_flows_share_a_few_state_rows(spark, tmp_path):
+    """400 flows in 8 buckets, some without ports, some in several sessions: 8 values are held and no flow is lost or mixed up."""
+    rng = random.Random(3)
+    rows, n = [], 0
+    for flow in range(400):
+        key = (f's"{flow}', None if flow % 7 == 0 else "d", None if flow % 5 == 0 else flow % 11, 53, "UDP")
+        at = rng.randrange(20_000_000)
+        for _ in range(rng.randrange(1, 6)):
+            rows.append((n, at, *key, n % 9, rng.choice([None, f"q{n}.example"])))
+            at, n = at + rng.choice([0, 1, 700, 1_000_000, 1_000_001, 2_500_000]), n + 1
+    source = packets(spark, rows)
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    held = []
+    for part in ("ts < timestamp_micros(12000000)", "ts >= timestamp_micros(12000000)"):
+        source.filter(part).repartition(3).write.mode("append").parquet(folder)
+        stream = sf.stream_flows(sio.read_packet_stream(spark, folder), 1.0, "1 second", buckets=8)
+        sio.run_to_table(stream, out, checkpoint, state_partitions=3).awaitTermination()
+        state = sf.state_of(spark, checkpoint, "transformWithState", stateVarName="flows")
+        held.append(state.agg(F.count("*"), F.sum(F.size("value.flow"))).first())
+    assert max(rows_held for rows_held, _ in held) <= 8 and held[0][1] > 8
+    emitted = spark.read.parquet(out)
+    got = emitted.unionByName(sf.open_flows(spark, checkpoint, 1.0))
+    shared = [*FLOW_KEY, "packet_count", "total_bytes", "first_seen", "last_seen", "duration"]
+    got, want = got.select(*shared), fl.session_flows(source, 1.0).select(*shared)
+    assert 300 < emitted.count() < want.count() == got.count()
+    assert got.exceptAll(want).count() == 0
+
+
 def test_flow_files_are_dropped_once(spark, tmp_path):
     flows = fl.flow_features(packets(spark, [(i, i * 1000, f"s{i}", "d", 1, 2, "TCP", 5, None) for i in range(25)]), 5.0)
     folder = str(tmp_path / "drops")
