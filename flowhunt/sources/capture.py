@@ -141,24 +141,28 @@ def _dotted(frame: Column, start: Column) -> Column:
 
 
 def dns_name(frame: Column, start: Column) -> Column:
-    """First question name: a walk over length-prefixed labels, at most 255 bytes by protocol."""
+    """First question name: a walk over length-prefixed labels, at most 255 bytes by protocol.
+
+    A step takes a label. The digits travel in the state, as an outer column would be computed anew in each step.
+    """
     digits = F.hex(F.substring(frame, start + 1, F.lit(256)))
-    state = F.struct(F.lit(0).alias("left"), F.lit("").alias("text"), F.lit(False).alias("done"))
+    state = F.struct(digits.alias("digits"), F.lit(1).alias("at"), F.lit("").alias("text"), F.lit(False).alias("done"))
 
-    def step(seen: Column, i: Column) -> Column:
-        byte = F.substring(digits, 2 * i + 1, F.lit(2))
-        size = F.conv(byte, 16, 10).cast("int")
-        ends = seen["done"] | (byte == "") | ((seen["left"] == 0) & ((size == 0) | (size > 63)))
+    def step(seen: Column, _: Column) -> Column:
+        digits, at = seen["digits"], seen["at"]
+        size = F.conv(F.substring(digits, at, F.lit(2)), 16, 10).cast("int")
+        ends = seen["done"] | (at > F.length(digits)) | (size == 0) | (size > 63)
         dot = F.when(seen["text"] != "", F.lit("2E")).otherwise("")
-        return F.when(ends, F.struct(F.lit(0).alias("left"), seen["text"].alias("text"), F.lit(True).alias("done"))).when(
-            seen["left"] == 0,
-            F.struct(size.alias("left"), F.concat(seen["text"], dot).alias("text"), F.lit(False).alias("done")),
-        ).otherwise(
-            F.struct((seen["left"] - 1).alias("left"), F.concat(seen["text"], byte).alias("text"), F.lit(False).alias("done"))
-        )
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(255)), state, step, lambda seen: seen["text"])
-    return F.when(walked != "", F.decode(F.unhex(walked), "UTF-8"))
+        return F.when(
+            ends, F.struct(digits.alias("digits"), at.alias("at"), seen["text"].alias("text"), F.lit(True).alias("done"))
+        ).otherwise(F.struct(
+            digits.alias("digits"), (at + 2 + 2 * size).alias("at"),
+            F.concat(seen["text"], dot, F.substring(digits, at + 2, 2 * size)).alias("text"), F.lit(False).alias("done"),
+        ))
+
+    # A label takes two bytes at least, that is four digits.
+    labels = F.sequence(F.lit(0), F.floor(F.length(digits) / 4).cast("int"))
+    return F.aggregate(labels, state, step, lambda seen: F.when(seen["text"] != "", F.decode(F.unhex(seen["text"]), "UTF-8")))
 
 
 def decode_frames(frames: DataFrame, length: str = "captured") -> DataFrame:

@@ -76,16 +76,21 @@ def _next_offsets(file: _File, data: bytes, first: int, stop: int, size: int) ->
 
     def word(at: int) -> np.ndarray:
         part = np.lib.stride_tricks.sliding_window_view(raw[at : at + n + 3], 4)
-        return np.ascontiguousarray(part[:n]).view(kind).ravel().astype(np.int64)
+        return np.ascontiguousarray(part[:n]).view(kind).ravel()
 
     if n == 0:
         return np.zeros(0, np.int64)
-    offset = first + np.arange(n)
     if not file.ng:
-        fraction, kept = word(4), word(8)
-        end = offset + 16 + kept
-        return np.where((fraction < file.units) & (kept <= file.longest) & (end <= size), end, -1)
-    length = word(4)
+        # Few offsets pass the first test, and only those are looked at further.
+        kept = word(8)
+        at = np.flatnonzero(kept <= file.longest)
+        at = at[word(4)[at] < file.units]
+        end = first + at + 16 + kept[at].astype(np.int64)
+        out = np.full(n, -1, np.int64)
+        out[at[end <= size]] = end[end <= size]
+        return out
+    offset = first + np.arange(n)
+    length = word(4).astype(np.int64)
     end = offset + length
     fits = (offset % 4 == 0) & (length % 4 == 0) & (length >= 12) & (length <= file.longest) & (end <= size)
     tail = end - 4 - first  # the length is repeated at the block's end
@@ -110,13 +115,12 @@ def first_record(file: _File, read, begin: int, size: int) -> tuple[int, bool]:
         data = read(first, begin - first + (file.longest if file.ng else 16))
         to = _next_offsets(file, data, first, begin, size)
         to = np.concatenate([to, np.full(begin - first - len(to), -1, np.int64)])
-        while True:  # follow all chains at once, each round twice as far
-            inside = (to >= 0) & (to < begin)
-            if not inside.any():
-                break
+        inside = np.flatnonzero((to >= 0) & (to < begin))
+        while len(inside):  # follow all chains at once, each round twice as far
             to[inside] = to[to[inside] - first]
-        ends = np.unique(to[: file.longest + 16])
-        ends = ends[ends >= 0]
+            inside = inside[(to[inside] >= 0) & (to[inside] < begin)]
+        ends = to[: file.longest + 16]
+        ends = np.unique(ends[ends >= 0])
         if len(ends) == 1:
             return int(ends[0]), True
     return _from_the_begin(file, read, begin, size)

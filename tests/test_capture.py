@@ -2,6 +2,7 @@
 
 import random
 import struct
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,31 @@ def test_written_captures_are_read_back(spark, tmp_path):
     assert sorted((r.ts_us, r.link, r.wire_length) for r in back.collect()) == [r[1:4] for r in rows]
     with pytest.raises(Exception):
         ranges.read_frame_ranges(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_names_are_walked_by_label(spark):
+    """Cut, overlong and repeated names; a name takes as many steps as its bytes can hold labels, not 256."""
+    names = [(b"\x03www\x01b\x00", "www.b"), (b"\x03ww", "ww"), (b"\x01a\x02", "a."), (b"\x01a\x40" + b"b" * 64, "a"), (b"\x00", None), (b"", None)]
+    names.append((b"\x3f" + b"c" * 63, "c" * 63))
+    names.append((b"\x01d" * 200, ".".join("d" * 128)))  # 256 bytes at most
+    rows = [(i, bytearray(b"##" + raw)) for i, (raw, _) in enumerate(names)]
+    told = spark.createDataFrame(rows, "i INT, frame BINARY").select("i", capture.dns_name(F.col("frame"), F.lit(2)).alias("name"))
+    assert [r.name for r in told.orderBy("i").collect()] == [name for _, name in names]
+    assert "sequence(0, 255" not in told._jdf.queryExecution().analyzed().toString()
+
+
+def test_search_for_a_record_looks_at_few_offsets():
+    rng, records = random.Random(1), []
+    for i in range(9000):
+        body = rng.randbytes(rng.randrange(40, 90))
+        records.append(struct.pack("<IIII", 1_700_000_000 + i, i, len(body), len(body)) + body)
+    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, 1) + b"".join(records)
+    file = ranges.file_head(data[:64])
+    tracemalloc.start()
+    found = ranges.first_record(file, lambda o, n: data[o : o + n], 500_000, len(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = 24
+    while at < 500_000:
+        at += 16 + struct.unpack_from("<I", data, at + 8)[0]
+    assert found == (at, True) and peak < 8 << 20
