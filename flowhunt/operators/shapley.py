@@ -23,7 +23,7 @@ from flowhunt.schemas import FEATURES, FLOW_KEY
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CELLS = 4_000_000  # row x leaf x feature cells handled at once
+_ROWS, _LEAVES = 256, 64  # rows and leaves handled at once
 TASK_ROWS = 20_000
 
 
@@ -91,17 +91,34 @@ def explainer(forest: Forest, variant: str = FULL) -> tuple[float, list[tuple]]:
 
 
 def contributions(x: np.ndarray, groups: list[tuple]) -> np.ndarray:
-    """(row, feature) Shapley values of standardised rows."""
+    """(row, feature) Shapley values of standardised rows.
+
+    Values and interval ends become ranks among all ends of their feature, so whether a value lies inside is one
+    comparison of whole numbers. Rows and leaves are taken in blocks that stay in the processor's cache.
+    """
+    every = range(len(FEATURES))
+    ends = [np.unique(np.concatenate([e[g[0] == i] for g in groups for e in g[1:3]] or [np.empty(0)])) for i in every]
+    ranks = np.stack([np.searchsorted(ends[i], x[:, i], side="right") - 1 for i in every]).astype("int32")
     out = np.zeros((len(x), len(FEATURES)))
     for features, low, high, table, selector in groups:
         leaves, d = features.shape
-        bits = 1 << np.arange(d)
-        step = max(1, _CELLS // (leaves * d))
-        for start in range(0, len(x), step):
-            cells = x[start : start + step][:, features]
-            pattern = ((cells >= low) & (cells < high)) @ bits
-            found = table[np.arange(leaves), pattern]
-            out[start : start + step] += found.reshape(len(pattern), -1) @ selector
+        lowest, width = np.zeros((leaves, d, 1), "int32"), np.zeros((leaves, d, 1), "uint32")
+        for i in every:
+            at = features == i
+            begin, end = (np.searchsorted(ends[i], e[at]) for e in (low, high))
+            lowest[at, 0], width[at, 0] = begin, np.maximum(end - begin, 0)
+        flat, kind = table.reshape(leaves << d, d), np.dtype("uint8" if d <= 8 else "int64")
+        for start in range(0, len(x), _ROWS):
+            own = ranks[:, start : start + _ROWS]
+            for a in range(0, leaves, _LEAVES):
+                b = min(leaves, a + _LEAVES)
+                pattern = np.zeros((b - a, own.shape[1]), kind)
+                for j in range(d):
+                    # Below the interval the difference is negative, as an unsigned number too large.
+                    above = own.take(features[a:b, j], axis=0) - lowest[a:b, j]
+                    pattern |= (above.view("uint32") < width[a:b, j]).astype(kind) << kind.type(j)
+                found = flat.take((np.arange(a, b) << d) + pattern.T, axis=0)
+                out[start : start + _ROWS] += found.reshape(own.shape[1], -1) @ selector[a * d : b * d]
     return out
 
 

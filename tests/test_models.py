@@ -1,6 +1,7 @@
 """Forest and Shapley values: invariants and brute force."""
 
 import hashlib
+import tracemalloc
 from itertools import combinations
 from math import factorial
 
@@ -123,6 +124,28 @@ def test_shapley_adds_up_to_the_model_output(flows, model):
             assert sum(r.shap) > 0
 
 
+def test_work_arrays_stay_small(flows, model):
+    """However many rows a batch has: blocks of rows and leaves, and the same paths as one row at a time."""
+    arrays, (base, groups) = fo.tree_arrays(model.nodes.toPandas()), sh.explainer(model)
+    x = np.random.default_rng(2).normal(0, 2, (5000, len(FEATURES)))
+    tracemalloc.start()
+    path, paths_peak = fo.mean_path(x, arrays), tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    values, peak = sh.contributions(x, groups), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert paths_peak < 8 << 20 and peak < 8 << 20
+    assert np.allclose(base + values.sum(axis=1), -path)
+    for i in range(0, 5000, 250):
+        walked = []
+        for t in range(len(arrays["feature"])):
+            node = 0
+            while arrays["feature"][t, node] >= 0:
+                side = "left_node" if x[i, arrays["feature"][t, node]] < arrays["threshold"][t, node] else "right_node"
+                node = arrays[side][t, node]
+            walked.append(arrays["path_length"][t, node])
+        assert path[i] == np.mean(walked)
+
+
 def test_shapley_matches_enumeration(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (64, 14))
