@@ -329,8 +329,10 @@ def path_scores(flows: DataFrame, forest: Forest, variants: list[str] | None = N
             x = feature_matrix(columns)
             yield pd.Series(list(np.column_stack([-(2.0 ** (-mean_path(x, models[v]) / norm)) for v in variants])), dtype=object)
 
+    # Else a filter on the score is pushed below it and the trees are walked twice, by two Python processes a task.
+    once = score.asNondeterministic()
     scaled = _scaled(flows, forest.scaling)
-    added = flows.withColumn("_raw", score(*[scaled[c] for c in FEATURES]))
+    added = flows.withColumn("_raw", once(*[scaled[c] for c in FEATURES]))
     return added.select(
         *flows.columns, *[round_half_up(F.col("_raw")[i], RAW_DIGITS).alias(f"raw_{v}") for i, v in enumerate(variants)]
     )

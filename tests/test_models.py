@@ -44,6 +44,13 @@ def test_forest_ranks_outliers_first(flows, model):
     assert 3 not in used and model.nodes.groupBy("tree").count().count() == 40
 
 
+def test_a_filter_on_the_label_scores_once(flows, model):
+    """Filtering a score and returning it must not walk the trees twice, in two Python processes a task."""
+    hits = fo.score_isolation_forest(flows, model).filter("iforest_label = -1 AND src_port >= 0").select("src_port", "iforest_score")
+    assert hits._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert hits.count() == 20
+
+
 def test_forest_does_not_depend_on_partitioning(flows, model):
     again = fo.fit_forest(flows.repartition(9, "dst_port", "src_port"), trees=40, sample_size=128)
     assert again.meta.first().offsets == pytest.approx(model.meta.first().offsets)
