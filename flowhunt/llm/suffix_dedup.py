@@ -8,12 +8,12 @@ anchor: the leftmost of its substrings of ``GRAM`` bytes with the smallest hash.
 anchors, and the strings of one anchor follow one another, so a document is cut into runs of strings of
 one anchor, one anchor in about 17 bytes.
 
-1. Document shards sort the hashes of their anchors. Per range of hashes, the sorted arrays of all shards are
-   merged by binary search, and each shard learns which of its anchors occur in another document, and which are hot.
+1. Document shards sort the hashes of their anchors. Per bucket of hashes, those of all shards are counted
+   in one sort, and each shard learns which of its anchors occur in another document, and which are hot.
 2. For those, each shard sends the run's bytes (at most 82), equal runs once with their smallest id, to the
    suffix shard of the anchor's hash. An anchor with one run there is decided by the smallest id. For the others a
-   suffix shard builds the suffix array of the runs by Larsson-Sadakane refinement and their common prefixes by
-   Kasai's method; neighbours with ``length`` common bytes form a class, and a class's smallest id decides its strings.
+   suffix shard builds the suffix array of the runs by Larsson-Sadakane refinement, as deep as ``length`` bytes, and
+   counts the common bytes of neighbours; those with ``length`` form a class, whose smallest id decides its strings.
 3. The decisions, a bit a string, go back to the document shards, which cover and cut their texts.
 
 Hashes only bring strings together; whether two are equal is always decided on the bytes. A passage
@@ -52,33 +52,37 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = (a * _C1 ^ b) * _C2
-    return out ^ (out >> np.uint64(31))
+    out = a * _C1
+    out ^= b
+    out *= _C2
+    out ^= out >> np.uint64(31)
+    return out
+
+
+def _words(codes: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each place on as a number, zero behind the end."""
+    padded = np.r_[codes, np.zeros(8, np.uint8)]
+    return np.ndarray(len(codes) + 1, f"{order}u8", padded, strides=(1,))
 
 
 def gram_hashes(codes: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """Hashes of all substrings of ``size`` bytes, put together from those of powers of two."""
-    power, width = codes.astype(np.uint64), 1
-    out, done = None, 0
-    n = len(codes) - size + 1
-    while True:
-        if size & width:
-            part = power[done : done + n]
-            out = part if out is None else _join(out, part)
-            done += width
-        if width * 2 > size:
-            return out
-        power = _join(power[:-width], power[width:])
-        width *= 2
+    """Hashes of all substrings of ``size`` bytes, eight or more, put together from words of eight; the last overlaps."""
+    words, n = _words(codes), len(codes) - size + 1
+    out = words[size - 8 : size - 8 + n].astype(np.uint64)
+    for at in range(0, size - 8, 8):
+        out = _join(out, words[at : at + n])
+    return _join(out, np.uint64(size))
 
 
 def anchored_runs(codes: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK):
     """Runs of strings with one anchor: first string, number of strings, anchor hash. ``ends``: the documents' ends."""
     span = length - gram + 1
+    fits = np.ones(len(codes), bool)  # strings that end in their document
+    for k in range(1, length):
+        fits[ends[ends >= k] - k] = False
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, max(0, len(codes) - length + 1), block):
-        part = codes[at : at + block + length - 1]
-        hashes = gram_hashes(part, gram)
+        hashes = gram_hashes(codes[at : at + block + length - 1], gram)
         least = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
         width = 1
         while width * 2 <= span:
@@ -86,109 +90,99 @@ def anchored_runs(codes: np.ndarray, ends: np.ndarray, length: int = LENGTH, gra
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        anchor = (least & _LOW).astype(np.int64)
-        start = np.arange(at, at + len(anchor))
-        start = start[start + length <= ends[np.searchsorted(ends, start, side="right")]]
-        if not start.size:
-            continue
-        anchor = anchor[start - at]
-        first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(anchor) != 0)])
-        found.append((start[first], np.diff(np.r_[first, len(start)]), hashes[anchor[first]]))
+        inside = fits[at : at + len(least)]
+        first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])])
+        count = np.diff(np.r_[first, len(least)])[inside[first]]
+        first = first[inside[first]]
+        found.append((first + at, count, hashes[(least[first] & _LOW).astype(np.int64)]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted arrays of distinct keys with counts, merged by binary search."""
-    (keys, counts), (other, more) = a, b
-    at = np.searchsorted(keys, other)
-    known = at < len(keys)
-    known[known] = keys[at[known]] == other[known]
-    counts = counts.copy()
-    counts[at[known]] += more[known]
-    return np.insert(keys, at[~known], other[~known]), np.insert(counts, at[~known], more[~known])
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and which of them each key is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
+def suffix_array(codes: np.ndarray, enough: int | None = None) -> np.ndarray:
     """Larsson-Sadakane: groups of equal prefixes are refined by the ranks ``depth`` further on, depth doubling;
-    groups of one suffix are left alone."""
+    groups of one suffix are left alone. ``enough``: so many bytes suffice; suffixes that share them are side by side."""
     n = len(codes)
-    padded = np.r_[codes, np.zeros(8, np.uint8)].astype(np.uint64)
-    keys = np.zeros(n, np.uint64)
-    for i in range(8):
-        keys = (keys << np.uint64(8)) | padded[i : i + n]
-    # A zero byte must differ from the end: suffixes shorter than the key are ranked apart by their length.
-    short = np.arange(max(0, n - 8), n)
-    order = np.lexsort((np.r_[np.zeros(n - len(short), np.int64), -1 - (np.arange(len(short)))], keys))
+    keys = _words(codes, ">")[:n].astype(np.uint64)
+    long = max(0, n - 7)
+    order = np.argsort(keys[:long])
+    # A zero byte must differ from the end: suffixes shorter than the key go before those that begin like them.
+    short = np.array(sorted(range(long, n), key=lambda i: (keys[i], -i)), np.int64)
+    order = np.insert(order, np.searchsorted(keys[order], keys[short]), short)
     new = np.ones(n, bool)
     if n:
-        sorted_keys, tail = keys[order], order >= n - len(short)
+        sorted_keys, tail = keys[order], order >= long
         new[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | tail[1:] | tail[:-1]
+    slots = np.arange(n)
     rank = np.empty(n, np.int64)
-    heads = np.flatnonzero(new)
-    rank[order] = np.repeat(heads, np.diff(np.r_[heads, n]))
+    rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
     depth = 8
-    while True:
-        sizes = np.diff(np.r_[heads, n])
-        slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    while enough is None or depth < enough:
+        # Slots of a group follow one another, and those left out were groups of one.
+        heads = new[slots]
+        slots = slots[~(heads & np.r_[heads[1:], True])] if slots.size else slots
         if not slots.size:
-            return order
+            break
         who = order[slots]
         further = np.where(who + depth < n, rank[np.minimum(who + depth, n - 1)] + 1, 0)
         both = rank[who] * (n + 1) + further
-        moved = np.argsort(both, kind="stable")
+        moved = np.argsort(both)
         who, both = who[moved], both[moved]
         order[slots] = who
         new[slots[1:]] |= both[1:] != both[:-1]
-        heads = np.flatnonzero(new)
-        rank[who] = heads[np.searchsorted(heads, slots, side="right") - 1]
+        rank[who] = np.maximum.accumulate(np.where(new[slots], slots, 0))
         depth *= 2
+    return order
+
+
+_PLACES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)  # a bit in each byte of a word
 
 
 def common_prefixes(codes: np.ndarray, order: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
-    """Kasai: common bytes, up to ``limit``, of each suffix with the one before it in ``order``.
+    """Common bytes, up to ``limit``, of each suffix with the one before it in ``order``, in words of eight.
 
-    The text is a row of pieces beginning at ``starts``; all pieces advance together, each carrying its own count.
+    All neighbours are compared on their bytes; ``starts``, where the pieces of the text begin, does not matter.
     """
-    n = len(codes)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    padded = np.r_[codes, np.zeros(1, np.uint8)]
+    n, words = len(codes), _words(codes)
     out = np.zeros(n, np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    by_size = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[by_size], sizes[by_size]
-    held = np.zeros(len(starts), np.int64)
-    for step in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -step, side="left"))  # pieces longer than step come first
-        here = starts[:live] + step
-        slot = place[here]
-        before = order[np.maximum(slot - 1, 0)]
-        count = np.where(slot > 0, held[:live], 0)
-        going = np.flatnonzero((slot > 0) & (count < limit))
-        while going.size:
-            a, b = here[going] + count[going], before[going] + count[going]
-            same = (a < n) & (b < n)
-            same &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            going = going[same]
-            count[going] += 1
-            going = going[count[going] < limit]
-        out[slot] = count
-        held[:live] = np.maximum(count - 1, 0)
+    going, a, b = np.arange(1, n), order[1:], order[:-1]
+    for at in range(0, limit, 8):
+        apart = words[np.minimum(a + at, n)] ^ words[np.minimum(b + at, n)]
+        differs = apart != 0
+        # The lowest bit that differs lies in the first byte that differs.
+        lowest = apart[differs]
+        lowest &= ~lowest + np.uint64(1)
+        out[going[differs]] = at + np.searchsorted(_PLACES, lowest, side="right") - 1
+        going, a, b = (x[~differs] for x in (going, a, b))
+    out[going] = limit
+    out[1:] = np.minimum(out[1:], np.minimum(limit, n - np.maximum(order[1:], order[:-1])))
     return out
 
 
 _WIDTH = -(-(2 * LENGTH - GRAM + 1) // 8) * 8  # bytes of a run's row: whole words, and room for one byte more
 
 
+_INSIDE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a word
+
+
 def byte_rows(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int = _WIDTH) -> np.ndarray:
     """The ``sizes`` bytes from ``first`` on as rows of ``width`` bytes, zero behind them; read in words of eight."""
-    padded = np.r_[codes, np.zeros(width + 8, np.uint8)]
-    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
-    rows = words[first[:, None] + np.arange(0, width, 8)].view(np.uint8).reshape(len(first), width)
-    rows[np.arange(width) >= sizes[:, None]] = 0
-    return rows
+    words, at = _words(np.r_[codes, np.zeros(width, np.uint8)]), np.arange(0, width, 8)
+    rows = words[first[:, None] + at]
+    rows &= _INSIDE[np.clip(sizes[:, None] - at, 0, 8)]
+    return rows.view(np.uint8).reshape(len(first), width)
 
 
 def digests(rows: np.ndarray) -> np.ndarray:
@@ -202,7 +196,7 @@ def digests(rows: np.ndarray) -> np.ndarray:
 
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row of each content, and the content of each row. Digests sort them, the bytes decide."""
-    _, kept, which = np.unique(digests(rows), return_index=True, return_inverse=True)
+    _, kept, which = distinct(digests(rows))
     if not np.array_equal(rows, rows[kept[which]]):  # two contents with one digest
         _, kept, which = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
     return kept, which
@@ -220,12 +214,12 @@ class _Shard:
         self.sizes = np.array([len(b) for b in bodies], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.first, self.count, self.hashes = anchored_runs(self.codes, self.ends)
-        self.owner = self.ids[np.searchsorted(self.ends, self.first, side="right")]
+        self.owner = np.repeat(self.ids, np.diff(np.searchsorted(self.first, self.ends), prepend=0))
 
     def anchors(self, buckets: int):
-        """Distinct anchor hashes, and their rows for each bucket."""
-        hashes = np.unique(self.hashes)
-        return hashes, _slices(_bucket(hashes, buckets))
+        """Distinct anchor hashes, which of them each run has, and their rows for each bucket."""
+        hashes, _, which = distinct(self.hashes)
+        return hashes, which, _slices(_bucket(hashes, buckets))
 
     def runs(self, masks: dict[int, tuple[bytes, bytes]], buckets: int):
         """Runs with a shared anchor, those of hot anchors string by string.
@@ -233,12 +227,12 @@ class _Shard:
         First string and owner of each, which distinct content it has, and of the contents in sending order: bytes,
         number of strings, smallest id, bucket.
         """
-        hashes, parts = self.anchors(buckets)
+        hashes, anchor, parts = self.anchors(buckets)
         state = np.zeros(len(hashes), np.uint8)  # 1 shared, 2 hot
         for b, r in parts:
             if b in masks:
                 state[r] = sum(np.unpackbits(np.frombuffer(m, np.uint8), count=len(r)) for m in masks[b] if m)
-        of = state[np.searchsorted(hashes, self.hashes)]
+        of = state[anchor]
         rows, hot = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
         first, count, owner, hashed = self.first[rows], self.count[rows], self.owner[rows], self.hashes[rows]
         if hot.size:
@@ -247,12 +241,13 @@ class _Shard:
             apart = digests(byte_rows(self.codes, single, np.full(len(single), LENGTH)))
             first, count = np.r_[first, single], np.r_[count, np.ones(len(single), np.int64)]
             owner, hashed = np.r_[owner, np.repeat(self.owner[hot], n)], np.r_[hashed, apart]
-        content = byte_rows(self.codes, first, count + LENGTH - 1)
-        content[:, -1] = count
-        content = np.hstack([content, hashed.astype("<u8").view(np.uint8).reshape(-1, 8)])
+        content = byte_rows(self.codes, first, count + LENGTH - 1, _WIDTH + 8)
+        content[:, _WIDTH - 1] = count
+        content.view("<u8")[:, -1] = hashed
         kept, which = distinct_rows(content)
-        # Contents that begin alike side by side: they compress better.
-        order = np.argsort(content[kept, :8].copy().view(">u8").ravel(), kind="stable")
+        # Contents that begin alike side by side: they compress better. Stable, as the steps that send and cut must agree
+        # on the order, whatever processors they run on.
+        order = np.argsort(content[kept, :8].copy().view(">u8").ravel().astype(np.uint64), kind="stable")
         place = np.empty(len(kept), np.int64)
         place[order] = np.arange(len(kept))
         kept, which = kept[order], place[which]
@@ -267,7 +262,8 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _slices(numbers: np.ndarray):
     """(number, its rows) for each value, in order."""
-    order = np.argsort(numbers, kind="stable")
+    # Two bytes are sorted by counting.
+    order = np.argsort(numbers.astype(np.uint16) if numbers.max(initial=0) < 1 << 16 else numbers, kind="stable")
     cuts = np.flatnonzero(np.diff(numbers[order], prepend=-1))
     return [(int(numbers[r[0]]), r) for r in np.split(order, cuts[1:])] if len(order) else []
 
@@ -275,8 +271,7 @@ def _slices(numbers: np.ndarray):
 def _anchors(buckets: int):
     def work(table: pa.Table) -> pa.Table:
         shard = _Shard(table)
-        hashes, parts = shard.anchors(buckets)
-        at = np.searchsorted(hashes, shard.hashes)
+        hashes, at, parts = shard.anchors(buckets)
         low, high = np.full(len(hashes), _LAST), np.full(len(hashes), np.iinfo(np.int64).min)
         np.minimum.at(low, at, shard.owner)
         np.maximum.at(high, at, shard.owner)
@@ -297,12 +292,11 @@ def _shared(hot: int):
         """Of each shard two bits for each of its anchors: whether another document has it too, and whether it is hot."""
         shards = table.column("shard").to_pylist()
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        tree = [(k, np.frombuffer(c, np.uint16).astype(np.int64)) for k, c in zip(keys, table.column("counts").to_pylist())]
-        while len(tree) > 1:
-            tree = [merge_counts(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
-        merged, counts = tree[0]
-        masks = [np.isin(k, merged[counts > 1], assume_unique=True) for k in keys]
-        hottest = [np.isin(k, merged[counts > hot], assume_unique=True) for k in keys]
+        counts = np.concatenate([np.frombuffer(c, np.uint16) for c in table.column("counts").to_pylist()])
+        merged, _, which = distinct(np.concatenate(keys))
+        total = np.bincount(which, counts, len(merged))[which]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        masks, hottest = np.split(total > 1, cuts), np.split(total > hot, cuts)
         some = [i for i, m in enumerate(masks) if m.any()]
         bucket = table.column("bucket").to_pylist()
         return pa.table({
@@ -326,17 +320,17 @@ def _send(buckets: int):
         shard, pack = _Shard(docs), zstandard.ZstdCompressor(level=3)
         masks = _masks(shared)
         _, _, _, content, count, least, bucket = shard.runs(masks, buckets)
-        inside = np.arange(content.shape[1]) < (count + LENGTH - 1)[:, None]
         rows = dict(_slices(bucket))
         # A bucket all of whose anchors are hot gets no run, but its bits must come back.
         named = sorted(masks.keys() | rows.keys())
         parts = [rows.get(b, np.zeros(0, np.int64)) for b in named]
+        at = np.arange(content.shape[1])
         return pa.table({
             "bucket": pa.array(named, pa.int64()),
             "shard": pa.array([docs.column("shard")[0].as_py()] * len(named), pa.int64()),
             "mask": pa.array([masks.get(b, (b"", b""))[0] for b in named], pa.binary()),
             "hot": pa.array([masks.get(b, (b"", b""))[1] for b in named], pa.binary()),
-            "codes": pa.array([pack.compress(content[r][inside[r]].tobytes()) for r in parts], pa.binary()),
+            "codes": pa.array([pack.compress(content[r][at < count[r, None] + (LENGTH - 1)].tobytes()) for r in parts], pa.binary()),
             "counts": pa.array([count[r].astype(np.uint8).tobytes() for r in parts], pa.binary()),
             "least": pa.array([least[r].tobytes() for r in parts], pa.binary()),
         })
@@ -364,19 +358,21 @@ def decide(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, length: int
     ends = np.cumsum(own_sizes)
     first, _, hashes = anchored_runs(text, ends)
     of = np.searchsorted(ends, first, side="right")
-    pairs = np.unique(np.column_stack([hashes, of.astype(np.uint64)]), axis=0) if len(first) != len(kept) else np.column_stack([hashes, of.astype(np.uint64)])
-    _, at, times = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    # A run is cut where blocks meet: such neighbours count once.
+    once = np.ones(len(of), bool)
+    once[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    of, (_, _, at) = of[once], distinct(hashes[once])
     meets = np.zeros(len(kept), bool)
-    meets[pairs[times[at] > 1, 1].astype(np.int64)] = True
+    meets[of[np.bincount(at)[at] > 1]] = True
     smallest, place = _smallest_ids(text, own_counts, own_sizes, ids, np.flatnonzero(meets), length)
 
-    of = np.repeat(np.arange(len(counts)), counts)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    content = which[of]
-    decided = ids[content]
-    shared = meets[content]
-    decided[shared] = smallest[place[content[shared]] + inner[shared]]
-    return decided < least[of]
+    decided = np.repeat(ids[which], counts)
+    shared = np.flatnonzero(meets[which])
+    n, begin = counts[shared], (np.cumsum(counts) - counts)[shared]
+    ahead = np.cumsum(n) - n
+    step = np.arange(n.sum())
+    decided[np.repeat(begin - ahead, n) + step] = smallest[np.repeat(place[which[shared]] - ahead, n) + step]
+    return decided < np.repeat(least, counts)
 
 
 def _smallest_ids(text, counts, sizes, ids, members, length) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +387,7 @@ def _smallest_ids(text, counts, sizes, ids, members, length) -> tuple[np.ndarray
     owner = np.repeat(np.arange(len(members)), own)
     inner = np.arange(len(owner)) - starts[owner]
     codes = text[begins[members][owner] + inner]
-    order = suffix_array(codes)
+    order = suffix_array(codes, length)
     prefixes = common_prefixes(codes, order, starts, length)
     group = np.empty(len(codes), np.int64)
     group[order] = np.cumsum(prefixes < length)
@@ -418,7 +414,7 @@ def _decide(table: pa.Table) -> pa.Table:
 def _cut(buckets: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         shard = _Shard(docs)
-        gone = np.zeros(len(shard.codes) + 1, np.int32)
+        gone = np.zeros(len(shard.codes) + 1, np.int8)  # at most ``LENGTH`` strings lie over a byte
         if answers.num_rows:
             bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
             first, owner, which, _, count, least, bucket = shard.runs(_masks(answers), buckets)
@@ -431,14 +427,15 @@ def _cut(buckets: int):
                 done += int(own.sum())
             flat = np.concatenate(flags)
             n = count[which]
-            of = np.repeat(np.arange(len(first)), n)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            ahead = np.cumsum(n) - n
+            step = np.arange(n.sum())
             # The smallest id of a run was judged; every larger one repeats that run.
-            repeated = flat[begin[which[of]] + at] | (owner > least[which])[of]
-            strings = (first[of] + at)[repeated]
-            gone[: len(gone)] += np.bincount(strings, minlength=len(gone)).astype(np.int32)
-            gone -= np.bincount(strings + LENGTH, minlength=len(gone)).astype(np.int32)
-        covered = np.cumsum(gone[:-1]) > 0
+            repeated = flat[np.repeat(begin[which] - ahead, n) + step] | np.repeat(owner > least[which], n)
+            strings = (np.repeat(first - ahead, n) + step)[repeated]
+            # A string is in one run.
+            gone[strings] += 1
+            gone[strings + LENGTH] -= 1
+        covered = np.cumsum(gone[:-1], dtype=np.int8) > 0
         out = []
         for end, size in zip(shard.ends, shard.sizes):
             mask = covered[end - size : end]

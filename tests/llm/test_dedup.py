@@ -288,6 +288,42 @@ def test_suffix_array_and_common_prefixes(letters, n):
         assert got[slot] == min(20, common)
 
 
+def test_suffix_array_stops_at_enough_bytes(monkeypatch):
+    """Long repeats cost no more than ``enough`` bytes: suffixes that share them are side by side, in few sorts."""
+    rng = random.Random(10)
+    passage = "".join(rng.choice("ab\0") for _ in range(3000))
+    text = (passage + "x" + passage + "y" + "a" * 500 + "\0" * 60).encode()
+    codes, sorts, sort = np.frombuffer(text, np.uint8), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(len(a[0])) or sort(*a, **k))
+    order = suffix_dedup.suffix_array(codes, 50)
+    assert len([n for n in sorts if n > 100]) <= 4  # by 8 bytes, then by 16, 32 and 64
+    heads = [text[i : i + 50] for i in order]
+    assert sorted(order.tolist()) == list(range(len(text))) and heads == sorted(heads)
+    common = suffix_dedup.common_prefixes(codes, order, np.zeros(1, np.int64), 50)
+    assert [k == 50 for k in common[1:]] == [len(a) == 50 and a == b for a, b in zip(heads, heads[1:])]
+
+
+def test_runs_do_not_depend_on_the_order_of_ties(monkeypatch):
+    """The steps that send and cut may run on processors that sort ties differently; their runs must agree."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abc") for _ in range(9)) for _ in range(30)]
+    texts = ["".join(rng.choice(words) for _ in range(30)).encode() for _ in range(60)]
+    texts += texts[:20]
+    table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "body": pa.array(texts, pa.binary()), "shard": pa.array([0] * len(texts), pa.int64())})
+    anchors = suffix_dedup._anchors(4)(table)
+    masks = suffix_dedup._masks(pa.concat_tables(
+        suffix_dedup._shared(50)(anchors.filter(pa.compute.equal(anchors.column("bucket"), b))) for b in range(4)
+    ))
+    here, sort = suffix_dedup._Shard(table).runs(masks, 4), np.argsort
+
+    def other(keys, kind=None, **k):
+        return sort(keys, kind=kind, **k) if kind == "stable" else len(keys) - 1 - sort(keys[::-1], kind="stable", **k)
+
+    monkeypatch.setattr(np, "argsort", other)
+    there = suffix_dedup._Shard(table).runs(masks, 4)
+    assert len(here[0]) > 100 and all(np.array_equal(x, y) for x, y in zip(here, there))
+
+
 def test_runs_cover_every_string_once():
     rng = np.random.default_rng(8)
     codes = rng.integers(97, 100, 5000).astype(np.uint8)
